@@ -145,33 +145,64 @@ def _verify(frames):
 
 def _pack(f: pd.DataFrame) -> pd.DataFrame:
     f = f.sort_values("cls")
-    return pd.DataFrame([{"bkey": f["bkey"].iloc[0], "chunk": f["chunk"].iloc[0], "cls": f["cls"].tolist(), "comp": f["comp"].tolist(), "sigs": b"".join(bytes(x) for x in f["sig"])}])
+    out = {"bkey": f["bkey"].iloc[0], "chunk": f["chunk"].iloc[0], "cls": f["cls"].tolist(), "comp": f["comp"].tolist(), "sigs": b"".join(bytes(x) for x in f["sig"])}
+    return pd.DataFrame([out | ({"sets": f["shingles"].tolist()} if "shingles" in f else {})])
+
+
+def _crossing(r):
+    """(i, j, equal hashes) of the pairs of two blocks of a bucket that lie in different components and
+    survive the pruning, each in the first band that both share only."""
+    a, b = np.frombuffer(r.sigs, np.uint32).reshape(-1, HASHES), np.frombuffer(r.sigs_b, np.uint32).reshape(-1, HASHES)
+    ca, cb = np.array(r.comp, "U32"), np.array(r.comp_b, "U32")
+    na, nb = np.array(r.cls, "U32"), np.array(r.cls_b, "U32")
+    band = int(np.flatnonzero(band_keys(a[0]) == r.bkey)[0])
+    for i in range(len(a)):
+        js = np.flatnonzero((cb != ca[i]) & ((nb > na[i]) if r.chunk == r.chunk_b else True))
+        if len(js) and band:
+            early = (b[js, : band * ROWS].reshape(len(js), band, ROWS) == a[i, : band * ROWS].reshape(1, band, ROWS)).all(axis=2).any(axis=1)
+            js = js[~early]
+        if len(js):
+            live, equal = surviving(np.broadcast_to(a[i], (len(js), HASHES)), b[js])
+            if len(live):
+                yield i, js[live], equal[live]
+
+
+def _concerned(frames):
+    """Members of a bucket that have a surviving pair across components."""
+    for f in frames:
+        for r in f.itertuples():
+            on = set()
+            for i, js, _ in _crossing(r):
+                on.add(r.cls[i])
+                on.update(r.cls_b[j] for j in js)
+            if on:
+                yield pd.DataFrame({"bkey": r.bkey, "cls": sorted(on)})
 
 
-def _cross(frames):
-    """Pairs of two blocks of a bucket that lie in different components and survive the pruning, each
-    in the first band that both share only."""
+def _join_across(frames):
+    """Exact links across components, as many as it takes to join what two blocks can join: pairs with
+    most equal hashes first, and none between what is already joined here."""
     for f in frames:
         for r in f.itertuples():
-            a, b = np.frombuffer(r.sigs, np.uint32).reshape(-1, HASHES), np.frombuffer(r.sigs_b, np.uint32).reshape(-1, HASHES)
-            ca, cb = np.array(r.comp, "U32"), np.array(r.comp_b, "U32")
-            na, nb = np.array(r.cls, "U32"), np.array(r.cls_b, "U32")
-            band = None
-            for i in range(len(a)):
-                js = np.flatnonzero((cb != ca[i]) & ((nb > na[i]) if r.chunk == r.chunk_b else True))
-                if not len(js):
-                    continue
-                if band is None:
-                    own = band_keys(a[i])
-                    band = int(np.flatnonzero(own == r.bkey)[0])
-                early = (b[js, : band * ROWS].reshape(len(js), band, ROWS) == a[i, : band * ROWS].reshape(1, band, ROWS)).all(axis=2).any(axis=1)
-                js = js[~early]
-                if len(js):
-                    live, equal = surviving(np.broadcast_to(a[i], (len(js), HASHES)), b[js])
-                    if len(live):
-                        other = nb[js[live]]
-                        lo, hi = np.where(other < na[i], other, na[i]), np.where(other < na[i], na[i], other)
-                        yield pd.DataFrame({"a": hi, "b": lo, "equal": equal[live]})
+            found = [(-e, i, j) for i, js, equal in _crossing(r) for j, e in zip(js.tolist(), equal.tolist(), strict=True)]
+            if not found:
+                continue
+            sets_a, sets_b = ([np.frombuffer(x, np.uint64) for x in col] for col in (r.sets, r.sets_b))
+            above: dict[str, str] = {}
+
+            def top(x: str, above=above) -> str:
+                while x in above:
+                    x = above[x]
+                return x
+
+            links = []
+            for _, i, j in sorted(found):
+                p, q = top(r.comp[i]), top(r.comp_b[j])
+                if p != q and linked(sets_a[i], sets_b[j]):
+                    above[max(p, q)] = min(p, q)
+                    links.append((r.cls[i], r.cls_b[j]))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"]).assign(ok=True)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,8 +212,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Equal sets are one class. A bucket of a band first offers each member with the bucket's smallest
     class (as many pairs as members); pairs whose posterior rules the bound out go, the rest are
     checked exactly, and what is linked is joined into components. Buckets that still hold several
-    components are then compared in full, block against block, but only across components: links
-    inside one can't change it. So no bucket's pairs are ever written out, and none is skipped.
+    components are then compared in full, block against block, but only across components: links inside one can't change
+    it. Blocks give only the exact links that join components, so no bucket's pairs are ever written
+    out, and none is skipped.
 
     Null and blank texts have no shingles and form components of their own. Repeated rows stay rows;
     a null id never names a component that has another id; an empty table gives no rows.
@@ -246,22 +278,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not pairs.isEmpty():
         sets = fetch(pairs)
         settle(pairs)
-    comp = members.select("bkey", "cls")
-    comp = comp.join(roots, F.col("cls") == F.col("node"), "left").select("bkey", "cls", F.coalesce("root", "cls").alias("comp")) if roots is not None else comp.withColumn("comp", F.col("cls"))
-    split = comp.groupBy("bkey").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").where("_n > 2").select("bkey", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_chunks"))
-    left = comp.join(split, "bkey").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("_chunks")).cast("int")).drop("_chunks")
-    blocks = left.join(classes.select("cls", "sig"), "cls").groupBy("bkey", "chunk").applyInPandas(_pack, "bkey long, chunk int, cls array<string>, comp array<string>, sigs binary")
-    blocks = work.keep(blocks, "blocks")
-    other = blocks.select("bkey", F.col("chunk").alias("chunk_b"), F.col("cls").alias("cls_b"), F.col("comp").alias("comp_b"), F.col("sigs").alias("sigs_b"))
-    more = blocks.join(other, (blocks["bkey"] == other["bkey"]) & (F.col("chunk") <= F.col("chunk_b"))).drop(other["bkey"]).mapInPandas(_cross, "a string, b string, equal int")
-    if tested is not None:
-        more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = work.keep(more, "crossing")
-    if not more.isEmpty():
-        sets = fetch(more)
-        if tested is None:
-            tested = spark.createDataFrame([], "a string, b string, ok boolean")
-        settle(more)
+
+    def placed() -> DataFrame:
+        """(bkey, cls, comp) of the buckets that hold several components and more than one pair."""
+        comp = members.select("bkey", "cls")
+        if roots is not None:
+            comp = comp.join(roots, F.col("cls") == F.col("node"), "left").select("bkey", "cls", F.coalesce("root", "cls").alias("comp"))
+        else:
+            comp = comp.withColumn("comp", F.col("cls"))
+        split = comp.groupBy("bkey").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2")
+        return work.keep(comp.join(split.select("bkey", "_n"), "bkey"), "split")
+
+    def blocks(rows: DataFrame, each: int, more: str = "") -> DataFrame:
+        """Two blocks of a bucket's members side by side, every two of them once."""
+        packed = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("_n") / each)).cast("int")).drop("_n").groupBy("bkey", "chunk").applyInPandas(_pack, "bkey long, chunk int, cls array<string>, comp array<string>, sigs binary" + more)
+        packed = work.keep(packed, "blocks")
+        other = packed.select(F.col("bkey").alias("_bkey"), *[F.col(c).alias(f"{c}_b") for c in packed.columns if c != "bkey"])
+        return packed.join(other, (F.col("bkey") == F.col("_bkey")) & (F.col("chunk") <= F.col("chunk_b"))).drop("_bkey")
+
+    left = placed().join(classes.select("cls", "sig"), "cls")
+    concerned = work.keep(blocks(left, BLOCK).mapInPandas(_concerned, "bkey long, cls string").distinct(), "concerned")
+    if not concerned.isEmpty():
+        sets = fetch(concerned.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+        sizes = concerned.groupBy("bkey").agg(F.count("*").alias("_n"))
+        held = left.drop("_n").join(concerned, ["bkey", "cls"]).join(sizes, "bkey").join(sets, "cls")
+        done = work.keep(blocks(held, BLOCK // 2, ", sets array<binary>").mapInPandas(_join_across, "a string, b string, ok boolean"), "joined")
+        tested = done if tested is None else tested.unionByName(done)
+        roots = join_up()
 
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.col("loc").alias("text_hash"))
     if roots is not None:
