@@ -25,13 +25,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from . import groups, sequences, texts  # noqa: F401  they register as they load
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_oracles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").count()
+    """Terminal advantages of every rollout in its group."""
+    return queries()["group_terminal_advantage"](spark, sf_dir)
