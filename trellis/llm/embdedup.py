@@ -18,9 +18,11 @@ SAMPLE = 8192
 MOST_WORDS = 256
 #: Rows of a cell, and visitors of a cell, that are compared as one block.
 BLOCK = 1024
+#: Rows that a cell of the grid has on average; codewords of a half follow from it.
+CELL_ROWS = 1024
 #: Recall that the traversal aims at: a cell is visited while the chance that noise of the linking
 #: size carries a neighbour into it is over what this leaves.
-MARGIN = 4.0
+MARGIN = 3.5
 
 
 def valid(col: str) -> F.Column:
@@ -43,13 +45,6 @@ def matrix(col, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def sample_rows(df: DataFrame, col: str, rows: int, total: int, seed: int) -> np.ndarray:
-    """About ``rows`` vectors, ``rows`` at most, chosen by a hash."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), f"`{col}`"), F.lit(1 << 30)) / float(1 << 30)
-    got = df.where(draw < min(1.0, 1.1 * rows / max(total, 1))).select(F.col(f"`{col}`").alias("v")).limit(rows).toArrow()
-    return np.array(got.column("v").to_pylist(), np.float64)
-
-
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = np.unique(x, axis=0)
@@ -87,6 +82,13 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float):
     return i[r][order], j[s][order]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; the largest component first becomes one."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _block_links(v: np.ndarray, h: np.ndarray, same: bool, bound: float) -> np.ndarray:
     out = v @ h.T >= bound
     if same:
@@ -109,51 +111,72 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "multi-index")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
+    single = dict(vectors.dtypes)[vec_col] == "array<float>"
+    number = np.float32 if single else np.float64  # vectors travel as they came
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<float>" if single else "array<double>").alias("v"))
     dim = usual_size(rows, "v")
     good = valid("v") & (F.size("v") == dim)
     half = (dim + 1) // 2
 
-    def unit(batches):
+    def read(col) -> np.ndarray:
+        return np.frombuffer(b"".join(col), number).reshape(-1, dim)
+
+    def prepare(batches):
         for b in batches:
-            x = matrix(b.column(1), dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            raw = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in x + 0.0]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cls", "x"])
+            v = matrix(b.column(1), dim)
+            raw = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in unit(v) + 0.0]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw), pa.array([r.tobytes() for r in v.astype(number)], pa.binary())], ["vec_id", "cls", "x"])
 
     if dim:
-        table = work.keep(rows.where(good).mapInArrow(unit, "vec_id long, cls string, x binary"), "unit")
+        table = work.keep(rows.where(good).mapInArrow(prepare, "vec_id long, cls string, x binary"), "unit")
         classes = work.keep(table.groupBy("cls").agg(F.count("*").alias("n"), F.min("x").alias("x")), "classes")
         total = classes.count()
         draw = F.pmod(F.xxhash64(F.lit(2), "cls"), F.lit(1 << 30)) / float(1 << 30)
         got = classes.where(draw < min(1.0, 1.1 * SAMPLE / total)).select("x").limit(SAMPLE).toArrow().column("x").to_pylist()
-        sample = np.frombuffer(b"".join(got), np.float64).reshape(-1, dim) if got else np.zeros((0, dim))
-        k = int(np.clip(round((total / 256) ** 0.5), 1, min(MOST_WORDS, max(len(sample), 1))))
+        sample = unit(read(got)) if got else np.zeros((0, dim))
+        k = int(np.clip(round((total / CELL_ROWS) ** 0.5), 1, min(MOST_WORDS, max(len(sample), 1))))
         books = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k)) if len(sample) and half < dim else (np.zeros((1, half)), np.zeros((1, dim - half)))
         width = len(books[1])
         # a linking difference has squared length 2 - 2 * bound; along one plane's normal a dim-th of it
         reach = margin**2 * (2 - 2 * bound) / dim
 
+        def cells(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows of ``f`` and the cells that each is at home in or visits; which are homes."""
+            x = unit(read(f["x"]))
+            (h1, d1), (h2, d2) = planes(x[:, :half], books[0]), planes(x[:, half:], books[1])
+            home = h1 * width + h2
+            at, cell = [np.arange(len(x))], [home]
+            for r in range(len(x)):
+                i, j = traverse(d1[r], d2[r], reach)
+                c = i * width + j
+                c = c[c < home[r]]
+                at.append(np.full(len(c), r))
+                cell.append(c)
+            at, cell = np.concatenate(at), np.concatenate(cell)
+            return at, cell, cell == home[at]
+
+        def tally(frames):
+            for f in frames:
+                _, cell, home = cells(f)
+                key, n = np.unique(cell * 2 + home, return_counts=True)
+                yield pd.DataFrame({"key": key, "n": n})
+
+        # at most two rows a cell of the grid, whose size MOST_WORDS bounds
+        counts = {r.key: r.n for r in classes.select("x").mapInPandas(tally, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        n_blocks = np.zeros(2 * len(books[0]) * width, np.int64)
+        n_blocks[list(counts)] = [-(-n // BLOCK) for n in counts.values()]
+        lived_in = n_blocks[1::2] > 0
+
         def visits(frames):
             for f in frames:
-                x = np.frombuffer(b"".join(f["x"]), np.float64).reshape(-1, dim)
-                (h1, d1), (h2, d2) = planes(x[:, :half], books[0]), planes(x[:, half:], books[1])
-                home = h1 * width + h2
-                at, cell = [np.arange(len(x))], [home]
-                for r in range(len(x)):
-                    i, j = traverse(d1[r], d2[r], reach)
-                    c = i * width + j
-                    c = c[c < home[r]]
-                    at.append(np.full(len(c), r))
-                    cell.append(c)
-                at, cell = np.concatenate(at), np.concatenate(cell)
+                at, cell, home = cells(f)
+                on = lived_in[cell]
+                at, cell, home = at[on], cell[on], home[on]
                 g = f.iloc[at]
-                yield pd.DataFrame({"cell": cell, "home": cell == home[at], "cls": g["cls"].to_numpy(), "n": g["n"].to_numpy(), "x": g["x"].to_numpy()})
+                mark = np.array([int(c[:8], 16) for c in f["cls"]])[at]
+                yield pd.DataFrame({"cell": cell, "home": home, "block": mark % n_blocks[cell * 2 + home], "cls": g["cls"].to_numpy(), "n": g["n"].to_numpy(), "x": g["x"].to_numpy()})
 
-        seen = work.keep(classes.select("cls", "n", "x").mapInPandas(visits, "cell int, home boolean, cls string, n long, x binary"), "visits")
-        sizes = seen.groupBy("cell", "home").count().select("cell", "home", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        dealt = seen.join(F.broadcast(sizes), ["cell", "home"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks")
+        dealt = classes.select("cls", "n", "x").mapInPandas(visits, "cell int, home boolean, block int, cls string, n long, x binary")
 
         def stack(f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values("cls")
@@ -166,7 +189,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         def compare(frames):
             for f in frames:
                 for r in f.itertuples():
-                    v, h = (np.frombuffer(b, np.float64).reshape(-1, dim) for b in (r.x, r.hx))
+                    v, h = (unit(np.frombuffer(b, number).reshape(-1, dim)) for b in (r.x, r.hx))
                     same = bool(r.home) and r.block == r.hblock
                     link = _block_links(v, h, same, bound)
                     if not link.any():
