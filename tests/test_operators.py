@@ -104,6 +104,27 @@ def test_conserve(spark):
     assert sum(r.v for r in credit.conserve(df, "r", "v", "t", "i").collect()) == pytest.approx(2.0)
 
 
+def test_needles(spark):
+    texts = spark.createDataFrame([(1, "abcabc xyz"), (2, None), (3, "")], "id long, t string")
+    needles = spark.createDataFrame([(10, "abc"), (11, "c x"), (12, "abc"), (13, ""), (14, None)], "n long, w string")
+    assert sorted(map(tuple, joins.contains_any(texts, "id", "t", needles, "n", "w").collect())) == [(1, 10), (1, 11), (1, 12)]
+    with pytest.raises(ValueError):
+        joins.contains_any(texts, "id", "t", needles, "n", "w", most=2)
+    assert joins.contains_any(texts, "id", "t", needles.limit(0), "n", "w").count() == 0
+
+
+def test_streak_and_checkpoint(spark):
+    df = spark.createDataFrame([("a", i, z) for i, z in enumerate([1, 1, 0, 1, 1, 1, 1])], "t string, s int, z int")
+    got = attempts.zero_streaks(df, "t", "s", F.col("z") == 1).orderBy("s").collect()
+    assert [r.streak for r in got] == [1, 2, 0, 1, 2, 3, 4] and {r.first_admitted for r in got} == {5}
+
+
+def test_violations(spark):
+    m = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("user", "a"), ("user", " ")],), ([],), ([("system", "s"), ("user", "a"), ("assistant", "b")],)], f"m {m}")
+    assert [sorted(r.v) for r in df.select(replay.violations(F.col("m")).alias("v")).collect()] == [["blank_content", "no_assistant", "repeated_role"], ["empty", "no_assistant"], []]
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
     right = spark.createDataFrame([("a", 5, 2), ("a", 6, 1)], "k string, v long, o long")

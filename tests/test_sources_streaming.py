@@ -14,9 +14,9 @@ def test_bad_rows_are_set_apart(spark, tmp_path):
 
 
 def test_provenance_and_pairs(spark, tmp_path):
-    spark.range(2).write.parquet(str(tmp_path / "travel22_multiturn_onechoice"))
-    df = io.with_provenance(spark.read.parquet(str(tmp_path / "travel22_multiturn_onechoice")), r"/(travel\d+)_multiturn_onechoice/", "env")
-    assert {r.env for r in df.collect()} == {"travel22"}
+    spark.range(2).write.parquet(str(tmp_path / "set22_rows"))
+    df = io.with_provenance(spark.read.parquet(str(tmp_path / "set22_rows")), r"/(set\d+)_rows/", "env")
+    assert {r.env for r in df.collect()} == {"set22"}
     pairs = io.paired(spark.createDataFrame([(1, [1, 2], ["a"])], "id long, x array<long>, y array<string>"), "x", "y")
     assert [(r.position, r.x, r.y) for r in pairs.collect()] == [(0, 1, "a"), (1, 2, None)]
 

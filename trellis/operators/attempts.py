@@ -63,3 +63,18 @@ def reduce_by_name(df: DataFrame, name: str, value: str) -> DataFrame:
     """Metrics named ...max... by maximum, else ...min... by minimum, else by mean."""
     big, small = F.lower(name).contains("max"), F.lower(name).contains("min")
     return df.groupBy(name).agg(F.when(F.first(big), F.max(value)).when(F.first(small), F.min(value)).otherwise(F.avg(value)).alias("value"))
+
+
+def retry_until_varied(df: DataFrame, uid: str, batch: str, score: str, *, most: int = 3, least: float = 5e-3) -> DataFrame:
+    """Per uid the first of ``most`` batches whose scores vary by ``least``; skip where none does."""
+    each = df.where(F.col(batch) < most).groupBy(uid, batch).agg((F.max(score) - F.min(score)).alias("spread"))
+    out = each.groupBy(uid).agg(F.min(F.when(F.col("spread") >= least, F.col(batch))).alias("used_batch"), F.max("spread").alias("spread"))
+    return out.withColumn("skip", F.col("used_batch").isNull())
+
+
+def nll(df: DataFrame, row: str, loss: str, weight: str) -> DataFrame:
+    """Weighted mean loss over all tokens, its perplexity (exponent 50 at most), and the mean over rows
+    of their own weighted means."""
+    rows = df.groupBy(row).agg(F.sum(F.col(loss) * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
+    micro = F.try_divide(F.sum("s"), F.sum("w"))
+    return rows.agg(micro.alias("nll"), F.exp(F.least(F.lit(50.0), micro)).alias("perplexity"), F.avg(F.try_divide(F.col("s"), F.col("w"))).alias("macro_nll"))

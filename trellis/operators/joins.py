@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast for a join without keys; more are refused.
+#: Needles that one automaton may hold; more are refused.
 NEEDLES = 100_000
+NEEDLE_TYPES = {"bigint": pa.int64, "int": pa.int32, "string": pa.string}
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -16,20 +18,39 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> tupl
     return left.join(first, key).select(*left.columns, "_r.*"), left.join(first, key, "left_anti")
 
 
-def contains_any(texts: DataFrame, text: str, needles: DataFrame, needle: str, *, lead: int = 12, most: int = NEEDLES) -> DataFrame:
-    """Pairs of a text and a needle that it holds as it stands.
+def contains_any(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, *, most: int = NEEDLES) -> DataFrame:
+    """(key, needle key) of each text and each needle that it holds as it stands, once a pair.
 
-    Needles are a checked bounded table. The join is on keys: the first ``lead`` characters of a needle
-    against the distinct pieces of that length that a text has at word starts; then the whole needle
-    is looked for. So no pair is compared that shares no beginning. Needles must begin at a word start
-    of the text and have ``lead`` characters at least.
+    Needles are a checked bounded table, made into one automaton that every text is read by once: the
+    cost is the texts' length, not texts times needles, and no pair is compared. Null texts and null or
+    empty needles match nothing.
     """
-    if needles.count() > most:
-        raise ValueError("too many needles to broadcast")
-    start = F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?<!\S)(?=(\S.{{{lead - 1}}}))"), F.lit(1)), lambda x: x)
-    pieces = texts.withColumn("_piece", F.explode(F.array_distinct(start)))
-    keyed = needles.withColumn("_piece", F.substring(F.col(needle), 1, lead))
-    return pieces.join(F.broadcast(keyed), "_piece").where(F.col(text).contains(F.col(needle))).drop("_piece")
+    rows = needles.where(F.length(needle) > 0).select(needle_key, needle).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many needles for one automaton")
+    kinds = dict(texts.dtypes) | dict(needles.dtypes)
+    words: dict[str, list] = {}
+    for k, w in rows:
+        words.setdefault(w, []).append(k)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w, keys in shared.value.items():
+            automaton.add_word(w, keys)
+        automaton.make_automaton()
+        for batch in batches:
+            left, right = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = t.as_py()
+                found = {x for _, keys in automaton.iter(t) for x in keys} if t and shared.value else ()
+                left += [k] * len(found)
+                right += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(0).type), pa.array(right, NEEDLE_TYPES[kinds[needle_key]]())], [key, needle_key])
+
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kinds[key]}, `{needle_key}` {kinds[needle_key]}")
 
 
 def tiered(left: DataFrame, tiers: list[tuple[DataFrame, Column, str]], key: str) -> DataFrame:

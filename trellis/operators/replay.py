@@ -127,3 +127,36 @@ def action_outcomes(df: DataFrame, episode: str, aspect: str, text: str, order:
     before = F.sum(F.when(~F.col("_dup"), F.col("_none"))).over(W.partitionBy(episode, aspect).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     held = held.withColumn("_k", before)
     return held.withColumn("outcome", F.when(F.col("_dup"), "duplicate").when(F.col("_none") == 0, "useful").when(F.col("_k") == 1, "no_gain_first").otherwise("no_gain")).drop("_dup", "_none", "_k")
+
+
+def compact(df: DataFrame, episode: str, order: str, length: str, budget: int) -> DataFrame:
+    """Add kept: the newest turns whose lengths fit ``budget`` together; older ones become memory."""
+    w = W.partitionBy(episode).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("kept", F.sum(length).over(w) <= budget)
+
+
+def reveal(available: Column, agent: Column, proactive: Column) -> tuple[Column, Column]:
+    """(revealed, left): ids of the agent's question that are still available, else of the proactive one."""
+    mine, theirs = F.array_intersect(agent, available), F.array_intersect(proactive, available)
+    got = F.when(F.size(mine) > 0, mine).otherwise(theirs)
+    return got, F.array_except(available, got)
+
+
+def violations(messages: Column) -> Column:
+    """Codes of what is wrong with an ordered array of (role, content) structs; empty if nothing is."""
+    roles = F.transform(messages, lambda m: m["role"])
+    checks = {
+        "empty": F.size(messages) <= 0,
+        "unknown_role": F.exists(roles, lambda r: ~F.coalesce(r.isin("system", "user", "assistant", "tool"), F.lit(False))),
+        "late_system": F.exists(F.slice(roles, 2, F.greatest(F.size(roles), F.lit(1))), lambda r: r == "system"),
+        "no_assistant": ~F.array_contains(roles, "assistant"),
+        "blank_content": F.exists(messages, lambda m: F.coalesce(F.trim(m["content"]), F.lit("")) == ""),
+        "repeated_role": F.exists(F.arrays_zip(F.slice(roles, 1, F.greatest(F.size(roles) - 1, F.lit(0))).alias("a"), F.slice(roles, 2, F.greatest(F.size(roles), F.lit(1))).alias("b")), lambda p: (p["a"] == p["b"]) & (p["a"] != "tool")),
+    }
+    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+
+
+def forbidden_keys(document: Column, names: list[str]) -> Column:
+    """Names of ``names`` that are keys anywhere in a JSON text."""
+    keys = F.array_distinct(F.transform(F.regexp_extract_all(document, F.lit(r'"([^"\\]*)"\s*:'), F.lit(1)), F.lower))
+    return F.array_sort(F.array_intersect(keys, F.array(*[F.lit(n) for n in names])))

@@ -80,3 +80,22 @@ def pools(df: DataFrame, stratum: str, key: str, seed: int | str, sizes: dict[st
         lo = sum(list(sizes.values())[: list(sizes).index(name)])
         out = F.when((rank > lo) & (rank <= lo + n), name).otherwise(out)
     return hash_rank(df, stratum, key, seed).withColumn("pool", out)
+
+
+def pick_validation(groups: DataFrame, env: str, key: str, length: str, count: int, seed: int | str) -> DataFrame:
+    """``count`` task groups for validation: of each environment the first by hash, then the first of
+    each length bucket still missing, then the first of the rest. Adds reason.
+
+    ``groups`` has one row a group; the stages number the whole choice by (stage, hash), so it is one
+    window over what may be chosen.
+    """
+    held = length_buckets(groups.withColumn("_all", F.lit(1)), "_all", length).drop("_all")
+    first = F.row_number().over(W.partitionBy(env).orderBy(hash_key(f"env:{seed}", env, key), key)) == 1
+    held = held.withColumn("_env", first)
+    have = held.where("_env").select("bucket").distinct().withColumn("_have", F.lit(True))
+    held = held.join(F.broadcast(have), "bucket", "left")
+    by_bucket = F.row_number().over(W.partitionBy("bucket", "_env").orderBy(hash_key(f"bucket:{seed}", "bucket", key), key)) == 1
+    stage = F.when(F.col("_env"), 0).when(F.col("_have").isNull() & by_bucket, 1).otherwise(2)
+    held = held.withColumn("_stage", stage).withColumn("_h", hash_key(f"extra:{seed}", key))
+    chosen = held.orderBy("_stage", "_h").limit(count)
+    return chosen.withColumn("reason", F.element_at(F.array(F.lit("environment"), F.lit("length"), F.lit("extra")), F.col("_stage") + 1)).drop("_env", "_have", "_stage", "_h")

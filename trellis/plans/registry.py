@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import groups, sequences, texts  # noqa: F401  they register as they load
+    from . import cleaning, groups, sequences, texts  # noqa: F401  they register as they load
 
 
 def queries() -> dict[str, Query]:
