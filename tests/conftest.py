@@ -1,6 +1,8 @@
 import sys
+from numbers import Number
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -37,5 +39,5 @@ def rows(df):
     """Rows of a pandas table as comparable tuples, columns by name."""
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else str(x).removesuffix(" 00:00:00") if not isinstance(x, int | float | bool) else float(x) for x in r))
+        out.append(tuple(None if pd.isna(x) else str(x).removesuffix(" 00:00:00") if not isinstance(x, Number) else float(x) + 0.0 for x in r))
     return sorted(out, key=lambda r: tuple((x is not None, str(x)) for x in r))

@@ -11,6 +11,9 @@ def test_bad_rows_are_set_apart(spark, tmp_path):
     p.write_text('{"id": 1}\nnot json\n{"id": 2}\n')
     good, bad = io.read_records(spark, str(p), "id long")
     assert sorted(r.id for r in good.collect()) == [1, 2] and bad.count() == 1
+    (tmp_path / "b.json").write_text('[{"id": 1},\n {"id": 2}]')
+    good, bad = io.read_records(spark, str(tmp_path / "b.json"), "id long")
+    assert sorted(r.id for r in good.collect()) == [1, 2] and bad.count() == 0
 
 
 def test_provenance_and_pairs(spark, tmp_path):

@@ -16,10 +16,16 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
     if path.endswith(".parquet"):
         return spark.read.schema(schema).parquet(path), spark.createDataFrame([], "_corrupt string")
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    held = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(held).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", path.endswith(".json")).json(path)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
-    return df.where("_corrupt is null").drop("_corrupt", "_file"), df.where("_corrupt is not null").select("_file", "_corrupt")
+    whole = path.endswith(".json")
+    text = spark.read.text(path, wholetext=whole).withColumn("_file", F.col("_metadata.file_path")).where(F.trim("value") != "")
+    if whole:
+        parsed = text.withColumn("_r", F.from_json("value", T.ArrayType(kind)))
+        bad, good = parsed.where("_r is null"), parsed.select(F.explode("_r").alias("_r"))
+    else:
+        held = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
+        parsed = text.withColumn("_r", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        bad, good = parsed.where("_r._corrupt is not null"), parsed.where("_r._corrupt is null")
+    return good.select(*[F.col(f"_r.`{c}`") for c in kind.names]), bad.select("_file", F.col("value").alias("_corrupt"))
 
 
 def with_provenance(df: DataFrame, pattern: str, *names: str) -> DataFrame:
