@@ -84,3 +84,18 @@ def aggregate_loss(df: DataFrame, row: str, loss: str, mask: str, mode: str, hor
         "seq-mean-token-sum-norm": F.sum("s") / horizon,
     }[mode]
     return rows.agg(out.alias("loss"))
+
+
+def mixed_component_credit(df: DataFrame, row: str, turn: str, advantage: str, components: dict[str, tuple[str, Column]], *, mix: float = 0.30) -> DataFrame:
+    """Add turn_credit over the turns of a row: (1 - mix) of the row's advantage spread evenly, and mix
+    of each component (column of its value, weight of a turn) spread over the turns that caused it; a
+    component that no turn caused is spread evenly. What the parts miss of the row's advantage goes
+    evenly to all turns, so its sum is kept."""
+    w = W.partitionBy(row)
+    n = F.count("*").over(w)
+    credit = (1 - mix) * F.col(advantage) / n
+    for value, weight in components.values():
+        total = F.sum(weight).over(w)
+        credit = credit + mix * F.col(value) * F.when(total > 0, weight / total).otherwise(1 / n)
+    held = df.withColumn("_c", credit)
+    return held.withColumn("turn_credit", F.col("_c") + (F.col(advantage) - F.sum("_c").over(w)) / n).drop("_c")

@@ -99,3 +99,15 @@ def pick_validation(groups: DataFrame, env: str, key: str, length: str, count: i
     held = held.withColumn("_stage", stage).withColumn("_h", hash_key(f"extra:{seed}", key))
     chosen = held.orderBy("_stage", "_h").limit(count)
     return chosen.withColumn("reason", F.element_at(F.array(F.lit("environment"), F.lit("length"), F.lit("extra")), F.col("_stage") + 1)).drop("_env", "_have", "_stage", "_h")
+
+
+def spaced(df: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:
+    """``n`` rows a group over the range of scores: the lowest, the highest, and evenly spaced ones
+    between (ranks rounded half to even); ranks that fall together count once, and the next ranks in
+    order fill up."""
+    w = W.partitionBy(group)
+    held = df.withColumns({"_at": F.row_number().over(w.orderBy(score, key)) - 1, "_m": F.count("*").over(w)})
+    middles = [F.bround(F.lit(float(i + 1)) * (F.col("_m") - 1) / (max(n - 2, 0) + 1)).cast("int") for i in range(max(n - 2, 0))]
+    wanted = F.array_distinct(F.array(F.lit(0), (F.col("_m") - 1).cast("int"), *middles))
+    held = held.withColumn("_first", (~F.array_contains(F.slice(wanted, 1, n), F.col("_at"))).cast("int"))
+    return held.withColumn("_k", F.row_number().over(w.orderBy("_first", "_at"))).where(F.col("_k") <= n).drop("_at", "_m", "_first", "_k")
