@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from trellis.llm import ann, common, dsir, embdedup, html, langid, minhash, mixing, packing, pii, queries, secrets
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls string, _key double, blob string, n int, tie int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls string, _key double, blob string, n int, tie int, _text string, _loc long, _spans string, _copy int, _size long, _good boolean, _id long"
 LONG = "lorem ipsum dolor sit amet " * 20000
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "x", 1.0, "y", 1, 2) for i, t, lang, src in rows], DOCS)
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "x", 1.0, "y", 1, 2, "t", 3, "s", 4, 5, None, 6) for i, t, lang, src in rows], DOCS)
 
 
 ODD = [
@@ -36,6 +36,11 @@ def none(spark):
     return docs(spark, [])
 
 
+def untouched(df):
+    """Columns that an operator has no business with are as they came."""
+    return all((r.cls, r._key, r.blob, r.n, r.tie, r._text, r._loc, r._spans, r._copy, r._size, r._good, r._id) == ("x", 1.0, "y", 1, 2, "t", 3, "s", 4, 5, None, 6) for r in df.collect())
+
+
 def sets(texts):
     out = []
     for t in texts:
@@ -67,6 +72,7 @@ def test_minhash_odd_rows(spark, odd, none):
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect())
     assert got == Counter({(1, 0, 1, True): 1, (2, 0, 2, True): 1, (3, 0, 3, True): 1, (4, 1, 4, True): 2, (None, 1, 4, False): 1, (5, 5, 5, True): 1, (6, 3, 6, True): 1, (7, 3, 6, False): 1})
     assert minhash.near_duplicates(none).count() == 0
+    assert untouched(minhash.keep_first(odd))
     kept = minhash.keep_first(odd).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4, 5, 6] and set(odd.columns) == set(kept[0].asDict())
 
@@ -139,6 +145,7 @@ def test_ledger_scans_only_unseen(spark):
 
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(docs(spark, [(0, "a token = \"" + "0a" * 20 + "\" b", None, None), (1, None, None, None), (2, "plain", None, None)])).collect()}
+    assert untouched(secrets.redact(docs(spark, ODD)))
     assert out == {0: "a [SECRET]\" b", 1: None, 2: "plain"}
 
 
@@ -171,7 +178,10 @@ def test_mix(spark, odd, none):
         by[r.source] += r.taken
     assert all(abs(by[r.source] - r.target) <= 1 for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.repartition(3)).collect()))
-    assert set(mixing.apply_mix(odd).columns) == set(odd.columns)
+    mixed = mixing.apply_mix(odd)
+    assert mixed.columns == odd.columns
+    words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in mixed.collect())
+    assert words == sum(r.taken for r in got) and untouched(mixed)
 
 
 def test_better_documents_come_sooner(spark):
@@ -282,7 +292,7 @@ def test_quality(spark, odd, none):
     kept = {r.doc_id for r in dsir.quality(df, labels).where("kept").collect()}
     assert len(kept & set(range(60))) >= 59 and not kept & set(range(100, 115))
     out = dsir.keep_quality(df, labels)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
+    assert untouched(out) and out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
     assert dsir.quality(odd, labels.limit(0)).where("kept").count() == len(ODD)
     assert dsir.quality(none, labels).count() == 0
 

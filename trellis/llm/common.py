@@ -39,9 +39,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def fixed_types(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast to the types given: extra columns can't clash."""
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds.items()])
+#: Holds a whole input row while other columns are worked on, so that names can't clash.
+ROW = "__row"
+
+
+def with_row(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row as one column, and the named columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *[F.col(f"`{c}`") for c in names])
+
+
+def row_back(df: DataFrame, like: DataFrame, **changed) -> DataFrame:
+    """The columns of ``like`` out of the row, but for those that changed."""
+    return df.select(*[changed[c].cast(like.schema[c].dataType).alias(c) if c in changed else F.col(f"{ROW}.`{c}`").alias(c) for c in like.columns])
 
 
 # ---------------------------------------------------------------- texts as arrays

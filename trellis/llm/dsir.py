@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, _STEP2, Workspace, mix64, run_hashes, text_slices
+from .common import _LOWER, _SPACE, _STEP2, Workspace, mix64, row_back, run_hashes, text_slices, with_row
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model and the share to keep are fitted on, in expectation.
@@ -178,6 +178,6 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that ``classify`` keeps, in their own columns."""
     _, model, cut = classify(docs, labels)
-    plain = docs.withColumns({"_text": F.col("text")}).withColumn("text", F.coalesce("text", F.lit("")))
+    plain = with_row(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = with_scores(labelled(plain, labels.select("doc_id", "quality")), model)
-    return rows.where(F.col("_key") >= F.lit(float(cut))).withColumn("text", F.col("_text")).select(*docs.columns)
+    return row_back(rows.where(F.col("_key") >= F.lit(float(cut))), docs)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, mix64, text_slices, words
+from .common import ROW, Workspace, components, mix64, row_back, text_slices, with_row, words
 
 WORDS = 5
 LEAST, OF = 75, 100
@@ -324,9 +324,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # null ids are components of their own, told apart by their text
     chosen = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_hash")).where("_id is not null")
     chosen = chosen.unionByName(rows.where("doc_id is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    at = docs.withColumn("_loc", F.xxhash64(F.coalesce("text", F.lit(""))))
+    at = with_row(docs, "doc_id").withColumn("_loc", F.xxhash64(F.coalesce(F.col(f"{ROW}.text"), F.lit(""))))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_loc") == F.col("_hash"))
     out = at.join(chosen.hint("shuffle_hash"), on, "left_semi")
     if not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "_loc"])
-    return out.select(*docs.columns)
+    return row_back(out, docs)

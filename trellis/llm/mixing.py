@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import boundary_sums, fixed_types
+from .common import ROW, boundary_sums, row_back, with_row
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -78,14 +78,14 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     the crossing document once more, cut after its taken words. n_chars, where present, follows."""
     taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), F.col("taken").alias("_t"))
     taken = taken.groupBy("_id", "_n").agg(F.max("_t").alias("_t"))
-    at = docs.withColumn("_size", n_words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left")
+    at = with_row(docs, "doc_id", "text").withColumn("_size", n_words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left")
     whole = F.when(F.col("_n") > 0, F.floor(F.col("_t") / F.col("_n"))).otherwise(F.lit(1)).cast("int")
     part = F.when(F.col("_n") > 0, F.col("_t") % F.col("_n")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     out = at.withColumn("_copy", F.explode(copies))
-    ended = F.expr("concat_ws(' ', slice(split(trim(text), '[\\\\x20\\\\x09-\\\\x0D]+'), 1, greatest(_copy, 0)))")
-    text = F.when(F.col("_copy") < 0, F.col("text")).otherwise(ended)
-    out = out.withColumn("text", text)
+    first_words = F.expr(r"concat_ws(' ', slice(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0), 1, greatest(_copy, 0)))")
+    out = out.withColumn("_kept", F.when(F.col("_copy") < 0, F.col("text")).otherwise(first_words))
+    changed = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_copy") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_copy") < 0, F.col(f"{ROW}.n_chars")).otherwise(F.length("_kept"))
+    return row_back(out, docs, **changed)

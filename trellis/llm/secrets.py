@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ROW, row_back, with_row
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -138,18 +140,19 @@ def redact(docs: DataFrame, *, text_col: str = "text", rules=RULES, mark: str =
     without findings, null ones too, stay as they are; n_chars, where present, follows."""
     ledger = scan_unseen(docs, text_col=text_col, rules=rules)
     spans = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
-    held = docs.withColumn("_blob", blob_of(F.col(f"`{text_col}`"))).join(spans, "_blob", "left")
+    held = with_row(docs).withColumn("_text", F.col(f"{ROW}.`{text_col}`")).withColumn("_blob", blob_of(F.col("_text"))).join(spans, "_blob", "left")
     kind = "struct<at:int,out:string>"
     zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out")).cast(kind)
 
     def step(acc, s):
         ahead = s["start"] + 1 >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"], s["start"] + 1 - acc["at"]), F.lit(mark))
+        piece = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"], s["start"] + 1 - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.when(ahead, piece).otherwise(acc["out"]).alias("out")).cast(kind)
 
     done = F.aggregate("_spans", zero, step)
-    clean = F.concat(done["out"], F.substring(F.col(text_col), done["at"], F.length(text_col)))
-    out = held.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean))
+    clean = F.concat(done["out"], F.substring(F.col("_text"), done["at"], F.length("_text")))
+    out = held.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(clean))
+    changed = {text_col: F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_spans").isNull(), F.col(f"{ROW}.n_chars")).otherwise(F.length("_clean"))
+    return row_back(out, docs, **changed)
