@@ -132,3 +132,44 @@ def test_joins(spark):
     assert [(r.id, r.v) for r in hit.collect()] == [(1, 6)] and [r.id for r in miss.collect()] == [2]
     tiers = joins.tiered(left, [(right.where("o = 2").select(F.col("k").alias("k1"), "v"), F.col("k") == F.col("k1"), "v"), (spark.createDataFrame([(2, 9)], "i long, v long"), F.col("id") == F.col("i"), "v")], "id")
     assert sorted((r.id, r.match, r.tier) for r in tiers.collect()) == [(1, 5, 1), (2, 9, 2)]
+
+
+def test_deadline_and_counters(spark):
+    from trellis.operators import replay
+
+    a = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
+    r = spark.range(1).select(replay.steps_needed(a("f", "h", "c"), a("f", "h"), a("f")).alias("n"), replay.deadline_blocks(10, F.lit(7), a("f", "h", "c"), a("f", "h"), a("f")).alias("at"), replay.deadline_blocks(10, F.lit(6), a("f", "h", "c"), a("f", "h"), a("f")).alias("before")).first()
+    assert (r.n, r.at, r.before) == (3, True, False)
+    events = [("search", "f", None, ["F1"], None), ("action", "f", None, None, None), ("search", "f", None, ["F1"], None), ("answer", "f", "F9", None, None), ("answer", "f", "F1", None, None), ("fly", None, None, None, None)]
+    df = spark.createDataFrame([(events,)], "e array<struct<choice:string,aspect:string,answer:string,shown:array<string>,feedback_error:string>>")
+    c = df.select(replay.counters(replay.replay(F.col("e"))).alias("c")).first().c
+    assert (c.steps, c.searches, c.actions, c.answers, c.rejected) == (6, 1, 1, 1, 3)
+    assert c.by_kind == {"repeated-search": 1, "invisible-id": 1, "invalid-parameters": 1}
+    spec = spark.range(1).select(replay.task_spec(a("flight", "car"), {"flight": (a("f1"), a("f1", " f2"), F.lit("f1")), "hotel": (a("h1"), a("h1"), F.lit("h1"))}).alias("s")).first().s
+    assert [(x.aspect, x.correct, x.every, x.best) for x in spec] == [("flight", ["F1"], ["F1", "F2"], "F1")]
+
+
+def test_bootstrap_draws_like_one_at_a_time(spark):
+    import numpy as np
+
+    from trellis.operators import attempts
+
+    scores = [0.3, 0.9, 0.1, 0.5]
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate(scores)] + [("b", 0, 2.0), ("c", 0, None)], "g string, i int, s double")
+    got = {r.g: r for r in attempts.bootstrap(df, "g", "s", "i", 3).collect()}
+    random = np.random.RandomState(42)
+    best = [max(scores[i] for i in random.choice(4, size=3, replace=True)) for _ in range(1000)]
+    assert set(got) == {"a", "b"} and got["b"].best_std == 0
+    assert got["a"].best_mean == pytest.approx(np.mean(best)) and got["a"].best_std == pytest.approx(np.std(best))
+
+
+def test_latex_answers_and_domains(spark):
+    from trellis.functions import messages as ms
+    from trellis.functions import text as tx
+
+    cases = [(r"\tfrac12", r"\frac{1}{2}"), ("0.5", "1/2"), (r"90^\circ", "90"), ("12 \\text{ cm}", "12"), (r"\sqrt2", r"\sqrt{2}"), ("n=3", "3"), (".25", "0.25"), ("7\\%", "7"), (r"\frac3{x}", r"\frac{3}{x}"), ("", ""), (None, None)]
+    df = spark.createDataFrame(cases, "a string, b string")
+    assert df.where(~tx.same_answer(F.col("a"), F.col("b"))).count() == 0
+    assert df.where(tx.same_answer(F.col("a"), F.lit("none of them"))).count() == 0
+    said = spark.range(1).select(ms.training_message(F.lit("{}"), F.lit(" "), F.lit("<think>why</think>x")).alias("a"), ms.training_message(F.lit("{}"), F.lit(None).cast("string"), F.lit("plain")).alias("b"), ms.training_message(F.lit("{}"), F.lit(None).cast("string"), F.lit("plain"), fallback="content").alias("c")).first()
+    assert said.a == "<think>\nwhy\n</think>\n\n<tool_call>\n{}\n</tool_call>" and said.b == "<tool_call>\n{}\n</tool_call>" and said.c.startswith("<think>\nplain\n")

@@ -90,3 +90,14 @@ def off_topic(counts: Column, interval: int) -> Column:
         return F.struct(n.alias("n"), F.concat(acc["out"], F.array(F.struct(n.alias("n"), (n >= interval).alias("due")))).alias("out")).cast("struct<n:int,out:array<struct<n:int,due:boolean>>>")
 
     return F.aggregate(counts, zero, step, lambda acc: acc["out"])
+
+
+def training_message(call: Column, reasoning: Column, content: Column, *, fallback: str = "omit") -> Column:
+    """An assistant turn as a text to train on: a think block where there is a thought, then the call.
+    The thought is the reasoning, else a think block of the content, else (fallback 'content') all of it."""
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    thought = F.coalesce(filled(reasoning), filled(F.regexp_extract(content, r"(?s)<think>(.*?)</think>", 1)))
+    if fallback == "content":
+        thought = F.coalesce(thought, filled(content))
+    block = F.concat(F.lit("<tool_call>\n"), call, F.lit("\n</tool_call>"))
+    return F.when(thought.isNull(), block).otherwise(F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), block))

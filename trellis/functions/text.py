@@ -121,3 +121,47 @@ def finite_or(c: Column, default: float) -> Column:
 def content_hash(*cols: str) -> Column:
     """sha256 of a JSON object with keys in order; nulls are written, so they count."""
     return F.sha2(F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(cols)]), 256)
+
+
+#: What the normal form of a LaTeX answer rewrites, in order (Java patterns).
+LATEX_REWRITES = (
+    (r"\n|\\!", ""),
+    (r"\\\\", r"\\"),
+    (r"\\[td]frac", r"\\frac"),
+    (r"\\left|\\right", ""),
+    (r"\^\{\\circ\}|\^\\circ", ""),
+    (r"\\\$", ""),
+    (r"\\text\{ .*$", ""),
+    (r"\\?%", ""),
+    (r"(^|[ {])\.", "$10."),
+    (r"^[^=]{0,2}=([^=]*)$", "$1"),
+    (r"\\sqrt([^{])", r"\\sqrt{$1}"),
+    (r" ", ""),
+    (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"),
+    (r"\\frac([^{])\{", r"\\frac{$1}{"),
+    (r"^0\.5$", r"\\frac{1}{2}"),
+    (r"^(-?[1-9][0-9]*|0)/(-?[1-9][0-9]*|0)$", r"\\frac{$1}{$2}"),
+)
+
+
+def latex_answer(c: Column) -> Column:
+    """The normal form of a LaTeX answer: white space, units, degrees, percents and size commands go,
+    fractions and roots get their braces, a name of one or two characters before = goes."""
+    for pattern, by in LATEX_REWRITES:
+        c = F.regexp_replace(c, pattern, by)
+    return c
+
+
+def same_answer(a: Column, b: Column) -> Column:
+    """Whether two LaTeX answers have one normal form; null answers equal each other only."""
+    return latex_answer(a).eqNullSafe(latex_answer(b))
+
+
+def belongs(row: Column, marks: list[str], *known: Column) -> Column:
+    """Whether a row is of a domain: any of the ``known`` conditions holds, or the JSON of the whole
+    row has one of ``marks`` anywhere. Nulls don't count."""
+    said = F.to_json(row)
+    hit = F.lit(False)
+    for x in (*known, *[said.contains(m) for m in marks]):
+        hit = hit | F.coalesce(x, F.lit(False))
+    return hit

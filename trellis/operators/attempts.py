@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,3 +80,31 @@ def nll(df: DataFrame, row: str, loss: str, weight: str) -> DataFrame:
     rows = df.groupBy(row).agg(F.sum(F.col(loss) * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
     micro = F.try_divide(F.sum("s"), F.sum("w"))
     return rows.agg(micro.alias("nll"), F.exp(F.least(F.lit(50.0), micro)).alias("perplexity"), F.avg(F.try_divide(F.col("s"), F.col("w"))).alias("macro_nll"))
+
+
+def bootstrap(df: DataFrame, group: str, score: str, order: str, k: int, *, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Seeded draws of ``k`` scores with replacement: mean and deviation of their best and worst.
+
+    A group is the responses to one prompt, in ``order``; each meets in one task. For groups without
+    such a bound there is ``expected_best``, which is exact and needs no draws.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = f.sort_values(order)[score].to_numpy(float)
+        got = x[np.random.RandomState(seed).choice(len(x), size=(draws, k), replace=True)]
+        best, worst = got.max(axis=1), got.min(axis=1)
+        return pd.DataFrame({group: [f[group].iloc[0]], "best_mean": [best.mean()], "best_std": [best.std()], "worst_mean": [worst.mean()], "worst_std": [worst.std()]})
+
+    kind = df.schema[group].dataType.simpleString()
+    return df.where(F.col(score).isNotNull()).select(group, score, order).groupBy(group).applyInPandas(run, f"`{group}` {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
+
+
+def usage(tasks: DataFrame, calls: DataFrame, task: str, counts: list[str]) -> DataFrame:
+    """Per task the number of calls and the sums of ``counts``; zeros for tasks without calls."""
+    sums = calls.groupBy(F.col(task).alias("_task")).agg(F.count("*").alias("n_calls"), *[F.sum(c).alias(c) for c in counts])
+    return tasks.select(task).join(sums, F.col(task) == F.col("_task"), "left").select(task, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_calls", *counts)])
+
+
+def match_rates(df: DataFrame, by: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per ``by`` the rows and, for each name, the share whose two columns agree (nulls agree with nulls)."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(F.col(a).eqNullSafe(F.col(b)).cast("double")).alias(name) for name, (a, b) in pairs.items()])

@@ -160,3 +160,32 @@ def forbidden_keys(document: Column, names: list[str]) -> Column:
     """Names of ``names`` that are keys anywhere in a JSON text."""
     keys = F.array_distinct(F.transform(F.regexp_extract_all(document, F.lit(r'"([^"\\]*)"\s*:'), F.lit(1)), F.lower))
     return F.array_sort(F.array_intersect(keys, F.array(*[F.lit(n) for n in names])))
+
+
+def steps_needed(aspects: Column, searched: Column, answered: Column) -> Column:
+    """The fewest steps that complete the aspects: an answer each, and a search where there was none."""
+    return F.aggregate(F.array_except(aspects, answered), F.lit(0), lambda n, a: n + F.when(F.array_contains(searched, a), 1).otherwise(2))
+
+
+def deadline_blocks(most: int, step: Column, aspects: Column, searched: Column, answered: Column) -> Column:
+    """Whether the steps left are only enough to complete what is open, so that no other action may be taken."""
+    return F.lit(max(1, most)) - step <= steps_needed(aspects, searched, answered)
+
+
+def counters(replayed: Column) -> Column:
+    """What a replay comes to: steps, accepted calls by choice, rejected ones, and rejections by kind."""
+    ok = lambda choice: F.size(F.filter(replayed, lambda e: e["accepted"] & (e["choice"] == choice)))
+    bad = F.filter(replayed, lambda e: ~e["accepted"])
+    kinds = F.array_sort(F.array_distinct(F.transform(bad, lambda e: e["error"])))
+    return F.struct(
+        F.size(replayed).alias("steps"), ok("search").alias("searches"), ok("action").alias("actions"), ok("answer").alias("answers"), F.size(bad).alias("rejected"),
+        F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(bad, lambda e: e["error"] == k)))).alias("by_kind"),
+    )
+
+
+def task_spec(dimensions: Column, options: dict[str, tuple[Column, Column, Column]]) -> Column:
+    """(aspect, correct, every, best) of each dimension, ids in upper case. ``options`` has the columns
+    of each aspect; dimensions without options drop."""
+    upper = lambda ids: F.transform(F.coalesce(ids, F.array().cast(_TEXTS)), lambda x: F.upper(F.trim(x)))
+    rows = [F.when(F.array_contains(dimensions, a), F.struct(F.lit(a).alias("aspect"), upper(right).alias("correct"), upper(every).alias("every"), F.upper(F.trim(best)).alias("best"))) for a, (right, every, best) in options.items()]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import messages as ms
 from ..functions import text as tx
 from ..operators import attempts, replay, sampling
 from ..operators import sequences as seq
@@ -179,3 +180,58 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 def star_join_summary(spark, sf):
     line = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return line.groupBy("n_name").agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
+
+
+@query("SELECT user_id, count(*) AS steps, 25 - count(*) <= 8 - count(DISTINCT event_id % 4) - 1 * count(DISTINCT CASE WHEN value > 90 THEN event_id % 4 END) AS blocked FROM events GROUP BY user_id")
+def deadline_guard(spark, sf):
+    aspect = (F.col("event_id") % 4).cast("string")
+    aspects = F.array(*[F.lit(str(a)) for a in range(4)])
+    per = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("steps"), F.collect_set(aspect).alias("searched"), F.collect_set(F.when(F.col("value") > 90, aspect)).alias("answered"))
+    return per.select("user_id", "steps", replay.deadline_blocks(25, F.col("steps"), aspects, F.col("searched"), F.col("answered")).alias("blocked"))
+
+
+@query("""
+SELECT c.c_custkey, count(o.o_orderkey) AS n_calls, coalesce(sum(length(o.o_orderpriority)), 0)::BIGINT AS tokens
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def usage_totals(spark, sf):
+    calls = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.length("o_orderpriority").alias("tokens"))
+    return attempts.usage(table(spark, sf, "customer"), calls, "c_custkey", ["tokens"])
+
+
+@query("SELECT l_suppkey, count(*) AS n, avg(CASE WHEN l_returnflag = l_linestatus THEN 1.0 ELSE 0 END) AS same_flag, avg(CASE WHEN l_linenumber = CAST(l_quantity AS INT) THEN 1.0 ELSE 0 END) AS same_number FROM lineitem GROUP BY l_suppkey")
+def match_rates(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
+    return attempts.match_rates(rows, "l_suppkey", {"same_flag": ("l_returnflag", "l_linestatus"), "same_number": ("l_linenumber", "q")})
+
+
+@query()
+def bootstrap_draws(spark, sf):
+    return attempts.bootstrap(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", "l_linenumber", 2)
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 2 = 1 AND trim(coalesce(text, ''), ' ') <> '' THEN '<think>' || chr(10) || trim(text, ' ') || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END
+  || '<tool_call>' || chr(10) || '{"turn": ' || turn || '}' || chr(10) || '</tool_call>' AS message FROM conversations WHERE role = 'assistant'""")
+def training_messages(spark, sf):
+    call = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))
+    thought = F.when(F.col("turn") % 2 == 1, F.col("text"))
+    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", ms.training_message(call, thought, F.lit("")).alias("message"))
+
+
+@query("""
+SELECT doc_id, coalesce(lang, '') = 'de' OR lower(coalesce(source, '')) = 'web' OR contains(coalesce(text, ''), 'password') OR contains(coalesce(source, ''), 'password') AS ours FROM documents""")
+def domain_rows(spark, sf):
+    row = F.struct("text", "lang", "source")
+    return table(spark, sf, "documents").select("doc_id", tx.belongs(row, ["password"], F.col("lang") == "de", F.lower("source") == "web").alias("ours"))
+
+
+@query(r"""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN '\frac{' || q || '}{7}' WHEN 2 THEN '\frac{1}{' || q || '}' WHEN 3 THEN '\sqrt{3}' || q WHEN 4 THEN '\frac{1}{2}' WHEN 5 THEN '(' || q || ',1)' ELSE q::VARCHAR END AS answer
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q FROM lineitem)""")
+def latex_answers(spark, sf):
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
+    said = (
+        F.when(n == 1, F.concat(F.lit("x="), q, F.lit("/7"))).when(n == 2, F.concat(F.lit(r"\dfrac1{"), q, F.lit("}"))).when(n == 3, F.concat(F.lit(r"\sqrt3 "), q))
+        .when(n == 4, F.lit(".5")).when(n == 5, F.concat(F.lit(r"\left( "), q, F.lit(r", 1\right)"))).when(n == 6, F.concat(q, F.lit(r"\%"))).otherwise(F.concat(q, F.lit(r"\text{ cm}")))
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", tx.latex_answer(said).alias("answer"))
