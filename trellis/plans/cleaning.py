@@ -182,11 +182,14 @@ def star_join_summary(spark, sf):
     return line.groupBy("n_name").agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
 
 
-@query("SELECT user_id, count(*) AS steps, 25 - count(*) <= 8 - count(DISTINCT event_id % 4) - 1 * count(DISTINCT CASE WHEN value > 90 THEN event_id % 4 END) AS blocked FROM events GROUP BY user_id")
+@query("""
+SELECT user_id, count(*) % 25 AS steps, 25 - count(*) % 25 <= 8 - count(DISTINCT CASE WHEN value > 180 THEN event_id % 4 END) - count(DISTINCT CASE WHEN value > 230 THEN event_id % 4 END) AS blocked
+FROM events GROUP BY user_id""")
 def deadline_guard(spark, sf):
     aspect = (F.col("event_id") % 4).cast("string")
     aspects = F.array(*[F.lit(str(a)) for a in range(4)])
-    per = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("steps"), F.collect_set(aspect).alias("searched"), F.collect_set(F.when(F.col("value") > 90, aspect)).alias("answered"))
+    aggs = {"steps": F.count("*") % 25, "searched": F.collect_set(F.when(F.col("value") > 180, aspect)), "answered": F.collect_set(F.when(F.col("value") > 230, aspect))}
+    per = table(spark, sf, "events").groupBy("user_id").agg(*[c.alias(n) for n, c in aggs.items()])
     return per.select("user_id", "steps", replay.deadline_blocks(25, F.col("steps"), aspects, F.col("searched"), F.col("answered")).alias("blocked"))
 
 
@@ -198,10 +201,10 @@ def usage_totals(spark, sf):
     return attempts.usage(table(spark, sf, "customer"), calls, "c_custkey", ["tokens"])
 
 
-@query("SELECT l_suppkey, count(*) AS n, avg(CASE WHEN l_returnflag = l_linestatus THEN 1.0 ELSE 0 END) AS same_flag, avg(CASE WHEN l_linenumber = CAST(l_quantity AS INT) THEN 1.0 ELSE 0 END) AS same_number FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey, count(*) AS n, avg(CASE WHEN (l_returnflag = 'N') = (l_linestatus = 'O') THEN 1.0 ELSE 0 END) AS same_flag, avg(CASE WHEN l_linenumber = CAST(l_quantity AS INT) THEN 1.0 ELSE 0 END) AS same_number FROM lineitem GROUP BY l_suppkey")
 def match_rates(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
-    return attempts.match_rates(rows, "l_suppkey", {"same_flag": ("l_returnflag", "l_linestatus"), "same_number": ("l_linenumber", "q")})
+    rows = table(spark, sf, "lineitem").withColumns({"q": F.col("l_quantity").cast("int"), "kept": F.col("l_returnflag") == "N", "open": F.col("l_linestatus") == "O"})
+    return attempts.match_rates(rows, "l_suppkey", {"same_flag": ("kept", "open"), "same_number": ("l_linenumber", "q")})
 
 
 @query()
