@@ -101,3 +101,11 @@ def training_message(call: Column, reasoning: Column, content: Column, *, fallba
         thought = F.coalesce(thought, filled(content))
     block = F.concat(F.lit("<tool_call>\n"), call, F.lit("\n</tool_call>"))
     return F.when(thought.isNull(), block).otherwise(F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), block))
+
+
+def passages(contents: Column) -> Column:
+    """Retrieved texts as numbered passages; the first line of each is its title."""
+    split = lambda x: F.split(F.coalesce(x, F.lit("")), "\n")
+    body = lambda x: F.array_join(F.slice(split(x), 2, F.greatest(F.size(split(x)), F.lit(1))), "\n")
+    texts = F.transform(contents, lambda x, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.element_at(split(x), 1), F.lit(")\n"), body(x), F.lit("\n\n")))
+    return F.trim(F.regexp_replace(F.array_join(texts, ""), r"^\s+|\s+\z", ""))

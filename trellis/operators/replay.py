@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import option_ids
+
 _TEXTS = "array<string>"
 _OUT = "array<struct<idx:int,choice:string,aspect:string,accepted:boolean,error:string>>"
 _STATE = f"struct<current:string,searched:{_TEXTS},answered:{_TEXTS},visible:{_TEXTS},out:{_OUT}>"
@@ -189,3 +191,73 @@ def task_spec(dimensions: Column, options: dict[str, tuple[Column, Column, Colum
     upper = lambda ids: F.transform(F.coalesce(ids, F.array().cast(_TEXTS)), lambda x: F.upper(F.trim(x)))
     rows = [F.when(F.array_contains(dimensions, a), F.struct(F.lit(a).alias("aspect"), upper(right).alias("correct"), upper(every).alias("every"), F.upper(F.trim(best)).alias("best"))) for a, (right, every, best) in options.items()]
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+
+#: The aspect of a search that names none, and what follows a kept answer.
+UNKNOWN, RECORDED = "__unknown__", "Your answer was recorded."
+_KEPT = "array<struct<idx:int,kept:boolean,content:string>>"
+_LEGACY = f"struct<current:string,unnamed:boolean,searched:{_TEXTS},answered:{_TEXTS},open:boolean,last:string,out:{_KEPT}>"
+
+
+def legacy_kept(messages: Column) -> Column:
+    """Fold an array of (role, choice, aspect, content) structs, in order, into (idx, kept, content): which
+    messages of an old transcript stay, and their texts.
+
+    A call that breaks the protocol goes, and so do the observations up to the next call that stays;
+    what follows a kept answer says only that it was recorded. One search may name no aspect; the
+    answer after it names it. Other roles stay. Null and empty arrays give null and no rows.
+    """
+    empty = F.array().cast(_TEXTS)
+    zero = F.struct(F.lit(None).cast("string"), F.lit(False), empty, empty, F.lit(False), F.lit(None).cast("string"), F.array().cast(_KEPT)).cast(_LEGACY)
+
+    def step(acc, m):
+        call, seen = (F.coalesce(m["role"].isin(*names), F.lit(False)) for names in (["assistant"], ["tool", "observation"]))
+        search, action, answer = (call & m["choice"].eqNullSafe(c) for c in ("search", "action", "answer"))
+        named = m["aspect"].isNotNull()
+        resolved = answer & (acc["current"] == UNKNOWN) & named
+        current = F.when(search & named, F.coalesce(acc["current"], m["aspect"])).when(search & ~acc["unnamed"], F.coalesce(acc["current"], F.lit(UNKNOWN))).when(resolved, m["aspect"]).otherwise(acc["current"])
+        searched = F.when(resolved, F.array_append(acc["searched"], m["aspect"])).otherwise(acc["searched"])
+        on, about = F.coalesce(current, F.lit("")), F.coalesce(m["aspect"], F.lit(""))
+        ids = option_ids(m["content"])
+        single = (F.size(ids) == 1) & (F.upper(F.trim(m["content"])) == F.try_element_at(ids, F.lit(1)))
+        first = search & ~named & ~acc["unnamed"] & acc["current"].isNull()
+        keep = F.coalesce(
+            F.when(search & named, (m["aspect"] == current) & ~F.array_contains(searched, about))
+            .when(search, first)
+            .when(action, F.array_contains(searched, on) & ~F.array_contains(acc["answered"], on) & (~named | (about == on)))
+            .when(answer, single & named & (about == on) & F.array_contains(searched, about) & ~F.array_contains(acc["answered"], about)),
+            F.lit(False),
+        )
+        stays = F.when(call, keep).when(seen, acc["open"]).otherwise(True)
+        text = F.when(seen & (acc["last"] == "answer"), RECORDED).otherwise(m["content"])
+        return F.struct(
+            F.when(keep & answer, F.lit(None).cast("string")).otherwise(current), acc["unnamed"] | first,
+            F.when(keep & search, F.array_append(searched, F.coalesce(m["aspect"], F.lit(UNKNOWN)))).otherwise(searched),
+            F.when(keep & answer, F.array_append(acc["answered"], m["aspect"])).otherwise(acc["answered"]),
+            F.when(call, keep).otherwise(acc["open"]), F.when(call, F.when(keep, m["choice"])).otherwise(acc["last"]),
+            F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("idx"), stays.alias("kept"), text.alias("content")))),
+        ).cast(_LEGACY)
+
+    return F.aggregate(messages, zero, step, lambda acc: acc["out"])
+
+
+def curate(raw: DataFrame, *, domain: Column, quarantined: Column, events: Column, infra: Column, right: Column, total: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, audits, counts) of raw transcripts: rows outside the domain and quarantined ones go, the
+    rest are replayed, cut at the first fault that nothing repairs, and classified.
+
+    ``events`` is as for ``replay``. Records are the input's columns with _kept (how many events stay),
+    _class and _weight; audits add _replayed and _repairs; counts is one row: source_records,
+    outside_domain, quarantined, accepted and a count for each class. Null conditions count as false.
+    """
+    said = lambda c: F.coalesce(c, F.lit(False))
+    where = F.when(~said(domain), "outside_domain").when(said(quarantined), "quarantined").otherwise("accepted")
+    held = raw.withColumn("_where", where).withColumn("_replayed", F.when(F.col("_where") == "accepted", replay(events)))
+    held = held.withColumn("_repairs", later_repair(F.col("_replayed")))
+    fixed = F.size(F.filter(F.col("_repairs"), lambda r: r["repaired_by"].isNotNull()))
+    held = held.withColumns({"_kept": cut_at(F.col("_repairs"), F.size("_replayed")), "_class": classify(said(infra), fixed, F.coalesce(right, F.lit(0)), F.coalesce(total, F.lit(0)))})
+    held = held.withColumn("_weight", class_weight(F.col("_class")))
+    inside = held.where(F.col("_where") == "accepted").drop("_where")
+    is_at = lambda x: F.count(F.when(F.col("_where") == x, 1)).alias(x)
+    of = lambda c: F.count(F.when((F.col("_where") == "accepted") & (F.col("_class") == c), 1)).alias(c)
+    counts = held.agg(F.count("*").alias("source_records"), *[is_at(x) for x in ("outside_domain", "quarantined", "accepted")], *[of(c) for c in CLASS_WEIGHTS])
+    return inside.drop("_replayed", "_repairs"), inside, counts
