@@ -69,6 +69,18 @@ def test_replay_and_cleaning(spark):
     assert [(x.idx, x.repaired_by) for x in full.r] == [(0, 3), (2, None), (4, 5), (6, None)] and full.cut == 2
 
 
+def test_replay_takes_all_events(spark, sf, tmp_path):
+    from trellis.plans import registry
+
+    run = registry.queries()["replay_classification"]
+    rows = [(2 * i, 1, "error" if i < 40 else "view") for i in range(41)]  # the 41st call repairs the 40 before it
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    r = run(spark, str(tmp_path)).first()
+    assert (r.n_events, r.n_accepted, r.kept) == (41, 1, 41)
+    counts = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count()
+    assert {r.user_id: r.n_events for r in run(spark, sf).collect()} == dict(map(tuple, counts.collect()))
+
+
 def test_parts(spark):
     assert sorted(map(sum, [[[8, 7, 6, 5, 4][i] for i in p] for p in batching.differencing([8, 7, 6, 5, 4], 2)])) == [14, 16]
     assert all(len(p) == 2 for p in batching.differencing([5, 1, 4, 2, 3, 9], 3, equal=True))

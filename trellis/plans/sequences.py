@@ -144,7 +144,7 @@ def _calls(spark, sf):
     choice = F.when(F.col("event_type") == "view", "search").when(F.col("event_type").isin("click", "signup"), "action").when(F.col("event_type") == "purchase", "answer").otherwise("search")
     ids = F.array(F.concat(F.lit("F"), F.pmod("event_id", F.lit(5)).cast("string")), F.lit("F9"))
     call = F.struct("event_id", choice.alias("choice"), F.concat(F.lit("a"), F.pmod("event_id", F.lit(2)).cast("string")).alias("aspect"), F.when(F.pmod("event_id", F.lit(3)) > 0, "F9").otherwise("F7").alias("answer"), ids.alias("shown"), F.when(F.col("event_type") == "error", "invalid-parameters").alias("feedback_error"))
-    return e.groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(call)), 1, 40).alias("calls"))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
 
 
 @query()
