@@ -431,6 +431,24 @@ def test_host_boilerplate(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_large_host_like_one_array(spark):
+    rng = np.random.default_rng(5)
+    shared = ["we keep small files on your disk to learn what you read", "all rights on this site rest with those who wrote it"]
+    pages = []
+    for i in range(600):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 5000, 30))
+        said = shared[0] if i % 50 == 0 else shared[1] if i in (6, 303) else ""  # 8 pages, and 2 and an article
+        pages.append(f"<body><main>{shared[1]} {own}</main></body>" if i == 9 else f"<body><article>{own}</article></body>" if i % 3 == 1 else f"<body><div>{said}</div><div>{own}</div></body>")
+    for t in ([shared[0]] * 3, [""], ["<div></div>"]):
+        pages += t
+    want = html.main_texts(pages)
+    assert sum(n for _, n in want) > 100 and len(pages) > 8 * html.SHARD
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)] + [(-1, "http://small.org/", "<p>a</p>"), (-2, None, None)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [(got[i].text, got[i].n_boilerplate) for i in range(len(pages))] == want
+    assert all(r.n_chars == len(r.text) for r in got.values()) and got[-1].text == "a" and len(got) == len(rows)
+
+
 # ---------------------------------------------------------------- queries and the pipeline
 
 

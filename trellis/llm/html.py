@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Workspace, mix64, words
 
 #: Tokens of the shortest run that counts as repeated, and distinct pages that must hold it.
 RUN, PAGES = 8, 3
-#: Pages of one host that share a suffix array, and buckets that hosts are counted in.
+#: Pages of one host that share a task, and buckets that hosts are counted in.
 SHARD, BUCKETS = 64, 1 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -136,13 +136,51 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
     fresh = new | np.append(True, p[1:] != p[:-1])
     group = np.cumsum(new) - 1
     often = np.bincount(group, fresh) >= pages
+    return _covered(order[often[group]], n, run)
+
+
+def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in one of the runs that start at ``starts``."""
     delta = np.zeros(n + 1, np.int64)
-    starts = order[often[group]]
     np.add.at(delta, starts, 1)
     np.add.at(delta, starts + run, -1)
     return np.cumsum(delta[:-1]) > 0
 
 
+def windows(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of ``run`` tokens of one page starts, and a 64-bit hash of it."""
+    at = np.flatnonzero(page[run - 1 :] == page[: max(len(page) - run + 1, 0)])
+    code = np.zeros(len(at), np.uint64)
+    for k in range(run):
+        code = mix64(code + tokens[at + k])
+    return at, code.view(np.int64)
+
+
+def _streams(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the blocks of each page, their page, and where each block's tokens start."""
+    data = [x.encode() for b in found for x in b]
+    offs = np.cumsum([0, *map(len, data)])
+    tokens, block, _ = words(np.frombuffer(b"".join(data), np.uint8), offs)
+    page = np.repeat(np.arange(len(found)), [len(b) for b in found])[block] if len(block) else block
+    return tokens, page, np.searchsorted(block, np.arange(len(data) + 1))
+
+
+def _unrepeated(b: list[str], covered: np.ndarray, starts: np.ndarray) -> tuple[list[str], int]:
+    """Blocks of a page without the tokens that are covered, and how many went; ``starts`` is of its
+    blocks and the end."""
+    gone = int(covered[starts[0] : starts[-1]].sum())
+    if not 0 < gone < starts[-1] - starts[0]:
+        return b, 0
+    kept = []
+    for k, x in enumerate(b):
+        cut = covered[starts[k] : starts[k + 1]]
+        own = re.findall(r"[^\x20\x09-\x0D]+", x) if cut.any() else None
+        text = x if own is None else " ".join(w for w, c in zip(own, cut, strict=True) if not c)
+        if text:
+            kept.append(text)
+    return kept, gone
+
+
 def main_texts(htmls: list[str | None]) -> list[tuple[str, int]]:
     """(main text, tokens removed as boilerplate) of each page of one host.
 
@@ -151,32 +189,14 @@ def main_texts(htmls: list[str | None]) -> list[tuple[str, int]]:
     nothing unique is left, the page is a copy rather than boilerplate and stays whole.
     """
     found = [blocks(h or "") for h in htmls]
-    texts = [x for b in found for x, _ in b]
-    size = np.array([len(b) for b in found])
-    data = [x.encode() for x in texts]
-    offs = np.cumsum([0, *map(len, data)])
-    tokens, block, _ = words(np.frombuffer(b"".join(data), np.uint8), offs)
-    page = np.repeat(np.arange(len(found)), size)[block] if len(block) else block
+    tokens, page, starts = _streams([[x for x, _ in b] for b in found])
     covered = repeated(tokens, page)
     out, at = [], 0
-    starts = np.searchsorted(block, np.arange(len(texts) + 1))
     for b in found:
-        inside = any(main for _, main in b)
-        if inside:
+        if any(main for _, main in b):
             kept, gone = [x for x, main in b if main], 0
         else:
-            gone = int(covered[starts[at] : starts[at + len(b)]].sum())
-            kept = [x for x, _ in b]
-            if 0 < gone < starts[at + len(b)] - starts[at]:
-                kept = []
-                for k, (x, _) in enumerate(b):
-                    cut = covered[starts[at + k] : starts[at + k + 1]]
-                    own = re.findall(r"[^\x20\x09-\x0D]+", x) if cut.any() else None
-                    text = x if own is None else " ".join(w for w, c in zip(own, cut, strict=True) if not c)
-                    if text:
-                        kept.append(text)
-            else:
-                gone = 0
+            kept, gone = _unrepeated([x for x, _ in b], covered, starts[at : at + len(b) + 1])
         out.append(("\n".join(kept), gone))
         at += len(b)
     return out
@@ -188,13 +208,76 @@ def _shard(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page_id": f["page_id"].astype("Int64").array, "url": f["url"].array, "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "n_boilerplate": [n for _, n in got]})
 
 
+_OUT = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+
+
+def _parse(frames):
+    for f in frames:
+        found = [blocks(h if isinstance(h, str) else "") for h in f["html"]]
+        yield f.drop(columns="html").assign(texts=[[x for x, _ in b] for b in found], mains=[[m for _, m in b] for b in found])
+
+
+def _counts(frames):
+    """Distinct pages of these rows that hold each run, by host."""
+    for f in frames:
+        for host, g in f.groupby("_host", sort=False):
+            tokens, page, _ = _streams([list(b) for b in g["texts"]])
+            at, code = windows(tokens, page)
+            page = page[at]
+            order = np.lexsort((page, code))
+            new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(page[order]) != 0))[: len(order)]
+            w, n = np.unique(code[order][new], return_counts=True)
+            yield pd.DataFrame({"_host": host, "w": w, "n": n})
+
+
+def _runs(frames):
+    """Distinct runs of the rows of each shard."""
+    for f in frames:
+        for (host, shard), g in f.groupby(["_host", "_shard"], sort=False):
+            tokens, page, _ = _streams([list(b) for b in g["texts"]])
+            yield pd.DataFrame({"_host": host, "_shard": shard, "w": np.unique(windows(tokens, page)[1])})
+
+
+def _cut(f: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+    """Pages of a shard without the runs that stand often on their host."""
+    found = [list(b) for b in f["texts"]]
+    tokens, page, starts = _streams(found)
+    at, code = windows(tokens, page)
+    covered = _covered(at[np.isin(code, often["w"].to_numpy(np.int64))], len(tokens), RUN)
+    first = np.cumsum([0, *map(len, found)])
+    got = [_unrepeated(b, covered, starts[first[i] : first[i + 1] + 1]) for i, b in enumerate(found)]
+    text = ["\n".join(t) for t, _ in got]
+    return pd.DataFrame({"page_id": f["page_id"].astype("Int64").array, "url": f["url"].array, "text": text, "n_chars": [len(t) for t in text], "n_boilerplate": [n for _, n in got]})
+
+
+def _large(split: DataFrame) -> DataFrame:
+    """Pages of hosts that are many shards: each run's pages are counted over the whole host.
+
+    Pages with an article are done once parsed. Runs are counted only in buckets that have pages
+    without one, and only runs of such pages go back to the shards.
+    """
+    work = Workspace(split.sparkSession, "host-runs")
+    parsed = work.keep(split.select("page_id", "url", "html", "_host", "_b", "_shard").mapInPandas(_parse, "page_id long, url string, _host string, _b int, _shard int, texts array<string>, mains array<boolean>"), "parsed")
+    bare = ~F.exists("mains", lambda m: m) & (F.size("mains") > 0)
+    text = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip("texts", "mains"), lambda x: x["mains"]), lambda x: x["texts"]))
+    done = parsed.where(~bare).select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_boilerplate"))
+    rest = parsed.where(bare)
+    undecided = parsed.join(F.broadcast(rest.select("_b").distinct()), "_b", "left_semi")
+    often = undecided.select("_host", "texts").mapInPandas(_counts, "_host string, w long, n long").groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
+    runs = rest.select("_host", "_shard", "texts").mapInPandas(_runs, "_host string, _shard int, w long").distinct()
+    runs = runs.join(often, ["_host", "w"]).select("_host", "_shard", "w")
+    cut = rest.select("page_id", "url", "_host", "_shard", "texts").groupBy("_host", "_shard").cogroup(runs.groupBy("_host", "_shard")).applyInPandas(_cut, _OUT)
+    return done.unionByName(cut)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_boilerplate (tokens that the suffix array removed) per page.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
     element and by class, id or role; unclosed and crossing tags are put up with. Pages of a host meet
-    in shards of about SHARD pages, by a hash, so a large host is many tasks: how many shards a host
-    has follows from counts in BUCKETS hash buckets, which bounds what is broadcast.
+    in one task, or in shards of about SHARD pages, by a hash, so a large host is many tasks: how many
+    shards a host has follows from counts in BUCKETS hash buckets, which bounds what is broadcast. What
+    is repeated doesn't depend on the shards: pages that hold a run are counted over the whole host.
 
     Null and empty pages give an empty text; rows with a null id or url stay; repeated rows are rows of
     their own; an empty table gives no rows.
@@ -205,5 +288,6 @@ def extract(pages: DataFrame) -> DataFrame:
     counts = rows.select(bucket.alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"))
     many = counts.where(F.col("_n") > SHARD).select("_b", F.ceil(F.col("_n") / SHARD).cast("int").alias("_shards"))
     dealt = rows.withColumns({"_host": host, "_b": bucket}).join(F.broadcast(many), "_b", "left")
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_shards", F.lit(1))).cast("int"))
-    return dealt.groupBy("_host", "_shard").applyInPandas(_shard, "page_id long, url string, text string, n_chars long, n_boilerplate long").select("page_id", "url", "text", "n_chars", "n_boilerplate")
+    whole = dealt.where("_shards is null").groupBy("_host").applyInPandas(_shard, _OUT)
+    split = dealt.where("_shards is not null").withColumn("_shard", F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
+    return whole.unionByName(_large(split)).select("page_id", "url", "text", "n_chars", "n_boilerplate")
