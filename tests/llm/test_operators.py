@@ -355,6 +355,20 @@ def test_vector_dedup(spark, monkeypatch):
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_dedup_in_few_directions(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "BLOCK", 8)
+    monkeypatch.setattr(embdedup, "CELL_ROWS", 16)  # six codewords a half
+    rng = np.random.default_rng(4)
+    x = np.zeros((600, 64))
+    for at, turn in ((0, rng.uniform(0, 6.28, 600)), (32, rng.uniform(0, 6.28, 600))):
+        x[:, at], x[:, at + 1] = np.cos(turn), np.sin(turn)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r.n_links for r in embdedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(600)] == link.sum(axis=1).tolist()
+
+
 # ---------------------------------------------------------------- personal data
 
 

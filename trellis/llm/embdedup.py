@@ -20,9 +20,10 @@ MOST_WORDS = 256
 BLOCK = 1024
 #: Rows that a cell of the grid has on average; codewords of a half follow from it.
 CELL_ROWS = 1024
-#: Recall that the traversal aims at: a cell is visited while the chance that noise of the linking
-#: size carries a neighbour into it is over what this leaves.
-MARGIN = 3.5
+#: Blocks at home that share a task, which a row visits once for all of them; bits of a mask.
+BUNDLE = 8
+#: Rows with the bundles they visit that are built at once.
+VISITS = 1 << 16
 
 
 def valid(col: str) -> F.Column:
@@ -96,14 +97,15 @@ def _block_links(v: np.ndarray, h: np.ndarray, same: bool, bound: float) -> np.n
     return out
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", bound: float = COSINE, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", bound: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; links are pairs with cosine >= ``bound``.
 
     Equal unit vectors are one class with a count. Each class has a home cell on the grid of the two
     codebooks and visits the cells nearest to it whose home numbers are lower; cells lie beyond planes
-    between codewords, and the traversal ends where the planes are ``margin`` standard deviations of a
-    linking difference away. Members and visitors of a cell meet in blocks, which give counts and a
-    forest of the links, never the pairs. A crowded cell is many blocks, none is skipped.
+    between codewords, and the traversal ends where the planes are farther than any linking difference
+    is long, so no link is lost. Members and visitors of a cell meet in blocks, which give counts and a
+    forest of the links, never the pairs. A crowded cell is many blocks, none is skipped. Vectors travel
+    once to each bundle of blocks that they visit.
 
     Rows that are null, zero, hold null or non-finite components, or aren't as long as most rows link
     with nothing. Repeated rows count as rows. Rows without an id never name a component that has
@@ -137,81 +139,93 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         k = int(np.clip(round((total / CELL_ROWS) ** 0.5), 1, min(MOST_WORDS, max(len(sample), 1))))
         books = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k)) if len(sample) and half < dim else (np.zeros((1, half)), np.zeros((1, dim - half)))
         width = len(books[1])
-        # a linking difference has squared length 2 - 2 * bound; along one plane's normal a dim-th of it
-        reach = margin**2 * (2 - 2 * bound) / dim
+        # a linking difference has squared length 2 - 2 * bound at most, and all of it may lie along the
+        # planes' normals; what rounding may add is far below the last term
+        reach = 2 - 2 * bound + 1e-9
 
-        def cells(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Rows of ``f`` and the cells that each is at home in or visits; which are homes."""
+        def places(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The home cell of each row, and the squared distances of the row to the planes of both halves."""
             x = unit(read(f["x"]))
             (h1, d1), (h2, d2) = planes(x[:, :half], books[0]), planes(x[:, half:], books[1])
-            home = h1 * width + h2
-            at, cell = [np.arange(len(x))], [home]
-            for r in range(len(x)):
-                i, j = traverse(d1[r], d2[r], reach)
-                c = i * width + j
-                c = c[c < home[r]]
-                at.append(np.full(len(c), r))
-                cell.append(c)
-            at, cell = np.concatenate(at), np.concatenate(cell)
-            return at, cell, cell == home[at]
+            return h1 * width + h2, d1, d2
 
         def tally(frames):
             for f in frames:
-                _, cell, home = cells(f)
-                key, n = np.unique(cell * 2 + home, return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n})
+                cell, n = np.unique(places(f)[0], return_counts=True)
+                yield pd.DataFrame({"cell": cell, "n": n})
 
-        # at most two rows a cell of the grid, whose size MOST_WORDS bounds
-        counts = {r.key: r.n for r in classes.select("x").mapInPandas(tally, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-        n_blocks = np.zeros(2 * len(books[0]) * width, np.int64)
+        # at most a row a cell of the grid, whose size MOST_WORDS bounds
+        counts = {r.cell: r.n for r in classes.select("x").mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+        n_blocks = np.zeros(len(books[0]) * width, np.int64)
         n_blocks[list(counts)] = [-(-n // BLOCK) for n in counts.values()]
-        lived_in = n_blocks[1::2] > 0
+        first = np.cumsum(n_blocks) - n_blocks  # blocks are numbered through, cell by cell
+        n_bundles = int(n_blocks.sum()) // BUNDLE + 1
 
         def visits(frames):
-            for f in frames:
-                at, cell, home = cells(f)
-                on = lived_in[cell]
-                at, cell, home = at[on], cell[on], home[on]
-                g = f.iloc[at]
-                mark = np.array([int(c[:8], 16) for c in f["cls"]])[at]
-                yield pd.DataFrame({"cell": cell, "home": home, "block": mark % n_blocks[cell * 2 + home], "cls": g["cls"].to_numpy(), "n": g["n"].to_numpy(), "x": g["x"].to_numpy()})
-
-        dealt = classes.select("cls", "n", "x").mapInPandas(visits, "cell int, home boolean, block int, cls string, n long, x binary")
+            for whole in frames:
+                for start in range(0, len(whole), max(VISITS // n_bundles, 1)):
+                    f = whole.iloc[start : start + max(VISITS // n_bundles, 1)]
+                    home, d1, d2 = places(f)
+                    own = first[home] + np.array([int(c[:8], 16) for c in f["cls"]]) % n_blocks[home]
+                    at, bundle, mask = [np.arange(len(f))], [own // BUNDLE], [np.zeros(len(f), np.int64)]
+                    for r in range(len(f)):
+                        i, j = traverse(d1[r], d2[r], reach)
+                        c = i * width + j
+                        c = c[c < home[r]]
+                        n = n_blocks[c]
+                        blocks = np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        blocks = np.concatenate([blocks, np.arange(first[home[r]], own[r])])
+                        to, group = np.unique(blocks // BUNDLE, return_inverse=True)
+                        at.append(np.full(len(to), r))
+                        bundle.append(to)
+                        mask.append(np.bincount(group, 1 << blocks % BUNDLE, len(to)).astype(np.int64))
+                    at, bundle, mask = np.concatenate(at), np.concatenate(bundle), np.concatenate(mask)
+                    g = f.iloc[at]
+                    stays = np.arange(len(at)) < len(f)
+                    yield pd.DataFrame({"bundle": bundle, "origin": own[at] // BUNDLE, "home": stays, "mark": np.where(stays, own[at] % BUNDLE, mask), "cls": g["cls"].to_numpy(), "n": g["n"].to_numpy(), "x": g["x"].to_numpy()})
+
+        dealt = classes.select("cls", "n", "x").mapInPandas(visits, "bundle int, origin int, home boolean, mark int, cls string, n long, x binary")
 
         def stack(f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values("cls")
-            return pd.DataFrame([{"cell": f["cell"].iloc[0], "home": f["home"].iloc[0], "block": f["block"].iloc[0], "cls": f["cls"].tolist(), "n": f["n"].tolist(), "x": b"".join(f["x"])}])
-
-        blocks = work.keep(dealt.groupBy("cell", "home", "block").applyInPandas(stack, "cell int, home boolean, block int, cls array<string>, n array<long>, x binary"), "blocks")
-        homes = blocks.where("home").select("cell", F.col("block").alias("hblock"), F.col("cls").alias("hcls"), F.col("n").alias("hn"), F.col("x").alias("hx"))
-        meet = blocks.join(homes, "cell").where("not home or block <= hblock")
+            return pd.DataFrame([{"bundle": f["bundle"].iloc[0], "home": f["home"].iloc[0], "mark": f["mark"].tolist(), "cls": f["cls"].tolist(), "n": f["n"].tolist(), "x": b"".join(f["x"])}])
+
+        stacks = work.keep(dealt.groupBy("bundle", "origin", "home").applyInPandas(stack, "bundle int, home boolean, mark array<int>, cls array<string>, n array<long>, x binary"), "bundles")
+        homes = stacks.where("home").select("bundle", F.col("mark").alias("hmark"), F.col("cls").alias("hcls"), F.col("n").alias("hn"), F.col("x").alias("hx"))
+        meet = stacks.join(homes, "bundle")
+
+        def forest_of(link: np.ndarray, same: bool, vc, vn, hc, hn) -> pd.DataFrame:
+            nodes = np.concatenate([vc, hc])
+            lv, lh = np.arange(len(vc)), np.arange(len(vc), len(nodes))
+            if same:
+                lh = lv.copy()
+            while True:  # the least label on either side of any link, until none changes
+                nv = np.minimum(lv, np.where(link, lh[None, :], len(nodes)).min(axis=1))
+                nh = np.minimum(lh, np.where(link, nv[:, None], len(nodes)).min(axis=0))
+                if (nv == lv).all() and (nh == lh).all():
+                    break
+                lv, lh = nv, nh
+            count = np.concatenate([link @ hn, np.zeros(len(hc), int) if same else link.T @ vn])
+            root = nodes[np.concatenate([lv, lh])]
+            on = count > 0
+            return pd.DataFrame({"cls": nodes[on], "links": count[on], "root": root[on]})
 
         def compare(frames):
             for f in frames:
                 for r in f.itertuples():
                     v, h = (unit(np.frombuffer(b, number).reshape(-1, dim)) for b in (r.x, r.hx))
-                    same = bool(r.home) and r.block == r.hblock
-                    link = _block_links(v, h, same, bound)
-                    if not link.any():
-                        continue
                     vc, hc = np.array(r.cls, "U32"), np.array(r.hcls, "U32")
-                    vn, hn = np.array(r.n), np.array(r.hn)
-                    nodes = np.concatenate([vc, hc])
-                    lv, lh = np.arange(len(vc)), np.arange(len(vc), len(nodes))
-                    if same:
-                        lh = lv.copy()
-                    while True:  # the least label on either side of any link, until none changes
-                        nv = np.minimum(lv, np.where(link, lh[None, :], len(nodes)).min(axis=1))
-                        nh = np.minimum(lh, np.where(link, nv[:, None], len(nodes)).min(axis=0))
-                        if (nv == lv).all() and (nh == lh).all():
-                            break
-                        lv, lh = nv, nh
-                    count = np.concatenate([link @ hn, np.zeros(len(hc), int) if same else link.T @ vn])
-                    root = nodes[np.concatenate([lv, lh])]
-                    on = count > 0
-                    yield pd.DataFrame({"cls": nodes[on], "links": count[on], "root": root[on]})
-
-        found = work.keep(meet.select("cls", "n", "x", "home", "block", "hblock", "hcls", "hn", "hx").mapInPandas(compare, "cls string, links long, root string"), "links")
+                    vn, hn, mark, hmark = np.array(r.n), np.array(r.hn), np.array(r.mark), np.array(r.hmark)
+                    for k in range(BUNDLE):
+                        there = np.flatnonzero(hmark == k)
+                        come = there if r.home else np.flatnonzero(mark >> k & 1)
+                        for i in range(0, len(come), max(len(come), 1) if r.home else BLOCK):
+                            here = come[i:] if r.home else come[i : i + BLOCK]
+                            link = _block_links(v[here], h[there], r.home, bound)
+                            if link.any():
+                                yield forest_of(link, r.home, vc[here], vn[here], hc[there], hn[there])
+
+        found = work.keep(meet.select("cls", "n", "x", "home", "mark", "hmark", "hcls", "hn", "hx").mapInPandas(compare, "cls string, links long, root string"), "links")
         links = found.groupBy("cls").agg(F.sum("links").alias("links"))
         roots = components(found.where("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")), work)
         per = classes.select("cls", "n").join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
