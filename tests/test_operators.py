@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,19 @@ def test_replay_takes_all_events(spark, sf, tmp_path):
     assert {r.user_id: r.n_events for r in run(spark, sf).collect()} == dict(map(tuple, counts.collect()))
 
 
+def test_normalised_text_is_whole(spark, sf, tmp_path):
+    from trellis.plans import registry
+
+    run = registry.queries()["normalized_text"]
+    norm = lambda t: re.sub(r"\s+", " ", (t or "").casefold()).strip()
+    odd = {1: None, 2: "", 3: " Große\u00a0\u2003STRASSE\t\n", 4: "ΟΔΟΣ ΣΑΣ İI", 5: "Ab  \n" * 5000}
+    spark.createDataFrame(list(odd.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.t for r in run(spark, str(tmp_path)).collect()} == {k: norm(t) for k, t in odd.items()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert sorted((r.doc_id, r.t) for r in run(spark, sf).collect()) == sorted((r.doc_id, norm(r.text)) for r in docs)
+    assert any(len(r.text) > 200 and r.lang != "en" for r in docs)
+
+
 def test_parts(spark):
     assert sorted(map(sum, [[[8, 7, 6, 5, 4][i] for i in p] for p in batching.differencing([8, 7, 6, 5, 4], 2)])) == [14, 16]
     assert all(len(p) == 2 for p in batching.differencing([5, 1, 4, 2, 3, 9], 3, equal=True))

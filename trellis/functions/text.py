@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+def normalise_folded(c: Column) -> Column:
+    """Case folded as Python folds it (ß is ss), runs of Unicode white space as one space, trimmed; null
+    counts as empty. No column function folds case, so this one is an Arrow function."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([re.sub(r"\s+", " ", t.casefold()).strip() if isinstance(t, str) else "" for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def redact_public(c: Column) -> Column:
     """Without private lines, and with preference numbers replaced."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, _PRIVATE_LINE, ""), _PREFERENCE, "[preference]"))

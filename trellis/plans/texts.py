@@ -243,3 +243,8 @@ def keys_and_hashes(spark, sf):
 @query(r"SELECT doc_id, trim(regexp_replace(lower(left(text, 200)), '\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'")
 def normalized_prefix_key(spark, sf):
     return _docs(spark, sf).where("lang = 'en'").select("doc_id", tx.normalise(F.substring("text", 1, 200)).alias("t"))
+
+
+@query()
+def normalized_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.normalise_folded(F.col("text")).alias("t"))
