@@ -401,6 +401,12 @@ def test_pii(spark, odd, none):
     assert got[11].spans == "" and pii.find(df).count() == len(ODD) + 2 and pii.find(none).count() == 0
 
 
+def test_potentials_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "Field", list)
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call "), "id").alias("text"))
+    assert sum(n for what, *_, n in pii.learn(many) if what == "shape") == 30_000
+
+
 def test_alike_tokens_share_labels():
     counts = [("shape", pii._shape("+49", False), 4, 0, 200), ("shape", pii._shape("1234567", True), 4, 0, 100), ("shape", pii._shape("1234567", True), 0, 0, 100), ("shape", pii._shape("12", False), 0, 0, 400), ("skip", 1, 0, 0, 50), ("skip", 0, 0, 0, 1)]
     field = pii.Field(counts)

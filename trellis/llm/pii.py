@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the potentials are estimated from, in expectation.
-SAMPLE_TEXTS = 20_000
 #: Marginal probability from which a token is an entity, and rounds of message passing.
 SURE, ROUNDS = 0.6, 10
 
@@ -234,13 +232,11 @@ def _added(text: str, place, label, kind_of) -> list[tuple[int, int, int]]:
     return out
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS) -> Field:
-    """Potentials from texts that hold a digit or an at sign; about ``sample_texts``, all if fewer.
-    Counts are taken on the executors and summed; the driver gets one row for each shape and label."""
-    some = docs.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.lit(9), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")).where(F.col("text").rlike("[0-9@]"))
-    n = some.count()
-    sample = some.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample_texts / max(n, 1)))
-    got = sample.select("text").mapInArrow(_tally, "what string, a long, b long, c long, n long").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+def learn(docs: DataFrame, *, text_col: str = "text") -> Field:
+    """Potentials from all texts that hold a digit or an at sign. Counts are taken on the executors and
+    summed; the driver gets one row for each shape and label."""
+    some = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    got = some.mapInArrow(_tally, "what string, a long, b long, c long, n long").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     return Field(sorted((r.what, r.a, r.b, r.c, r.n) for r in got))
 
 
@@ -252,7 +248,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fie
     written out in full somewhere else. Added spans never overlap base ones. Null and empty texts
     have no span; repeated rows are rows of their own; an empty table gives no rows.
     """
-    field = field or learn(docs, id_col=id_col, text_col=text_col)
+    field = field or learn(docs, text_col=text_col)
 
     def run(batches):
         for batch in batches:
