@@ -3,6 +3,7 @@ with clashing names, and empty tables; and against brute force."""
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -254,6 +255,29 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_all_labels_and_grams_count(spark):
+    outside = [i for i in range(3000) if zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD_OUT]
+    labels = [f"l{k:03}" for k in range(230)]
+    rows = [(i, f"{labels[k % 230]} {k % 230} " * 3, labels[k % 230]) for k, i in enumerate(outside[:460])]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == labels
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789 .,-", np.uint8)
+    varied = np.random.default_rng(6).choice(letters, 3_000_000).tobytes().decode()  # 1.8 million grams
+    df = spark.createDataFrame([(outside[0], varied, "aa"), (outside[1], "кот", "zz"), (outside[2], "кот", None)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == ["aa", "zz"] and len(model.parts[-1][1]) > 1_700_000
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df.where("doc_id <> " + str(outside[0])), model).collect()} == {outside[1]: "zz", outside[2]: "zz"}
+
+
+def test_tables_of_grams_agree(monkeypatch):
+    rng = np.random.default_rng(7)
+    data, offs = rng.integers(97, 103, 900).astype(np.uint8), np.array([0, 300, 301, 900])
+    g, c = np.unique(langid._grams(data[:500], np.array([0, 500]), 4), return_counts=True)
+    counts = {"x": (g, c), "y": (g[::2], c[::2])}
+    dense = langid.Model(["x", "y"], counts).bits(data, offs)
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.Model(["x", "y"], counts).bits(data, offs) == dense).all()
+
+
 def test_code_lengths():
     """The arrays give what the definition gives, byte by byte."""
     text = b"abracadabra abra"

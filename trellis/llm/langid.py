@@ -13,8 +13,8 @@ from .common import buffers, text_slices
 ORDER = 3
 #: Labelled texts of each language that the statistics are taken from, in expectation.
 SAMPLE_TEXTS = 1500
-#: Contexts that a language's tree may hold in all; the rarest deepest ones go first.
-MOST_GRAMS = 1_500_000
+#: Contexts of an order up to which a table has a place for each byte after each (1 KB a context).
+DENSE = 1 << 17
 HELD_OUT, FOLDS = 1, 3
 
 
@@ -107,9 +107,12 @@ class Model:
 
     @staticmethod
     def _level(n, grams, ctx, cost, escape):
-        """A table from contexts to their numbers, and from (number, last byte) to rows of ``cost``."""
-        row = np.full((len(ctx) + 1, 256), -1, np.int32)
-        row[np.searchsorted(ctx, grams >> np.uint64(8)), (grams & np.uint64(255)).astype(int)] = np.arange(len(grams))
+        """A table from contexts to their numbers, and from (number, last byte) to rows of ``cost``; over
+        DENSE contexts, the sorted grams stand for the latter."""
+        row = grams
+        if len(ctx) <= DENSE:
+            row = np.full((len(ctx) + 1, 256), -1, np.int32)
+            row[np.searchsorted(ctx, grams >> np.uint64(8)), (grams & np.uint64(255)).astype(int)] = np.arange(len(grams))
         of = None
         if n <= 4:
             of = np.full(1 << 8 * (n - 1), len(ctx), np.int32)
@@ -121,7 +124,11 @@ class Model:
         n = level + 1
         code = code & np.uint64((1 << 8 * n) - 1)
         ctx = of[(code >> np.uint64(8)).astype(np.int64)]
-        at = row[ctx.astype(np.int64) * 256 + (code & np.uint64(255)).astype(np.int64)]
+        if row.dtype == np.int32:
+            at = row[ctx.astype(np.int64) * 256 + (code & np.uint64(255)).astype(np.int64)]
+        else:
+            at = np.minimum(np.searchsorted(row, code), len(row) - 1)
+            at = np.where(row[at] == code, at, -1)
         out = np.take(cost, at, axis=0)
         miss = np.flatnonzero(at < 0)
         if len(miss):
@@ -143,21 +150,26 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Statistics of labelled texts outside the held-out third; None if there are none.
 
     Of each language about ``sample_texts`` whole texts count, chosen by a hash of id and text, all if
-    there are no more. Grams are counted on the executors; the driver gets MOST_GRAMS rows at most.
+    there are no more. Every label value is a language, and every gram of those texts counts. Grams are
+    counted on the executors; the driver gets one row for each language and gram.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("lang")).where("lang is not null and text is not null and text <> ''").where(~held_out("doc_id"))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_texts / n)))])
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > sample_texts).collect()}
+    share = F.lit(1.0)
+    if sizes:
+        share = F.coalesce(F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(sample_texts / n))])[F.col("lang")], share)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = own.where(draw < share[F.col("lang")]).select("text", "lang")
-    grams = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = grams.orderBy(F.desc("n"), "gram", "lang").limit(MOST_GRAMS).toArrow()
-    got = table.column("lang").to_numpy(zero_copy_only=False)
-    g, c = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-    langs = sorted(set(got))
-    return Model(langs, {x: (g[got == x], c[got == x]) for x in langs}) if langs else None
+    sample = own.where(draw < share).select("text", "lang")
+    table = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not table.num_rows:
+        return None
+    held = table.column("lang").combine_chunks().dictionary_encode()
+    which = held.indices.to_numpy()
+    order = np.argsort(which, kind="stable")
+    g, c = table.column("gram").to_numpy().astype(np.uint64)[order], table.column("n").to_numpy()[order]
+    ends = np.cumsum(np.bincount(which))
+    counts = {x: (g[i:j], c[i:j]) for x, i, j in zip(held.dictionary.to_pylist(), [0, *ends[:-1]], ends, strict=True)}
+    return Model(sorted(counts), counts)
 
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
