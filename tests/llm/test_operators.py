@@ -238,6 +238,68 @@ def test_program_is_near_the_bound():
     assert sum(packing.solve({4: 100, 3: 200}, 10).values()) == 100
 
 
+def fewest(lengths, capacity):
+    """The optimum by trying all ways to fill a number of sequences."""
+    lengths = sorted(lengths, reverse=True)
+
+    def fits(held, i):
+        if i == len(lengths):
+            return True
+        for room in set(held):
+            if room >= lengths[i]:
+                j = held.index(room)
+                if fits([*held[:j], room - lengths[i], *held[j + 1 :]], i + 1):
+                    return True
+        return False
+
+    n = -(-sum(lengths) // capacity)
+    while not fits([capacity] * n, 0):
+        n += 1
+    return n
+
+
+def test_program_against_brute_force():
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        capacity = int(rng.integers(10, 30))
+        lengths = [int(x) for x in rng.integers(1, capacity + 1, rng.integers(1, 11))]
+        used, bound, _ = packing.program(Counter(lengths), capacity)
+        best = fewest(lengths, capacity)
+        assert sum(used.values()) == best >= bound, (seed, lengths, capacity)
+        assert sum((Counter({a: n * k for a, k in p}) for p, n in used.items()), Counter()) == Counter(lengths)
+        assert all(sum(a * k for a, k in p) <= capacity for p in used)
+
+
+def test_program_on_triplets():
+    """Lengths that fill sequences in threes and in no other way that best fit would find."""
+    rng, counts = np.random.default_rng(1), Counter()
+    for _ in range(300):
+        x = int(rng.integers(200, 500))
+        y = int(rng.integers(250, 1024 - x - 100))
+        counts.update((x, y, 1024 - x - y))
+    used, bound, priced = packing.program(counts)
+    assert bound == 300 and sum(used.values()) <= 303 < sum(packing.best_fit(counts, 1024).values()) and priced > 200
+
+
+def test_knapsack_against_brute_force():
+    from itertools import product
+
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        lengths, most = np.unique(rng.integers(1, 12, 4)), rng.integers(0, 4, 4)
+        price = rng.integers(0, 9, 4).astype(float)
+        n = len(lengths)
+        chosen, value = packing.knapsack(lengths, price[:n], most[:n], 20)
+        want = max(float(np.dot(c, price[:n])) for c in product(*[range(m + 1) for m in most[:n]]) if np.dot(c, lengths) <= 20)
+        assert value == want == sum(price[i] * k for i, k in chosen.items()) and all(k <= most[i] for i, k in chosen.items()) and sum(lengths[i] * k for i, k in chosen.items()) <= 20
+
+
+def test_packing_of_many_ties(spark):
+    parts = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(300).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    out = packing.pack(parts, chunk_rows=500).toPandas()
+    assert out.groupby("sequence_id")["offset"].apply(sorted).map(tuple).value_counts().to_dict() == {(0, 300, 600): 1000}
+
+
 # ---------------------------------------------------------------- language
 
 

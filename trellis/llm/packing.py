@@ -72,30 +72,37 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
 # ---------------------------------------------------------------- the linear program
 
-
-def knapsack(price: np.ndarray, capacity: int) -> Counter:
-    """Lengths (repeats allowed) of the highest total price that fit; price[i] is that of length i."""
-    lengths = np.flatnonzero(price > 0)
-    lengths = lengths[lengths <= capacity]
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
-    value = price[lengths]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        best[c], took[c] = best[c - 1], 0
-        if n:
-            got = best[c - lengths[:n]] + value[:n]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], took[c] = got[k], lengths[k]
-    out: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return out
+#: Patterns that one pass prices, passes over the weights, and how near to the bound two passes without
+#: gain end the search.
+ROUNDS, PASSES, NEAR = 256, 6, 1.001
+#: What a pass's use takes of what is left, how fast cover lowers a price, how much waste raises a weight.
+STEP, FALL, GAIN = 1.0, 0.3, 0.5
+#: Power of its length by which a length weighs more at first: what is long is hard to place.
+LONG = 0.1
+
+
+def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """(place in ``lengths``: copies) of the highest total price that fit, ``most`` copies at most; and
+    that price. Copies go in as powers of two, so each length is a few passes over the capacities."""
+    best, rows = np.zeros(capacity + 1), []
+    for i in np.flatnonzero((price > 0) & (most > 0) & (lengths <= capacity)).tolist():
+        length, copies, k = int(lengths[i]), min(int(most[i]), capacity // int(lengths[i])), 1
+        while copies > 0:
+            n = min(k, copies)
+            copies, k = copies - n, 2 * k
+            new = best[: capacity + 1 - n * length] + n * price[i]
+            up = new > best[n * length :] + 1e-12
+            if up.any():
+                rows.append((i, n, n * length, up))
+                best = best.copy()
+                best[n * length :][up] = new[up]
+    out: dict[int, int] = {}
+    room = capacity
+    for i, n, size, up in reversed(rows):
+        if room >= size and up[room - size]:
+            out[i] = out.get(i, 0) + n
+            room -= size
+    return out, float(best[capacity])
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> Counter:
@@ -131,44 +138,66 @@ def best_fit(rest: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 500, step: float = 0.5) -> Counter:
-    """How often to use which pattern, so that all of ``counts`` (length: number) is placed.
-
-    Multiplicative weights: a length's price falls as the patterns chosen so far cover its number;
-    the knapsack prices the next pattern, which is used for ``step`` of what its scarcest length
-    allows. The fractional use is rounded down within what is left, and best fit packs the rest.
-    Best fit alone stays the answer where it needs no more sequences.
+def _pass(lengths: np.ndarray, need: np.ndarray, capacity: int, weight: np.ndarray) -> tuple[Counter, float, int]:
+    """One rounded solution under ``weight``: uses of patterns, the bound that the first prices prove, and
+    the sequences whose patterns were priced. A length's price falls as it is covered; each pattern priced
+    best is used for STEP of what its scarcest length has left, rounded down to whole sequences but one at
+    least; what ROUNDS patterns leave goes by best fit."""
+    left, out, bound = need.copy(), Counter(), 0.0
+    for k in range(ROUNDS):
+        if not left.any():
+            break
+        price = lengths * weight * np.exp(FALL * (left / need - 1))
+        chosen, value = knapsack(lengths, price, left, capacity)
+        if not k:
+            bound = float((price * need).sum() / value)
+        at, copies = np.array(list(chosen)), np.array(list(chosen.values()))
+        n = max(1, int(STEP * (left[at] // copies).min()))
+        out[tuple(sorted(((int(lengths[i]), c) for i, c in chosen.items()), reverse=True))] += n
+        left[at] -= n * copies
+    priced = sum(out.values())
+    out.update(best_fit({int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}, capacity))
+    return out, bound, priced
+
+
+def program(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, int, int]:
+    """(uses of patterns that place all of ``counts`` (length: number), a lower bound on the sequences
+    that any packing needs, the sequences whose patterns the program priced).
+
+    Minimise the uses of configurations so that every length is covered as often as it is needed. The
+    weights of lengths are the dual prices: the best configuration under them is a knapsack, found by
+    dynamic programming, and total price over the best configuration's price bounds every packing from
+    below, as the volume does. Weights start near the lengths. After each pass the weights of
+    lengths that stand in wasteful sequences are multiplied up, so that the next pass places them
+    while what fills their gaps is still there. The best of PASSES passes counts.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
-    plain = best_fit(counts, capacity)
-    if not counts or sum(plain.values()) <= -(-sum(k * v for k, v in counts.items()) // capacity):
-        return plain
-    size = max(counts) + 1
-    need = np.zeros(size)
-    need[list(counts)] = list(counts.values())
-    weight = np.arange(size) / capacity * (need > 0)
-    cover, use = np.zeros(size), Counter()
-    for _ in range(rounds):
-        if (cover[need > 0] >= need[need > 0]).all():
-            break
-        price = np.where(cover < need, weight * np.exp(-np.minimum(cover / np.maximum(need, 1), 1)), 0)
-        chosen = knapsack(price, capacity)
-        if not chosen:
+    if not counts:
+        return Counter(), 0, 0
+    lengths = np.array(sorted(counts))
+    need = np.array([counts[x] for x in lengths.tolist()])
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+    weight = (lengths / capacity) ** LONG / capacity
+    best, bound, since = None, -(-int((lengths * need).sum()) // capacity), 0
+    for _ in range(PASSES):
+        used, proved, priced = _pass(lengths, need, capacity, weight)
+        bound = max(bound, int(np.ceil(proved - 1e-6)))
+        since += 1
+        if best is None or sum(used.values()) < sum(best[0].values()):
+            best, since = (used, priced), 0
+        n = sum(best[0].values())
+        if n <= bound or since >= 2 and n <= NEAR * bound:
             break
-        by = step * min(need[x] / k for x, k in chosen.items())
-        by = max(by, 1.0)
-        use[tuple(sorted(chosen.items(), reverse=True))] += by
-        for x, k in chosen.items():
-            cover[x] += by * k
-    left, out = dict(counts), Counter()
-    for pattern, x in sorted(use.items(), key=lambda p: (-sum(a * b for a, b in p[0]), -p[1], p[0])):
-        n = min(int(x), *(left[a] // k for a, k in pattern))
-        if n > 0:
-            out[pattern] += n
-            for a, k in pattern:
-                left[a] -= n * k
-    out.update(best_fit(left, capacity))
-    return out if sum(out.values()) < sum(plain.values()) else plain
+        for pattern, n in used.items():
+            waste = 1 - sum(x * k for x, k in pattern) / capacity
+            for x, k in pattern:
+                weight[place[x]] *= 1 + GAIN * waste * n * k / counts[x]
+    return best[0], bound, best[1]
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """How often to use which pattern, so that all of ``counts`` (length: number) is placed."""
+    return program(counts, capacity)[0]
 
 
 # ---------------------------------------------------------------- placing
