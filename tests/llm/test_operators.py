@@ -510,6 +510,49 @@ def test_markup():
     assert html.main_texts([page, None, "", "plain &lt; text"]) == [("A & B\none two three\nfour é", 0), ("", 0), ("", 0), ("plain < text", 0)]
 
 
+def test_text_inside_an_article_stays():
+    page = "<article><div class='share-price'>up a lot</div><section id='related-work'>as others found</section><p class='social-science'>people</p><p title=don't>one</p><p title='it is'>two</p><p data-x=a'b>three</p></article>"
+    assert html.main_texts([page]) == [("up a lot\nas others found\npeople\none\ntwo\nthree", 0)]
+    drop = "<article><p>a</p><div class='ad'>x</div><div class='left-sidebar'>x</div><div id=cookie_notice>x</div><ul class='comment-list'><li>x</ul><div role=navigation>x</div><div class='big notice'>x</div><article class=comment>x</article></article><p>outside</p>"
+    assert html.main_texts([drop]) == [("a", 0)]
+    assert html.main_texts(["1 < 2 and <b>3 > 2</b> <"]) == [("1 < 2 and 3 > 2 <", 0)] and html.main_texts(["<p>a <b"]) == [("a <b", 0)]
+
+
+def test_markup_is_read_in_one_scan():
+    import time
+
+    for bad in ("<a ", "<a b='", "<a b=\"'", "<!--", "<", "</", "<a <", "&", "<script>", "<p ='", "<div class=ad>"):
+        began = time.perf_counter()
+        html.blocks(bad * 60_000)
+        assert time.perf_counter() - began < 3, bad
+
+
+def test_what_a_host_repeats_decides(spark, monkeypatch):
+    notice = "please read our rules of conduct before you write to us here"
+    asked = "more of what you may like to read on this site today"
+    rng, pages = np.random.default_rng(8), []
+    passage = " ".join(f"p{x}" for x in range(60))
+    for i in range(1000):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 9000, 40))
+        said = f"<p>{notice}</p>" if i % 5 else ""  # on most pages, inside the article
+        held = f"<div class='related-links'>{asked}</div>" if i % 100 == 0 else "<div class='related-work'>what nobody else says about it at all</div>" if i == 1 else ""
+        shared = f"<p>{passage}</p>" if i % 4 == 0 else ""  # on a quarter: text of the articles
+        pages.append(f"<body><article><p>{own}</p>{shared}{said}{held}</article></body>")
+    want = html.main_texts(pages)
+    assert all(notice not in t and asked not in t for t, _ in want) and "nobody else" in want[1][0]
+    assert sum(passage in t for t, _ in want) == 250
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for shard in (64, 16, 2000):
+        monkeypatch.setattr(html, "SHARD", shard)
+        got = {r.page_id: (r.text, r.n_boilerplate) for r in html.extract(df).collect()}
+        assert [got[i] for i in range(1000)] == want
+
+
+def test_copies_stay_whole():
+    same = "<article><p>" + " ".join(f"w{i}" for i in range(80)) + "</p></article>"
+    assert html.main_texts([same] * 5) == [(" ".join(f"w{i}" for i in range(80)), 0)] * 5
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(2)
     pages = [list(rng.integers(0, 50, 60)) for _ in range(6)]

@@ -1,4 +1,4 @@
-"""Main text of web pages: markup decides where it can, a suffix array of the host decides the rest."""
+"""Main text of web pages: markup rules parts out, a suffix array of the host finds repeated runs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +14,90 @@ from .common import Workspace, mix64, words
 
 #: Tokens of the shortest run that counts as repeated, and distinct pages that must hold it.
 RUN, PAGES = 8, 3
+#: Share of its host's pages that must hold a run before it is boilerplate even inside an article, and
+#: share of a page beyond which what is covered makes the page a copy.
+MOST_PAGES, COPY = 0.5, 0.5
 #: Pages of one host that share a task, and buckets that hosts are counted in.
 SHARD, BUCKETS = 64, 1 << 20
+#: Runs by shard that may be broadcast to the shards; more are joined by shuffle.
+BROADCAST_RUNS = 200_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: One attribute, or the end of the tag; a quote that never closes is part of an unquoted value.
+_ATTR = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)")
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is no markup.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-#: Elements and names of elements that hold no main text.
+#: Elements that hold no main text.
 _DROP = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video"}
+#: Classes, ids and roles that say so as a whole.
 _NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies",
-    "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "respond", "search", "share",
-    "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "respond", "sidebar", "sponsor", "sponsored",
+    "subscribe", "toolbar",
 }
+#: Of those, what says so as the first or last part of a longer one too (left-sidebar, comment-list).
+_PARTS = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "gdpr", "navbar", "newsletter", "pagination", "sidebar", "sponsored"}
+#: Words that may say so: what they mark goes where the host repeats it.
+_MAYBE = _NAMES | {"related", "search", "share", "sharing", "social", "widget"}
 _HEAD = {"header", "banner", "masthead"}
 _MAIN = {"article", "main"}
 #: What an opening tag closes without saying so.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-
-
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, inside an article) of each block that the markup doesn't rule out, in page order."""
-    out: list[tuple[str, bool]] = []
+#: Kinds of blocks: outside of articles, inside, and inside an element that may be boilerplate.
+OUTSIDE, INSIDE, UNSURE = 0, 1, 2
+
+
+def _tag(html: str, at: int, ends: list[int]) -> tuple[int, str, bool, list[str], bool] | None:
+    """(end, name, closing, classes with id and role, self-closing) of the tag that begins at ``at``; the
+    name is empty for comments and declarations. None if no tag begins there or none ends, which is
+    noted in ``ends`` so that it is looked for once."""
+    if html.startswith("<!--", at):
+        end = html.find("-->", at + 4)
+        return (end + 3 if end >= 0 else len(html)), "", False, [], False
+    after = html[at + 1 : at + 2]
+    if after in ("!", "?"):
+        end = html.find(">", at)
+        return (end + 1 if end >= 0 else len(html)), "", False, [], False
+    closing = after == "/"
+    m = _NAME.match(html, at + 1 + closing)
+    if not m or at >= ends[0]:
+        return None
+    if html.find(">", m.end()) < 0:
+        ends[0] = at
+        return None
+    marks: list[str] = []
+    place = m.end()
+    while True:
+        x = _ATTR.match(html, place)
+        if not x:  # the page ends inside a quoted value's tag
+            return len(html), m[0].lower(), closing, marks, False
+        if x[1]:
+            return x.end(), m[0].lower(), closing, marks, html[x.end() - 2] == "/"
+        if x[3] and x[2].lower() in ("class", "id", "role"):
+            marks += x[3].strip("\"'").lower().replace("_", "-").split()
+        place = x.end()
+
+
+def _says(marks: list[str]) -> tuple[bool, bool, bool]:
+    """Whether classes, ids or roles name boilerplate, a page's head, or what may be boilerplate."""
+    sure = head = maybe = False
+    for mark in marks:
+        parts = mark.split("-")
+        head |= mark in _HEAD or len(parts) > 1 and parts[-1] == "header" and parts[0] in ("site", "page", "main")
+        sure |= mark in _NAMES - _HEAD or len(parts) > 1 and (parts[0] in _PARTS or parts[-1] in _PARTS) or len(parts) == 2 and parts[0] in ("site", "page", "main") and parts[1] in _NAMES
+        maybe |= any(p in _MAYBE for p in parts)
+    return sure, head, maybe
+
+
+def blocks(html: str) -> list[tuple[str, int]]:
+    """(text, kind) of each block that the markup doesn't rule out, in page order; one scan of the page."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
+    stack: list[tuple[str, bool, int]] = []  # name, dropped, kind
+    ends = [len(html)]
 
     def close_block():
         if parts:
@@ -51,63 +107,66 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 text = unescape(text)
             text = _SPACE.sub(" ", text).strip()
             if text:
-                out.append((text, bool(stack) and stack[-1][2]))
+                out.append((text, stack[-1][2] if stack else OUTSIDE))
 
-    at = 0
+    at = begun = 0
     while True:
-        m = _TAG.search(html, at)
+        lt = html.find("<", at)
+        tag = _tag(html, lt, ends) if lt >= 0 else None
+        if lt >= 0 and tag is None:
+            at = lt + 1
+            continue
         if not (stack and stack[-1][1]):
-            piece = html[at : m.start() if m else len(html)]
+            piece = html[begun : lt if lt >= 0 else len(html)]
             if piece:
                 parts.append(piece)
-        if not m:
+        if tag is None:
             break
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if name in _INLINE:
+        at, name, closing, marks, alone = tag
+        begun = at
+        if not name or name in _INLINE:
             continue
-        if name in _RAW and not m[1] and name != "title":  # unseen, so it doesn't part a block
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+        if name in _RAW and not closing:  # unseen, so all but a title doesn't part a block
+            if name == "title":
+                close_block()
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*+>?", re.I).search(html, at)
+            at = begun = end.end() if end else len(html)
             continue
         if name == "br":
             if not (stack and stack[-1][1]):
                 parts.append(" ")
             continue
         close_block()
-        if m[1]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
             continue
-        if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if name in _VOID or m[3].endswith("/"):
+        if name in _VOID or alone:
             continue
         if stack and name in _CLOSES and stack[-1][0] in _CLOSES[name]:
             stack.pop()
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        marks = {w for x in _MARK.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())} if m[3] else set()
-        if name in _MAIN and not marks & _NAMES and stack and stack[0][0] in ("html", "body", "head") and any(s[0] in ("nav", "header") for s in stack):
+        sure, head, maybe = _says(marks)
+        if name in _MAIN and not sure and stack and stack[0][0] in ("html", "body", "head") and any(s[0] in ("nav", "header") for s in stack):
             while stack and (stack[-1][1] or stack[-1][0] in ("nav", "header")):  # never closed
                 stack.pop()
-            dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        heading = name == "header" or bool(marks & _HEAD) or "header" in marks
+        dropped, kind = (stack[-1][1], stack[-1][2]) if stack else (False, OUTSIDE)
         page = name in ("html", "body", "main", "article")
-        bad = name in _DROP or bool(marks & (_NAMES - _HEAD)) and not page or heading and not main and not page or "comment" in marks or "comments" in marks
-        stack.append((name, dropped or bad, main or name in _MAIN))
+        reply = any(p in ("comment", "comments") for mark in marks for p in mark.split("-")[:1])
+        bad = name in _DROP or sure and not page or (name == "header" or head) and kind == OUTSIDE and not page or reply
+        if name in _MAIN:
+            kind = max(kind, INSIDE)
+        elif maybe and kind == INSIDE:
+            kind = UNSURE
+        stack.append((name, dropped or bad, kind))
     close_block()
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Which tokens lie in a run of ``run`` tokens or more that ``pages`` distinct pages hold.
+def run_pages(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """In how many distinct pages the run of ``run`` tokens that starts at each token stands; 0 where the
+    page ends sooner.
 
     The suffix array of the concatenated streams, with an end of its own after each page, sorted by
     doubling until ``run`` tokens tell suffixes apart; equal neighbours are one run's places, and
@@ -115,7 +174,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
     """
     n = len(tokens)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     left = np.searchsorted(page, page, "right") - np.arange(n)  # tokens up to the page's end
     depth = 1
@@ -126,17 +185,22 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
         code = rank * (rank.max() + 1) + follow
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
-    whole = left >= run
+    out = np.zeros(n, np.int64)
     order = np.lexsort((page, rank))
-    order = order[whole[order]]
+    order = order[(left >= run)[order]]
     if not len(order):
-        return np.zeros(n, bool)
+        return out
     r, p = rank[order], page[order]
     new = np.append(True, r[1:] != r[:-1])
     fresh = new | np.append(True, p[1:] != p[:-1])
     group = np.cumsum(new) - 1
-    often = np.bincount(group, fresh) >= pages
-    return _covered(order[often[group]], n, run)
+    out[order] = np.bincount(group, fresh)[group]
+    return out
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens or more that ``pages`` distinct pages hold."""
+    return _covered(np.flatnonzero(run_pages(tokens, page, run) >= pages), len(tokens), run)
 
 
 def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
@@ -165,129 +229,210 @@ def _streams(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tokens, page, np.searchsorted(block, np.arange(len(data) + 1))
 
 
-def _unrepeated(b: list[str], covered: np.ndarray, starts: np.ndarray) -> tuple[list[str], int]:
-    """Blocks of a page without the tokens that are covered, and how many went; ``starts`` is of its
-    blocks and the end."""
-    gone = int(covered[starts[0] : starts[-1]].sum())
-    if not 0 < gone < starts[-1] - starts[0]:
-        return b, 0
-    kept = []
-    for k, x in enumerate(b):
-        cut = covered[starts[k] : starts[k + 1]]
-        own = re.findall(r"[^\x20\x09-\x0D]+", x) if cut.any() else None
-        text = x if own is None else " ".join(w for w, c in zip(own, cut, strict=True) if not c)
-        if text:
-            kept.append(text)
-    return kept, gone
+def _own(x: str, cut: np.ndarray) -> str:
+    """A block without the tokens that are cut."""
+    return " ".join(w for w, c in zip(re.findall(r"[^\x20\x09-\x0D]+", x), cut, strict=True) if not c) if cut.any() else x
 
 
-def main_texts(htmls: list[str | None]) -> list[tuple[str, int]]:
-    """(main text, tokens removed as boilerplate) of each page of one host.
+def _text(b: list[str], kinds: list[int], often: np.ndarray, most: np.ndarray) -> tuple[str, int]:
+    """(main text, tokens removed as boilerplate) of a page; ``often`` and ``most`` say for each block's
+    tokens whether a run over them stands on PAGES pages, or on most of its host's too.
 
-    Pages with an article give its blocks whole: what many pages share inside an article is still
-    the article. On other pages the runs that the host repeats go, and the unique runs stay; if
-    nothing unique is left, the page is a copy rather than boilerplate and stays whole.
+    With an article, its blocks stay but for what stands on most pages of the host, and those that the
+    markup calls in question but for what stands on PAGES pages. Without one, what stands on PAGES pages
+    goes. A page that would lose all of its text, or most of an article, is a copy and stays whole.
     """
-    found = [blocks(h or "") for h in htmls]
-    tokens, page, starts = _streams([[x for x, _ in b] for b in found])
-    covered = repeated(tokens, page)
+    has = any(k != OUTSIDE for k in kinds)
+    ends = np.cumsum([0, *[len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in b]])
+    on = [i for i, k in enumerate(kinds) if k != OUTSIDE or not has]
+    unsure = {i: often[ends[i] : ends[i + 1]] for i in on if kinds[i] == UNSURE}
+    plain = {i: (most if has else often)[ends[i] : ends[i + 1]] for i in on if kinds[i] != UNSURE}
+    size, gone = sum(map(len, plain.values())), sum(int(c.sum()) for c in plain.values())
+    if gone > COPY * size if has else gone == size:
+        plain = {i: np.zeros(len(c), bool) for i, c in plain.items()}
+    cuts = plain | unsure
+    kept = [_own(b[i], cuts[i]) for i in on]
+    return "\n".join(x for x in kept if x), sum(int(c.sum()) for c in cuts.values())
+
+
+def _least(pages: int) -> int:
+    """Pages that must hold a run before it goes from articles too."""
+    return max(PAGES, int(np.ceil(MOST_PAGES * pages)))
+
+
+def _texts(found: list[tuple[list[str], list[int]]], often: np.ndarray, most: np.ndarray, starts: np.ndarray) -> list[tuple[str, int]]:
     out, at = [], 0
-    for b in found:
-        if any(main for _, main in b):
-            kept, gone = [x for x, main in b if main], 0
-        else:
-            kept, gone = _unrepeated([x for x, _ in b], covered, starts[at : at + len(b) + 1])
-        out.append(("\n".join(kept), gone))
+    for b, kinds in found:
+        i, j = starts[at], starts[at + len(b)]
+        out.append(_text(b, kinds, often[i:j], most[i:j]))
         at += len(b)
     return out
 
 
-def _shard(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values(["page_id", "url"], na_position="last")
-    got = main_texts([h if isinstance(h, str) else None for h in f["html"]])
-    return pd.DataFrame({"page_id": f["page_id"].astype("Int64").array, "url": f["url"].array, "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "n_boilerplate": [n for _, n in got]})
+def main_texts(htmls: list[str | None]) -> list[tuple[str, int]]:
+    """(main text, tokens removed as boilerplate) of each page of one host; see ``_text``."""
+    found = [([x for x, _ in b], [k for _, k in b]) for b in (blocks(h or "") for h in htmls)]
+    tokens, page, starts = _streams([b for b, _ in found])
+    pages = run_pages(tokens, page)
+    return _texts(found, *[_covered(np.flatnonzero(pages >= n), len(tokens), RUN) for n in (PAGES, _least(len(htmls)))], starts)
 
 
-_OUT = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+def _rows(batch) -> list[dict]:
+    return batch.to_pylist()
 
 
-def _parse(frames):
-    for f in frames:
-        found = [blocks(h if isinstance(h, str) else "") for h in f["html"]]
-        yield f.drop(columns="html").assign(texts=[[x for x, _ in b] for b in found], mains=[[m for _, m in b] for b in found])
+def _parse(batches):
+    for batch in batches:
+        found = [blocks(h.as_py() or "") for h in batch.column(2)]
+        cols = [batch.column(i) for i in (0, 1, 3, 4, 5, 6)]
+        cols += [pa.array([[x for x, _ in b] for b in found], pa.list_(pa.string())), pa.array([[k for _, k in b] for b in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "_host", "_b", "_shard", "_alone", "texts", "kinds"])
 
 
-def _counts(frames):
-    """Distinct pages of these rows that hold each run, by host."""
-    for f in frames:
-        for host, g in f.groupby("_host", sort=False):
-            tokens, page, _ = _streams([list(b) for b in g["texts"]])
-            at, code = windows(tokens, page)
-            page = page[at]
-            order = np.lexsort((page, code))
-            new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(page[order]) != 0))[: len(order)]
-            w, n = np.unique(code[order][new], return_counts=True)
-            yield pd.DataFrame({"_host": host, "w": w, "n": n})
+_STACK = "_host string, _b int, _shard int, _alone boolean, pages array<struct<page_id:long,url:string,texts:array<string>,kinds:array<int>>>, local array<long>, asks boolean, n long"
+_STACK_TYPE = pa.schema([
+    ("_host", pa.string()), ("_b", pa.int32()), ("_shard", pa.int32()), ("_alone", pa.bool_()),
+    ("pages", pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("texts", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))]))),
+    ("local", pa.list_(pa.int64())), ("asks", pa.bool_()), ("n", pa.int64()),
+])
 
 
-def _runs(frames):
-    """Distinct runs of the rows of each shard."""
-    for f in frames:
-        for (host, shard), g in f.groupby(["_host", "_shard"], sort=False):
-            tokens, page, _ = _streams([list(b) for b in g["texts"]])
-            yield pd.DataFrame({"_host": host, "_shard": shard, "w": np.unique(windows(tokens, page)[1])})
+def _by_pages(pages: list[dict], least: int) -> np.ndarray:
+    """Hashes of the runs that ``least`` of these pages hold."""
+    tokens, page, _ = _streams([p["texts"] for p in pages])
+    w, n = _page_counts(tokens, page)
+    return w[n >= least]
 
 
-def _cut(f: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
-    """Pages of a shard without the runs that stand often on their host."""
-    found = [list(b) for b in f["texts"]]
-    tokens, page, starts = _streams(found)
+def _page_counts(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs and the distinct pages that hold each."""
     at, code = windows(tokens, page)
-    covered = _covered(at[np.isin(code, often["w"].to_numpy(np.int64))], len(tokens), RUN)
-    first = np.cumsum([0, *map(len, found)])
-    got = [_unrepeated(b, covered, starts[first[i] : first[i + 1] + 1]) for i, b in enumerate(found)]
-    text = ["\n".join(t) for t, _ in got]
-    return pd.DataFrame({"page_id": f["page_id"].astype("Int64").array, "url": f["url"].array, "text": text, "n_chars": [len(t) for t in text], "n_boilerplate": [n for _, n in got]})
+    on = page[at]
+    order = np.lexsort((on, code))
+    new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(on[order]) != 0))[: len(order)]
+    return np.unique(code[order][new], return_counts=True)
 
 
-def _large(split: DataFrame) -> DataFrame:
-    """Pages of hosts that are many shards: each run's pages are counted over the whole host.
+def _stack(table: pa.Table) -> pa.Table:
+    """The pages of a shard as one row. ``local`` holds the runs on MOST_PAGES of the shard's pages: a run
+    on that share of the host's pages is on that share of some shard's, so no other run can be."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"] is None, r["url"] or ""))
+    first = rows[0]
+    pages = [{c: r[c] for c in ("page_id", "url", "texts", "kinds")} for r in rows]
+    asks = any(UNSURE in p["kinds"] or p["kinds"] and max(p["kinds"]) == OUTSIDE for p in pages)
+    local = [] if first["_alone"] else _by_pages(pages, int(np.ceil(MOST_PAGES * len(pages)))).tolist()
+    out = {k: first[k] for k in ("_host", "_b", "_shard", "_alone")} | {"pages": pages, "local": local, "asks": asks, "n": len(pages)}
+    return pa.Table.from_pylist([out], schema=_STACK_TYPE)
 
-    Pages with an article are done once parsed. Runs are counted only in buckets that have pages
-    without one, and only runs of such pages go back to the shards.
-    """
-    work = Workspace(split.sparkSession, "host-runs")
-    parsed = work.keep(split.select("page_id", "url", "html", "_host", "_b", "_shard").mapInPandas(_parse, "page_id long, url string, _host string, _b int, _shard int, texts array<string>, mains array<boolean>"), "parsed")
-    bare = ~F.exists("mains", lambda m: m) & (F.size("mains") > 0)
-    text = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip("texts", "mains"), lambda x: x["mains"]), lambda x: x["texts"]))
-    done = parsed.where(~bare).select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_boilerplate"))
-    rest = parsed.where(bare)
-    undecided = parsed.join(F.broadcast(rest.select("_b").distinct()), "_b", "left_semi")
-    often = undecided.select("_host", "texts").mapInPandas(_counts, "_host string, w long, n long").groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
-    runs = rest.select("_host", "_shard", "texts").mapInPandas(_runs, "_host string, _shard int, w long").distinct()
-    runs = runs.join(often, ["_host", "w"]).select("_host", "_shard", "w")
-    cut = rest.select("page_id", "url", "_host", "_shard", "texts").groupBy("_host", "_shard").cogroup(runs.groupBy("_host", "_shard")).applyInPandas(_cut, _OUT)
-    return done.unionByName(cut)
+
+_OUT = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+
+
+def _answer(pages: list[dict], got: list[tuple[str, int]]) -> pa.RecordBatch:
+    cols = [pa.array([p["page_id"] for p in pages], pa.int64()), pa.array([p["url"] for p in pages], pa.string()), pa.array([t for t, _ in got], pa.string())]
+    cols += [pa.array([len(t) for t, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_boilerplate"])
+
+
+def _alone(batches):
+    """Pages of hosts that are one shard: the suffix array decides there."""
+    for batch in batches:
+        for r in _rows(batch):
+            found = [(p["texts"], p["kinds"]) for p in r["pages"]]
+            tokens, page, starts = _streams([b for b, _ in found])
+            pages = run_pages(tokens, page)
+            yield _answer(r["pages"], _texts(found, *[_covered(np.flatnonzero(pages >= n), len(tokens), RUN) for n in (PAGES, _least(len(found)))], starts))
+
+
+def _run_rows(pick):
+    """A function from shards to (_host, _shard, w, n): the runs that ``pick`` takes of a shard's and
+    how many of its pages hold each."""
+
+    def run(batches):
+        for batch in batches:
+            for r in _rows(batch):
+                tokens, page, _ = _streams([p["texts"] for p in r["pages"]])
+                w, n = pick(r, *_page_counts(tokens, page))
+                yield pa.RecordBatch.from_arrays([pa.array([r["_host"]] * len(w), pa.string()), pa.array([r["_shard"]] * len(w), pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["_host", "_shard", "w", "n"])
+
+    return run
+
+
+def _cut(batches):
+    """Pages of a shard without the runs that its host holds often, or on most pages."""
+    for batch in batches:
+        for r in _rows(batch):
+            found = [(p["texts"], p["kinds"]) for p in r["pages"]]
+            tokens, page, starts = _streams([b for b, _ in found])
+            at, code = windows(tokens, page)
+            often, most = (np.array(r[c] or [], np.int64) for c in ("often", "most"))
+            yield _answer(r["pages"], _texts(found, *[_covered(at[np.isin(code, x)], len(tokens), RUN) for x in (np.concatenate([often, most]), most)], starts))
+
+
+def _large(work: Workspace, shards: DataFrame) -> DataFrame:
+    """Pages of hosts that are several shards: each run's pages are counted over the whole host."""
+    runs = "_host string, _shard int, w long, n long"
+    key = ["_host", "_shard"]
+
+    def to_shards(left: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """``left`` with the runs in ``found`` (_host, _shard, w) of each shard as an array."""
+        found = work.keep(found.groupBy(*key).agg(F.collect_list("w").alias(name)), name)
+        n = found.agg(F.sum(F.size(name))).first()[0] or 0
+        return left.join(F.broadcast(found) if n <= BROADCAST_RUNS else found, key, "left")
+
+    # runs on most pages: those that are so in one shard are counted in all
+    local = work.keep(shards.select("_host", F.explode("local").alias("w")).distinct(), "local")
+    done = shards
+    if local.isEmpty():
+        done = done.withColumn("most", F.lit(None).cast("array<long>"))
+    else:
+        asked = to_shards(shards, shards.select(*key).join(local, "_host"), "wanted").where("wanted is not null")
+
+        def wanted(r, w, n):
+            on = np.isin(w, np.array(r["wanted"], np.int64))
+            return w[on], n[on]
+
+        counts = asked.select(*key, "pages", "wanted").mapInArrow(_run_rows(wanted), runs).groupBy("_host", "w").agg(F.sum("n").alias("n"))
+        sizes = shards.groupBy("_host").agg(F.greatest(F.lit(PAGES), F.ceil(F.sum("n") * MOST_PAGES)).alias("least"))
+        most = counts.join(sizes, "_host").where("n >= least").select("_host", "w")
+        done = to_shards(done, shards.select(*key).join(most, "_host"), "most")
+    # runs on PAGES pages: counted only for buckets that have a page they decide on
+    asking = shards.where("asks")
+    if asking.isEmpty():
+        done = done.withColumn("often", F.lit(None).cast("array<long>"))
+    else:
+        near = shards.join(F.broadcast(asking.select("_b").distinct()), "_b", "left_semi")
+        every = lambda r, w, n: (w, n)
+        counts = near.select(*key, "pages").mapInArrow(_run_rows(every), runs).groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
+        own = asking.select(*key, "pages").mapInArrow(_run_rows(every), runs)
+        done = to_shards(done, own.join(counts.select("_host", "w"), ["_host", "w"], "left_semi").select(*key, "w"), "often")
+    return done.select("pages", "often", "most").mapInArrow(_cut, _OUT)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_boilerplate (tokens that the suffix array removed) per page.
+    """page_id, url, text, n_chars and n_boilerplate (tokens that repeated runs removed) per page.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
-    element and by class, id or role; unclosed and crossing tags are put up with. Pages of a host meet
-    in one task, or in shards of about SHARD pages, by a hash, so a large host is many tasks: how many
-    shards a host has follows from counts in BUCKETS hash buckets, which bounds what is broadcast. What
-    is repeated doesn't depend on the shards: pages that hold a run are counted over the whole host.
+    element and by whole classes, ids or roles; unclosed and crossing tags are put up with. What the
+    suffix array of the host's token streams finds repeated decides on the rest: on all text of pages
+    without an article, on parts of an article that a word in a class calls in question, and, where it
+    stands on most pages of the host, on any text. Pages of a host meet in one task, or in shards of
+    about SHARD pages, by a hash, so a large host is many tasks. What is repeated doesn't depend on the
+    shards: pages that hold a run are counted over the whole host.
 
     Null and empty pages give an empty text; rows with a null id or url stay; repeated rows are rows of
     their own; an empty table gives no rows.
     """
+    work = Workspace(pages.sparkSession, "pages")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     bucket = F.pmod(F.xxhash64(host), F.lit(BUCKETS)).cast("int")
     counts = rows.select(bucket.alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"))
     many = counts.where(F.col("_n") > SHARD).select("_b", F.ceil(F.col("_n") / SHARD).cast("int").alias("_shards"))
     dealt = rows.withColumns({"_host": host, "_b": bucket}).join(F.broadcast(many), "_b", "left")
-    whole = dealt.where("_shards is null").groupBy("_host").applyInPandas(_shard, _OUT)
-    split = dealt.where("_shards is not null").withColumn("_shard", F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
-    return whole.unionByName(_large(split)).select("page_id", "url", "text", "n_chars", "n_boilerplate")
+    shard = F.when(F.col("_shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
+    dealt = dealt.select("page_id", "url", "html", "_host", "_b", shard.alias("_shard"), F.col("_shards").isNull().alias("_alone"))
+    parsed = dealt.mapInArrow(_parse, "page_id long, url string, _host string, _b int, _shard int, _alone boolean, texts array<string>, kinds array<int>")
+    shards = work.keep(parsed.groupBy("_host", "_shard").applyInArrow(_stack, _STACK), "shards")
+    alone = shards.where("_alone").select("pages").mapInArrow(_alone, _OUT)
+    return alone.unionByName(_large(work, shards.where("not _alone")))
