@@ -423,6 +423,27 @@ def test_search(spark):
     assert ann.search(few, few, k=10).count() == 12
 
 
+@pytest.mark.parametrize("large", [1e12, 1e20, 1e30])
+def test_search_beside_very_long_vectors(spark, large):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 12))
+    x[7] *= large
+    x[9] *= 1e-25
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.float32(x))], "vec_id long, embedding array<float>")
+    x = np.float32(x).astype(float)
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 400, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(400), -score))[:5]
+        assert len(got[q]) == 5 and all(s == pytest.approx(score[v]) for v, s in got[q])
+        hits += len(set(want) & {v for v, _ in got[q]})
+    assert hits >= 0.95 * 100
+
+
 def test_vector_dedup(spark, monkeypatch):
     monkeypatch.setattr(embdedup, "BLOCK", 32)
     df, x = vectors(spark)
