@@ -514,13 +514,65 @@ def test_potentials_from_all_texts(spark, monkeypatch):
     assert sum(n for what, *_, n in pii.learn(many) if what == "shape") == 30_000
 
 
-def test_alike_tokens_share_labels():
-    counts = [("shape", pii._shape("+49", False), 4, 0, 200), ("shape", pii._shape("1234567", True), 4, 0, 100), ("shape", pii._shape("1234567", True), 0, 0, 100), ("shape", pii._shape("12", False), 0, 0, 400), ("skip", 1, 0, 0, 50), ("skip", 0, 0, 0, 1)]
+def hand_made():
+    """(text, what a reader would mark beside the base spans)."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(120):
+        a, b, c = (int(x) for x in (rng.integers(100, 999), rng.integers(100, 999), rng.integers(1000, 9999)))
+        rows.append((f"Ring desk {i % 9} on +1 ({a}) {b}-{c} and ask for 12 of 40 pieces, or 3 at {100 + i} each.", []))
+        rows.append((f"There are {a} houses, {b} of them built in {1900 + i}, and item {c} is out at page {i}.", []))
+        rows.append((f"Mail ann{i}@mail{i % 7}.example.com before {1900 + i} or visit 10.{i}.0.{i % 200} at night.", []))
+    for i in range(20):
+        number = f"{200 + i}-555-{7000 + 13 * i}"
+        rows.append((f"Ring +1 ({200 + i}) 555-{7000 + 13 * i} by noon. Her line was {number} in May. She moved in {1990 + i} and has {300 + i} books.", [number]))
+    return rows
+
+
+def test_added_spans_of_a_hand_made_table(spark):
+    rows = hand_made()
+    got = {r.doc_id: r for r in pii.find(docs(spark, [(i, t, None, None) for i, (t, _) in enumerate(rows)])).collect()}
+    right = wrong = missed = 0
+    for i, (text, marked) in enumerate(rows):
+        base = {f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(text)}
+        added = [x.split(":") for x in got[i].spans.split(",") if x and x not in base]
+        assert got[i].n_added == len(added)
+        said = [(k, text[int(s) : int(e)]) for k, s, e in added]
+        right += sum(x in [("phone", m) for m in marked] for x in said)
+        wrong += sum(x not in [("phone", m) for m in marked] for x in said)
+        missed += sum(("phone", m) not in said for m in marked)
+    assert (right, wrong, missed) == (20, 0, 0)
+
+
+def test_long_runs_are_read_once():
+    import time
+
+    for text in ("字" * 200_000 + "1", "a" * 200_000 + "@b.c", "a1" * 100_000, "1 " * 60_000, "@" * 200_000, "1.1" * 66_000, "+1(" * 66_000):
+        began = time.perf_counter()
+        pii.graph(text, pii.base_spans(text))
+        assert time.perf_counter() - began < 1.5, text[:8]
+
+
+def test_marginals_against_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    counts = [("shape", int(s), int(y), 0, int(n)) for s, y, n in zip(rng.integers(0, 64, 40), rng.integers(0, 5, 40), rng.integers(1, 50, 40), strict=True)]
+    counts += [("chain", int(a), int(b), int(c), int(n)) for a, b, c, n in zip(rng.integers(0, 5, 40), rng.integers(0, 5, 40), rng.integers(0, 2, 40), rng.integers(1, 9, 40), strict=True)]
+    counts += [("word", int(w), int(y), 0, 30) for w, y in zip(rng.integers(0, 9, 20), rng.integers(0, 5, 20), strict=True)] + [("skip", 1, 0, 0, 12), ("skip", 0, 0, 0, 2)]
     field = pii.Field(counts)
-    shape = np.array([pii._shape("1234567", False)] * 2)
-    alone = field.marginals(shape[:1], np.array([0]), *[np.zeros(0, int)] * 3)
-    tied = field.marginals(shape, np.array([4, 0]), np.array([0]), np.array([1]), np.array([2]))
-    assert tied[1, 4] > alone[0, 4] and tied[1].argmax() == 4
+    for edges, near in (([(0, 1, 0), (1, 2, 1), (2, 3, 1), (3, 4, 0)], 1e-3), ([(0, 1, 1), (1, 2, 1), (2, 3, 0), (0, 2, 2), (1, 3, 2)], 0.15)):  # a chain is exact, loops are near
+        n = 1 + max(max(e[:2]) for e in edges)
+        shape, word, fixed = rng.integers(0, 64, n), rng.integers(0, 9, n), np.array([0, 0, 4, 0, 0][:n])
+        own = field.own(shape, word)
+        tables = [*field.chain, field.skip]
+        want = np.zeros((n, pii.LABELS))
+        for y in product(range(pii.LABELS), repeat=n):
+            if all(not f or f == v for f, v in zip(fixed, y, strict=True)):
+                p = np.exp(sum(own[i, v] for i, v in enumerate(y) if not fixed[i]) + sum(tables[k][y[i], y[j]] for i, j, k in edges))
+                want[np.arange(n), list(y)] += p
+        want /= want.sum(axis=1, keepdims=True)
+        got = field.marginals(shape, word, fixed, *[np.array(x) for x in zip(*edges, strict=True)])
+        assert np.abs(got - want).max() < near
 
 
 # ---------------------------------------------------------------- pages

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: Only tried where a token begins, so that a run without white space is read once.
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+#: The word before a token; longer ones count by their end.
+_BEFORE = re.compile(r"([^\x20\x09-\x0D0-9@]{1,40})[\x20\x09-\x0D]+\Z")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -76,6 +80,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Label 0 is none; label k + 1 is KINDS[k].
 LABELS = len(KINDS) + 1
 _SHAPES = 14
+#: Buckets of the word before a token; 0 is none. Counts that a bucket's or a pair's say is held back by,
+#: and how much log odds a word, a neighbour, a shape and alike tokens may have.
+WORDS, SHRINK = 1024, 20.0
+MOST_WORD, MOST_CHAIN, MOST_SHAPE, LEAST_ALIKE, MOST_ALIKE = 2.0, 2.0, 3.0, 0.5, 4.0
+#: Pairs of alike tokens with one label that count before any is seen, against one with two.
+ALIKE = 20.0
 
 
 def _shape(token: str, joined: bool) -> int:
@@ -91,17 +101,26 @@ def _shape(token: str, joined: bool) -> int:
 
 
 def _alike(token: str) -> str | None:
-    """What repeated or similar tokens share: their digits, three at least, or their address."""
-    digits = "".join(_DIGITS.findall(token))
+    """What repeated or similar tokens share: their address, their last seven digits, or, with three to
+    six digits, the whole token."""
     if "@" in token:
         return token.lower().strip(".,;:!?\"'()[]<>")
-    return digits if len(digits) >= 3 else None
+    digits = "".join(_DIGITS.findall(token))
+    return digits[-7:] if len(digits) >= 7 else token.strip(".,;:!?\"'[]<>") if len(digits) >= 3 else None
+
+
+def _word(text: str, start: int, after: int) -> int:
+    """The bucket of the word before ``start`` (but not before ``after``), 0 if there is none."""
+    m = _BEFORE.search(text, max(after, start - 48), start)
+    word = m[1].strip(".,;:!?\"'()[]<>").lower() if m else ""
+    return zlib.crc32(word.encode()) % (WORDS - 1) + 1 if word else 0
 
 
 def graph(text: str, spans: list[tuple[int, int, int]]):
-    """Tokens that hold a digit or an at sign: places, shapes and base labels; chain edges with
-    whether one white space parts them; skip edges between one token and the next that is alike."""
-    place, shape, label, chain, skip = [], [], [], [], []
+    """Tokens that hold a digit or an at sign: places, shapes, words before and base labels; chain edges
+    with whether one white space parts them; skip edges between one token and the next that is alike.
+    Neighbours that are alike and don't touch have the skip edge only."""
+    place, shape, word, label, chain, skip = [], [], [], [], [], []
     last: dict[str, int] = {}
     at = 0
     for k, m in enumerate(_TOKEN.finditer(text)):
@@ -109,21 +128,24 @@ def graph(text: str, spans: list[tuple[int, int, int]]):
         while at < len(spans) and spans[at][2] <= m.start():
             at += 1
         inside = [x for x in spans[at : at + 4] if x[0] < m.end() and x[2] > m.start()]
+        word.append(_word(text, m.start(), place[-1][1] if place else 0))
         place.append((m.start(), m.end()))
         shape.append(_shape(m[0], joined))
         label.append(inside[0][1] + 1 if inside else 0)
-        if k:
-            chain.append((k - 1, k, int(joined)))
         key = _alike(m[0])
+        tied = key is not None and key in last and not (joined and last[key] == k - 1)
+        if tied:
+            skip.append((last[key], k))
+        if k and not (tied and last[key] == k - 1):
+            chain.append((k - 1, k, int(joined)))
         if key is not None:
-            if key in last and last[key] < k - 1:
-                skip.append((last[key], k))
             last[key] = k
-    return place, shape, label, chain, skip
+    return place, shape, word, label, chain, skip
 
 
 def _tally(batches):
-    """Counts that the potentials come from: (what, a, b, c)."""
+    """Counts that the potentials come from: (what, a, b, c). A token without a base label that is alike
+    to one with a label is of unknown label and doesn't count."""
     for batch in batches:
         rows: dict[tuple[str, int, int, int], int] = {}
 
@@ -132,30 +154,42 @@ def _tally(batches):
 
         for text in batch.column(0):
             text = text.as_py()
-            _, shape, label, chain, skip = graph(text, base_spans(text))
-            for s, y in zip(shape, label, strict=True):
-                add("shape", s, y, 0)
+            _, shape, word, label, chain, skip = graph(text, base_spans(text))
+            tied = list(label)
+            for i, j in skip + skip[::-1]:
+                tied[i] = tied[j] = tied[i] or tied[j]
+            known = [bool(y) or not t for y, t in zip(label, tied, strict=True)]
+            for s, w, y, sure in zip(shape, word, label, known, strict=True):
+                if sure:
+                    add("shape", s, y, 0)
+                    add("word", w, y, 0)
             for i, j, near in chain:
-                add("chain", label[i], label[j], near)
+                if known[i] and known[j]:
+                    add("chain", label[i], label[j], near)
             for i, j in skip:
-                add("skip", int(label[i] == label[j]), 0, 0)
+                if known[i] and known[j]:
+                    add("skip", int(label[i] == label[j]), 0, 0)
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]], pa.array(list(rows.values()), pa.int64())], ["what", "a", "b", "c", "n"])
 
 
 class Field:
-    """Log potentials: a softmax of shapes, chain tables by nearness, one weight for alike tokens."""
+    """Log potentials: a softmax of shapes, the word before a token, chain tables by nearness, one weight
+    for alike tokens."""
 
     def __init__(self, counts: list[tuple[str, int, int, int, int]]):
         shapes = sorted({a for what, a, *_ in counts if what == "shape"})
         seen = np.zeros((len(shapes), LABELS))
-        chain = np.ones((2, LABELS, LABELS))
-        same = [1.0, 1.0]
+        chain = np.zeros((2, LABELS, LABELS))
+        same = [1.0, ALIKE]
+        word = np.zeros((WORDS, LABELS))
         for what, a, b, c, n in counts:
             if what == "shape":
                 seen[shapes.index(a), b] += n
             elif what == "chain":
                 chain[c, a, b] += n
+            elif what == "word":
+                word[a, b] += n
             else:
                 same[a] += n
         bits = self.bits(np.array(shapes, np.int64))
@@ -164,9 +198,15 @@ class Field:
         for _ in range(400):  # gradient steps on the mean log likelihood, with a small ridge
             p = self._softmax(bits @ self.weight)
             self.weight += 4.0 * (bits.T @ (seen - p * seen.sum(axis=1, keepdims=True)) / total - 1e-5 * self.weight)
-        joint = chain / chain.sum(axis=(1, 2), keepdims=True)
-        self.chain = np.clip(np.log(joint / (joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True))), -4, 4)
-        self.skip = float(np.clip(np.log(same[1] / same[0]), 0.5, 3.0)) * np.eye(LABELS)
+        # how much likelier two labels are side by side than apart
+        first, second = (chain.sum(axis=k, keepdims=True) + 1.0 for k in (2, 1))
+        apart = first / first.sum(axis=1, keepdims=True) * (second / second.sum(axis=2, keepdims=True))
+        joint = (chain + SHRINK * apart) / (chain.sum(axis=(1, 2), keepdims=True) + SHRINK)
+        self.chain = np.clip(np.log(joint / apart), -MOST_CHAIN, MOST_CHAIN)
+        self.skip = float(np.clip(np.log(same[1] / same[0]), LEAST_ALIKE, MOST_ALIKE)) * np.eye(LABELS)
+        usual = (word.sum(axis=0) + 1) / (word.sum() + LABELS)
+        self.word = np.clip(np.log((word + SHRINK * usual) / (word.sum(axis=1, keepdims=True) + SHRINK) / usual), -MOST_WORD, MOST_WORD)
+        self.word[0] = 0
 
     @staticmethod
     def bits(shape: np.ndarray) -> np.ndarray:
@@ -178,9 +218,15 @@ class Field:
         x = np.exp(x - x.max(axis=1, keepdims=True))
         return x / x.sum(axis=1, keepdims=True)
 
-    def marginals(self, shape: np.ndarray, fixed: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Loopy sum-product over all edges at once; tokens with a base label are held to it."""
+    def own(self, shape: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log potentials of single tokens. What a shape says against a label is bounded, so that an alike
+        token can say more."""
         own = self.bits(shape) @ self.weight
+        return np.maximum(own - own.max(axis=1, keepdims=True), -MOST_SHAPE) + self.word[word]
+
+    def marginals(self, shape: np.ndarray, word: np.ndarray, fixed: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Loopy sum-product over all edges at once; tokens with a base label are held to it."""
+        own = self.own(shape, word)
         own[fixed > 0] = -12.0
         own[fixed > 0, fixed[fixed > 0]] = 12.0
         table = np.exp(np.concatenate([self.chain, self.skip[None]]))
@@ -254,22 +300,23 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fie
         for batch in batches:
             n = batch.num_rows
             counts, digest, every, added = np.zeros((4, n), np.int64), [], [], np.zeros(n, np.int64)
-            held, shape, fixed, a, b, kind, at = {}, [], [], [], [], [], 0
+            held, shape, word, fixed, a, b, kind, at = {}, [], [], [], [], [], [], 0
             for r, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 if not text or not _ANY.search(text):
                     continue
                 spans = base_spans(text)
-                place, s, y, chain, skip = graph(text, spans)
+                place, s, w, y, chain, skip = graph(text, spans)
                 held[r] = (text, spans, place, y, at)
                 shape += s
+                word += w
                 fixed += y
                 a += [at + i for i, *_ in chain] + [at + i for i, _ in skip]
                 b += [at + j for _, j, _ in chain] + [at + j for _, j in skip]
                 kind += [near for *_, near in chain] + [2] * len(skip)
                 at += len(place)
             if at:
-                p = field.marginals(np.array(shape, np.int64), np.array(fixed), *[np.array(x, np.int64) for x in (a, b, kind)])
+                p = field.marginals(np.array(shape, np.int64), np.array(word, np.int64), np.array(fixed), *[np.array(x, np.int64) for x in (a, b, kind)])
                 best = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
             for r in range(n):
                 base, more = [], []
