@@ -326,18 +326,26 @@ def test_all_labels_and_grams_count(spark):
     varied = np.random.default_rng(6).choice(letters, 3_000_000).tobytes().decode()  # 1.8 million grams
     df = spark.createDataFrame([(outside[0], varied, "aa"), (outside[1], "кот", "zz"), (outside[2], "кот", None)], "doc_id long, text string, lang string")
     model = langid.train(df)
-    assert model.langs == ["aa", "zz"] and len(model.parts[-1][1]) > 1_700_000
+    assert model.langs == ["aa", "zz"] and len(model.tables[0].levels[-1][0]) > 1_700_000
     assert {r.doc_id: r.lang_pred for r in langid.predict(df.where("doc_id <> " + str(outside[0])), model).collect()} == {outside[1]: "zz", outside[2]: "zz"}
 
 
-def test_tables_of_grams_agree(monkeypatch):
+def test_tables_of_languages_agree():
     rng = np.random.default_rng(7)
     data, offs = rng.integers(97, 103, 900).astype(np.uint8), np.array([0, 300, 301, 900])
     g, c = np.unique(langid._grams(data[:500], np.array([0, 500]), 4), return_counts=True)
-    counts = {"x": (g, c), "y": (g[::2], c[::2])}
-    dense = langid.Model(["x", "y"], counts).bits(data, offs)
-    monkeypatch.setattr(langid, "DENSE", 0)
-    assert (langid.Model(["x", "y"], counts).bits(data, offs) == dense).all()
+    counts = {f"l{k}": (g[k::3], c[k::3]) for k in range(3)} | {"all": (g, c)}
+    whole = langid.Model([*counts], counts).bits(data, offs)
+    assert (langid.Model([*counts], counts, together=1).bits(data, offs) == whole).all() and (langid.Model([*counts], counts, together=3).bits(data, offs) == whole).all()
+
+
+def test_costs_in_memory_follow_the_grams():
+    rng = np.random.default_rng(8)
+    counts = {f"l{k:02}": (np.unique(rng.integers(0, 1 << 32, 3000).astype(np.uint64)), None) for k in range(40)}
+    counts = {k: (g, np.ones(len(g))) for k, (g, _) in counts.items()}
+    model = langid.Model([*counts], counts)
+    held = sum(cost.size for t in model.tables for *_, cost, _ in t.levels)
+    assert held <= langid.TOGETHER * sum(4 * len(g) for g, _ in counts.values())
 
 
 def test_code_lengths():

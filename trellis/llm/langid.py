@@ -13,8 +13,9 @@ from .common import buffers, text_slices
 ORDER = 3
 #: Labelled texts of each language that the statistics are taken from, in expectation.
 SAMPLE_TEXTS = 1500
-#: Contexts of an order up to which a table has a place for each byte after each (1 KB a context).
-DENSE = 1 << 17
+#: Languages that share a table. A table has a cost for each of them after each gram that one of them has,
+#: so all tables hold at most this many times as many costs as the languages have grams.
+TOGETHER = 8
 HELD_OUT, FOLDS = 1, 3
 
 
@@ -54,8 +55,8 @@ def count_grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"])
 
 
-class Model:
-    """Frozen counts of all languages, as arrays that score whole batches.
+class Table:
+    """Frozen counts of a few languages as sorted arrays, order by order.
 
     A byte after a context that a language has seen costs -log2 n / (total + kinds) where it followed
     that context, else the escape -log2 kinds / (total + kinds) and then what it costs after the
@@ -64,86 +65,62 @@ class Model:
     """
 
     def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.levels, self.parts = langs, [], []
+        self.width, self.levels = len(langs), []
         for n in range(1, ORDER + 2):
             per = []
             for lang in langs:
                 g, c = counts[lang]
-                g = g & np.uint64((1 << 8 * n) - 1)
-                u, at = np.unique(g, return_inverse=True)
+                u, at = np.unique(g & np.uint64((1 << 8 * n) - 1), return_inverse=True)
                 per.append((u, np.bincount(at, c, minlength=len(u))))
             grams = np.unique(np.concatenate([p[0] for p in per]))
             ctx = np.unique(grams >> np.uint64(8))
             cost = np.full((len(grams), len(langs)), np.nan)
-            escape = np.zeros((len(ctx), len(langs)))
+            escape = np.zeros((len(ctx) + 1, len(langs)), np.float32)  # the last row: a context that none has seen
             for k, (u, c) in enumerate(per):
                 own = np.searchsorted(ctx, u >> np.uint64(8))
                 total = np.bincount(own, c, minlength=len(ctx))
                 kinds = np.bincount(own, minlength=len(ctx)).astype(float)
                 seen = kinds > 0
-                escape[seen, k] = -np.log2(kinds[seen] / (total + kinds)[seen])
+                escape[:-1][seen, k] = -np.log2(kinds[seen] / (total + kinds)[seen])
                 cost[np.searchsorted(grams, u), k] = -np.log2(c / (total + kinds)[own])
-            if self.levels:
-                low, unseen = self._cost(grams & np.uint64((1 << 8 * (n - 1)) - 1), n - 2), np.isnan(cost)
-            else:
-                low, unseen = np.full(cost.shape, 8.0), np.isnan(cost)
-            cost = np.where(unseen, low + escape[np.searchsorted(ctx, grams >> np.uint64(8))], cost)
-            self._add(n, grams, ctx, cost.astype(np.float32), escape.astype(np.float32))
-
-    def _add(self, *parts) -> None:
-        self.levels.append(self._level(*parts))
-        self.parts.append(parts)
-
-    @classmethod
-    def restore(cls, held: dict) -> Model:
-        """The model of a broadcast {langs, parts}: only what was learned travels, and each Python
-        worker lays out its own tables once."""
-        if "model" not in held:
-            model = held["model"] = cls.__new__(cls)
-            model.langs, model.levels, model.parts = held["langs"], [], []
-            for parts in held["parts"]:
-                model._add(*parts)
-        return held["model"]
-
-    @staticmethod
-    def _level(n, grams, ctx, cost, escape):
-        """A table from contexts to their numbers, and from (number, last byte) to rows of ``cost``; over
-        DENSE contexts, the sorted grams stand for the latter."""
-        row = grams
-        if len(ctx) <= DENSE:
-            row = np.full((len(ctx) + 1, 256), -1, np.int32)
-            row[np.searchsorted(ctx, grams >> np.uint64(8)), (grams & np.uint64(255)).astype(int)] = np.arange(len(grams))
-        of = None
-        if n <= 4:
-            of = np.full(1 << 8 * (n - 1), len(ctx), np.int32)
-            of[ctx.astype(np.int64)] = np.arange(len(ctx))
-        return of, row.ravel(), cost, np.vstack([escape, np.zeros((1, escape.shape[1]), np.float32)])
+            low = self._cost(grams, n - 2)
+            cost = np.where(np.isnan(cost), low + escape[np.searchsorted(ctx, grams >> np.uint64(8))], cost)
+            self.levels.append((grams, ctx, cost.astype(np.float32), escape))
 
     def _cost(self, code: np.ndarray, level: int) -> np.ndarray:
-        of, row, cost, escape = self.levels[level]
-        n = level + 1
-        code = code & np.uint64((1 << 8 * n) - 1)
-        ctx = of[(code >> np.uint64(8)).astype(np.int64)]
-        if row.dtype == np.int32:
-            at = row[ctx.astype(np.int64) * 256 + (code & np.uint64(255)).astype(np.int64)]
-        else:
-            at = np.minimum(np.searchsorted(row, code), len(row) - 1)
-            at = np.where(row[at] == code, at, -1)
-        out = np.take(cost, at, axis=0)
-        miss = np.flatnonzero(at < 0)
+        if level < 0:
+            return np.full((len(code), self.width), 8.0, np.float32)
+        grams, ctx, cost, escape = self.levels[level]
+        code = code & np.uint64((1 << 8 * (level + 1)) - 1)
+        at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
+        out = cost[at]
+        miss = np.flatnonzero(grams[at] != code)
         if len(miss):
-            low = self._cost(code[miss], level - 1) if level else np.full((len(miss), cost.shape[1]), 8.0, np.float32)
-            out[miss] = low + escape[ctx[miss]]
+            before = code[miss] >> np.uint64(8)
+            of = np.minimum(np.searchsorted(ctx, before), len(ctx) - 1)
+            out[miss] = self._cost(code[miss], level - 1) + escape[np.where(ctx[of] == before, of, len(ctx))]
         return out
 
+    def bits(self, data: np.ndarray, offs: np.ndarray, code: np.ndarray) -> np.ndarray:
+        cost = self._cost(code, ORDER)
+        sums = np.add.reduceat(np.vstack([cost, np.zeros((1, self.width), cost.dtype)]), np.minimum(offs[:-1], len(data)), axis=0, dtype=np.float64)
+        sums[np.diff(offs) == 0] = 0
+        return sums
+
+
+class Model:
+    """Frozen counts of all languages, TOGETHER to a table."""
+
+    def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], together: int = TOGETHER):
+        self.langs = langs
+        self.tables = [Table(langs[i : i + together], counts) for i in range(0, len(langs), together)]
+
     def bits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Code length of every text in every language."""
         if not len(data):
             return np.zeros((len(offs) - 1, len(self.langs)))
-        cost = self._cost(_grams(data, offs, ORDER + 1), ORDER)
-        sums = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]), cost.dtype)]), np.minimum(offs[:-1], len(data)), axis=0, dtype=np.float64)
-        sums[np.diff(offs) == 0] = 0
-        return sums
+        code = _grams(data, offs, ORDER + 1)
+        return np.hstack([t.bits(data, offs, code) for t in self.tables])
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model | None:
@@ -181,11 +158,11 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     by code point.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast({} if model is None else {"langs": model.langs, "parts": model.parts})
+    shared = sc.broadcast(model)
     spec = "doc_id long, held_out boolean, lang_pred string, score double, code_bits double"
 
     def run(batches):
-        m = Model.restore(shared.value) if shared.value else None
+        m = shared.value
         for batch in batches:
             n = batch.num_rows
             pred, score, bits = np.full(n, "und", object), np.zeros(n), np.zeros(n)
