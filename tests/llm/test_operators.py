@@ -391,6 +391,49 @@ def test_quality(spark, odd, none):
     assert dsir.quality(none, labels).count() == 0
 
 
+def quality_rows():
+    rng, rows = np.random.default_rng(11), []
+    for i in range(240):
+        dirt = 0 if i < 150 else 1 if i < 190 else (i - 190) / 50  # clean, junk, and all between
+        rows.append((i, " ".join("buy!!! now" if rng.random() < dirt else f"the cat {rng.integers(9)} sat on mat {rng.integers(9)}" for _ in range(12))))
+    return rows
+
+
+def test_ratio_and_top_k_against_brute_force(spark):
+    rows = quality_rows()
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(0, 190, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in dsir.quality(docs(spark, [(i, t, None, None) for i, t in rows]), labels).collect()}
+
+    def grams(text):  # the same tokens, in plain Python
+        tokens = re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+|[^0-9A-Za-z_\s\x80-\U0010ffff]+", text.lower())
+        return Counter(tokens) + Counter(("twice",) if a == b else (a, b) for a, b in zip(tokens, tokens[1:], strict=False))
+
+    seen = [grams(t) for _, t in rows]
+    good = {i for i in range(0, 150, 2)}
+    raw, target = sum(seen, Counter()), sum((seen[i] for i in good), Counter())
+    share = target.total() / raw.total()
+    score = {}
+    for i, own in enumerate(seen):
+        value = 0.0
+        for g, n in own.items():
+            value += n * (np.log((target[g] - n * (i in good) + share) / share) - np.log(raw[g] - n + 1.0))
+        score[i] = value / own.total()
+    cut = dsir.cut_score(np.array([score[i] for i in good]), np.array([score[i] for i in range(150, 190, 2)]))
+    step = (np.median([score[i] for i in good]) - cut) / dsir.STEPS
+    assert all(got[i].log_weight * step == pytest.approx(score[i], abs=1e-6) for i in score)
+    k = sum(s >= cut for s in score.values())
+    assert {i for i in score if got[i].kept} == set(sorted(score, key=lambda i: -got[i].resample_key)[:k])
+    assert {i for i in score if got[i].kept} != set(sorted(score, key=lambda i: -score[i])[:k])  # a sample, not a cut
+
+
+def test_chances_are_as_the_weights(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", 0.5 * i, s) for i in range(4) for s in range(4000)], "doc_id long, text string, _score double, s int")
+    u = (F.pmod(F.xxhash64("s", "doc_id", "text"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    first = rows.withColumn("_noise", -F.log(-F.log(u))).groupBy("s").agg(F.max_by("doc_id", dsir.key_of(0.5)).alias("i")).groupBy("i").count().collect()
+    want = np.exp(np.arange(4)) / np.exp(np.arange(4)).sum()
+    assert all(r["count"] / 4000 == pytest.approx(want[r.i], abs=0.03) for r in first) and len(first) == 4
+
+
 def test_kth_largest(spark):
     values = [5.0, 1.0, 1.0, 1e9, -1e9, 2.5] * 3 + [0.1 * i for i in range(200)]
     df = spark.createDataFrame([(v,) for v in values], "v double")

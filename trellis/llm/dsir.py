@@ -14,6 +14,9 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
 #: What wrongly rejecting a good labelled text weighs against wrongly keeping a bad one.
 CARE = 20.0
+#: Sampling steps between the cut and the median of good labelled texts: a step is what makes a text e
+#: times as likely to be drawn. More steps come nearer to a plain cut, fewer to a uniform draw.
+STEPS = 6.0
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 _CLASS = np.where(_SPACE, 0, np.where(_WORD, 1, 2)).astype(np.uint8)
@@ -61,7 +64,8 @@ def _count(batches):
 
 
 class Ratio:
-    """log p_target - log p_raw of every bucket. A text's own counts are left out of the models that
+    """log p_target - log p_raw of every bucket, as the mean over a text's features: the sum grows with
+    the text, so that length would decide. A text's own counts are left out of the models that
     score it, so texts of the target have no advantage over unseen ones. Unseen buckets are neutral."""
 
     def __init__(self, raw: np.ndarray, target: np.ndarray):
@@ -76,7 +80,7 @@ class Ratio:
             code, row = key % BUCKETS, key // BUCKETS
             raw = self.raw[code] - n + 1.0
             target = self.target[code] - n * in_target[i:j][row] + self.share
-            out[i:j] = np.bincount(row, n * (np.log(target / self.share) - np.log(raw)), minlength=j - i)
+            out[i:j] = np.bincount(row, n * (np.log(target / self.share) - np.log(raw)), minlength=j - i) / np.maximum(np.bincount(row, n, minlength=j - i), 1)
         return out
 
 
@@ -102,8 +106,8 @@ def fit(rows: DataFrame) -> Ratio:
     return Ratio(raw, target)
 
 
-def with_scores(rows: DataFrame, model: Ratio) -> DataFrame:
-    """Add _score, the log importance weight, and _key, that plus a Gumbel number from a hash."""
+def with_scores(rows: DataFrame, model: Ratio, seed: int = 3) -> DataFrame:
+    """Add _score, the mean log importance weight, and _noise, a Gumbel number from a hash."""
     from pyspark.sql.functions import arrow_udf
 
     raw, target = model.raw, model.target
@@ -113,8 +117,13 @@ def with_scores(rows: DataFrame, model: Ratio) -> DataFrame:
         inside = good.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
         return pa.array(Ratio(raw, target).scores(text, inside))
 
-    u = (F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return rows.withColumn("_score", score("text", "_good")).withColumn("_key", F.col("_score") - F.log(-F.log(u)))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return rows.withColumns({"_score": score("text", "_good"), "_noise": -F.log(-F.log(u))})
+
+
+def key_of(step: float) -> F.Column:
+    """Gumbel's key: the largest k are a sample without replacement, with chances as exp(_score / step)."""
+    return F.col("_score") / F.lit(float(step)) + F.col("_noise")
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float:
@@ -152,32 +161,38 @@ def cut_score(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> float:
     return float(at[k] if k == 0 else (at[k] + at[k - 1]) / 2) if gain[k] > 0 else -np.inf
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Ratio, float]:
-    """doc_id, _score, _key and _good of every row, the models, and the key from which rows are kept.
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", steps: float = STEPS, seed: int = 3) -> tuple[DataFrame, Ratio, float, float]:
+    """doc_id, _score, _noise and _good of every row, the models, the sampling step, and the key from
+    which rows are kept.
 
     The number to keep is how many rows score over the cut that labelled rows show; Gumbel top-k
-    then samples so many rows without replacement, with chances as their importance weights. Rows
+    then samples so many rows without replacement, with chances as exp(score / step). The step is
+    the distance from the cut to the median of good labelled texts over ``steps``. Rows
     with equal ids and texts have equal keys and stay or go together. Null and blank texts score 0,
     as good as an average text. Without labels of both kinds all rows are kept.
     """
     rows = docs.withColumns({"doc_id": F.col(f"`{id_col}`"), "text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))})
     rows = labelled(rows.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    scored = Workspace(docs.sparkSession, "dsir").keep(with_scores(rows, model := fit(rows)).select("doc_id", "_score", "_key", "_good"), "scores")
+    scored = Workspace(docs.sparkSession, "dsir").keep(with_scores(rows, model := fit(rows), seed).select("doc_id", "_score", "_noise", "_good"), "scores")
     seen = scored.where("_good is not null").select("_score", "_good").toArrow()
     value, good = seen.column(0).to_numpy(), seen.column(1).to_numpy(zero_copy_only=False).astype(bool)
     cut = cut_score(value[good], value[~good])
-    return scored, model, kth_largest(scored, "_key", scored.where(F.col("_score") >= cut).count()) if np.isfinite(cut) else -np.inf
+    if not np.isfinite(cut):
+        return scored, model, 1.0, -np.inf
+    step = max((float(np.median(value[good])) - cut) / steps, 1e-9)
+    return scored, model, step, kth_largest(scored.withColumn("_key", key_of(step)), "_key", scored.where(F.col("_score") >= cut).count())
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, log_weight, resample_key and kept for every row; see ``classify``."""
-    scored, _, cut = classify(docs, labels, id_col=id_col, text_col=text_col)
-    return scored.select("doc_id", F.col("_score").alias("log_weight"), F.col("_key").alias("resample_key"), (F.col("_key") >= F.lit(float(cut))).alias("kept"))
+    scored, _, step, least = classify(docs, labels, id_col=id_col, text_col=text_col, **options)
+    key = key_of(step)
+    return scored.select("doc_id", (F.col("_score") / F.lit(float(step))).alias("log_weight"), key.alias("resample_key"), (key >= F.lit(float(least))).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that ``classify`` keeps, in their own columns."""
-    _, model, cut = classify(docs, labels)
+    _, model, step, least = classify(docs, labels)
     plain = with_row(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = with_scores(labelled(plain, labels.select("doc_id", "quality")), model)
-    return row_back(rows.where(F.col("_key") >= F.lit(float(cut))), docs)
+    return row_back(rows.where(key_of(step) >= F.lit(float(least))), docs)
