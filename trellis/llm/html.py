@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -234,17 +236,19 @@ def _own(x: str, cut: np.ndarray) -> str:
     return " ".join(w for w, c in zip(re.findall(r"[^\x20\x09-\x0D]+", x), cut, strict=True) if not c) if cut.any() else x
 
 
-def _text(b: list[str], kinds: list[int], often: np.ndarray, most: np.ndarray) -> tuple[str, int]:
-    """(main text, tokens removed as boilerplate) of a page; ``often`` and ``most`` say for each block's
-    tokens whether a run over them stands on PAGES pages, or on most of its host's too.
+def _text(b: list[str], kinds: list[int], ends: np.ndarray | None, often: np.ndarray, most: np.ndarray) -> tuple[str, int]:
+    """(main text, tokens removed as boilerplate) of a page; ``often`` and ``most`` say for each token
+    whether a run over it stands on PAGES pages, or on most of its host's too. ``ends`` has where each
+    block's tokens start, and the end; without it nothing is repeated.
 
     With an article, its blocks stay but for what stands on most pages of the host, and those that the
     markup calls in question but for what stands on PAGES pages. Without one, what stands on PAGES pages
     goes. A page that would lose all of its text, or most of an article, is a copy and stays whole.
     """
     has = any(k != OUTSIDE for k in kinds)
-    ends = np.cumsum([0, *[len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in b]])
     on = [i for i, k in enumerate(kinds) if k != OUTSIDE or not has]
+    if ends is None:
+        return "\n".join(b[i] for i in on), 0
     unsure = {i: often[ends[i] : ends[i + 1]] for i in on if kinds[i] == UNSURE}
     plain = {i: (most if has else often)[ends[i] : ends[i + 1]] for i in on if kinds[i] != UNSURE}
     size, gone = sum(map(len, plain.values())), sum(int(c.sum()) for c in plain.values())
@@ -262,9 +266,11 @@ def _least(pages: int) -> int:
 
 def _texts(found: list[tuple[list[str], list[int]]], often: np.ndarray, most: np.ndarray, starts: np.ndarray) -> list[tuple[str, int]]:
     out, at = [], 0
+    some = np.cumsum(np.append(0, often | most))
     for b, kinds in found:
-        i, j = starts[at], starts[at + len(b)]
-        out.append(_text(b, kinds, often[i:j], most[i:j]))
+        ends = starts[at : at + len(b) + 1]
+        i, j = ends[0], ends[-1]
+        out.append(_text(b, kinds, ends - i if some[j] > some[i] else None, often[i:j], most[i:j]))
         at += len(b)
     return out
 
@@ -277,33 +283,31 @@ def main_texts(htmls: list[str | None]) -> list[tuple[str, int]]:
     return _texts(found, *[_covered(np.flatnonzero(pages >= n), len(tokens), RUN) for n in (PAGES, _least(len(htmls)))], starts)
 
 
-def _rows(batch) -> list[dict]:
-    return batch.to_pylist()
+def _held(found: list[tuple[str, int]]) -> bytes:
+    """The blocks of a page for the way through shuffles and files: texts of a host are much alike in
+    bytes, so they travel packed."""
+    return zlib.compress(json.dumps([[x for x, _ in found], [k for _, k in found]], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+
+
+def _found(page: dict) -> tuple[list[str], list[int]]:
+    b, kinds = json.loads(zlib.decompress(page["held"]).decode("utf-8", "surrogatepass"))
+    return b, kinds
 
 
 def _parse(batches):
     for batch in batches:
-        found = [blocks(h.as_py() or "") for h in batch.column(2)]
-        cols = [batch.column(i) for i in (0, 1, 3, 4, 5, 6)]
-        cols += [pa.array([[x for x, _ in b] for b in found], pa.list_(pa.string())), pa.array([[k for _, k in b] for b in found], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "_host", "_b", "_shard", "_alone", "texts", "kinds"])
+        cols = [batch.column(i) for i in (0, 1, 3, 4, 5, 6)] + [pa.array([_held(blocks(h.as_py() or "")) for h in batch.column(2)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "_host", "_b", "_shard", "_alone", "held"])
 
 
-_STACK = "_host string, _b int, _shard int, _alone boolean, pages array<struct<page_id:long,url:string,texts:array<string>,kinds:array<int>>>, local array<long>, asks boolean, n long"
+_STACK = "_host string, _b int, _shard int, _alone boolean, pages array<struct<page_id:long,url:string,held:binary>>, local array<long>, asks boolean, n long"
 _STACK_TYPE = pa.schema([
     ("_host", pa.string()), ("_b", pa.int32()), ("_shard", pa.int32()), ("_alone", pa.bool_()),
-    ("pages", pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("texts", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))]))),
+    ("pages", pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("held", pa.binary())]))),
     ("local", pa.list_(pa.int64())), ("asks", pa.bool_()), ("n", pa.int64()),
 ])
 
 
-def _by_pages(pages: list[dict], least: int) -> np.ndarray:
-    """Hashes of the runs that ``least`` of these pages hold."""
-    tokens, page, _ = _streams([p["texts"] for p in pages])
-    w, n = _page_counts(tokens, page)
-    return w[n >= least]
-
-
 def _page_counts(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs and the distinct pages that hold each."""
     at, code = windows(tokens, page)
@@ -318,10 +322,14 @@ def _stack(table: pa.Table) -> pa.Table:
     on that share of the host's pages is on that share of some shard's, so no other run can be."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"] is None, r["url"] or ""))
     first = rows[0]
-    pages = [{c: r[c] for c in ("page_id", "url", "texts", "kinds")} for r in rows]
-    asks = any(UNSURE in p["kinds"] or p["kinds"] and max(p["kinds"]) == OUTSIDE for p in pages)
-    local = [] if first["_alone"] else _by_pages(pages, int(np.ceil(MOST_PAGES * len(pages)))).tolist()
-    out = {k: first[k] for k in ("_host", "_b", "_shard", "_alone")} | {"pages": pages, "local": local, "asks": asks, "n": len(pages)}
+    pages = [{c: r[c] for c in ("page_id", "url", "held")} for r in rows]
+    found = [_found(p) for p in pages]
+    asks = any(UNSURE in kinds or kinds and max(kinds) == OUTSIDE for _, kinds in found)
+    local = np.zeros(0, np.int64)
+    if not first["_alone"]:
+        w, n = _page_counts(*_streams([b for b, _ in found])[:2])
+        local = w[n >= np.ceil(MOST_PAGES * len(pages))]
+    out = {k: first[k] for k in ("_host", "_b", "_shard", "_alone")} | {"pages": pages, "local": local.tolist(), "asks": asks, "n": len(pages)}
     return pa.Table.from_pylist([out], schema=_STACK_TYPE)
 
 
@@ -337,8 +345,8 @@ def _answer(pages: list[dict], got: list[tuple[str, int]]) -> pa.RecordBatch:
 def _alone(batches):
     """Pages of hosts that are one shard: the suffix array decides there."""
     for batch in batches:
-        for r in _rows(batch):
-            found = [(p["texts"], p["kinds"]) for p in r["pages"]]
+        for r in batch.to_pylist():
+            found = [_found(p) for p in r["pages"]]
             tokens, page, starts = _streams([b for b, _ in found])
             pages = run_pages(tokens, page)
             yield _answer(r["pages"], _texts(found, *[_covered(np.flatnonzero(pages >= n), len(tokens), RUN) for n in (PAGES, _least(len(found)))], starts))
@@ -350,9 +358,8 @@ def _run_rows(pick):
 
     def run(batches):
         for batch in batches:
-            for r in _rows(batch):
-                tokens, page, _ = _streams([p["texts"] for p in r["pages"]])
-                w, n = pick(r, *_page_counts(tokens, page))
+            for r in batch.to_pylist():
+                w, n = pick(r, *_page_counts(*_streams([_found(p)[0] for p in r["pages"]])[:2]))
                 yield pa.RecordBatch.from_arrays([pa.array([r["_host"]] * len(w), pa.string()), pa.array([r["_shard"]] * len(w), pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["_host", "_shard", "w", "n"])
 
     return run
@@ -361,11 +368,14 @@ def _run_rows(pick):
 def _cut(batches):
     """Pages of a shard without the runs that its host holds often, or on most pages."""
     for batch in batches:
-        for r in _rows(batch):
-            found = [(p["texts"], p["kinds"]) for p in r["pages"]]
+        for r in batch.to_pylist():
+            found = [_found(p) for p in r["pages"]]
+            often, most = (np.array(r[c] or [], np.int64) for c in ("often", "most"))
+            if not len(often) + len(most):
+                yield _answer(r["pages"], [_text(b, kinds, None, often, most) for b, kinds in found])
+                continue
             tokens, page, starts = _streams([b for b, _ in found])
             at, code = windows(tokens, page)
-            often, most = (np.array(r[c] or [], np.int64) for c in ("often", "most"))
             yield _answer(r["pages"], _texts(found, *[_covered(at[np.isin(code, x)], len(tokens), RUN) for x in (np.concatenate([often, most]), most)], starts))
 
 
@@ -432,7 +442,7 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = rows.withColumns({"_host": host, "_b": bucket}).join(F.broadcast(many), "_b", "left")
     shard = F.when(F.col("_shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
     dealt = dealt.select("page_id", "url", "html", "_host", "_b", shard.alias("_shard"), F.col("_shards").isNull().alias("_alone"))
-    parsed = dealt.mapInArrow(_parse, "page_id long, url string, _host string, _b int, _shard int, _alone boolean, texts array<string>, kinds array<int>")
+    parsed = dealt.mapInArrow(_parse, "page_id long, url string, _host string, _b int, _shard int, _alone boolean, held binary")
     shards = work.keep(parsed.groupBy("_host", "_shard").applyInArrow(_stack, _STACK), "shards")
     alone = shards.where("_alone").select("pages").mapInArrow(_alone, _OUT)
     return alone.unionByName(_large(work, shards.where("not _alone")))
