@@ -222,6 +222,39 @@ def test_mix(spark, odd, none):
     assert words == sum(r.taken for r in got) and untouched(mixed)
 
 
+@pytest.mark.parametrize("low", [0.25, 0.002])
+def test_mix_against_brute_force(spark, low):
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.integers(0, 30)), None, str(rng.choice(["a", "b", "c"])) if i % 9 else None) for i in range(500)] + [(7, "w w w", None, "a")] * 3
+    weight = {i: low if i % 3 else 1.0 for i in range(400)}
+    weights = spark.createDataFrame(list(weight.items()), "doc_id long, weight double")
+    df = docs(spark, rows)
+    got = mixing.mix(df, quality=weights, budget=0.8).toPandas()
+    ties = {(r.doc_id, r.text): r.tie for r in df.select("doc_id", "text", mixing.tie_of("doc_id", 0).alias("tie")).collect()}
+    goal = {r.source: (r.target, r.source_size) for r in got.itertuples()}
+    want = []
+    for source, (target, size) in goal.items():
+        mine = [(i, t) for i, t, _, s in rows if s == source or s is None and source is None]
+        assert size == sum(t.count("w") for _, t in mine)
+        key = lambda x: (-np.log((ties[x] % (1 << 52) + 0.5) / (1 << 52)) / weight.get(x[0], 1.0), ties[x])
+        epochs, left = int(target // size), round(target - target // size * size)
+        for x in sorted(mine, key=key):
+            n = x[1].count("w")
+            part = min(n, left)
+            left -= part
+            want.append((x[0], n, epochs * n + part))
+    assert sorted(want) == sorted(got[["doc_id", "size", "taken"]].itertuples(index=False, name=None))
+
+
+def test_ranges_are_even_whatever_the_weights(spark):
+    df = spark.range(200_000).withColumn("_q", F.when(F.col("id") % 10 < 7, 1e-4).when(F.col("id") % 10 < 9, 0.3).otherwise(50.0))
+    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    key = -F.log(u) / F.col("_q")
+    rows = df.select(key.alias("k"), mixing.key_ranges(df, key).alias("step")).toPandas()
+    assert rows.step.value_counts().max() < 130 and rows.step.nunique() > 4000  # 49 on average
+    assert rows.sort_values("k").step.is_monotonic_increasing
+
+
 def test_better_documents_come_sooner(spark):
     rows = [(i, "w " * 10, None, "a" if i < 400 else "b") for i in range(800)]
     weights = spark.createDataFrame([(i, 5.0 if i % 2 else 0.2) for i in range(800)], "doc_id long, weight double")

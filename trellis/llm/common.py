@@ -209,19 +209,18 @@ def components(edges: DataFrame, work: Workspace, most: int = FOREST_EDGES) -> D
 # ---------------------------------------------------------------- prefix sums over a hot key
 
 
-def boundary_sums(df: DataFrame, group: str, key: str, size: str, steps: int = 4096) -> DataFrame:
-    """Add ``before``: the sum of ``size`` over the rows of a group that come earlier by (key, tie).
+def boundary_sums(df: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
+    """Add ``before``: the sum of ``size`` over the rows of a group that come earlier by ``order``.
 
-    ``key`` lies in [0, 1]. Rows fall into ``steps`` ranges of the key; range totals are prefix-summed
-    (groups x steps rows), and only rows of one range are sorted together, so a hot group is never one
-    task. ``df`` needs a column ``tie`` that orders equal keys.
+    ``df`` has a column ``step``, the number of a row's range, which never falls as ``order`` rises.
+    Range totals are prefix-summed (groups x ranges rows), and only rows of one range are sorted
+    together, so a hot group is never one task if its rows are spread over ranges.
     """
     from pyspark.sql import Window as W
 
-    ranged = df.withColumn("_step", F.least(F.floor(F.col(key) * steps), F.lit(steps - 1)).cast("int"))
-    totals = ranged.groupBy(group, "_step").agg(F.sum(size).alias("_sum"))
-    w = W.partitionBy(group).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(F.col(group).alias("_g"), F.col("_step").alias("_s"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
-    own = W.partitionBy(group, "_step").orderBy(key, "tie").rowsBetween(W.unboundedPreceding, -1)
-    rows = ranged.withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0)))
-    return rows.join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_step") == F.col("_s")), "left").withColumn("before", F.col("_base") + F.col("_own")).drop("_g", "_s", "_base", "_own", "_step")
+    totals = df.groupBy(group, "step").agg(F.sum(size).alias("_sum"))
+    w = W.partitionBy(group).orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select(F.col(group).alias("_g"), F.col("step").alias("_s"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
+    own = W.partitionBy(group, "step").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0)))
+    return rows.join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("step") == F.col("_s")), "left").withColumn("before", F.col("_base") + F.col("_own")).drop("_g", "_s", "_base", "_own", "step")
