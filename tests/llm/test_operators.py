@@ -99,6 +99,34 @@ def test_bayes_bounds():
     assert minhash.linked(np.arange(3, dtype=np.uint64), np.arange(4, dtype=np.uint64)) and not minhash.linked(np.arange(2, dtype=np.uint64), np.arange(3, dtype=np.uint64))
 
 
+def test_chance_to_miss_a_pair_at_the_bound():
+    """Over all batches, by the exact distribution of equal hashes at similarity 0.75."""
+    from math import comb
+
+    step = np.array([comb(minhash.BATCH, k) * 0.75**k * 0.25 ** (minhash.BATCH - k) for k in range(minhash.BATCH + 1)])
+    live, missed = np.array([1.0]), 0.0
+    for n in sorted(minhash._BOUNDS):
+        live = np.convolve(live, step)
+        missed += live[: minhash._BOUNDS[n]].sum()
+        live[: minhash._BOUNDS[n]] = 0
+    assert missed <= minhash.MISS
+
+
+def test_long_texts_in_a_bucket(spark, monkeypatch):
+    """Blocks are bounded by the bytes of their sets too."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 16)
+    rng, rows = np.random.default_rng(6), []
+    base = [f"w{x}" for x in rng.integers(0, 99_999, 6000)]
+    for i in range(24):
+        words = list(base)
+        for at in rng.choice(6000, 12 * i, replace=False):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words), None, None))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    comp = brute_components(sets([r[1] for r in rows]))
+    assert got == {i: min(j for j in range(24) if comp[j] == c) for i, c in enumerate(comp)} and len(set(comp)) > 1
+
+
 def test_components_beyond_one_task(spark):
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(200) if i % 20 != 19]
     df = spark.createDataFrame(edges, "u string, v string")

@@ -20,8 +20,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Chance to prune a pair whose similarity reaches the bound, over all batches.
 MISS = 1e-5
-#: Classes of one bucket that are compared as one block.
-BLOCK = 512
+#: Classes of one bucket that are compared as one block, and bytes of their shingle sets on average.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Locators that may be broadcast to fetch texts again; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -79,8 +79,9 @@ def least_matches(upto: int, bound: float = LEAST / OF, miss: float = MISS) -> i
     return upto
 
 
-#: The fewest equal hashes after each batch.
-_BOUNDS = {n: least_matches(n) for n in range(BATCH, HASHES + 1, BATCH)}
+#: The fewest equal hashes after each batch. Each batch has half its part of the chance, since the
+#: posterior's tail understates how often a pair at the bound itself falls short.
+_BOUNDS = {n: least_matches(n, miss=MISS * BATCH / HASHES / 2) for n in range(BATCH, HASHES + 1, BATCH)}
 
 
 def surviving(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +231,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = work.keep(band.join(shared, "bkey").distinct(), "members")
     star = members.where("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = members.select("cls").distinct()
-    classes = work.keep(table.select("cls", "loc", "sig").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("loc", "sig")).alias("x")).select("cls", "x.loc", "x.sig"), "classes")
+    # one row a class before rows move: copies merge where they are read
+    single = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("loc", "sig")).alias("x")).select("cls", "x.loc", "x.sig")
+    classes = work.keep(single.join(wanted, "cls", "left_semi"), "classes")
     by = lambda side: classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}"))
     pairs = work.keep(star.join(by("a"), "a").join(by("b"), "b").mapInPandas(_prune, "a string, b string, equal int"), "survivors")
 
@@ -289,20 +292,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         split = comp.groupBy("bkey").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2")
         return work.keep(comp.join(split.select("bkey", "_n"), "bkey"), "split")
 
-    def blocks(rows: DataFrame, each: int, more: str = "") -> DataFrame:
+    def blocks(rows: DataFrame, chunks: F.Column, more: str = "") -> DataFrame:
         """Two blocks of a bucket's members side by side, every two of them once."""
-        packed = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("_n") / each)).cast("int")).drop("_n").groupBy("bkey", "chunk").applyInPandas(_pack, "bkey long, chunk int, cls array<string>, comp array<string>, sigs binary" + more)
+        packed = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(chunks)).cast("int")).drop("_n", "_bytes").groupBy("bkey", "chunk").applyInPandas(_pack, "bkey long, chunk int, cls array<string>, comp array<string>, sigs binary" + more)
         packed = work.keep(packed, "blocks")
         other = packed.select(F.col("bkey").alias("_bkey"), *[F.col(c).alias(f"{c}_b") for c in packed.columns if c != "bkey"])
         return packed.join(other, (F.col("bkey") == F.col("_bkey")) & (F.col("chunk") <= F.col("chunk_b"))).drop("_bkey")
 
     left = placed().join(classes.select("cls", "sig"), "cls")
-    concerned = work.keep(blocks(left, BLOCK).mapInPandas(_concerned, "bkey long, cls string").distinct(), "concerned")
+    concerned = work.keep(blocks(left, F.col("_n") / BLOCK).mapInPandas(_concerned, "bkey long, cls string").distinct(), "concerned")
     if not concerned.isEmpty():
         sets = fetch(concerned.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-        sizes = concerned.groupBy("bkey").agg(F.count("*").alias("_n"))
-        held = left.drop("_n").join(concerned, ["bkey", "cls"]).join(sizes, "bkey").join(sets, "cls")
-        done = work.keep(blocks(held, BLOCK // 2, ", sets array<binary>").mapInPandas(_join_across, "a string, b string, ok boolean"), "joined")
+        held = left.drop("_n").join(concerned, ["bkey", "cls"]).join(sets, "cls")
+        sizes = concerned.join(sets.select("cls", F.length("shingles").alias("_b")), "cls").groupBy("bkey").agg(F.count("*").alias("_n"), F.sum("_b").alias("_bytes"))
+        chunks = F.greatest(F.col("_n") / (BLOCK // 2), F.col("_bytes") / BLOCK_BYTES)
+        done = work.keep(blocks(held.join(sizes, "bkey"), chunks, ", sets array<binary>").mapInPandas(_join_across, "a string, b string, ok boolean"), "joined")
         tested = done if tested is None else tested.unionByName(done)
         roots = join_up()
 
