@@ -134,8 +134,8 @@ def test_needles(spark):
     texts = spark.createDataFrame([(1, "abcabc xyz"), (2, None), (3, "")], "id long, t string")
     needles = spark.createDataFrame([(10, "abc"), (11, "c x"), (12, "abc"), (13, ""), (14, None)], "n long, w string")
     assert sorted(map(tuple, joins.contains_any(texts, "id", "t", needles, "n", "w").collect())) == [(1, 10), (1, 11), (1, 12)]
-    with pytest.raises(ValueError):
-        joins.contains_any(texts, "id", "t", needles, "n", "w", most=2)
+    for most in (1, 2):  # several automata give the same pairs
+        assert sorted(map(tuple, joins.contains_any(texts, "id", "t", needles, "n", "w", most=most).collect())) == [(1, 10), (1, 11), (1, 12)]
     assert joins.contains_any(texts, "id", "t", needles.limit(0), "n", "w").count() == 0
 
 

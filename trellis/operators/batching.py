@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sampling import hash_key
+
 
 def differencing(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
     """k parts of nearly equal sum by the largest differencing method (Karmarkar and Karp, 1982).
@@ -85,18 +87,31 @@ def length_grouped(df: DataFrame, key: str, length: str, size: int, windows: int
     length (longest first) and cut into batches. Windows are hash ranges, so no task sorts all rows."""
     total = df.count()
     n = max(1, -(-total // (size * windows)))
-    held = df.withColumn("_w", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)))
+    held = df.withColumn("_w", F.pmod(F.conv(F.substring(hash_key(seed, key), 1, 8), 16, 10).cast("long"), F.lit(n)))
     rank = F.row_number().over(W.partitionBy("_w").orderBy(F.desc(length), key)) - 1
     return held.withColumn("batch", F.concat_ws("-", F.col("_w").cast("string"), F.floor(rank / size).cast("string"))).drop("_w")
 
 
 def resample(df: DataFrame, group: str, key: str, weight: str, draws: int, seed: int) -> DataFrame:
     """``draws`` rows a group with replacement, with chances as their weights (at least 1e-8): uniform
-    numbers from a hash fall between prefix sums, a range join within the group."""
-    w = W.partitionBy(group).orderBy(key)
-    x = F.greatest(F.abs(weight), F.lit(1e-8))
-    held = df.withColumn("_hi", F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(x).over(W.partitionBy(group)))
-    held = held.withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("draw")), F.lit(1 << 30)) + F.lit(0.5)) / float(1 << 30)
-    ask = df.select(group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_u", u)
-    return ask.join(held, group).where("_u >= _lo and _u < _hi").drop("_u", "_lo", "_hi")
+    numbers from a hash fall between prefix sums.
+
+    Rows lie in the order of a hash of their key, in ranges by its prefix. A draw first finds its range
+    among a group's range totals, then its row inside the range, so that no task sorts or scans a
+    whole group.
+    """
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    held = df.withColumn("_x", F.greatest(F.abs(weight), F.lit(1e-8)).cast("double")).withColumn("_d", digest).withColumn("_step", F.substring("_d", 1, 3))
+    w = W.partitionBy("_g").orderBy("_at")
+    sums = held.groupBy(F.col(group).alias("_g"), F.col("_step").alias("_at")).agg(F.sum("_x").alias("_sum"))
+    upto = F.sum("_sum").over(w.rowsBetween(W.unboundedPreceding, 0))
+    sums = sums.withColumns({"_from": upto - F.col("_sum"), "_upto": upto, "_all": F.sum("_sum").over(W.partitionBy("_g"))})
+    u = (F.conv(F.substring(hash_key(seed, group, "draw"), 1, 8), 16, 10).cast("long") + F.lit(0.5)) / float(1 << 32)
+    ask = held.select(group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_u", u)
+    ask = ask.join(sums, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_t", F.col("_u") * F.col("_all")).where("_t >= _from and _t < _upto")
+    ask = ask.select(F.col("_g").alias("_gg"), F.col("_at"), "_from", "_t", "draw")
+    own = W.partitionBy(group, "_step").orderBy("_d", key).rowsBetween(W.unboundedPreceding, 0)
+    rows = held.withColumns({"_hi": F.sum("_x").over(own), "_last": F.lead("_x").over(W.partitionBy(group, "_step").orderBy("_d", key)).isNull()})
+    found = rows.join(ask, F.col(group).eqNullSafe(F.col("_gg")) & (F.col("_step") == F.col("_at")))
+    found = found.where((F.col("_t") - F.col("_from") >= F.col("_hi") - F.col("_x")) & ((F.col("_t") - F.col("_from") < F.col("_hi")) | F.col("_last")))  # the last takes what rounding leaves
+    return found.select("draw", *df.columns)

@@ -66,11 +66,11 @@ def terminal_reward(c: dict[str, Column]) -> dict[str, Column]:
 
 
 def masked_moments(df: DataFrame, value: str, mask: str, group: list[str]) -> DataFrame:
-    """Masked sum, mean (over the mask's sum + 1e-8) and Bessel variance (null under two values)."""
+    """Masked sum, mean (over the mask's sum + 1e-8) and Bessel variance (null under two values) for masks
+    of 0 and 1; the variance is updated around running means, so that it doesn't cancel."""
     m, v = F.col(mask), F.col(value)
-    out = df.groupBy(*group).agg(F.sum(m).alias("n"), F.sum(v * m).alias("masked_sum"), F.sum(v * v * m).alias("_sq"))
-    mean = F.col("masked_sum") / (F.col("n") + 1e-8)
-    return out.select(*group, "n", "masked_sum", mean.alias("masked_mean"), F.when(F.col("n") > 1, (F.col("_sq") - F.col("masked_sum") * F.col("masked_sum") / F.col("n")) / (F.col("n") - 1)).alias("masked_var"))
+    n, total = F.sum(m), F.sum(v * m)
+    return df.groupBy(*group).agg(n.alias("n"), total.alias("masked_sum"), (total / (n + 1e-8)).alias("masked_mean"), F.when(n > 1, F.var_samp(F.when(m > 0, v))).alias("masked_var"))
 
 
 def aggregate_loss(df: DataFrame, row: str, loss: str, mask: str, mode: str, horizon: float = 1.0) -> DataFrame:

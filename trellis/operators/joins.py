@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Needles that one automaton may hold; more are refused.
+#: Needles that one automaton holds on average; more are several automata, one after the other.
 NEEDLES = 100_000
 NEEDLE_TYPES = {"bigint": pa.int64, "int": pa.int32, "string": pa.string}
 
@@ -21,16 +21,25 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> tupl
 def contains_any(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, *, most: int = NEEDLES) -> DataFrame:
     """(key, needle key) of each text and each needle that it holds as it stands, once a pair.
 
-    Needles are a checked bounded table, made into one automaton that every text is read by once: the
-    cost is the texts' length, not texts times needles, and no pair is compared. Null texts and null or
-    empty needles match nothing.
+    Needles are made into automata that every text is read by once each: the cost is the texts' length
+    and not texts times needles, and no pair is compared. One automaton holds about ``most`` needles,
+    chosen by the hash of their key, so that what a worker holds is bounded; beyond that the texts are read again
+    for each part. Null texts and null or empty needles match nothing.
     """
-    rows = needles.where(F.length(needle) > 0).select(needle_key, needle).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many needles for one automaton")
+    held = needles.where(F.length(needle) > 0).select(needle_key, needle)
+    n = -(-held.count() // most)
+    out = None
+    for k in range(max(n, 1)):
+        part = held if n <= 1 else held.where(F.pmod(F.xxhash64(F.col(needle_key)), F.lit(n)) == k)
+        found = _contains(texts, key, text, part, needle_key)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _contains(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str) -> DataFrame:
     kinds = dict(texts.dtypes) | dict(needles.dtypes)
     words: dict[str, list] = {}
-    for k, w in rows:
+    for k, w in needles.collect():
         words.setdefault(w, []).append(k)
     shared = texts.sparkSession.sparkContext.broadcast(words)
 

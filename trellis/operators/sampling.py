@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import ranked
+
 
 def hash_key(seed: int | str, *cols: str) -> Column:
     """Hex sha256 of seed:col:col..., the order in which strata are drawn."""
@@ -13,7 +15,9 @@ def hash_key(seed: int | str, *cols: str) -> Column:
 
 
 def hash_rank(df: DataFrame, stratum: str, key: str, seed: int | str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(stratum).orderBy(hash_key(seed, stratum, key), key)))
+    """Add rank, from 1, in each stratum by hash: a stratum's rows are ranked in ranges of the hash, so a
+    large one is many tasks."""
+    return ranked(df, [stratum], hash_key(seed, stratum, key), [F.col(key)], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def quotas(sizes: DataFrame, stratum: str, size: str, total: int) -> DataFrame:
@@ -30,13 +34,20 @@ def quotas(sizes: DataFrame, stratum: str, size: str, total: int) -> DataFrame:
 def stratified(df: DataFrame, stratum: str, key: str, total: int, seed: int | str) -> DataFrame:
     """``total`` rows with largest-remainder quotas, the first of each stratum by hash."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
-    return hash_rank(df, stratum, key, seed).join(F.broadcast(quotas(sizes, stratum, "_size", total).select(stratum, "quota")), stratum).where(F.col("rank") <= F.col("quota"))
+    return hash_rank(df, stratum, key, seed).join(quotas(sizes, stratum, "_size", total).select(stratum, "quota"), stratum).where(F.col("rank") <= F.col("quota"))
 
 
 def fraction(df: DataFrame, stratum: str, key: str, share: float, seed: int | str) -> DataFrame:
     """The first max(1, floor(n * share)) rows of each stratum by hash."""
-    n = F.count("*").over(W.partitionBy(stratum))
-    return hash_rank(df, stratum, key, seed).withColumn("_n", n).where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n")
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    held = hash_rank(df, stratum, key, seed).join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    return held.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_s")
+
+
+def share_split(df: DataFrame, digest: Column, key: str, share: float) -> DataFrame:
+    """Add split: train for the first floor(n * share) rows by ``digest``, then key; test for the rest."""
+    n = df.count()
+    return ranked(df, [], digest, [F.col(key)], "_rank").withColumn("split", F.when(F.col("_rank") < int(share * n), "train").otherwise("test")).drop("_rank")
 
 
 def group_split(df: DataFrame, group: str, seed: int | str, *, held_out: int, of: int) -> DataFrame:
@@ -47,14 +58,15 @@ def group_split(df: DataFrame, group: str, seed: int | str, *, held_out: int, of
 
 
 def length_buckets(df: DataFrame, group: str, length: str) -> DataFrame:
-    """short, mid or long by the order statistics at (n-1)//3 and min(n-1, 2n//3); ties are short."""
-    w = W.partitionBy(group)
-    by = w.orderBy(length)
-    n, at = F.count("*").over(w), F.row_number().over(by) - 1
-    held = df.withColumns({"_n": n, "_at": at})
-    low = F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) / 3), F.col(length))).over(w)
-    high = F.max(F.when(F.col("_at") == F.least(F.col("_n") - 1, F.floor(2 * F.col("_n") / 3)), F.col(length))).over(w)
-    return held.withColumn("bucket", F.when(F.col(length) <= low, "short").when(F.col(length) >= high, "long").otherwise("mid")).drop("_n", "_at")
+    """short, mid or long by the order statistics at (n-1)//3 and min(n-1, 2n//3); ties are short. Both are
+    read off a group's counts by length, so no task sorts a group's rows."""
+    sizes = df.where(F.col(length).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(length).alias("_l")).agg(F.count("*").alias("_c"))
+    w = W.partitionBy("_g")
+    sizes = sizes.withColumns({"_n": F.sum("_c").over(w), "_upto": F.sum("_c").over(w.orderBy("_l").rowsBetween(W.unboundedPreceding, 0))})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_l")))
+    edges = sizes.groupBy("_g").agg(at(F.floor((F.col("_n") - 1) / 3)).alias("_lo"), at(F.least(F.col("_n") - 1, F.floor(2 * F.col("_n") / 3))).alias("_hi"))
+    held = df.join(edges, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return held.withColumn("bucket", F.when(F.col(length) <= F.col("_lo"), "short").when(F.col(length) >= F.col("_hi"), "long").otherwise("mid")).drop("_g", "_lo", "_hi")
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def mask_until_end(tokens: Column, end: int) -> Column:
     """1 up to the first ``end`` and on it, 0 after."""
@@ -43,11 +45,10 @@ def place_last(size: Column, value: Column) -> Column:
 
 def repeat(df: DataFrame, key: str, n: int, *, interleave: bool = True) -> DataFrame:
     """Each row ``n`` times, with copy and position: aabb if ``interleave``, else abab."""
-    rid = F.row_number().over(W.orderBy(key)) - 1
-    total = F.count("*").over(W.partitionBy())
-    held = df.withColumns({"_rid": rid, "_n": total}).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    at = F.col("_rid") * n + F.col("copy") if interleave else F.col("copy") * F.col("_n") + F.col("_rid")
-    return held.withColumn("position", at).drop("_rid", "_n")
+    total = df.count()
+    held = numbered(df, key, "_rid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = F.col("_rid") * n + F.col("copy") if interleave else F.col("copy") * total + F.col("_rid")
+    return held.withColumn("position", at).drop("_rid")
 
 
 def chunks(df: DataFrame, array: str, size: int) -> DataFrame:
@@ -92,6 +93,6 @@ def pad_rows(df: DataFrame, key: str, divisor: int) -> DataFrame:
     if not missing:
         return held
     rounds = -(-missing // n)
-    first = df.withColumn("_rid", F.row_number().over(W.orderBy(key)) - 1).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    first = numbered(df, key, "_rid").where(F.col("_rid") < missing).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     again = first.where(F.col("_copy") * n + F.col("_rid") < missing).drop("_rid", "_copy")
     return held.unionByName(again.withColumn("is_pad", F.lit(True)))

@@ -130,16 +130,18 @@ def kl_controller(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('9:' || lang || ':' || doc_id), doc_id) <= floor(0.85 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents")
 def train_test_rows(spark, sf):
-    """By a share of ranks: the threshold hash is found by a top-k report, so no task ranks all rows."""
-    d = table(spark, sf, "documents").select("doc_id", sampling.hash_key(9, "lang", "doc_id").alias("h"))
-    n = d.count()
-    rest = n - int(0.85 * n)
-    last = d.orderBy(F.desc("h"), F.desc("doc_id")).limit(rest).agg(F.min(F.struct("h", "doc_id")).alias("x")).select("x.h", "x.doc_id").first()
-    late = (F.col("h") > last.h) | ((F.col("h") == last.h) & (F.col("doc_id") >= last.doc_id)) if rest else F.lit(False)
-    return d.select("doc_id", F.when(late, "test").otherwise("train").alias("split"))
+    return sampling.share_split(table(spark, sf, "documents").select("doc_id", "lang"), sampling.hash_key(9, "lang", "doc_id"), "doc_id", 0.85).select("doc_id", "split")
 
 
-@query()
+@query("""
+WITH g AS (SELECT lang, source, max(n_chars) AS n, lang || '::' || source AS key FROM documents GROUP BY lang, source),
+o AS (SELECT *, row_number() OVER (ORDER BY n) - 1 AS place, count(*) OVER () AS m FROM g),
+e AS (SELECT max(CASE WHEN place = (m - 1) // 3 THEN n END) AS lo, max(CASE WHEN place = least(m - 1, 2 * m // 3) THEN n END) AS hi FROM o),
+b AS (SELECT lang, source, n, key, CASE WHEN n <= lo THEN 'short' WHEN n >= hi THEN 'long' ELSE 'mid' END AS bucket FROM g, e),
+f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('env:20260801:' || lang || ':' || key), key) = 1 AS first FROM b),
+k AS (SELECT *, bucket IN (SELECT bucket FROM f WHERE first) AS have, row_number() OVER (PARTITION BY bucket, first ORDER BY sha256('bucket:20260801:' || bucket || ':' || key), key) = 1 AS by_bucket FROM f),
+s AS (SELECT *, CASE WHEN first THEN 0 WHEN NOT have AND by_bucket THEN 1 ELSE 2 END AS stage FROM k)
+SELECT lang, source, n, key, bucket, ['environment', 'length', 'extra'][stage + 1] AS reason FROM s ORDER BY stage, sha256('extra:20260801:' || key) LIMIT 10""")
 def validation_pick(spark, sf):
     g = table(spark, sf, "documents").groupBy("lang", "source").agg(F.max("n_chars").alias("n"))
     return sampling.pick_validation(g.withColumn("key", F.concat_ws("::", "lang", "source")), "lang", "key", "n", 10, 20260801)

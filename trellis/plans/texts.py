@@ -219,12 +219,19 @@ def micro_batches(spark, sf):
     return batching.micro_batches(d, "batch", "doc_id", "n_chars", 40000)
 
 
-@query()
+@query("""
+WITH h AS (SELECT doc_id, n_chars, CAST('0x' || substr(sha256('1:' || doc_id), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(count(*) OVER () / 400) AS BIGINT)) AS w FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n_chars DESC, doc_id) - 1 AS k FROM h)
+SELECT doc_id, n_chars, w || '-' || (k // 8) AS batch FROM r""")
 def length_grouped_batches(spark, sf):
     return batching.length_grouped(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id", "n_chars", 8, 50, 1)
 
 
-@query()
+@query("""
+WITH x AS (SELECT doc_id, lang, n_chars, CAST(greatest(abs(n_chars), 1e-8) AS DOUBLE) AS x, sha256(CAST(doc_id AS VARCHAR)) AS d FROM documents),
+s AS (SELECT *, sum(x) OVER (PARTITION BY lang ORDER BY d, doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(x) OVER (PARTITION BY lang) AS total FROM x),
+u AS (SELECT lang AS l, draw, (CAST('0x' || substr(sha256('3:' || lang || ':' || draw), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(range(1, 101)) AS draw))
+SELECT CAST(draw AS INT) AS draw, doc_id, lang, n_chars FROM s JOIN u ON lang = l AND u * total >= hi - x AND u * total < hi""")
 def weighted_resample(spark, sf):
     return batching.resample(_docs(spark, sf).select("doc_id", "lang", "n_chars"), "lang", "doc_id", "n_chars", 100, 3)
 
@@ -240,11 +247,6 @@ def keys_and_hashes(spark, sf):
     return _docs(spark, sf).select("doc_id", tx.task_key(F.col("lang"), F.col("doc_id")).alias("task_key"), tx.content_hash("lang", "doc_id").alias("h"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(left(text, 200)), '\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'")
-def normalized_prefix_key(spark, sf):
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", tx.normalise(F.substring("text", 1, 200)).alias("t"))
-
-
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS t FROM documents")
 def normalized_text(spark, sf):
     return _docs(spark, sf).select("doc_id", tx.normalise_folded(F.col("text")).alias("t"))
