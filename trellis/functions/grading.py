@@ -87,3 +87,59 @@ def answers_agree(given: Column, truth: Column, *, tolerance: float = 1e-4, perc
     each = F.forall(pairs, lambda p: _same_part(p["a"], p["b"], tolerance, percent))
     whole = _same_part(given, truth, tolerance, percent) | (latex_answer(given) == latex_answer(truth))
     return F.coalesce((F.trim(given) != "") & (whole | (listed & each)), F.lit(False))
+
+
+#: Units that a value may end in, and words that stand for powers of ten.
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
+POWERS = (("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
+_WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)$"
+
+
+def plain_value(c: Column) -> Column:
+    """A value without what doesn't change it: a text wrapper, dollar and percent signs, units, degree
+    signs, outer braces, thousands commas, case; 'or' and 'and' part a list, words are powers of ten, a
+    mixed number is a sum, and whole numbers lose their zeros. Nulls stay null."""
+    c = F.regexp_replace(c, r"^\\text\{(.+?)\}$", "$1")
+    c = F.regexp_replace(c, r"\\?[%$]", "")
+    c = F.regexp_replace(c, r" (or|and) ", " , ")
+    for word, power in POWERS:
+        c = F.replace(c, F.lit(word), F.lit(power))
+    for unit in UNITS:
+        c = F.regexp_replace(c, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
+    c = F.regexp_replace(c, r"\^ *\\circ", "")
+    c = F.regexp_replace(c, r"^\{(.*)\}$", "$1")
+    c = F.regexp_replace(c, r",\\! *", "")
+    c = F.regexp_replace(c, r"- *", "-")
+    c = F.lower(F.regexp_replace(c, r"([0-9]) +([0-9])", "$1+$2"))
+    bare = F.regexp_replace(F.trim(c), r"([0-9]),(?=[0-9]{3}([^0-9]|$))", "$1")
+    return F.when(bare.rlike(_WHOLE), F.round(bare.try_cast("decimal(38,9)")).cast("decimal(38,0)").cast("string")).otherwise(c)
+
+
+def marked_answer(text: Column, marks: tuple[str, ...] = ("Answer:", "answer is")) -> Column:
+    """What stands after the last of ``marks`` up to the end of its line, if that holds a digit, without a
+    full stop; null without one."""
+    pattern = "(?:" + "|".join(marks) + r")\s*:?\s*([^\n]*[0-9][^\n]*)"
+    got = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    return F.regexp_replace(F.trim(got), r"\.$", "")
+
+
+def matrix_parts(c: Column) -> Column:
+    r"""Rows of the entries of a LaTeX matrix (pmatrix, bmatrix or matrix), trimmed; null if it is none."""
+    body = F.nullif(F.regexp_extract(c, r"(?s)\\begin\{[pb]?matrix\}(.*)\\end\{[pb]?matrix\}", 1), F.lit(""))
+    return F.transform(F.split(body, r"\\\\"), lambda row: F.transform(F.split(row, "&"), F.trim))
+
+
+def graded(given: Column, truth: Column, *, tolerance: float = 1e-4) -> Column:
+    """Whether an answer is right: as ``answers_agree`` says, by plain values, by the entries of a matrix,
+    or part by part for tuples of plain values, where a fraction must be the same text and a whole
+    number needs a whole one. No text is evaluated."""
+    a, b = plain_value(given), plain_value(truth)
+    rows = F.arrays_zip(F.flatten(matrix_parts(given)).alias("a"), F.flatten(matrix_parts(truth)).alias("b"))
+    shape = F.transform(matrix_parts(given), F.size) == F.transform(matrix_parts(truth), F.size)
+    matrix = shape & F.forall(rows, lambda x: _same_part(x["a"], x["b"], tolerance, False))
+    inner = lambda x: F.transform(F.split(F.regexp_replace(x, r"^[(\[]|[)\]]$", ""), ","), F.trim)
+    tuples = a.rlike(r"^[(\[][^()\[\]]*[)\]]$") & b.rlike(r"^[(\[][^()\[\]]*[)\]]$") & (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.right(a, F.lit(1)) == F.right(b, F.lit(1))) & (F.size(inner(a)) == F.size(inner(b)))
+    exact = lambda x: x.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$") | x.rlike(_WHOLE)
+    each = F.forall(F.arrays_zip(inner(a).alias("a"), inner(b).alias("b")), lambda x: F.when(exact(x["b"]), x["a"] == x["b"]).otherwise(_same_part(x["a"], x["b"], tolerance, False)))
+    no, bare = (lambda x: F.coalesce(x, F.lit(False))), (lambda x: F.replace(x, F.lit(" "), F.lit("")))
+    return no(F.trim(given) != "") & (no(answers_agree(given, truth, tolerance=tolerance)) | no((bare(a) == bare(b)) & (a != "")) | no(matrix) | no(tuples & each))

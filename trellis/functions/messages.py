@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +112,70 @@ def passages(contents: Column) -> Column:
     body = lambda x: F.array_join(F.slice(split(x), 2, F.greatest(F.size(split(x)), F.lit(1))), "\n")
     texts = F.transform(contents, lambda x, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.element_at(split(x), 1), F.lit(")\n"), body(x), F.lit("\n\n")))
     return F.trim(F.regexp_replace(F.array_join(texts, ""), r"^\s+|\s+\z", ""))
+
+
+#: The public tool, what it and its parameters say, and where the public part of a reply ends.
+TOOL_NAME = "interact_with_env"
+TOOL_SAYS = (
+    "TravelGym public protocol: Search returns the complete candidate list; "
+    "Action gathers natural-language evidence without filtering; Answer submits "
+    "exactly one option ID visible in the current Search result."
+)
+CHOICE_SAYS = "Use search, action, or answer in the public protocol."
+CONTENT_SAYS = "Search query, natural-language evidence question, or exactly one visible option ID."
+CONTROL = "\n\nPublic control:"
+
+
+def tool_schema() -> list[dict]:
+    """The one tool of the public protocol."""
+    fields = {"choice": {"type": "string", "enum": ["search", "action", "answer"], "description": CHOICE_SAYS}, "content": {"type": "string", "description": CONTENT_SAYS}}
+    parameters = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    return [{"type": "function", "function": {"name": TOOL_NAME, "description": TOOL_SAYS, "parameters": parameters}}]
+
+
+def public_tools(schema: Column) -> Column:
+    """Tool schemas (JSON of one function or a list) whose public tool says what the protocol says; what is
+    no JSON, or no function, stays as it is. JSON of any shape has no column form, so this is an Arrow
+    function."""
+
+    def rewrite(text):
+        try:
+            parsed = json.loads(text)
+        except (TypeError, ValueError):
+            return text
+        tools = parsed if isinstance(parsed, list) else [parsed]
+        if not isinstance(parsed, dict | list):
+            return text
+        for tool in tools:
+            if isinstance(tool, dict) and tool.get("name") == TOOL_NAME:
+                tool["description"] = TOOL_SAYS
+                fields = tool.setdefault("parameters", {}).setdefault("properties", {})
+                for name, said in (("choice", CHOICE_SAYS), ("content", CONTENT_SAYS)):
+                    if isinstance(fields.get(name), dict):
+                        fields[name]["description"] = said
+        return json.dumps(parsed, ensure_ascii=False)
+
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(rewrite)
+
+    return F.pandas_udf(whole, "string")(schema)
+
+
+def public_reply(text: Column) -> Column:
+    """A reply up to its control block, trimmed."""
+    return F.trim(F.regexp_replace(F.substring_index(F.coalesce(text, F.lit("")), CONTROL, 1), r"^\s+|\s+\z", ""))
+
+
+def trajectory_chars(messages: Column) -> Column:
+    """Characters of all contents and reasonings of an array of messages (content, reasoning_content)."""
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    return F.aggregate(messages, F.lit(0), lambda a, m: a + size(m["content"]) + size(m["reasoning_content"]))
+
+
+def metric_name(name: Column, *, validation: bool = False) -> Column:
+    """A metric's name in its stable place: grpo/train/ or grpo/val/, without its old first part."""
+    bare = name
+    for old in ("training/", "val-core/", "val-aux/"):
+        bare = F.regexp_replace(bare, rf"^(.*?){old}(.*)$", "$1$2")
+    held = name.startswith("val") | name.startswith("smoke20/") | F.lit(validation)
+    return F.when(name.startswith("grpo/"), name).otherwise(F.concat(F.when(held, "grpo/val/").otherwise("grpo/train/"), bare))

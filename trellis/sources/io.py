@@ -74,3 +74,28 @@ def tree_digest(spark: SparkSession, path: str) -> str:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     one = files.select(F.sha2(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), F.sha2("content", 256)), 256).alias("h"), "path")
     return one.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"])), 256).alias("d")).first().d[:16]
+
+
+def rewrite_column(spark: SparkSession, path: str, target: str, column: str, change) -> int:
+    """Write the parquet table at ``path`` to ``target`` with ``change`` of a column, compressed by zstd;
+    the number of rows that change. Where none does, nothing is written: the table is as it should be."""
+    df = spark.read.parquet(path)
+    new = change(F.col(f"`{column}`"))
+    changed = df.where(~new.eqNullSafe(F.col(f"`{column}`"))).count()
+    if changed:
+        df.withColumn(column, new).write.mode("errorifexists").option("compression", "zstd").parquet(target)
+    return changed
+
+
+def with_row_index(df: DataFrame) -> DataFrame:
+    """A parquet table's rows with source_path (the file's name) and source_index (the row's place in it)."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    return df.select("*", name.alias("source_path"), F.col("_metadata.row_index").alias("source_index"))
+
+
+def at_places(manifest: DataFrame, rows: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows of ``rows`` (with source_path and source_index) at a manifest's places, with match: whether the
+    manifest's id (``own``) is the row's (``other``). A place without a row has match false."""
+    held = rows.withColumn("_id", F.col(other).cast("string"))
+    out = manifest.join(held.drop(*[c for c in held.columns if c in manifest.columns and c not in ("source_path", "source_index")]), ["source_path", "source_index"], "left")
+    return out.withColumn("match", F.coalesce(F.col(own).cast("string") == F.col("_id"), F.lit(False))).drop("_id")
