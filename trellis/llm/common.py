@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,24 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass covers; a longer document is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Edges that one task may hold in its union-find (16-byte keys: about 100 MB).
 FOREST_EDGES = 400_000
 
 
+_used: list[str] = []
+
+
 class Workspace:
     """Tables in the folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Where the setting is absent (tests on one machine) a folder beside the warehouse is set.
+    Results read these tables, so they stay until ``sweep``. Where the setting is absent, a local
+    session (as in tests) gets a folder beside its warehouse, and any other session an error: no
+    other folder is known to be shared.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         sc = spark.sparkContext
         root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
             sc.setCheckpointDir(root)
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
+        _used.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: lineage is cut and survives lost executors."""
@@ -39,6 +48,15 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables of all workspaces of this process, once what reads them is written; their number."""
+    n = 0
+    while _used:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_used.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 #: Holds a whole input row while other columns are worked on, so that names can't clash.
 ROW = "__row"
 
@@ -53,6 +71,29 @@ def row_back(df: DataFrame, like: DataFrame, **changed) -> DataFrame:
     return df.select(*[changed[c].cast(like.schema[c].dataType).alias(c) if c in changed else F.col(f"{ROW}.`{c}`").alias(c) for c in like.columns])
 
 
+# ---------------------------------------------------------------- memory of workers
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that idles after its task would keep it beside the
+    tasks of the JVM that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def trimmed(run):
+    """A function over batches that gives memory back when a partition is done."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 # ---------------------------------------------------------------- texts as arrays
 
 #: A multiplier that is odd, so that its powers have inverses modulo 2**64.
@@ -181,13 +222,13 @@ def components(edges: DataFrame, work: Workspace, most: int = FOREST_EDGES) -> D
     edges = work.keep(edges.select("u", "v").where("u <> v").distinct(), "edges")
     n = edges.count()
     while n > most:
-        less = work.keep(edges.repartition(-(-n // most)).mapInPandas(_forest_batches, "u string, v string").where("u <> v").distinct(), "forest")
+        less = work.keep(edges.repartition(-(-n // most)).mapInPandas(trimmed(_forest_batches), "u string, v string").where("u <> v").distinct(), "forest")
         m = less.count()
         if m > 0.6 * n:
             break
         edges, n = less, m
     if n <= most:
-        out = edges.coalesce(1).mapInPandas(_forest_batches, "u string, v string")
+        out = edges.coalesce(1).mapInPandas(trimmed(_forest_batches), "u string, v string")
         return work.keep(out.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
     seen = None
     while True:

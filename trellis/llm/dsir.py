@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, _STEP2, Workspace, mix64, row_back, run_hashes, text_slices, with_row
+from .common import _LOWER, _SPACE, _STEP2, Workspace, mix64, row_back, run_hashes, text_slices, trimmed, with_row
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model and the share to keep are fitted on, in expectation.
@@ -99,7 +99,7 @@ def labelled(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
 
 def fit(rows: DataFrame) -> Ratio:
     """Both models of ``rows`` (text, _good): raw counts cover all texts, target those that are good."""
-    got = rows.select("text", F.col("_good")).mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    got = rows.select("text", F.col("_good")).mapInArrow(trimmed(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix64, words
+from .common import Workspace, mix64, trimmed, words
 
 #: Tokens of the shortest run that counts as repeated, and distinct pages that must hold it.
 RUN, PAGES = 8, 3
@@ -416,7 +416,7 @@ def _large(work: Workspace, shards: DataFrame) -> DataFrame:
         counts = near.select(*key, "pages").mapInArrow(_run_rows(every), runs).groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
         own = asking.select(*key, "pages").mapInArrow(_run_rows(every), runs)
         done = to_shards(done, own.join(counts.select("_host", "w"), ["_host", "w"], "left_semi").select(*key, "w"), "often")
-    return done.select("pages", "often", "most").mapInArrow(_cut, _OUT)
+    return done.select("pages", "often", "most").mapInArrow(trimmed(_cut), _OUT)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = rows.withColumns({"_host": host, "_b": bucket}).join(F.broadcast(many), "_b", "left")
     shard = F.when(F.col("_shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
     dealt = dealt.select("page_id", "url", "html", "_host", "_b", shard.alias("_shard"), F.col("_shards").isNull().alias("_alone"))
-    parsed = dealt.mapInArrow(_parse, "page_id long, url string, _host string, _b int, _shard int, _alone boolean, held binary")
+    parsed = dealt.mapInArrow(trimmed(_parse), "page_id long, url string, _host string, _b int, _shard int, _alone boolean, held binary")
     shards = work.keep(parsed.groupBy("_host", "_shard").applyInArrow(_stack, _STACK), "shards")
-    alone = shards.where("_alone").select("pages").mapInArrow(_alone, _OUT)
+    alone = shards.where("_alone").select("pages").mapInArrow(trimmed(_alone), _OUT)
     return alone.unionByName(_large(work, shards.where("not _alone")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, text_slices
+from .common import buffers, text_slices, trimmed
 
 #: Bytes of context at most.
 ORDER = 3
@@ -137,7 +137,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         share = F.coalesce(F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(sample_texts / n))])[F.col("lang")], share)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = own.where(draw < share).select("text", "lang")
-    table = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.mapInArrow(trimmed(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         return None
     held = table.column("lang").combine_chunks().dictionary_encode()
@@ -181,4 +181,4 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(run, spec)
+    return rows.mapInArrow(trimmed(run), spec)

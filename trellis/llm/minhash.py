@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Workspace, components, mix64, row_back, text_slices, with_row, words
+from .common import ROW, Workspace, components, mix64, row_back, text_slices, trimmed, with_row, words
 
 WORDS = 5
 LEAST, OF = 75, 100
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     work = Workspace(spark, "minhash")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("loc"))
-    table = work.keep(rows.mapInArrow(_prepare, "doc_id long, loc long, cls string, n long, sig binary, keys array<long>"), "signatures")
+    table = work.keep(rows.mapInArrow(trimmed(_prepare), "doc_id long, loc long, cls string, n long, sig binary, keys array<long>"), "signatures")
 
     band = table.where("n > 0").select("cls", F.explode("keys").alias("bkey"))
     shared = band.groupBy("bkey").agg(F.min("cls").alias("rep"), F.max("cls").alias("_last")).where("rep <> _last").select("bkey", "rep")
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     single = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("loc", "sig")).alias("x")).select("cls", "x.loc", "x.sig")
     classes = work.keep(single.join(wanted, "cls", "left_semi"), "classes")
     by = lambda side: classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}"))
-    pairs = work.keep(star.join(by("a"), "a").join(by("b"), "b").mapInPandas(_prune, "a string, b string, equal int"), "survivors")
+    pairs = work.keep(star.join(by("a"), "a").join(by("b"), "b").mapInPandas(trimmed(_prune), "a string, b string, equal int"), "survivors")
 
     sets: DataFrame | None = None
 
@@ -245,12 +245,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         at = work.keep(classes.join(need, "cls", "left_semi").select("cls", "loc"), "wanted")
         hint = F.broadcast if at.count() <= BROADCAST_ROWS else (lambda x: x.hint("shuffle_hash"))
         found = rows.join(hint(at.select("loc").distinct()), "loc", "left_semi")
-        got = found.select("text").mapInArrow(_sets, "cls string, shingles binary")
+        got = found.select("text").mapInArrow(trimmed(_sets), "cls string, shingles binary")
         return work.keep(got.join(at.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
         side = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
-        return work.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a string, b string, ok boolean"), "checked")
+        return work.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(trimmed(_verify), "a string, b string, ok boolean"), "checked")
 
     roots: DataFrame | None = None
     tested: DataFrame | None = None
@@ -300,13 +300,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return packed.join(other, (F.col("bkey") == F.col("_bkey")) & (F.col("chunk") <= F.col("chunk_b"))).drop("_bkey")
 
     left = placed().join(classes.select("cls", "sig"), "cls")
-    concerned = work.keep(blocks(left, F.col("_n") / BLOCK).mapInPandas(_concerned, "bkey long, cls string").distinct(), "concerned")
+    concerned = work.keep(blocks(left, F.col("_n") / BLOCK).mapInPandas(trimmed(_concerned), "bkey long, cls string").distinct(), "concerned")
     if not concerned.isEmpty():
         sets = fetch(concerned.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
         held = left.drop("_n").join(concerned, ["bkey", "cls"]).join(sets, "cls")
         sizes = concerned.join(sets.select("cls", F.length("shingles").alias("_b")), "cls").groupBy("bkey").agg(F.count("*").alias("_n"), F.sum("_b").alias("_bytes"))
         chunks = F.greatest(F.col("_n") / (BLOCK // 2), F.col("_bytes") / BLOCK_BYTES)
-        done = work.keep(blocks(held.join(sizes, "bkey"), chunks, ", sets array<binary>").mapInPandas(_join_across, "a string, b string, ok boolean"), "joined")
+        done = work.keep(blocks(held.join(sizes, "bkey"), chunks, ", sets array<binary>").mapInPandas(trimmed(_join_across), "a string, b string, ok boolean"), "joined")
         tested = done if tested is None else tested.unionByName(done)
         roots = join_up()
 

@@ -282,7 +282,7 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> Field:
     """Potentials from all texts that hold a digit or an at sign. Counts are taken on the executors and
     summed; the driver gets one row for each shape and label."""
     some = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    got = some.mapInArrow(_tally, "what string, a long, b long, c long, n long").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    got = some.mapInArrow(trimmed(_tally), "what string, a long, b long, c long, n long").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     return Field(sorted((r.what, r.a, r.b, r.c, r.n) for r in got))
 
 
@@ -335,4 +335,4 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fie
     spec = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     # a text without a digit or an at sign has no span, so it needn't travel to Python
     text = F.when(F.col(f"`{text_col}`").rlike("[0-9@]"), F.col(f"`{text_col}`"))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, spec)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(trimmed(run), spec)
