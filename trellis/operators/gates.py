@@ -118,3 +118,20 @@ def task_keys(df: DataFrame, names: list[Column], env: Column, *, strict: bool =
     if strict:
         require_none(held.groupBy("task_key").agg(F.count("*").alias("n")).where("task_key is null or n > 1").orderBy("task_key"), "task keys are missing or repeated")
     return held
+
+
+def reward_signals(df: DataFrame, reward: str, valid: str) -> DataFrame:
+    """Add signal and invalid from text or number columns: a reward that is no finite number is 0 and
+    invalid, a missing validity counts as valid, and one that is no number or 0 is invalid. Lists of one
+    come unwrapped, as their element."""
+    number = lambda c: F.col(c).try_cast("double")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    value = number(reward)
+    good = F.when(F.col(valid).isNull(), True).otherwise(F.coalesce(number(valid) != 0, F.lit(False)))
+    return df.withColumns({"signal": F.when(finite(value), value).otherwise(0.0), "invalid": ~F.coalesce(finite(value), F.lit(False)) | ~good})
+
+
+def length_events(df: DataFrame, key: str, phase: Column, values: dict[str, Column]) -> DataFrame:
+    """(key, phase, name, value): one row for each length that is a number, in whole units."""
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), c.try_cast("double").cast("long").alias("value")) for n, c in sorted(values.items())])
+    return df.select(key, phase.alias("phase"), F.explode(rows).alias("x")).select(key, "phase", "x.*").where("value is not null")

@@ -187,3 +187,21 @@ def _is_short(text, most):
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN least(1.0, length(text) / 1000.0) WHEN 'fr' THEN CAST(length(text) < 1000 AS DOUBLE) END AS score FROM documents")
 def scores_by_source(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scorers.dispatch(F.col("lang"), {"en": "length_share", "fr": "is_short"}, F.col("text"), F.lit(1000)).alias("score"))
+
+
+@query("""
+WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'none' ELSE CAST(value AS VARCHAR) END AS reward, CASE event_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '1.0' END AS ok, value FROM events)
+SELECT event_id, CASE WHEN event_id % 4 > 1 THEN value ELSE 0.0 END AS signal, event_id % 4 <= 1 OR coalesce(ok, '1') = '0' AS invalid FROM r""")
+def reward_signals(spark, sf):
+    i = F.col("event_id")
+    reward = F.when(i % 4 == 0, "nan").when(i % 4 == 1, "none").otherwise(F.col("value").cast("string"))
+    held = table(spark, sf, "events").select("event_id", reward.alias("reward"), F.when(i % 3 == 0, "0").when(i % 3 == 1, "1.0").alias("ok"))
+    return gates.reward_signals(held, "reward", "ok").select("event_id", "signal", "invalid")
+
+
+@query("""
+SELECT conv_id, role AS phase, name, CAST(value AS BIGINT) AS value FROM (SELECT conv_id, role, 'chars' AS name, length(text) AS value FROM conversations
+  UNION ALL SELECT conv_id, role, 'words', len(list_filter(string_split(text, ' '), lambda w: w <> '')) FROM conversations)""")
+def length_events(spark, sf):
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    return gates.length_events(table(spark, sf, "conversations"), "conv_id", F.col("role"), {"chars": F.length("text"), "words": words})
