@@ -74,11 +74,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
 #: Patterns that one pass prices, passes over the weights, and how near to the bound two passes without
 #: gain end the search.
-ROUNDS, PASSES, NEAR = 256, 6, 1.001
+ROUNDS, PASSES, NEAR = 256, 8, 1.001
 #: What a pass's use takes of what is left, how fast cover lowers a price, how much waste raises a weight.
-STEP, FALL, GAIN = 1.0, 0.3, 0.5
+STEP, FALL, GAIN = 1.0, 0.1, 0.5
 #: Power of its length by which a length weighs more at first: what is long is hard to place.
-LONG = 0.1
+LONG = 0.05
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
