@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,28 +15,31 @@ from .common import ROW, Workspace, row_back, with_row
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` finds leftmost non-overlapping matches; those whose ``group`` is under ``least``
-    characters drop. ``hint`` is a cheaper pattern that any text with a match also matches."""
+    characters drop. Any text with a match holds one of ``marks``, in any case if ``fold``, or, if there
+    are none, a match of the cheaper pattern ``hint``."""
 
     kind: str
     version: int
     pattern: str
     group: int
     least: int
-    hint: str
+    marks: tuple[str, ...] = ()
+    hint: str = ""
+    fold: bool = False
 
 
 #: Base rules first; the rest are spans that the ledger adds. Java patterns; (?i:) is ASCII only.
 BASE = (
-    Rule("assign", 1, r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, r"(?i:passw|secret|token|api_?key)"),
+    Rule("assign", 1, r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, ("passw", "secret", "token", "apikey", "api_key"), fold=True),
     # runs that are too short are no matches in the first place: a run's inside is no longer than the run
-    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16, r"AKIA[A-Z0-9]{12}"),
-    Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
+    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16, ("AKIA",)),
+    Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32, hint=r"[0-9a-f]{32}"),
 )
 MORE = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN "),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
     # a header of at most 1,000 characters, so that a long run isn't read to its end from every start
-    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, r"eyJ"),
-    Rule("hub", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, ("eyJ",)),
+    Rule("hub", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, tuple(f"gh{x}_" for x in "pousr")),
 )
 RULES = BASE + MORE
 
@@ -98,12 +103,22 @@ def rule_spans(text: F.Column, rule: Rule) -> F.Column:
         return let(prefixes(folded, lambda x: x["at"], lambda a, b: a + b), lambda before: F.flatten(F.transform(folded, lambda x, i: shifted(x, before[i]))))
 
     spans = blocked(parts, lambda bs: let(F.transform(bs, lambda x: F.aggregate(x, zero, step)), joined))
-    return F.when(text.rlike(rule.hint), spans).otherwise(F.array().cast(SPANS))
+    return F.when(any_hint(text, (rule,)), spans).otherwise(F.array().cast(SPANS))
 
 
 def any_hint(text: F.Column, rules) -> F.Column:
-    """Whether a text may hold a finding of any rule."""
-    return F.coalesce(text.rlike("|".join(r.hint for r in rules)), F.lit(False))
+    """Whether a text may hold a finding of any rule: a search for literals, which is far cheaper than
+    the patterns. A text is lower-cased once for all rules that fold."""
+    found = F.lit(False)
+    folded = [m for r in rules if r.fold for m in r.marks]
+    if folded:
+        found = found | F.exists(F.array(F.lower(text)), lambda t: reduce(operator.or_, [t.contains(m) for m in folded]))
+    for m in [m for r in rules if not r.fold for m in r.marks]:
+        found = found | text.contains(m)
+    for r in rules:
+        if not r.marks:
+            found = found | text.rlike(r.hint)
+    return F.coalesce(found, F.lit(False))
 
 
 def blob_of(text: F.Column) -> F.Column:
@@ -147,10 +162,8 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, *, keys: list[str],
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("ord"), s["end"].alias("end"), F.col("rule").alias("kind")))
     by_blob = ledger.where(live & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), spans.alias("s")).groupBy("_blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    may = any_hint(F.col(f"`{text_col}`"), rules)
-    paths = versions.select(*[F.col(f"`{k}`") for k in keys], F.when(may, blob_of(F.col(f"`{text_col}`"))).alias("_blob"))
-    found = paths.where("_blob is not null").join(by_blob, "_blob", "left").select(*[F.col(f"`{k}`") for k in keys], F.coalesce("found", empty).alias("found"))
-    return found.unionByName(paths.where("_blob is null").select(*[F.col(f"`{k}`") for k in keys], empty.alias("found")))
+    paths = versions.select(*[F.col(f"`{k}`") for k in keys], blob_of(F.col(f"`{text_col}`")).alias("_blob"))
+    return paths.join(by_blob, "_blob", "left").withColumn("found", F.coalesce("found", empty)).drop("_blob")
 
 
 def span_text(found: F.Column) -> F.Column:
@@ -208,9 +221,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     without findings, null ones too, stay as they are; n_chars, where present, follows.
 
     ``ledger`` holds earlier findings; blobs and rule versions that it lacks are scanned and written to
-    a ledger of this run. Texts that can't hold a finding go through; the others get their spans by
-    broadcast where there are few, else in parts of each content's rows, so that the copies of one text
-    don't meet in one task.
+    a ledger of this run. Texts get their spans by broadcast where there are few; else those that may
+    hold a finding get them in parts of each content's rows, so that the copies of one text don't meet
+    in one task, and the others go through.
     """
     work = Workspace(docs.sparkSession, "ledger")
     fresh = work.keep(scan_unseen(docs, text_col=text_col, rules=rules, ledger=ledger), "fresh")
@@ -221,15 +234,17 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     spans = work.keep(full.where(live & (F.size("spans") > 0)).groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans")), "findings")
     few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS
     held = with_row(docs).withColumn("_text", F.col(f"{ROW}.`{text_col}`"))
-    may = any_hint(F.col("_text"), rules)
-    some = held.where(may).withColumn("_blob", blob_of(F.col("_text")))
+    some = held.withColumn("_blob", blob_of(F.col("_text")))
     if few:
         some = some.join(F.broadcast(spans), "_blob", "left")
     else:
+        may = any_hint(F.col("_text"), rules)
         salt = F.pmod(F.xxhash64(F.col(f"{ROW}.`{id_col}`")), F.lit(SALTS)).cast("int")
-        some = some.withColumn("_salt", salt).join(spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_blob", "_salt"], "left")
-    some = some.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(masked(F.col("_text"), F.col("_spans"), mark)))
-    out = some.select(ROW, "_clean", F.col("_spans").isNull().alias("_same")).unionByName(held.where(~may).select(ROW, F.col("_text").alias("_clean"), F.lit(True).alias("_same")))
+        spread = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = some.where(may).withColumn("_salt", salt).join(spread, ["_blob", "_salt"], "left").drop("_salt")
+        some = hit.unionByName(some.where(~may).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
+    none = F.col("_spans").isNull()
+    out = some.select(ROW, F.when(none, F.col("_text")).otherwise(masked(F.col("_text"), F.col("_spans"), mark)).alias("_clean"), none.alias("_same"))
     changed = {text_col: F.col("_clean")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_same"), F.col(f"{ROW}.n_chars")).otherwise(F.length("_clean"))
