@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -166,7 +167,7 @@ def test_ledger_scans_only_unseen(spark):
     both = docs(spark, [(0, TEXTS[0], None, None), (1, TEXTS[1], None, None)])
     fresh = secrets.scan_unseen(both, ledger=ledger)
     assert fresh.select("blob").distinct().count() == 1 and fresh.count() == len(secrets.RULES)
-    newer = tuple(secrets.Rule(r.kind, 2, r.pattern, r.group, r.least, r.hint) if r.kind == "hex" else r for r in secrets.RULES)
+    newer = tuple(replace(r, version=2) if r.kind == "hex" else r for r in secrets.RULES)
     assert [r.rule for r in secrets.scan_unseen(first, rules=newer, ledger=ledger).collect()] == ["hex"]
     a = {r.doc_id: r.spans for r in secrets.scan(both, ledger=ledger).collect()}
     assert a == {r.doc_id: r.spans for r in secrets.scan(both).collect()}
@@ -283,6 +284,14 @@ def test_ranges_are_even_whatever_the_weights(spark):
     assert rows.sort_values("k").step.is_monotonic_increasing
 
 
+def test_mix_of_many_equal_rows(spark):
+    same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    got = mixing.mix(same).toPandas()
+    assert len(got) == 3000 and abs(got.taken.sum() - got.target[0]) <= 1 and set(got.taken) <= {3, 4, 5, 6}
+    words = mixing.apply_mix(same).select(mixing.n_words(F.col("text")).alias("n")).groupBy().sum("n").first()[0]
+    assert got.target[0] - 3000 < words <= got.target[0]
+
+
 def test_better_documents_come_sooner(spark):
     rows = [(i, "w " * 10, None, "a" if i < 400 else "b") for i in range(800)]
     weights = spark.createDataFrame([(i, 5.0 if i % 2 else 0.2) for i in range(800)], "doc_id long, weight double")
@@ -831,19 +840,50 @@ def test_sql(name, spark, sf, duck):
     assert rows(got) == rows(want)
 
 
+def test_workspaces_go(spark):
+    work = common.Workspace(spark, "t")
+    held = work.keep(spark.range(3), "x")
+    assert held.count() == 3 and common.sweep(spark) >= 1 and common._used == []
+    with pytest.raises(Exception, match="(?i)does not exist|not found|no such"):
+        spark.read.parquet(work.root).count()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     read = spark.read.parquet(f"{sf}/documents.parquet")
     work, held = common.Workspace(spark, "p"), read
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, held = held, work.keep(stage(spark, held, sf), name)
         assert held.columns == read.columns
+        if name == "quality":
+            kept = {r.doc_id for r in dsir.quality(before, spark.read.parquet(f"{sf}/labels.parquet")).where("kept").collect()}
+            assert sorted(r.doc_id for r in held.collect()) == sorted(kept) and 0 < len(kept) < before.count()
         if name == "near_dedup":
             comp = brute_components(sets([r.text for r in before.collect()]))
             assert held.count() == len(set(comp))
         if name == "secrets":
             assert held.count() == before.count() and secrets.scan(held).where("n_secrets > 0").count() == 0
+            was = {r.doc_id: r.text for r in before.collect()}
+            clean = {r.doc_id for r in secrets.scan(before).where("n_secrets = 0").collect()}
+            assert all(r.text == was[r.doc_id] for r in held.collect() if r.doc_id in clean)
+        if name == "mix":
+            words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            taken = {r.doc_id: (r["size"], r.taken) for r in mixing.mix(before, quality=queries.label_weights(spark, sf)).collect()}
+            texts, was = defaultdict(list), {r.doc_id: r.text for r in before.collect()}
+            for r in held.collect():
+                texts[r.doc_id].append(r.text)
+            for i, (size, n) in taken.items():
+                assert sum(len(words(t)) for t in texts[i]) == n
+                assert all(t == was[i] or words(t) == words(was[i])[: len(words(t))] and len(words(t)) < size for t in texts[i])
     packed = corpus_pipeline.STAGES[-1][1](spark, held, sf).collect()
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter(len(slow.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in held.collect())
+    assert sum(r.length for r in packed) == sum(n * k for n, k in want.items())
+    ends = defaultdict(list)
+    for r in packed:
+        ends[r.sequence_id].append((r.offset, r.length))
+    assert all(a + n == b for x in ends.values() for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False)) and all(sum(n for _, n in x) <= 1024 for x in ends.values())
     assert corpus_pipeline.run(spark, sf).count() == len(packed)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, text_slices, trimmed
+from .common import text_slices, trimmed
 
 #: Bytes of context at most.
 ORDER = 3
