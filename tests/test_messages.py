@@ -29,3 +29,8 @@ def test_component_credit_is_kept(spark):
     df = spark.createDataFrame([("r", i, 1.5, 0.4, w) for i, w in enumerate((0.0, 1.0, 3.0))], "r string, t int, a double, c double, w double")
     got = credit.mixed_component_credit(df, "r", "t", "a", {"c": ("c", F.col("w"))}).orderBy("t").collect()
     assert sum(x.turn_credit for x in got) == pytest.approx(1.5) and got[2].turn_credit > got[1].turn_credit > got[0].turn_credit
+
+
+def test_long_call_ids(spark):
+    df = spark.createDataFrame([(0, 1), (3, 2), (123, 4)], "m int, o int")
+    assert [r.x for r in df.select(ms.call_id(F.col("m"), F.col("o")).alias("x")).collect()] == ["call_0001", "call_0302", "call_12304"]

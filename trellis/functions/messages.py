@@ -21,7 +21,8 @@ def role(c: Column) -> Column:
 
 def call_id(message: Column, offset: Column) -> Column:
     """The id of a call that has none: call_ and index * 100 + offset in four digits at least."""
-    return F.concat(F.lit("call_"), F.lpad((message * 100 + offset).cast("string"), 4, "0"))
+    number = (message * 100 + offset).cast("string")
+    return F.concat(F.lit("call_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
 
 
 def call_arguments(c: Column) -> Column:
