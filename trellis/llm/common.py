@@ -18,6 +18,9 @@ SLICE_BYTES = 1 << 20
 FOREST_EDGES = 400_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python while a table is written.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 _used: list[str] = []
 
 
@@ -41,10 +44,17 @@ class Workspace:
         _used.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: lineage is cut and survives lost executors."""
+        """Write ``df`` and read it back: lineage is cut and survives lost executors. Rows go to Python in
+        batches of ARROW_BYTES at most, which bounds the buffers on both sides."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(_ARROW)
+        conf.set(_ARROW, min(ARROW_BYTES, int(self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_ARROW, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
