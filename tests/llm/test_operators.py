@@ -756,6 +756,10 @@ def test_markup_is_read_in_one_scan():
         began = time.perf_counter()
         html.blocks(bad * 60_000)
         assert time.perf_counter() - began < 3, bad
+    for deep in ("<body>" + "<article>" * 60_000, "<div>" * 60_000 + "</p>" * 60_000, "<body><nav>" + "<main>" * 60_000 + "</nav>" * 60_000):
+        began = time.perf_counter()
+        html.blocks(deep)
+        assert time.perf_counter() - began < 3, deep[:40]
 
 
 def test_what_a_host_repeats_decides(spark, monkeypatch):

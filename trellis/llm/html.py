@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -99,8 +100,12 @@ def blocks(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # name, dropped, kind
+    held: Counter = Counter()  # names in the stack, so that it is only searched for what it holds
     ends = [len(html)]
 
+    def pop():
+        held[stack.pop()[0]] -= 1
+
     def close_block():
         if parts:
             text = "".join(parts)
@@ -140,19 +145,19 @@ def blocks(html: str) -> list[tuple[str, int]]:
             continue
         close_block()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if held[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         if name in _VOID or alone:
             continue
         if stack and name in _CLOSES and stack[-1][0] in _CLOSES[name]:
-            stack.pop()
+            pop()
         sure, head, maybe = _says(marks)
-        if name in _MAIN and not sure and stack and stack[0][0] in ("html", "body", "head") and any(s[0] in ("nav", "header") for s in stack):
+        if name in _MAIN and not sure and stack and stack[0][0] in ("html", "body", "head") and held["nav"] + held["header"]:
             while stack and (stack[-1][1] or stack[-1][0] in ("nav", "header")):  # never closed
-                stack.pop()
+                pop()
         dropped, kind = (stack[-1][1], stack[-1][2]) if stack else (False, OUTSIDE)
         page = name in ("html", "body", "main", "article")
         reply = any(p in ("comment", "comments") for mark in marks for p in mark.split("-")[:1])
@@ -162,6 +167,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
         elif maybe and kind == INSIDE:
             kind = UNSURE
         stack.append((name, dropped or bad, kind))
+        held[name] += 1
     close_block()
     return out
 
