@@ -265,7 +265,7 @@ def test_mix_against_brute_force(spark, low):
     for source, (target, size) in goal.items():
         mine = [(i, t) for i, t, _, s in rows if s == source or s is None and source is None]
         assert size == sum(t.count("w") for _, t in mine)
-        key = lambda x: (-np.log((ties[x] % (1 << 52) + 0.5) / (1 << 52)) / weight.get(x[0], 1.0), ties[x])
+        key = lambda x: (-np.log((int(hashlib.md5(f"0|{x[0]}|{x[1]}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / weight.get(x[0], 1.0), ties[x])
         epochs, left = int(target // size), round(target - target // size * size)
         for x in sorted(mine, key=key):
             n = x[1].count("w")

@@ -58,7 +58,7 @@ def key_ranges(rows: DataFrame, key: F.Column) -> F.Column:
 
 
 def _taken(docs: DataFrame, id_col: str, seed: int, quality: DataFrame | None, weights, budget: float, most: float) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie_of(id_col, seed).alias("tie"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie_of(id_col, seed).alias("tie"), draw_of(id_col, seed).alias("_u"))
     if quality is None:
         rows = rows.withColumn("_q", F.lit(1.0))
     else:
@@ -67,8 +67,7 @@ def _taken(docs: DataFrame, id_col: str, seed: int, quality: DataFrame | None, w
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, budget, most)
     goal = goal.select(F.col("source").alias("_src"), "source_size", "target")
-    u = (F.pmod(F.col("tie"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    key = -F.log(u) / F.col("_q")
+    key = -F.log("_u") / F.col("_q")
     keyed = rows.withColumn("_key", key).withColumn("step", key_ranges(rows, key) if quality is not None else F.least(F.floor((1 - F.exp(-key)) * STEPS), F.lit(STEPS - 1)).cast("int"))
     ordered = boundary_sums(keyed, "source", ["_key", "tie"], "size")
     joined = ordered.join(goal, F.col("source").eqNullSafe(F.col("_src")), "left")
@@ -78,7 +77,15 @@ def _taken(docs: DataFrame, id_col: str, seed: int, quality: DataFrame | None, w
     return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), F.col("_key").alias("sampling_key"), "tie")
 
 
+def draw_of(id_col: str, seed: int) -> F.Column:
+    """A number between 0 and 1 from the first 52 bits of md5 of seed|id|text, which any engine can repeat."""
+    part = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), part(id_col), F.lit("|"), part("text")).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def tie_of(id_col: str, seed: int) -> F.Column:
+    """Tells rows apart that have one key, and is what the mixed rows are joined by."""
     return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col("text"))
 
 

@@ -117,4 +117,17 @@ comp AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
 n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)"""
 
-ORACLES = {"op2_multi_index_dedup": COSINE_SQL, "op3_blob_ledger": SECRETS_SQL, "op5_bayes_minhash": MINHASH_SQL}
+MIX_SQL = r"""
+WITH q AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 0.25 ELSE 1.0 END)::DOUBLE AS q FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size, md5('0|' || coalesce(d.doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h, coalesce(q, 1.0) AS q
+  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS words FROM s),
+l AS (SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
+g AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+k AS (SELECT doc_id, d.source, size, source_size, target, epochs, round(target - epochs * source_size)::BIGINT AS rest,
+  sum(size) OVER (PARTITION BY d.source ORDER BY -ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / q, d.doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken, source FROM k"""
+
+ORACLES = {"op2_multi_index_dedup": COSINE_SQL, "op3_blob_ledger": SECRETS_SQL, "op5_bayes_minhash": MINHASH_SQL, "op6_source_mix": MIX_SQL}
