@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 KINDS = ("email", "ip", "card", "phone")
 #: Marginal probability from which a token is an entity, and rounds of message passing.
 SURE, ROUNDS = 0.6, 10
