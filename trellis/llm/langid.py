@@ -101,8 +101,8 @@ class Table:
             out[miss] = self._cost(code[miss], level - 1) + escape[np.where(ctx[of] == before, of, len(ctx))]
         return out
 
-    def bits(self, data: np.ndarray, offs: np.ndarray, code: np.ndarray) -> np.ndarray:
-        cost = self._cost(code, ORDER)
+    def bits(self, data: np.ndarray, offs: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        cost = np.take(self._cost(grams, ORDER), at, axis=0)
         sums = np.add.reduceat(np.vstack([cost, np.zeros((1, self.width), cost.dtype)]), np.minimum(offs[:-1], len(data)), axis=0, dtype=np.float64)
         sums[np.diff(offs) == 0] = 0
         return sums
@@ -119,8 +119,9 @@ class Model:
         """Code length of every text in every language."""
         if not len(data):
             return np.zeros((len(offs) - 1, len(self.langs)))
-        code = _grams(data, offs, ORDER + 1)
-        return np.hstack([t.bits(data, offs, code) for t in self.tables])
+        # each distinct gram is looked up once
+        grams, at = np.unique(_grams(data, offs, ORDER + 1), return_inverse=True)
+        return np.hstack([t.bits(data, offs, grams, at) for t in self.tables])
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model | None:
