@@ -115,10 +115,11 @@ def passages(contents: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(texts, ""), r"^\s+|\s+\z", ""))
 
 
-#: The public tool, what it and its parameters say, and where the public part of a reply ends.
+#: The public tool and what it says; callers may have their own. What its parameters say, and
+#: where the public part of a reply ends.
 TOOL_NAME = "interact_with_env"
 TOOL_SAYS = (
-    "TravelGym public protocol: Search returns the complete candidate list; "
+    "Public protocol: Search returns the complete candidate list; "
     "Action gathers natural-language evidence without filtering; Answer submits "
     "exactly one option ID visible in the current Search result."
 )
@@ -127,14 +128,14 @@ CONTENT_SAYS = "Search query, natural-language evidence question, or exactly one
 CONTROL = "\n\nPublic control:"
 
 
-def tool_schema() -> list[dict]:
+def tool_schema(name: str = TOOL_NAME, says: str = TOOL_SAYS) -> list[dict]:
     """The one tool of the public protocol."""
     fields = {"choice": {"type": "string", "enum": ["search", "action", "answer"], "description": CHOICE_SAYS}, "content": {"type": "string", "description": CONTENT_SAYS}}
     parameters = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
-    return [{"type": "function", "function": {"name": TOOL_NAME, "description": TOOL_SAYS, "parameters": parameters}}]
+    return [{"type": "function", "function": {"name": name, "description": says, "parameters": parameters}}]
 
 
-def public_tools(schema: Column) -> Column:
+def public_tools(schema: Column, tool_name: str = TOOL_NAME, says: str = TOOL_SAYS) -> Column:
     """Tool schemas (JSON of one function or a list) whose public tool says what the protocol says; what is
     no JSON, or no function, stays as it is. JSON of any shape has no column form, so this is an Arrow
     function."""
@@ -148,8 +149,8 @@ def public_tools(schema: Column) -> Column:
         if not isinstance(parsed, dict | list):
             return text
         for tool in tools:
-            if isinstance(tool, dict) and tool.get("name") == TOOL_NAME:
-                tool["description"] = TOOL_SAYS
+            if isinstance(tool, dict) and tool.get("name") == tool_name:
+                tool["description"] = says
                 fields = tool.setdefault("parameters", {}).setdefault("properties", {})
                 for name, said in (("choice", CHOICE_SAYS), ("content", CONTENT_SAYS)):
                     if isinstance(fields.get(name), dict):
