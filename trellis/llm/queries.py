@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dsir, embdedup, html, langid, minhash, mixing, packing, pii, secrets
+from . import ann, dsir, embdedup, html, langid, minhash, mixing, packing, pii, secrets, tokencount, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +67,21 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op12_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds is null; the operator itself gives decimals."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_adaptive_scan, op2_multi_index_dedup, op3_blob_ledger, op4_importance_resampling, op5_bayes_minhash,
         op6_source_mix, op7_skip_chain_pii, op8_host_suffix_array, op9_configuration_packing, op10_ppm_language,
+        op12_two_tier_counts, op13_jacobi_whitening,
     )
 }
 
@@ -119,7 +129,8 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 MIX_SQL = r"""
 WITH q AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 0.25 ELSE 1.0 END)::DOUBLE AS q FROM labels GROUP BY doc_id),
-d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size, md5('0|' || coalesce(d.doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h, coalesce(q, 1.0) AS q
+d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size, md5('0|' || coalesce(d.doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h, coalesce(q, 1.0) AS q
   FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS words FROM s),
