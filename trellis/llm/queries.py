@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dsir, embdedup, html, langid, minhash, mixing, packing, pii, secrets, tokencount, whitening
+from . import ann, dsir, embdedup, html, langid, minhash, mixing, packing, pii, prefixtrie, secrets, tokencount, whitening
+from .common import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = Workspace(spark, "turns").keep(prefixtrie.ordered(_table(spark, sf_dir, "conversations")), "ordered")
+    return prefixtrie.trie(*prefixtrie.share_heads(turns))
+
+
 def op12_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -81,7 +87,7 @@ QUERIES = {
     for f in (
         op1_adaptive_scan, op2_multi_index_dedup, op3_blob_ledger, op4_importance_resampling, op5_bayes_minhash,
         op6_source_mix, op7_skip_chain_pii, op8_host_suffix_array, op9_configuration_packing, op10_ppm_language,
-        op12_two_tier_counts, op13_jacobi_whitening,
+        op11_prefix_trie, op12_two_tier_counts, op13_jacobi_whitening,
     )
 }
 
@@ -141,4 +147,23 @@ k AS (SELECT doc_id, d.source, size, source_size, target, epochs, round(target -
   sum(size) OVER (PARTITION BY d.source ORDER BY -ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / q, d.doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken, source FROM k"""
 
-ORACLES = {"op2_multi_index_dedup": COSINE_SQL, "op3_blob_ledger": SECRETS_SQL, "op5_bayes_minhash": MINHASH_SQL, "op6_source_mix": MIX_SQL}
+TRIE_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+b AS (SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h UNION ALL SELECT conv_id, p, r, x FROM t JOIN c USING (conv_id) WHERE p > h),
+q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, r, x FROM b),
+path AS (SELECT conv_id, d, length(x) AS chars, sha256(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM q
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n, any_value(chars) AS chars FROM path GROUP BY k),
+step AS (SELECT DISTINCT a.k AS pk, b.k AS k FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.d = a.d + 1),
+kids AS (SELECT pk, count(*) AS n FROM step GROUP BY pk),
+under AS (SELECT DISTINCT a.k AS top, b.k AS k FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sub AS (SELECT top, count(*) FILTER (kids.n IS NULL) AS leaves, sum((node.n - 1) * chars) AS saved FROM under JOIN node ON node.k = under.k LEFT JOIN kids ON kids.pk = under.k GROUP BY top),
+ends AS (SELECT k, string_agg(conv_id, ',' ORDER BY conv_id) AS e FROM path JOIN (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id) USING (conv_id, d) GROUP BY k)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM node JOIN sub ON sub.top = node.k LEFT JOIN kids ON kids.pk = node.k LEFT JOIN step ON step.k = node.k LEFT JOIN node up ON up.k = step.pk LEFT JOIN ends ON ends.k = node.k"""
+
+ORACLES = {"op2_multi_index_dedup": COSINE_SQL, "op3_blob_ledger": SECRETS_SQL, "op5_bayes_minhash": MINHASH_SQL, "op6_source_mix": MIX_SQL, "op11_prefix_trie": TRIE_SQL}
