@@ -14,56 +14,6 @@ from trellis.plans import registry
 QUERIES = registry.queries()
 
 
-def replayed(calls):
-    """(choice, aspect, accepted, error) of each call, by the protocol's rules one after the other."""
-    current, searched, answered, visible, out = None, [], [], [], []
-    for choice, aspect, answer, shown, said in calls:
-        aspect = aspect or current
-        if said:
-            error = said
-        elif current and aspect != current:
-            error = "cross-aspect"
-        elif choice == "search" and aspect in searched:
-            error = "repeated-search"
-        elif choice != "search" and aspect not in searched:
-            error = f"{choice}-before-search"
-        elif choice == "answer" and answer not in visible:
-            error = "invisible-id"
-        elif choice == "answer" and aspect in answered:
-            error = "duplicate-answer"
-        else:
-            error = None
-            if choice == "search":
-                current, visible = aspect, shown
-                searched.append(aspect)
-            elif choice == "answer":
-                answered.append(aspect)
-                current = None
-        out.append((choice, aspect, error is None, error))
-    return out
-
-
-def test_replay_classification(spark, sf):
-    by_user = defaultdict(list)
-    for e in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
-        choice = {"view": "search", "click": "action", "signup": "action", "purchase": "answer"}.get(e.event_type, "search")
-        by_user[e.user_id].append((choice, f"a{e.event_id % 2}", "F9" if e.event_id % 3 else "F7", [f"F{e.event_id % 5}", "F9"], "invalid-parameters" if e.event_type == "error" else None))
-    want = {}
-    for user, calls in by_user.items():
-        out = replayed(calls)
-        repairs = {}
-        for i, (choice, aspect, ok, error) in enumerate(out):
-            if not ok:
-                repairs[i] = next((j for j in range(i + 1, len(out)) if out[j][2] and out[j][1] == aspect and (out[j][0] == choice or error == "invalid-parameters")), None)
-        kept = min((i for i, j in repairs.items() if j is None), default=len(out))
-        right = len({a for c, a, ok, _ in out if ok and c == "answer"})
-        fixed = sum(j is not None for j in repairs.values())
-        kind = ("recoverable_gold" if fixed else "strict_gold") if right == 2 else "partial" if right else "wrong"
-        want[user] = (len(out), sum(x[2] for x in out), kept, kind, {"partial": 0.5, "wrong": 0.0}.get(kind, 1.0))
-    got = {r.user_id: (r.n_events, r.n_accepted, r.kept, r["class"], r.weight) for r in QUERIES["replay_classification"](spark, sf).collect()}
-    assert got == want
-
-
 def spread(lengths, parts, k):
     sums = [0] * k
     for x, p in zip(lengths, parts, strict=True):

@@ -163,15 +163,16 @@ def test_legacy_transcripts(spark):
 
 
 def test_curation_counts_add_up(spark):
-    calls = "array<struct<choice:string,aspect:string,answer:string,shown:array<string>,feedback_error:string>>"
-    good = [("search", "a", None, ["F1"], None), ("answer", "a", "F1", None, None)]
-    bad = [("answer", "a", "F1", None, None), *good]
-    raw = spark.createDataFrame([(1, good, True), (2, bad, True), (3, bad[:1], True), (4, good, False), (5, good, None), (6, good, True)], f"id int, calls {calls}, d boolean")
-    right = F.when(F.col("id") == 3, 0).otherwise(1)
-    kept, audits, counts = replay.curate(raw, domain=F.col("d"), quarantined=F.col("id") == 6, events=F.col("calls"), infra=F.lit(False), right=right, total=F.lit(1))
-    assert {r["id"]: (r["_kept"], r["_class"], r["_weight"]) for r in kept.collect()} == {1: (2, "strict_gold", 1.0), 2: (3, "recoverable_gold", 1.0), 3: (0, "wrong", 0.0)}
-    assert audits.where("id = 2").first()["_repairs"][0]["repaired_by"] == 2
-    assert counts.first().asDict() == {"source_records": 6, "outside_domain": 2, "quarantined": 1, "accepted": 3, "infrastructure_invalid": 0, "recoverable_gold": 1, "strict_gold": 1, "partial": 0, "wrong": 1}
+    good = [("search", "Search flight", "F1"), ("answer", "F1", "recorded")]
+    bad = [("answer", "F1", "Tool call rejected: answer-before-search"), *good]
+    raw = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, None), (6, True), (7, True), (8, True)], "record int, d boolean")
+    calls = [(k, i, *x) for k, v in {1: good, 2: bad, 3: bad[:1], 4: good, 5: good, 6: good, 8: bad}.items() for i, x in enumerate(v)]
+    calls = spark.createDataFrame(calls, "record int, pos int, choice string, content string, feedback string")
+    spec = spark.createDataFrame([(k, "flight", ["F1"]) for k in range(1, 9)], "record int, aspect string, correct array<string>")
+    kept, audits, counts = replay.curate(raw, calls, spec, domain=F.col("d"), quarantined=F.col("record") == 6, infra=F.col("record") == 8)
+    assert {r.record: (r.n_kept, r["class"], r.weight) for r in kept.collect()} == {1: (2, "strict_gold", 1.0), 2: (3, "recoverable_correct", 1.0), 3: (0, "totally_wrong", 0.0), 7: (0, "totally_wrong", 0.0), 8: (3, "infrastructure_invalid", 0.0)}
+    assert audits.where("record = 2 and pos = 0").first().repaired_by == 1
+    assert counts.first().asDict() == {"source_records": 8, "outside_domain": 2, "quarantined": 1, "accepted": 5, "infrastructure_invalid": 1, "recoverable_correct": 1, "strict_gold": 1, "partial_correct": 0, "totally_wrong": 2}
 
 
 FINAL = [("x = \\$1,234 dollars", "1234"), ("\\frac12", "\\frac{1}{2}"), ("the answer is $5$ km", "5"), ("\\sqrt3", "\\sqrt{3}"), ("\\boxed{7}", "7"), ("12 \\text{m}", "12"), ("90^\\circ", "90"), ("", ""), (None, None)]

@@ -20,9 +20,12 @@ def test_messages(spark):
 
 
 def test_spaced(spark):
-    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "g string, k int, s double")
-    assert sorted(r.k for r in sampling.spaced(df, "g", "s", "k", 3).collect()) == [0, 4, 8]
-    assert sampling.spaced(df.where("k < 2"), "g", "s", "k", 3).count() == 2
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)] + [("b", i, float(i)) for i in range(5)] + [("c", i, 1.0) for i in range(5)] + [("d", 1, None), (None, 1, 0.0), (None, 2, 0.0), (None, 3, 9.0)], "g string, k int, s double")
+    picked = lambda n, g: sorted(r.k for r in sampling.spaced(df, "g", "s", "k", n).collect() if r.g == g)
+    assert picked(3, "a") == [0, 4, 8] and picked(3, None) == [1, 2, 3]
+    assert picked(4, "b") == [0, 1, 2, 4]
+    assert picked(4, "c") == [] and picked(4, None) == [] and picked(10, "a") == [] and picked(9, "a") == list(range(9))
+    assert sampling.spaced(df.limit(0), "g", "s", "k", 3).collect() == []
 
 
 def test_component_credit_is_kept(spark):

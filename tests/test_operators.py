@@ -49,9 +49,12 @@ def test_components_sum(spark):
 
 
 def test_recurrences(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 4.0], [1, 1, 1], [0.0, 0.0, 0.0])], "r array<double>, m array<int>, v array<double>")
-    x = df.select(advantage.discounted_returns(F.col("r"), F.col("m"), 0.5).alias("a"), advantage.gae(F.col("r"), F.col("v"), 1.0, 0.5).alias("b")).first()
-    assert x.a == [3.0, 4.0, 4.0] and x.b == [3.0, 4.0, 4.0]
+    df = spark.createDataFrame([("x", 0, 1.0, 1, 0.0), ("x", 1, 2.0, 1, 0.0), ("x", 2, 4.0, 1, 0.0), ("y", 0, 8.0, 0, 1.0), ("y", 1, None, 0, None), (None, 3, 1.0, None, 0.5)], "k string, t int, r double, m int, v double")
+    at = lambda d, c: {k: [r[c] for r in sorted(d.collect(), key=lambda r: r.t) if r.k == k] for k in ("x", "y", None)}
+    assert at(advantage.discounted_returns(df, "k", "t", "r", "m", 0.5), "return") == {"x": [3.0, 4.0, 4.0], "y": [8.0, 0.0], None: [1.0]}
+    got = advantage.gae(df, "k", "t", "r", "v", 1.0, 0.5)
+    assert at(got, "advantage") == {"x": [3.0, 4.0, 4.0], "y": [7.0, 0.0], None: [0.5]} and at(got, "return")["y"] == [8.0, 0.0]
+    assert advantage.gae(df.where("t > 9"), "k", "t", "r", "v", 1.0, 0.5).collect() == []
 
 
 def test_estimators_by_name():
@@ -60,97 +63,12 @@ def test_estimators_by_name():
         advantage.register("rloo")(advantage.grpo)
 
 
-def test_replay_and_cleaning(spark):
-    call = "array<struct<choice:string,aspect:string,answer:string,shown:array<string>,feedback_error:string>>"
-    calls = [("action", "flight", None, None, None), ("search", "flight", None, ["F1"], None), ("answer", "hotel", "H1", None, None), ("action", "flight", None, None, None), ("answer", "flight", "F2", None, None), ("answer", "flight", "F1", None, None), ("search", "flight", None, ["F1"], None)]
-    df = spark.createDataFrame([(calls,), ([],)], f"calls {call}").select(replay.replay(F.col("calls")).alias("e"))
-    df = df.withColumn("r", replay.later_repair(F.col("e"))).withColumn("cut", replay.cut_at(F.col("r"), F.size("e")))
-    full = next(x for x in df.collect() if x.e)
-    assert [x.error for x in full.e] == ["action-before-search", None, "cross-aspect", None, "invisible-id", None, "repeated-search"]
-    assert [(x.idx, x.repaired_by) for x in full.r] == [(0, 3), (2, None), (4, 5), (6, None)] and full.cut == 2
-
-
-def test_replay_takes_all_events(spark, sf, tmp_path):
-    from trellis.plans import registry
-
-    run = registry.queries()["replay_classification"]
-    rows = [(2 * i, 1, "error" if i < 40 else "view") for i in range(41)]  # the 41st call repairs the 40 before it
-    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    r = run(spark, str(tmp_path)).first()
-    assert (r.n_events, r.n_accepted, r.kept) == (41, 1, 41)
-    counts = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count()
-    assert {r.user_id: r.n_events for r in run(spark, sf).collect()} == dict(map(tuple, counts.collect()))
-
-
-def test_normalised_text_is_whole(spark, sf, tmp_path):
-    from trellis.plans import registry
-
-    run = registry.queries()["normalized_text"]
-    norm = lambda t: re.sub(r"\s+", " ", (t or "").casefold()).strip()
-    odd = {1: None, 2: "", 3: " Große\u00a0\u2003STRASSE\t\n", 4: "ΟΔΟΣ ΣΑΣ İI", 5: "Ab  \n" * 5000}
-    spark.createDataFrame(list(odd.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.t for r in run(spark, str(tmp_path)).collect()} == {k: norm(t) for k, t in odd.items()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    assert sorted((r.doc_id, r.t) for r in run(spark, sf).collect()) == sorted((r.doc_id, norm(r.text)) for r in docs)
-    assert any(len(r.text) > 200 and r.lang != "en" for r in docs)
-
-
-def test_parts(spark):
-    assert sorted(map(sum, [[[8, 7, 6, 5, 4][i] for i in p] for p in batching.differencing([8, 7, 6, 5, 4], 2)])) == [14, 16]
-    assert all(len(p) == 2 for p in batching.differencing([5, 1, 4, 2, 3, 9], 3, equal=True))
-    assert batching.greedy([3, 3, 2], 2) == [[0, 2], [1]]
-    assert batching.differencing([], 2) == [[], []]
-
-
-def test_quotas(spark):
-    df = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "g string, n long")
-    assert {r.g: r.quota for r in sampling.quotas(df, "g", "n", 4).collect()} == {"a": 2, "b": 1, "c": 1}
-
-
-def test_keep_first(spark):
-    df = spark.createDataFrame([(2, "x"), (1, "x"), (3, None), (4, None)], "id long, t string")
-    assert sorted((r.id, r.n_copies) for r in sampling.keep_first(df, F.col("t"), ["id"]).collect()) == [(1, 2), (3, 2)]
-
-
-def test_text(spark):
-    t = spark.createDataFrame([("A The  cat's <answer> no </answer> \\boxed{\\frac{1}{2}} #### 1,200 then $7.",)], "t string")
-    r = t.select(tx.qa_normalise(F.lit("The  Cat's!")).alias("qa"), tx.last_answer(F.col("t")).alias("a"), tx.boxed(F.col("t")).alias("b"), tx.number_answer(F.col("t")).alias("n"), tx.number_answer(F.col("t"), strict=False).alias("m"), tx.option_ids(F.lit("f1 xF2 H30")).alias("o"), tx.collapsed(F.lit("ab" * 40)).alias("c"), tx.math_normalise(F.lit("x=\\dfrac{1}{2}\\%")).alias("mn"), tx.finite_or(F.lit("nan"), 1.5).alias("f"), tx.truthy(F.lit(" Yes ")).alias("y")).first()
-    assert (r.qa, r.a.strip(), r.b, r.n, r.o, r.c, r.mn, r.f, r.y) == ("cats", "no", "\\frac{1}{2}", "1200", ["F1", "H30"], True, "\\frac{1}{2}", 1.5, True)
-    assert r.m == "7."
-
-
-def test_arrays(spark):
-    df = spark.createDataFrame([([1, 2, 9, 4],)], "t array<int>")
-    r = df.select(seq.mask_until_end(F.col("t"), 9).alias("m"), seq.pad(F.col("t"), 6).alias("p"), seq.pad(F.col("t"), 2, left=True).alias("q"), seq.truncate(F.col("t"), 2, "middle").alias("x"), seq.place_last(F.size("t"), F.lit(2.0)).alias("l")).first()
-    assert (r.m, r.p, r.q, r.x, r.l) == ([1, 1, 1, 0], [1, 2, 9, 4, 0, 0], [9, 4], [1, 4], [0.0, 0.0, 0.0, 2.0])
-
-
-def test_conserve(spark):
-    df = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, 0.1, 2.0)], "r string, i int, v double, t double")
-    assert sum(r.v for r in credit.conserve(df, "r", "v", "t", "i").collect()) == pytest.approx(2.0)
-
-
-def test_needles(spark):
-    texts = spark.createDataFrame([(1, "abcabc xyz"), (2, None), (3, "")], "id long, t string")
-    needles = spark.createDataFrame([(10, "abc"), (11, "c x"), (12, "abc"), (13, ""), (14, None)], "n long, w string")
-    assert sorted(map(tuple, joins.contains_any(texts, "id", "t", needles, "n", "w").collect())) == [(1, 10), (1, 11), (1, 12)]
-    for most in (1, 2):  # several automata give the same pairs
-        assert sorted(map(tuple, joins.contains_any(texts, "id", "t", needles, "n", "w", most=most).collect())) == [(1, 10), (1, 11), (1, 12)]
-    assert joins.contains_any(texts, "id", "t", needles.limit(0), "n", "w").count() == 0
-
-
 def test_streak_and_checkpoint(spark):
     df = spark.createDataFrame([("a", i, z) for i, z in enumerate([1, 1, 0, 1, 1, 1, 1])], "t string, s int, z int")
     got = attempts.zero_streaks(df, "t", "s", F.col("z") == 1).orderBy("s").collect()
     assert [r.streak for r in got] == [1, 2, 0, 1, 2, 3, 4] and {r.first_admitted for r in got} == {5}
 
 
-def test_violations(spark):
-    m = "array<struct<role:string,content:string>>"
-    df = spark.createDataFrame([([("user", "a"), ("user", " ")],), ([],), ([("system", "s"), ("user", "a"), ("assistant", "b")],)], f"m {m}")
-    assert [sorted(r.v) for r in df.select(replay.violations(F.col("m")).alias("v")).collect()] == [["blank_content", "no_assistant", "repeated_role"], ["empty", "no_assistant"], []]
-
-
 def test_joins(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
     right = spark.createDataFrame([("a", 5, 2), ("a", 6, 1)], "k string, v long, o long")
@@ -166,11 +84,11 @@ def test_deadline_and_counters(spark):
     a = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
     r = spark.range(1).select(replay.steps_needed(a("f", "h", "c"), a("f", "h"), a("f")).alias("n"), replay.deadline_blocks(10, F.lit(7), a("f", "h", "c"), a("f", "h"), a("f")).alias("at"), replay.deadline_blocks(10, F.lit(6), a("f", "h", "c"), a("f", "h"), a("f")).alias("before")).first()
     assert (r.n, r.at, r.before) == (3, True, False)
-    events = [("search", "f", None, ["F1"], None), ("action", "f", None, None, None), ("search", "f", None, ["F1"], None), ("answer", "f", "F9", None, None), ("answer", "f", "F1", None, None), ("fly", None, None, None, None)]
-    df = spark.createDataFrame([(events,)], "e array<struct<choice:string,aspect:string,answer:string,shown:array<string>,feedback_error:string>>")
-    c = df.select(replay.counters(replay.replay(F.col("e"))).alias("c")).first().c
-    assert (c.steps, c.searches, c.actions, c.answers, c.rejected) == (6, 1, 1, 1, 3)
-    assert c.by_kind == {"repeated-search": 1, "invisible-id": 1, "invalid-parameters": 1}
+    said = [("search", "flight", "F1"), ("action", "what?", "ok"), ("search", "flight", "F1"), ("answer", "F9", "no"), ("answer", "F1", "yes"), ("fly", None, None)]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(said)] + [(None, 0, "search", "hotel", "H1")], "record long, pos int, choice string, content string, feedback string")
+    c = {r.record: r for r in replay.counters(replay.replayed(df)).collect()}
+    assert tuple(c[1][1:6]) == (6, 1, 1, 1, 3) and tuple(c[None][1:]) == (1, 1, 0, 0, 0, {})
+    assert c[1].by_kind == {"repeated-search": 1, "invisible-id": 1, "invalid-parameters": 1}
     spec = spark.range(1).select(replay.task_spec(a("flight", "car"), {"flight": (a("f1"), a("f1", " f2"), F.lit("f1")), "hotel": (a("h1"), a("h1"), F.lit("h1"))}).alias("s")).first().s
     assert [(x.aspect, x.correct, x.every, x.best) for x in spec] == [("flight", ["F1"], ["F1", "F2"], "F1")]
 

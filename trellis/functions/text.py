@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lines that tell a reward or a private label, whole tokens that number a preference.
-_PRIVATE_LINE = r"(?im)^\s*(reward|private[_ ]label|ground[_ ]truth)\s*[:=].*$"
-_PREFERENCE = r"\bP\d+\b"
+#: Lines that tell a reward, lines that tell a private label, blocks and fields of reasoning, and
+#: numbers of preferences, as patterns that Java and Python read alike but for flags.
+REWARD_LINE = r"^\s*(?:reward|step[_ ]?reward|terminal[_ ]?reward)\s*[:=].*$"
+PRIVATE_LINE = r"^\s*(?:preference[_ ]?ids?|correct[_ ]?ids?|best[_ ]?ids?|ground[_ ]?truth|reward[_ ]?report|diagnostics?)\s*[:=].*$"
+REASONING_BLOCK = r"<(?:think|analysis|reasoning)>.*?</(?:think|analysis|reasoning)>"
+REASONING_FIELD = r"(?:reasoning_content|chain_of_thought|scratchpad)\s*[:=]\s*.*?(?=\n\s*[A-Za-z_][\w -]*\s*[:=]|$)"
+PREFERENCE, PREFERENCE_ALONE = r"\bP\d+\b", r"(?<![A-Za-z0-9])P\d+(?![A-Za-z0-9])"
+#: Keys that public records don't have, keys that tracking doesn't have, and parts of such keys.
+PRIVATE_KEYS = ("preference_id", "preference_ids", "correct_id", "correct_ids", "best_id", "best_ids", "reward", "step_reward", "terminal_reward", "reward_report", "ground_truth")
+UNTRACKED_KEYS = (
+    "api_key", "apikey", "authorization", "token", "preference_id", "preference_ids", "correct_id", "correct_ids", "best_id", "best_ids", "hidden_ids", "hidden_labels",
+    "reward_ledger", "raw_reward", "reasoning_content", "cot", "messages", "transcript",
+)
+UNTRACKED_PARTS = ("api_key", "preference_id", "correct_id", "best_id", "reward_ledger", "reasoning_content")
 
 
 def normalise(c: Column) -> Column:
@@ -28,15 +40,72 @@ def normalise_folded(c: Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+def _without(c: Column, *rules: tuple[str, str, str]) -> Column:
+    for flags, pattern, by in rules:
+        c = F.regexp_replace(c, f"(?dU{flags})" + pattern, by)
+    return c
+
+
 def redact_public(c: Column) -> Column:
-    """Without private lines, and with preference numbers replaced."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, _PRIVATE_LINE, ""), _PREFERENCE, "[preference]"))
+    """A public text: lines that tell a reward or a private label are blanked, numbered preferences are "that
+    preference", white space at both ends goes. Null stays null."""
+    return _without(c, ("im", REWARD_LINE, ""), ("im", PRIVATE_LINE, ""), ("i", PREFERENCE, "that preference"), ("", r"^\s+|\s+\z", ""))
 
 
 def redact_tracking(c: Column) -> Column:
-    """Without think blocks and private lines; a text that looks like a credential goes whole."""
-    kept = F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), _PRIVATE_LINE, "")
-    return F.when(c.contains("sk-"), F.lit("[REDACTED]")).otherwise(F.regexp_replace(kept, _PREFERENCE, "[preference]"))
+    """A text that may be logged: reasoning, private lines and numbered preferences are marked as redacted; a
+    text that still looks like it holds a credential goes whole. Null stays null."""
+    marked = "[REASONING_REDACTED]"
+    kept = _without(c, ("is", REASONING_BLOCK, marked), ("is", REASONING_FIELD, marked), ("im", PRIVATE_LINE, "[PRIVATE_REDACTED]"), ("i", PREFERENCE_ALONE, "[PRIVATE_ID]"))
+    return F.when(kept.contains("sk-") | F.lower(kept).contains("api_key"), F.lit("[REDACTED]")).otherwise(kept)
+
+
+def _redacted(value, text, drops):
+    if isinstance(value, str):
+        return text(value)
+    if isinstance(value, list):
+        return [_redacted(x, text, drops) for x in value]
+    return {k: _redacted(v, text, drops) for k, v in value.items() if not drops(k.casefold())} if isinstance(value, dict) else value
+
+
+def _json_redactor(text, drops):
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return json.dumps(_redacted(json.loads(t), text, drops), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")
+
+
+def redact_public_json(c: Column) -> Column:
+    """A JSON text with private keys gone at any depth, whatever their case, and every text value redacted as
+    ``redact_public`` does; null for what is no JSON. JSON of any shape has no column form."""
+    rules = [(re.compile(REWARD_LINE, re.I | re.M), ""), (re.compile(PRIVATE_LINE, re.I | re.M), ""), (re.compile(PREFERENCE, re.I), "that preference")]
+
+    def text(t):
+        for pattern, by in rules:
+            t = pattern.sub(by, t)
+        return t.strip()
+
+    return _json_redactor(text, lambda k: k in PRIVATE_KEYS)(c)
+
+
+def redact_tracking_json(c: Column) -> Column:
+    """A JSON text that may be logged: untracked keys and keys with an untracked part are gone at any depth,
+    every text value is redacted as ``redact_tracking`` does; null for what is no JSON."""
+    marked = "[REASONING_REDACTED]"
+    rules = [(re.compile(REASONING_BLOCK, re.I | re.S), marked), (re.compile(REASONING_FIELD, re.I | re.S), marked), (re.compile(PRIVATE_LINE, re.I | re.M), "[PRIVATE_REDACTED]"), (re.compile(PREFERENCE_ALONE, re.I), "[PRIVATE_ID]")]
+
+    def text(t):
+        for pattern, by in rules:
+            t = pattern.sub(by, t)
+        return "[REDACTED]" if "sk-" in t or "api_key" in t.casefold() else t
+
+    return _json_redactor(text, lambda k: k in UNTRACKED_KEYS or any(p in k for p in UNTRACKED_PARTS))(c)
 
 
 def option_ids(c: Column) -> Column:

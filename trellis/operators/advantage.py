@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 EPS = 1e-6
 
 
@@ -88,20 +90,21 @@ def by_component(df: DataFrame, group: str, components: list[str], *, eps: float
 
 
 def spread_reason(df: DataFrame, group: str, score: str, valid: Column, *, size: int, least: float = 5e-3, constant: float = 1e-6) -> DataFrame:
-    """Add reason and kept: why a group teaches nothing, the gravest reason first. Invalid rewards
-    count as 0 in the spread; rows of a kept group and valid rows of one that is only partly invalid stay."""
+    """Add reason and kept: why a group teaches nothing, the gravest reason first. A group of fewer than
+    ``size`` rows is incomplete, a larger one isn't. All rows of a useful group are kept, and the valid
+    rows of one that is incomplete or partly invalid, for diagnostics."""
     w = W.partitionBy(group)
     ok = F.coalesce(valid, F.lit(True)) & finite(F.col(score))
     held = F.when(ok, F.col(score)).otherwise(0.0)
     spread = F.max(held).over(w) - F.min(held).over(w)
     reason = (
-        F.when(F.count("*").over(w) != size, "incomplete_group")
+        F.when(F.count("*").over(w) < size, "incomplete_group")
         .when(~F.min(ok).over(w), "reward_invalid")
         .when(spread <= constant, "constant_reward")
         .when(spread + constant < least, "insufficient_reward_spread")
         .otherwise("useful")
     )
-    return df.withColumn("reason", reason).withColumn("kept", F.col("reason") == "useful")
+    return df.withColumn("reason", reason).withColumn("kept", (F.col("reason") == "useful") | (F.col("reason").isin("incomplete_group", "reward_invalid") & ok))
 
 
 #: Named estimators, each DataFrame -> DataFrame; callers may add their own.
@@ -124,31 +127,33 @@ for _name, _f in {"grpo": grpo, "terminal_grpo": terminal_grpo, "passk": best_of
     register(_name)(_f)
 
 
-# ---------------------------------------------------------------- token recurrences on arrays
+# ---------------------------------------------------------------- token recurrences, one row a token
 
 
-def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """Returns from the end, starting anew after a masked position: r + gamma * next."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+def discounted_returns(df: DataFrame, record: str, pos: str, reward: str, mask: str, gamma: float) -> DataFrame:
+    """Add return: from the end, r + gamma * the next one's, starting anew after a masked token (mask 0). One
+    pass from the last token of a record to its first; null rewards count as 0, null masks as 1."""
 
-    def step(acc, x):
-        now = x["r"] + F.lit(gamma) * acc["run"]
-        return F.struct((now * x["m"]).cast("double").alias("run"), F.concat(acc["out"], F.array(now.cast("double"))).alias("out"))
+    def step(run, r, m):
+        now = (r or 0.0) + gamma * run
+        return now * (1 if m is None else m), (now,)
 
-    return F.reverse(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+    held = df.withColumns({"_r": F.col(reward).cast("double"), "_m": F.col(mask).cast("double")})
+    return scan(held, [record], [pos], ["_r", "_m"], float, step, "`return` double", descending=True).drop("_r", "_m")
 
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Advantages A_t = delta_t + gamma * lam * A_(t+1), delta_t = r_t + gamma V_(t+1) - V_t."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v")))
-    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("out"))
+def gae(df: DataFrame, record: str, pos: str, reward: str, value: str, gamma: float, lam: float) -> DataFrame:
+    """Add advantage A_t = delta_t + gamma * lam * A_(t+1), delta_t = r_t + gamma V_(t+1) - V_t, and return,
+    A_t + V_t. One pass from the last token of a record to its first; nulls count as 0."""
 
-    def step(acc, x):
-        now = (x["r"] + F.lit(gamma) * acc["next"] - x["v"] + F.lit(gamma * lam) * acc["run"]).cast("double")
-        return F.struct(now.alias("run"), x["v"].cast("double").alias("next"), F.concat(acc["out"], F.array(now)).alias("out"))
+    def step(state, r, v):
+        run, after = state
+        v = v or 0.0
+        now = (r or 0.0) + gamma * after - v + gamma * lam * run
+        return (now, v), (now, now + v)
 
-    return F.reverse(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+    held = df.withColumns({"_r": F.col(reward).cast("double"), "_v": F.col(value).cast("double")})
+    return scan(held, [record], [pos], ["_r", "_v"], lambda: (0.0, 0.0), step, "advantage double, `return` double", descending=True).drop("_r", "_v")
 
 
 def kl_penalty(a: Column, b: Column, kind: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import ranked
+from .ranges import in_order, quantiles, ranked
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:
@@ -78,10 +78,13 @@ def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def representatives(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
-    """Per group the row whose score is nearest to the group's exact median; ties go to the smaller key."""
-    med = df.groupBy(group).agg(F.percentile(score, F.lit(0.5)).alias("median"))
-    near = df.join(med, group).withColumn("_gap", F.round(F.abs(F.col(score) - F.col("median")), 9))
-    return near.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy("_gap", key))).where("_rn = 1").drop("_rn", "_gap")
+    """Per group the row whose score is nearest to the group's exact median; ties go to the smaller key. No
+    task holds a group: the median comes by ranges of values, the nearest row by a partial aggregate."""
+    med = quantiles(df, [group], score, {"median": 0.5}).withColumnRenamed(group, "_g")
+    near = df.join(med, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    row = F.struct(*[F.col(c) for c in near.columns])
+    best = near.groupBy(group).agg(F.min_by(row, F.struct(F.round(F.abs(F.col(score) - F.col("median")), 9), F.col(key))).alias("_row"))
+    return best.select("_row.*")
 
 
 def pools(df: DataFrame, stratum: str, key: str, seed: int | str, sizes: dict[str, int]) -> DataFrame:
@@ -113,13 +116,20 @@ def pick_validation(groups: DataFrame, env: str, key: str, length: str, count: i
     return chosen.withColumn("reason", F.element_at(F.array(F.lit("environment"), F.lit("length"), F.lit("extra")), F.col("_stage") + 1)).drop("_env", "_have", "_stage", "_h")
 
 
-def spaced(df: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:
-    """``n`` rows a group over the range of scores: the lowest, the highest, and evenly spaced ones
-    between (ranks rounded half to even); ranks that fall together count once, and the next ranks in
-    order fill up."""
-    w = W.partitionBy(group)
-    held = df.withColumns({"_at": F.row_number().over(w.orderBy(score, key)) - 1, "_m": F.count("*").over(w)})
-    middles = [F.bround(F.lit(float(i + 1)) * (F.col("_m") - 1) / (max(n - 2, 0) + 1)).cast("int") for i in range(max(n - 2, 0))]
-    wanted = F.array_distinct(F.array(F.lit(0), (F.col("_m") - 1).cast("int"), *middles))
-    held = held.withColumn("_first", (~F.array_contains(F.slice(wanted, 1, n), F.col("_at"))).cast("int"))
-    return held.withColumn("_k", F.row_number().over(w.orderBy("_first", "_at"))).where(F.col("_k") <= n).drop("_at", "_m", "_first", "_k")
+def spaced(df: DataFrame, group: str, score: str, key: str, n: int, *, least: float = 5e-3, constant: float = 1e-6) -> DataFrame:
+    """``n`` rows a group over the range of scores: the lowest, the highest, and evenly spaced ones of the rows
+    between these (their ranks rounded half to even); what falls together counts once, and the next rows
+    in order fill up. Groups of fewer rows, or whose scores differ by too little, give none. Equal
+    scores are ordered by ``key``; rows with a null score take no part.
+    """
+    held = in_order(df.where(F.col(score).isNotNull()), [group], [score, key], "_at")
+    sizes = held.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_m"), (F.max(score) - F.min(score)).alias("_spread"))
+    sizes = sizes.where((F.col("_m") >= n) & (F.col("_spread") > constant) & (F.col("_spread") + constant >= least))
+    held = held.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g", "_spread")
+    between, free = F.col("_m") - 2, max(n - 2, 0)
+    few = F.transform(F.sequence(F.lit(1), F.greatest(between, F.lit(1))), lambda i: i)
+    spread = F.array(*[1 + F.bround(F.lit(float(i + 1)) * (between - 1) / (free + 1)).cast("long") for i in range(free)])
+    middles = F.when(between <= 0, F.array().cast("array<bigint>")).when(between <= free, few.cast("array<bigint>")).otherwise(spread.cast("array<bigint>")) if free else F.array().cast("array<bigint>")
+    wanted = F.slice(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint"), F.col("_m") - 1), middles)), 1, n)
+    held = held.withColumn("_first", (~F.array_contains(wanted, F.col("_at"))).cast("int")).where((F.col("_first") == 0) | (F.col("_at") < n))
+    return held.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy("_first", "_at"))).where(F.col("_k") <= n).drop("_at", "_m", "_first", "_k")

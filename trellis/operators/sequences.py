@@ -66,8 +66,8 @@ def turns(df: DataFrame, row: str, pos: str, starts: Column) -> DataFrame:
 
 
 def reverse_sums(df: DataFrame, row: str, pos: str, value: str) -> DataFrame:
-    """Add return: the sum of a row's values from a position to its end."""
-    w = W.partitionBy(row).orderBy(pos).rowsBetween(W.currentRow, W.unboundedFollowing)
+    """Add return: the sum of a row's values from a position to its end, by a frame that grows from the end."""
+    w = W.partitionBy(row).orderBy(F.desc(pos)).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn("return", F.sum(value).over(w))
 
 

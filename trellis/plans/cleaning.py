@@ -12,16 +12,31 @@ from ..operators import sequences as seq
 from ..sources.io import table
 from .registry import query
 
-_CONV = "(SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)"
+_ROLE = "CASE WHEN conv_id % 19 = 3 AND turn = 2 THEN 'human' WHEN role = 'user' AND turn > 1 AND conv_id % 3 > 0 THEN 'tool' ELSE role END"
+_ID, _ANSWERS = "concat('call_', turn)", "CASE WHEN conv_id % 11 = 1 THEN concat('call_', turn) WHEN conv_id % 13 = 1 THEN '' ELSE concat('call_', turn - 1) END"
+_ARGS = """CASE WHEN conv_id % 5 = 1 AND turn % 3 = 1 THEN '{"choice": "answer", "Reward": 1}' WHEN conv_id % 7 = 1 THEN '["search"]' WHEN conv_id % 17 = 2 THEN NULL ELSE '{"choice": "search", "content": {"best_id": 1}}' END"""
+_RECORD = f"(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {_ROLE} AS role, {_ID} AS id, {_ANSWERS} AS answers, {_ARGS} AS args FROM conversations)"
 
 
 @query(f"""
-SELECT conv_id, NOT list_contains(r, 'assistant') AS no_assistant, len(list_filter(range(1, len(r)), lambda i: r[i] = r[i + 1])) > 0 AS repeated_role,
-  len(list_filter(r[2:], lambda x: x = 'system')) > 0 AS late_system, len(list_filter(m, lambda x: trim(coalesce(x.content, ''), ' ') = '')) > 0 AS blank_content FROM {_CONV}""")
+WITH m AS (SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM {_RECORD}),
+found AS (SELECT conv_id, 1 + i AS spot, CASE WHEN role NOT IN ('system', 'user', 'assistant', 'tool') THEN '_role' WHEN role = 'assistant' AND args IS NULL THEN '_tool_function_0' WHEN role = 'assistant' AND json_type(args) <> 'OBJECT' THEN '_tool_arguments_0'
+    WHEN role = 'assistant' AND len(list_intersect(list_transform(json_keys(args), lambda k: lower(k)), ['preference_id', 'preference_ids', 'correct_id', 'correct_ids', 'best_id', 'best_ids', 'reward', 'step_reward', 'terminal_reward', 'reward_report', 'ground_truth'])) > 0 THEN '_tool_arguments_0_private_keys'
+    WHEN role = 'tool' AND (answers = '' OR last IS NULL OR answers <> (SELECT id FROM m c WHERE c.conv_id = m.conv_id AND c.i = m.last)) THEN '_tool_call_id' END AS code FROM m),
+codes AS (SELECT conv_id, spot, concat('message_', spot - 1, code) AS code FROM found WHERE code IS NOT NULL
+  UNION ALL SELECT DISTINCT conv_id, -2, 'schema_version_mismatch' FROM conversations WHERE conv_id % 23 = 0 UNION ALL SELECT DISTINCT conv_id, -1, 'assistant_train_mask_length' FROM conversations WHERE conv_id % 29 = 0
+  UNION ALL SELECT DISTINCT conv_id, 1000000, 'tools_schema_missing' FROM conversations WHERE conv_id % 31 = 0)
+SELECT c.conv_id, coalesce(string_agg(code, ',' ORDER BY spot), '') AS codes FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN codes USING (conv_id) GROUP BY c.conv_id""")
 def canonical_violations(spark, sf):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    out = table(spark, sf, "conversations").groupBy("conv_id").agg(rows.alias("m")).withColumn("v", replay.violations(F.col("m")))
-    return out.select("conv_id", *[F.array_contains("v", k).alias(k) for k in ("no_assistant", "repeated_role", "late_system", "blank_content")])
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = table(spark, sf, "conversations").select("conv_id", place.alias("i"), *[F.expr(sql).alias(c) for c, sql in (("role", _ROLE), ("id", _ID), ("answers", _ANSWERS), ("args", _ARGS))])
+    function = F.when(F.col("args").isNotNull(), F.struct(F.col("args").alias("arguments")))
+    call = F.when(F.col("role") == "assistant", F.array(F.struct("id", function.alias("function"))))
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", call.alias("tool_calls"), F.col("answers").alias("tool_call_id")))).alias("m"))
+    mask = F.slice(F.transform("m", lambda x: F.lit(1)), 1, F.size("m") - (F.col("conv_id") % 29 == 0).cast("int"))
+    version = F.when(F.col("conv_id") % 23 != 0, replay.SCHEMA_VERSION)
+    codes = replay.violations(version, F.col("m"), mask, F.when(F.col("conv_id") % 31 != 0, F.array(F.lit("tool"))))
+    return held.select("conv_id", F.concat_ws(",", codes).alias("codes"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS private FROM events")
@@ -51,13 +66,14 @@ def bounded_retry(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT event_id, user_id, event_id % 3 AS aspect, event_type, value > 60 AS gained FROM events),
-d AS (SELECT *, row_number() OVER (PARTITION BY user_id, aspect, event_type ORDER BY event_id) > 1 AS dup FROM t),
-k AS (SELECT *, sum(CASE WHEN NOT dup AND NOT gained THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, aspect ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
-SELECT event_id, CASE WHEN dup THEN 'duplicate' WHEN gained THEN 'useful' WHEN k = 1 THEN 'no_gain_first' ELSE 'no_gain' END AS outcome FROM k""")
+WITH t AS (SELECT event_id, user_id, event_id % 3 AS aspect, trim(regexp_replace(lower(concat(event_type, CASE WHEN event_id % 2 = 0 THEN '?!' ELSE ' ' END, floor(value / 30))), '[^a-z0-9_]+', ' ', 'g')) AS q, value > 60 AS gained FROM events),
+d AS (SELECT *, EXISTS (SELECT 1 FROM t b WHERE b.user_id = a.user_id AND b.aspect = a.aspect AND b.q = a.q AND b.event_id < a.event_id) AS dup,
+  (SELECT count(*) FROM t b WHERE b.user_id = a.user_id AND b.aspect = a.aspect AND NOT b.gained AND b.event_id <= a.event_id) AS misses FROM t a)
+SELECT event_id, CASE WHEN dup THEN 'duplicate' WHEN gained THEN 'useful' WHEN misses > 1 THEN 'no_gain' ELSE 'no_gain_first' END AS outcome, dup OR (NOT gained AND misses > 1) AS redundant FROM d""")
 def action_outcomes(spark, sf):
-    t = table(spark, sf, "events").withColumn("aspect", F.col("event_id") % 3)
-    return replay.action_outcomes(t, "user_id", "aspect", "event_type", "event_id", F.col("value") > 60).select("event_id", "outcome")
+    said = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "?!").otherwise(" "), F.floor(F.col("value") / 30).cast("string"))
+    t = table(spark, sf, "events").withColumns({"aspect": F.col("event_id") % 3, "q": said})
+    return replay.action_outcomes(t, "user_id", "aspect", "q", "event_id", F.col("value") > 60).select("event_id", "outcome", "redundant")
 
 
 @query("SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")

@@ -94,14 +94,3 @@ def legacy_transcripts(spark, sf):
     rows = calls.select("l_orderkey", F.explode(both).alias("m")).select("l_orderkey", "m.*")
     out = _by_order(rows, "role", "choice", "aspect", "content").withColumn("r", F.explode(replay.legacy_kept(F.col("calls"))))
     return out.select("l_orderkey", "r.*")
-
-
-@query()
-def curation_counts(spark, sf):
-    error = F.lit(None).cast("string").alias("feedback_error")
-    shown = F.array(F.lit("F2"), F.lit("H1"), F.lit("H2"), F.lit("F3"))
-    calls = _calls(spark, sf).select("l_orderkey", "n", F.col("kind").alias("choice"), "aspect", F.col("content").alias("answer"), shown.alias("shown"), error)
-    raw = _by_order(calls, "choice", "aspect", "answer", "shown", "feedback_error")
-    key = F.col("l_orderkey")
-    right = F.size(F.filter("calls", lambda e: e["choice"] == "answer"))
-    return replay.curate(raw, domain=key % 7 != 0, quarantined=key % 11 == 0, events=F.col("calls"), infra=key % 13 == 0, right=right, total=F.lit(2))[2]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import advantage as adv
-from ..operators import attempts, credit, joins, sampling
+from ..operators import attempts, credit, joins, ranges, sampling
 from ..sources.io import table
 from .registry import query
 
@@ -107,7 +107,7 @@ def _days(spark, sf):
 
 
 _REASON = f"""
-SELECT *, CASE WHEN n <> 3 THEN 'incomplete_group' WHEN NOT ok THEN 'reward_invalid' WHEN hi - lo <= 1e-6 THEN 'constant_reward'
+SELECT *, CASE WHEN n < 3 THEN 'incomplete_group' WHEN NOT ok THEN 'reward_invalid' WHEN hi - lo <= 1e-6 THEN 'constant_reward'
   WHEN hi - lo + 1e-6 < 5e-3 THEN 'insufficient_reward_spread' ELSE 'useful' END AS reason
 FROM (SELECT *, count(*) OVER w AS n, bool_and(valid) OVER w AS ok, max(CASE WHEN valid THEN value ELSE 0 END) OVER w AS hi,
   min(CASE WHEN valid THEN value ELSE 0 END) OVER w AS lo FROM {_DAYS} WINDOW w AS (PARTITION BY user_id, day))"""
@@ -118,7 +118,7 @@ def _reasons(spark, sf):
     return adv.spread_reason(rows, "uid", "value", F.col("valid"), size=3)
 
 
-@query(f"SELECT event_id, reason, reason = 'useful' AS kept FROM ({_REASON})")
+@query(f"SELECT event_id, reason, reason = 'useful' OR (reason IN ('incomplete_group', 'reward_invalid') AND valid) AS kept FROM ({_REASON})")
 def reward_spread_groups(spark, sf):
     return _reasons(spark, sf).select("event_id", "reason", "kept")
 
@@ -282,8 +282,10 @@ def clipped_loss(spark, sf):
 SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(avg(value), 4) AS mean, max(value) AS max, min(value) AS min,
   round(var_samp(value), 3) AS var FROM events GROUP BY event_type""")
 def metric_statistics(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile(v, F.lit(0.5)), 4).alias("p50"), F.round(F.percentile(v, F.lit(0.95)), 4).alias("p95"), F.round(F.avg(v), 4).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.round(F.var_samp(v), 3).alias("var"))
+    v, e = F.col("value"), table(spark, sf, "events")
+    moments = e.groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.round(F.var_samp(v), 3).alias("var"))
+    places = ranges.quantiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return moments.join(places, "event_type").select("event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "mean", "max", "min", "var")
 
 
 @query("""

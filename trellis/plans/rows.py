@@ -58,9 +58,9 @@ def advantage_by_name(spark, sf):
 
 
 @query("""
-WITH r AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)),
-x AS (SELECT *, CASE WHEN list_contains(list_distinct([0, m - 1, CAST(round_even(1 * (m - 1) / 3.0, 0) AS BIGINT), CAST(round_even(2 * (m - 1) / 3.0, 0) AS BIGINT)]), place) THEN 0 ELSE 1 END AS late FROM r)
-SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY late, place) AS k FROM x) WHERE k <= 4""")
+WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS m, max(c_acctbal) OVER (PARTITION BY c_nationkey) - min(c_acctbal) OVER (PARTITION BY c_nationkey) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)),
+p AS (SELECT *, CASE WHEN m - 2 <= 2 THEN place ELSE CASE WHEN place IN (0, m - 1, 1 + round_even((m - 3) / 3.0, 0), 1 + round_even(2 * (m - 3) / 3.0, 0)) THEN place END END AS hit FROM r WHERE m >= 4 AND d > 1e-6 AND d + 1e-6 >= 5e-3)
+SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY hit IS NULL, place) AS k FROM p) WHERE k <= 4""")
 def spaced_picks(spark, sf):
     return sampling.spaced(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal", "c_custkey", 4).select("c_nationkey", "c_custkey")
 

@@ -79,8 +79,7 @@ WITH RECURSIVE p AS MATERIALIZED (SELECT *, max(pos) OVER (PARTITION BY l_orderk
 t(l_orderkey, pos, run, ret) AS (SELECT l_orderkey, pos, r * m, r FROM p WHERE pos = n UNION ALL SELECT p.l_orderkey, p.pos, (p.r + 0.9 * t.run) * p.m, p.r + 0.9 * t.run FROM p JOIN t ON p.l_orderkey = t.l_orderkey AND p.pos = t.pos - 1)
 SELECT l_orderkey, pos, round(ret, 6) AS ret FROM t""")
 def discounted_return(spark, sf):
-    got = adv.discounted_returns(F.expr("transform(x, a -> a.r)"), F.expr("transform(x, a -> a.m)"), 0.9)
-    return _arrays(spark, sf).select("l_orderkey", F.posexplode(got).alias("pos", "ret")).select("l_orderkey", (F.col("pos") + 1).cast("long").alias("pos"), F.round("ret", 6).alias("ret"))
+    return adv.discounted_returns(_steps(spark, sf), "l_orderkey", "pos", "r", "m", 0.9).select("l_orderkey", "pos", F.round("return", 6).alias("ret"))
 
 
 @query(f"""
@@ -88,9 +87,7 @@ WITH RECURSIVE p AS MATERIALIZED (SELECT *, max(pos) OVER (PARTITION BY l_orderk
 t(l_orderkey, pos, v, a) AS (SELECT l_orderkey, pos, v, r - v FROM p WHERE pos = n UNION ALL SELECT p.l_orderkey, p.pos, p.v, p.r + 0.99 * t.v - p.v + 0.99 * 0.95 * t.a FROM p JOIN t ON p.l_orderkey = t.l_orderkey AND p.pos = t.pos - 1)
 SELECT l_orderkey, pos, round(a, 6) AS advantage, round(a + v, 6) AS ret FROM t""")
 def gae(spark, sf):
-    got = adv.gae(F.expr("transform(x, a -> a.r)"), F.expr("transform(x, a -> a.v)"), 0.99, 0.95)
-    rows = _arrays(spark, sf).select("l_orderkey", F.posexplode(F.arrays_zip(got.alias("a"), F.col("x"))).alias("pos", "y"))
-    return rows.select("l_orderkey", (F.col("pos") + 1).cast("long").alias("pos"), F.round("y.a", 6).alias("advantage"), F.round(F.col("y.a") + F.col("y.x.v"), 6).alias("ret"))
+    return adv.gae(_steps(spark, sf), "l_orderkey", "pos", "r", "v", 0.99, 0.95).select("l_orderkey", "pos", F.round("advantage", 6).alias("advantage"), F.round("return", 6).alias("ret"))
 
 
 @query(f"SELECT l_orderkey, pos, CAST(coalesce(sum(1 - m) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS INT) AS mask FROM {_POS}")
@@ -138,24 +135,6 @@ def history_text(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"), path.alias("path"))
 
 
-def _calls(spark, sf):
-    """Tool calls by a fixed rule: an event's type is its call, its user's hundreds of value the aspect."""
-    e = table(spark, sf, "events")
-    choice = F.when(F.col("event_type") == "view", "search").when(F.col("event_type").isin("click", "signup"), "action").when(F.col("event_type") == "purchase", "answer").otherwise("search")
-    ids = F.array(F.concat(F.lit("F"), F.pmod("event_id", F.lit(5)).cast("string")), F.lit("F9"))
-    call = F.struct("event_id", choice.alias("choice"), F.concat(F.lit("a"), F.pmod("event_id", F.lit(2)).cast("string")).alias("aspect"), F.when(F.pmod("event_id", F.lit(3)) > 0, "F9").otherwise("F7").alias("answer"), ids.alias("shown"), F.when(F.col("event_type") == "error", "invalid-parameters").alias("feedback_error"))
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
-
-
-@query()
-def replay_classification(spark, sf):
-    done = _calls(spark, sf).select("user_id", replay.replay(F.col("calls")).alias("events"))
-    done = done.withColumn("repairs", replay.later_repair(F.col("events"))).withColumn("kept", replay.cut_at(F.col("repairs"), F.size("events")))
-    right = F.size(F.array_distinct(F.transform(F.filter("events", lambda e: e["accepted"] & (e["choice"] == "answer")), lambda e: e["aspect"])))
-    kind = replay.classify(F.exists("events", lambda e: F.coalesce(e["error"] == "environment-failure", F.lit(False))), F.size(F.filter("repairs", lambda r: r["repaired_by"].isNotNull())), right, F.lit(2))
-    return done.select("user_id", F.size("events").alias("n_events"), F.size(F.filter("events", lambda e: e["accepted"])).alias("n_accepted"), "kept", kind.alias("class"), replay.class_weight(kind).alias("weight"))
-
-
 @query("SELECT role, count(*) AS n, CAST(count(*) FILTER (contains(lower(text), 'invalid')) AS BIGINT) AS n_invalid FROM conversations GROUP BY role")
 def rejection_counts(spark, sf):
     t = table(spark, sf, "conversations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import batching, joins, sampling
+from ..operators import batching, joins, ranges, sampling
 from ..sources.io import table
 from .registry import query
 
@@ -18,8 +18,10 @@ def _docs(spark, sf):
 SELECT lang, round(quantile_cont(n_chars, 0.5), 4) AS p50, CAST(round_even(quantile_cont(n_chars, 0.9), 0) AS BIGINT) AS p90, CAST(round_even(quantile_cont(n_chars, 0.95), 0) AS BIGINT) AS p95,
   CAST(round_even(quantile_cont(n_chars, 0.99), 0) AS BIGINT) AS p99, max(n_chars) AS longest FROM documents GROUP BY lang""")
 def length_percentiles(spark, sf):
-    p = lambda q: F.bround(F.percentile("n_chars", F.lit(q))).cast("long")
-    return _docs(spark, sf).groupBy("lang").agg(F.round(F.percentile("n_chars", F.lit(0.5)), 4).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("n_chars").alias("longest"))
+    d = _docs(spark, sf)
+    places = ranges.quantiles(d, ["lang"], "n_chars", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    whole = [F.bround(c).cast("long").alias(c) for c in ("p90", "p95", "p99")]
+    return places.join(d.groupBy("lang").agg(F.max("n_chars").alias("longest")), "lang").select("lang", F.round("p50", 4).alias("p50"), *whole, "longest")
 
 
 @query("""
@@ -120,14 +122,28 @@ def _made(spark, sf):
     return _docs(spark, sf).select("doc_id", t.alias("t"))
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(t, '(?im)^\s*(reward|private[_ ]label|ground[_ ]truth)\s*[:=].*$', '', 'g'), '\bP\d+\b', '[preference]', 'g'), ' ') AS t FROM {_MADE}")
+_PRIVATE = r"""concat('Trip for P', doc_id, ' and p', n_chars, ', not xP1 or P1x.\n Reward : ', n_chars, '\nterminal reward = 3\nstep_reward: 1\nCorrect_IDs: F', doc_id, '\nbest ids = H1\nPreference id: 4\nrewardreport: x\nDiagnostics = y\nground truth: z\nrewards: shown\n<Think>see F', doc_id,
+  '\nmore</think>, <analysis>a</analysis> options F12\nscratchpad: hidden\nmore hidden\nNext step: shown\n', CASE doc_id % 7 WHEN 0 THEN 'key sk-1' WHEN 1 THEN 'API_KEY=1' WHEN 2 THEN 'reasoning_content = to the end' ELSE '' END)"""
+_PRIVATE_SQL = f"(SELECT doc_id, replace({_PRIVATE}, '\\n', chr(10)) AS t FROM documents)"
+
+
+def _private(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.expr(_PRIVATE.replace("\\n", "\n")).alias("t"))
+
+
+@query(rf"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?im)^\s*(reward|step[_ ]?reward|terminal[_ ]?reward)\s*[:=].*$', '', 'g'),
+  '(?im)^\s*(preference[_ ]?ids?|correct[_ ]?ids?|best[_ ]?ids?|ground[_ ]?truth|reward[_ ]?report|diagnostics?)\s*[:=].*$', '', 'g'), '(?i)\bP\d+\b', 'that preference', 'g'), e' \n') AS t FROM {_PRIVATE_SQL}""")
 def redact_public_text(spark, sf):
-    return _made(spark, sf).select("doc_id", tx.redact_public(F.col("t")).alias("t"))
+    return _private(spark, sf).select("doc_id", tx.redact_public(F.col("t")).alias("t"))
 
 
-@query(rf"SELECT doc_id, CASE WHEN contains(t, 'sk-') THEN '[REDACTED]' ELSE regexp_replace(regexp_replace(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g'), '(?im)^\s*(reward|private[_ ]label|ground[_ ]truth)\s*[:=].*$', '', 'g'), '\bP\d+\b', '[preference]', 'g') END AS t FROM {_MADE}")
+@query(rf"""
+SELECT doc_id, CASE WHEN contains(x, 'sk-') OR contains(lower(x), 'api_key') THEN '[REDACTED]' ELSE x END AS t FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '(?is)<(think|analysis|reasoning)>.*?</(think|analysis|reasoning)>', '[REASONING_REDACTED]', 'g'), '(?is)(reasoning_content|chain_of_thought|scratchpad)\s*[:=]\s*.*?(\n\s*[A-Za-z_][\w -]*\s*[:=]|$)', '[REASONING_REDACTED]\2', 'g'),
+  '(?im)^\s*(preference[_ ]?ids?|correct[_ ]?ids?|best[_ ]?ids?|ground[_ ]?truth|reward[_ ]?report|diagnostics?)\s*[:=].*$', '[PRIVATE_REDACTED]', 'g'), '(?i)(^|[^A-Za-z0-9])P\d+($|[^A-Za-z0-9])', '\1[PRIVATE_ID]\2', 'g') AS x FROM {_PRIVATE_SQL})""")
 def redact_tracking(spark, sf):
-    return _made(spark, sf).select("doc_id", tx.redact_tracking(F.col("t")).alias("t"))
+    return _private(spark, sf).select("doc_id", tx.redact_tracking(F.col("t")).alias("t"))
 
 
 @query(f"SELECT doc_id, 'F' || doc_id || ',F12,H' || doc_id AS ids, 'see F' || doc_id AS thought FROM {_MADE}")
