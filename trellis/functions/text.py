@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsons import canonical_hash
+
 #: Lines that tell a reward, lines that tell a private label, blocks and fields of reasoning, and
 #: numbers of preferences, as patterns that Java and Python read alike but for flags.
 REWARD_LINE = r"^\s*(?:reward|step[_ ]?reward|terminal[_ ]?reward)\s*[:=].*$"
@@ -201,8 +203,9 @@ def finite_or(c: Column, default: float) -> Column:
 
 
 def content_hash(*cols: str) -> Column:
-    """sha256 of a JSON object with keys in order; nulls are written, so they count."""
-    return F.sha2(F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(cols)]), 256)
+    """sha256 of the columns as one JSON object in its canonical form: keys sorted, texts quoted and escaped, nulls
+    written, so that different rows give different texts. Nested columns count at every depth."""
+    return canonical_hash(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(cols)]), {"ignoreNullFields": "false"}))
 
 
 #: What the normal form of a LaTeX answer rewrites, in order (Java patterns).

@@ -397,12 +397,6 @@ def violations(version: Column, messages: Column, mask: Column, tools: Column, *
     return F.concat(head, F.coalesce(inner, none), F.array_compact(F.array(F.when(F.coalesce(F.size(tools), F.lit(0)) <= 0, "tools_schema_missing"))))
 
 
-def forbidden_keys(document: Column, names: list[str]) -> Column:
-    """Names of ``names`` that are keys anywhere in a JSON text."""
-    keys = F.array_distinct(F.transform(F.regexp_extract_all(document, F.lit(r'"([^"\\]*)"\s*:'), F.lit(1)), F.lower))
-    return F.array_sort(F.array_intersect(keys, F.array(*[F.lit(n) for n in names])))
-
-
 def steps_needed(aspects: Column, searched: Column, answered: Column) -> Column:
     """The fewest steps that complete the aspects: an answer each, and a search where there was none."""
     return F.aggregate(F.array_except(aspects, answered), F.lit(0), lambda n, a: n + F.when(F.array_contains(searched, a), 1).otherwise(2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..functions import messages as ms
 from ..functions import text as tx
 from ..operators import attempts, replay, sampling
@@ -39,9 +40,17 @@ def canonical_violations(spark, sf):
     return held.select("conv_id", F.concat_ws(",", codes).alias("codes"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS private FROM events")
+_SHOWN = """concat('{"current_aspect": "', event_type, '", ', CASE WHEN event_id % 5 = 0 THEN '' ELSE '"step": 1, ' END, '"notes": [{"say": "he said \\\\"Gold\\\\": ', CASE event_id % 7 WHEN 0 THEN 'P12' WHEN 1 THEN 'reward = 3' ELSE 'xP1' END, '"}, ',
+  CASE event_id % 11 WHEN 0 THEN '{"GOLD": 1}' WHEN 1 THEN '{"a": {"t\\\\u0061sk": []}}' WHEN 2 THEN '{"tasks": "task"}' WHEN 3 THEN '{' ELSE '7' END, ']}')"""
+
+
+@query("""
+WITH d AS (SELECT event_id, @ AS t FROM events)
+SELECT event_id, CASE WHEN NOT json_valid(t) THEN 'not_an_object' ELSE concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'missing:step' END, CASE event_id % 11 WHEN 0 THEN 'forbidden:GOLD' WHEN 1 THEN 'forbidden:task' END,
+  CASE event_id % 7 WHEN 0 THEN 'preference' WHEN 1 THEN 'reward' END) END AS faults FROM d""".replace("@", _SHOWN.replace("\\\\", "\\")))
 def forbidden_key_guard(spark, sf):
-    return table(spark, sf, "events").select("event_id", (F.size(replay.forbidden_keys(F.col("props"), ["k", "reward"])) > 0).alias("private"))
+    faults = jsons.observation_faults(F.expr(_SHOWN), ["step", "current_aspect"], ["gold", "task"])
+    return table(spark, sf, "events").select("event_id", F.concat_ws(",", faults).alias("faults"))
 
 
 @query("""

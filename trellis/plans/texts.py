@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..functions import text as tx
 from ..operators import batching, joins, ranges, sampling
 from ..sources.io import table
@@ -189,6 +190,21 @@ def flatten_json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+_REPORT = """concat('{"train": {"loss": ', value, ', "k": ', event_id % 9, ', "none": {}, "notes": [', CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('"', event_type, '", {"deep/er": [null, true, ', event_id % 4, '.25]}') END, ']}, "id": "', event_id, '"}')"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT event_id, ({_REPORT})::JSON AS t FROM events),
+walk AS (SELECT event_id, '' AS p, t AS v FROM d
+  UNION ALL SELECT event_id, p || CASE WHEN p = '' THEN '' ELSE '/' END || k, json_extract(v, CASE WHEN json_type(v) = 'ARRAY' THEN '$[' || k || ']' ELSE '$."' || k || '"' END)
+  FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) ELSE [] END) AS k FROM walk)),
+flat AS (SELECT event_id, p AS key, v::VARCHAR AS value FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') UNION ALL SELECT event_id, p || '/list_len', json_array_length(v)::VARCHAR FROM walk WHERE json_type(v) = 'ARRAY')
+SELECT event_id, key, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS value, try_cast(value AS DOUBLE) AS number FROM flat""")
+def flattened_reports(spark, sf):
+    out = jsons.flattened(table(spark, sf, "events").select("event_id", F.expr(_REPORT).alias("t")), ["event_id"], "t")
+    return out.select("event_id", "key", F.when(F.col("number").isNull(), F.col("value")).alias("value"), "number")
+
+
 @query("SELECT event_id, 'value' AS name, value FROM events UNION ALL SELECT event_id, 'k', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events")
 def metric_long_form(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value", F.from_json("props", "k double")["k"].alias("k"))
@@ -257,9 +273,9 @@ def flops_terms(spark, sf):
     return _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / 64).alias("batch")).agg(F.sum(n).alias("total"), F.sum(n * n).alias("squares"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lang || '::' || doc_id AS task_key, sha256('\"doc_id\":' || doc_id || ',\"lang\":' || lang) AS h FROM documents")
+@query("SELECT doc_id, lang || '::' || doc_id AS task_key, sha256('{\"doc_id\":' || doc_id || ',\"lang\":' || to_json(lang) || ',\"text\":' || to_json(text) || '}') AS h FROM documents")
 def keys_and_hashes(spark, sf):
-    return _docs(spark, sf).select("doc_id", tx.task_key(F.col("lang"), F.col("doc_id")).alias("task_key"), tx.content_hash("lang", "doc_id").alias("h"))
+    return _docs(spark, sf).select("doc_id", tx.task_key(F.col("lang"), F.col("doc_id")).alias("task_key"), tx.content_hash("lang", "text", "doc_id").alias("h"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS t FROM documents")
