@@ -1,10 +1,12 @@
-"""Queries on keyed state: work ledgers and bounded retries, as recursions in SQL."""
+"""Queries on keyed state and on resampled validation: work ledgers and bounded retries as recursions in SQL,
+majorities by adding up all vote counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import validation
 from ..sources.io import table
 from ..streaming import keyed
 from .registry import query
@@ -39,3 +41,26 @@ def retry_state(spark, sf):
     useful = F.when(F.col("event_type") != "error", (F.col("value") > 100).cast("long"))
     b = table(spark, sf, "events").select("user_id", F.floor(k / 4).alias("u"), (k % 4).alias("b"), useful.alias("g"))
     return keyed.retry_table(b, "user_id", "u", "b", "g", required=1, batches=3, skips=2)
+
+
+_ROLLOUTS = "(SELECT event_type AS source, user_id AS prompt, round(value / 20) AS v, event_id % 3 AS l FROM events)"
+
+
+@query(f"""
+WITH e AS (SELECT *, count(*) OVER (PARTITION BY source, prompt) AS k FROM {_ROLLOUTS}),
+ns AS (SELECT DISTINCT source, prompt, k, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256], lambda x: x < k), k)) AS n FROM e WHERE k > 1),
+cdf AS (SELECT DISTINCT source, prompt, v, k, count(*) OVER (PARTITION BY source, prompt ORDER BY v) AS le, count(*) OVER (PARTITION BY source, prompt ORDER BY v DESC) AS ge, count(*) OVER (PARTITION BY source, prompt, v) AS c FROM e),
+ends AS (SELECT source, prompt, n, sum(v * ((le / k) ^ n - ((le - c) / k) ^ n)) AS b, sum(v * v * ((le / k) ^ n - ((le - c) / k) ^ n)) AS bb, sum(v * ((ge / k) ^ n - ((ge - c) / k) ^ n)) AS w, sum(v * v * ((ge / k) ^ n - ((ge - c) / k) ^ n)) AS ww FROM cdf JOIN ns USING (source, prompt, k) GROUP BY ALL),
+labels AS (SELECT source, prompt, l, count(*) / any_value(k) AS p, avg(v) AS m, avg(v * v) AS q FROM e GROUP BY source, prompt, l),
+three AS (SELECT ns.*, coalesce(a.p, 0) AS pa, coalesce(b.p, 0) AS pb, coalesce(c.p, 0) AS pc, coalesce(a.m, 0) AS ma, coalesce(b.m, 0) AS mb, coalesce(c.m, 0) AS mc, coalesce(a.q, 0) AS qa, coalesce(b.q, 0) AS qb, coalesce(c.q, 0) AS qc FROM ns
+  LEFT JOIN labels a ON a.source = ns.source AND a.prompt = ns.prompt AND a.l = 0 LEFT JOIN labels b ON b.source = ns.source AND b.prompt = ns.prompt AND b.l = 1 LEFT JOIN labels c ON c.source = ns.source AND c.prompt = ns.prompt AND c.l = 2),
+x AS (SELECT *, unnest(range(0, n + 1)) AS i FROM three), y AS (SELECT *, unnest(range(0, n - i + 1)) AS j FROM x), z AS (SELECT *, n - i - j AS h, greatest(i, j, n - i - j) AS top FROM y),
+chance AS (SELECT *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(j + 1) - lgamma(h + 1)) * pa ^ i * pb ^ j * pc ^ h / ((i = top)::INT + (j = top)::INT + (h = top)::INT) AS p FROM z),
+maj AS (SELECT source, prompt, n, sum(p * ((i = top)::INT * ma + (j = top)::INT * mb + (h = top)::INT * mc)) AS m, sum(p * ((i = top)::INT * qa + (j = top)::INT * qb + (h = top)::INT * qc)) AS q FROM chance GROUP BY ALL)
+SELECT source, n, count(*) AS n_prompts, round(avg(b), 5) AS best_mean, round(avg(sqrt(greatest(bb - b * b, 0))), 5) AS best_std, round(avg(w), 5) AS worst_mean, round(avg(sqrt(greatest(ww - w * w, 0))), 5) AS worst_std, round(avg(m), 5) AS maj_mean, round(avg(sqrt(greatest(q - m * m, 0))), 5) AS maj_std
+FROM ends JOIN maj USING (source, prompt, n) GROUP BY source, n""")
+def majority_series(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("prompt"), F.round(F.col("value") / 20).alias("v"), (F.col("event_id") % 3).alias("l"))
+    per = validation.series(e, ["source", "prompt"], "v", "l")
+    means = [F.round(F.avg(f"{k}_{p}"), 5).alias(f"{k}_{p}") for k in ("best", "worst", "maj") for p in ("mean", "std")]
+    return per.groupBy("source", "n").agg(F.count("*").alias("n_prompts"), *means)
