@@ -340,12 +340,6 @@ def action_outcomes(df: DataFrame, episode: str, aspect: str, text: str, order:
     return held.withColumn("redundant", F.col("duplicate") | late).drop("_text", "_none", "_k")
 
 
-def compact(df: DataFrame, episode: str, order: str, length: str, budget: int) -> DataFrame:
-    """Add kept: the newest turns whose lengths fit ``budget`` together; older ones become memory."""
-    w = W.partitionBy(episode).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("kept", F.sum(length).over(w) <= budget)
-
-
 def reveal(available: Column, agent: Column, proactive: Column) -> tuple[Column, Column]:
     """(revealed, left): ids of the agent's question that are still available, else of the proactive one."""
     mine, theirs = F.array_intersect(agent, available), F.array_intersect(proactive, available)

@@ -85,11 +85,6 @@ def action_outcomes(spark, sf):
     return replay.action_outcomes(t, "user_id", "aspect", "q", "event_id", F.col("value") > 60).select("event_id", "outcome", "redundant")
 
 
-@query("SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")
-def context_compaction(spark, sf):
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return replay.compact(t, "conv_id", "turn", "n", 600).select("conv_id", "turn", "kept")
-
 
 @query("""
 WITH a AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (value > 40))) AS v, list_distinct(list(event_type) FILTER (value > 250)) AS g, list_distinct(list(event_type) FILTER (value < 1)) AS p FROM events GROUP BY user_id),

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import cleaning, episodes, groups, rows, sequences, state, texts, training, transcripts  # noqa: F401  they register as they load
+    from . import cleaning, contexts, episodes, groups, rows, sequences, state, texts, training, transcripts  # noqa: F401  they register as they load
 
 
 def queries() -> dict[str, Query]:
