@@ -49,6 +49,12 @@ def test_random_documents(spark):
     assert all((got[i].k, got[i].c, got[i].h) == (None, None, None) for i in (900, 901, 902)) and not {900, 901, 902} & walked.keys()
 
 
+def test_one_value_and_nothing_else(spark):
+    texts = ["1", " {} ", '{"a": 1},', '{"a": 1}{"b": 2}', "1, 2", '1, "y": 2', '1, "v": 2', "1] [2", '1} {"v": 2', "[1,]", "nul", "null", "", " ", '"a" b', "[1]\n[2]", None, "tru e", "-1.5e3", "01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(jsons.parsed(F.col("t")).isNotNull()).collect()] == [t in ("1", " {} ", "null", "-1.5e3") for t in texts]
+
+
 def test_hashes_tell_rows_apart(spark):
     df = spark.createDataFrame([("1", 'x,"b":y', None), ("x", None, [1]), ('x","b":"y', None, [1])], "a string, b string, c array<int>").withColumn("n", F.lit(1))
     rows = df.select(tx.content_hash("a", "b").alias("h"), tx.content_hash("b", "a").alias("g"), tx.content_hash("n").alias("n"), tx.content_hash("c", "a").alias("c")).collect()

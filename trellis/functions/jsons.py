@@ -20,10 +20,20 @@ SIDE_CHANNELS = {
 }
 
 
+def parsed(document: Column) -> Column:
+    """A JSON text as a VARIANT; null for what isn't one JSON value and nothing else. Spark's parser stops at the
+    end of the first value, so the text is put into an object whose last key, made of the text's own hash,
+    must still be read."""
+    end = F.md5(document)
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), document, F.lit(',"'), end, F.lit('":1}')))
+    keys = F.json_object_keys(F.to_json(held))
+    return F.when((F.size(keys) == 2) & F.array_contains(keys, end) & F.array_contains(keys, F.lit("v")), F.try_variant_get(held, "$.v", "variant"))
+
+
 def keys_anywhere(document: Column) -> Column:
     """The distinct keys at any depth of a JSON text, as the text means them (escapes read); null for what is no
     JSON. No Python: the text is parsed and written anew, which leaves one form, and its strings are read."""
-    plain = F.to_json(F.try_parse_json(document))
+    plain = F.to_json(parsed(document))
     strings = F.regexp_extract_all(plain, F.lit(_STRING), F.lit(0))
     keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.from_json(F.concat(F.lit('{"k":'), F.substring(s, F.lit(1), F.length(s) - 1), F.lit("}")), "k string")["k"])
     return F.array_distinct(keys)
@@ -38,8 +48,7 @@ def forbidden_keys(document: Column, names: list[str]) -> Column:
 def observation_faults(document: Column, required: list[str], forbidden: list[str]) -> Column:
     """What keeps a JSON text from being shown, in order: not_an_object, missing:<key>, forbidden:<key>, and the
     names of side channels in its compact form; empty if nothing does."""
-    v = F.try_parse_json(document)
-    plain = F.to_json(v)
+    plain = F.to_json(parsed(document))
     whole = F.coalesce(plain.startswith("{"), F.lit(False))
     top = F.coalesce(F.json_object_keys(plain), F.array().cast("array<string>"))
     need = F.array(*[F.lit(k) for k in sorted(required)]).cast("array<string>")
@@ -115,7 +124,7 @@ def flattened(df: DataFrame, ids: list[str], document: str, *, sep: str = "/", d
         F.expr("transform(try_variant_get(_v, '$', 'array<variant>'), (x, i) -> named_struct('k', cast(i as string), 'v', x))"),
     )
     nested = F.expr("schema_of_variant(_v) LIKE 'OBJECT<%' OR schema_of_variant(_v) LIKE 'ARRAY<%'")
-    level = df.select(*keys, F.lit("").alias("_p"), F.try_parse_json(F.col(f"`{document}`")).alias("_v")).where(F.col("_v").isNotNull() & nested)
+    level = df.select(*keys, F.lit("").alias("_p"), parsed(F.col(f"`{document}`")).alias("_v")).where(F.col("_v").isNotNull() & nested)
     found = []
     for _ in range(deepest):
         level = level.persist()

@@ -1,10 +1,12 @@
-"""Queries on contexts: which turns give way, and what an episode's context comes to."""
+"""Queries on contexts and documents: which turns give way, what an episode's context comes to, which records a
+document holds."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import compaction
+from ..sources import records
 from ..sources.io import table
 from .registry import query
 
@@ -52,3 +54,21 @@ def fragment_boundaries(spark, sf):
     starts = F.collect_list((F.length("text") - 400).cast("int"))
     held = table(spark, sf, "conversations").groupBy("conv_id").agg(starts.alias("s"))
     return held.select("conv_id", F.array_join(F.transform(compaction.boundaries(F.col("s"), (900 - 10 * (F.col("conv_id") % 91)).cast("int")), lambda x: x.cast("string")), ",").alias("starts"))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id, i AS source_index, CASE WHEN conv_id % 4 = 2 THEN 'env' END AS env_name, CASE WHEN conv_id % 4 = 2 THEN concat('task', conv_id) END AS key, CASE WHEN conv_id % 4 = 2 THEN 'g"1' END AS gold, CASE WHEN turn % 3 > 0 THEN turn END AS turn,
+  CASE WHEN conv_id % 4 = 2 THEN turn * 2 END AS report, CASE WHEN turn % 3 = 0 THEN 'not_an_object' END AS reason FROM r WHERE conv_id % 4 <> 3
+UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, NULL, NULL, 'no JSON' FROM conversations WHERE conv_id % 4 = 3""")
+def unpacked_documents(spark, sf):
+    turn, kind = F.col("turn"), F.col("conv_id") % 4
+    items = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(turn % 3 == 0, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).otherwise(F.to_json(F.struct("turn", F.col("text").alias("t")))).alias("x")))), lambda x: x["x"]), ","), F.lit("]"))
+    reports = F.to_json(F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.struct((x * 2).alias("r"))))
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(items.alias("x"), reports.alias("r"))
+    env = F.concat(F.lit('{"_old": {"a": {"data": [{}]}}, "env": {"task'), F.col("conv_id").cast("string"), F.lit('": {"gold": "g\\"1", "data": '), F.col("x"), F.lit(', "reward_report": '), F.col("r"), F.lit("}}}"))
+    text = F.when(kind == 0, F.col("x")).when(kind == 1, F.concat(F.lit('{"n": 1, "data": '), F.col("x"), F.lit("}"))).when(kind == 2, env).otherwise(F.concat(F.col("x"), F.lit("]")))
+    out = records.unpacked(docs.select("conv_id", text.alias("text")), "text")
+    number = lambda c, path: F.get_json_object(c, path).cast("long")
+    reason = F.when(F.col("reason").isNull() | (F.col("reason") == "not_an_object"), F.col("reason")).otherwise("no JSON")
+    return out.select("conv_id", "source_index", "env_name", "key", "gold", F.when(F.col("source_index").isNotNull(), number("record", "$.turn")).alias("turn"), number("report", "$.r").alias("report"), reason.alias("reason"))
