@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Needles that one automaton holds on average; more are several automata, one after the other.
-NEEDLES = 100_000
-NEEDLE_TYPES = {"bigint": pa.int64, "int": pa.int32, "string": pa.string}
-
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched): each left row with the first right row of its key, and rows without one."""
@@ -18,50 +13,6 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> tupl
     return left.join(first, key).select(*left.columns, "_r.*"), left.join(first, key, "left_anti")
 
 
-def contains_any(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, *, most: int = NEEDLES) -> DataFrame:
-    """(key, needle key) of each text and each needle that it holds as it stands, once a pair.
-
-    Needles are made into automata that every text is read by once each: the cost is the texts' length
-    and not texts times needles, and no pair is compared. One automaton holds about ``most`` needles,
-    chosen by the hash of their key, so that what a worker holds is bounded; beyond that the texts are read again
-    for each part. Null texts and null or empty needles match nothing.
-    """
-    held = needles.where(F.length(needle) > 0).select(needle_key, needle)
-    n = -(-held.count() // most)
-    out = None
-    for k in range(max(n, 1)):
-        part = held if n <= 1 else held.where(F.pmod(F.xxhash64(F.col(needle_key)), F.lit(n)) == k)
-        found = _contains(texts, key, text, part, needle_key)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _contains(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str) -> DataFrame:
-    kinds = dict(texts.dtypes) | dict(needles.dtypes)
-    words: dict[str, list] = {}
-    for k, w in needles.collect():
-        words.setdefault(w, []).append(k)
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for w, keys in shared.value.items():
-            automaton.add_word(w, keys)
-        automaton.make_automaton()
-        for batch in batches:
-            left, right = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py()
-                found = {x for _, keys in automaton.iter(t) for x in keys} if t and shared.value else ()
-                left += [k] * len(found)
-                right += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(0).type), pa.array(right, NEEDLE_TYPES[kinds[needle_key]]())], [key, needle_key])
-
-    return texts.select(key, text).mapInArrow(run, f"`{key}` {kinds[key]}, `{needle_key}` {kinds[needle_key]}")
-
-
 def tiered(left: DataFrame, tiers: list[tuple[DataFrame, Column, str]], key: str) -> DataFrame:
     """Add match and tier: the value of the first tier (table, condition, column) that has one; a tier's
     table holds one row for each left row at most."""

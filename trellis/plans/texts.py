@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..functions import text as tx
-from ..operators import batching, joins, ranges, sampling
+from ..operators import batching, joins, ranges, sampling, substrings
 from ..sources.io import table
 from .registry import query
 
@@ -111,7 +111,7 @@ def hash_join_audit(spark, sf):
 @query("SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, text AS needle FROM benchmark) ON contains(text, needle)")
 def theta_contains_match(spark, sf):
     d = _docs(spark, sf).select("doc_id", "text")
-    return joins.contains_any(d, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
+    return substrings.contains_pairs(d, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
 _MADE = "(SELECT doc_id, 'reward: ' || n_chars || chr(10) || 'Trip for P' || doc_id || ' in ' || lang || ', <think>see F' || doc_id || '</think> options f12, H' || doc_id || ' and xA1' || chr(10) || '#### ' || n_chars || ',5 or $' || doc_id AS t FROM documents)"
