@@ -78,6 +78,18 @@ def test_joins(spark):
     assert sorted((r.id, r.match, r.tier) for r in tiers.collect()) == [(1, 5, 1), (2, 9, 2)]
 
 
+def test_rows_join_by_position(spark):
+    a = spark.createDataFrame([(3, "c", None), (1, "a", 1), (2, "b", 2)], "x int, s string, k int")
+    b = spark.createDataFrame([(9, "r", 2), (8, "q", 1), (10, "s", None)], "y int, t string, k int")
+    got = joins.by_position(a, b, ["x"], ["y"], ["k"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", 1, 8, "q"), (2, "b", 2, 9, "r"), (3, "c", None, 10, "s")]
+    assert joins.by_position(a.limit(0), b.limit(0), ["x"], ["y"], ["k"]).collect() == []
+    with pytest.raises(Exception, match="different k at row 0"):
+        joins.by_position(a, b.replace(1, 5, "k"), ["x"], ["y"], ["k"]).collect()
+    with pytest.raises(Exception, match="different length"):
+        joins.by_position(a, b.where("y < 10"), ["x"], ["y"], ["k"]).collect()
+
+
 def test_deadline_and_counters(spark):
     from trellis.operators import replay
 

@@ -182,3 +182,32 @@ def test_order_statistics_of_hot_groups(spark, monkeypatch):
     steps = sampling.spaced(df, "g", "v", "k", 4)
     assert sorted(r.v for r in steps.collect()) == sorted([min(hot), max(hot), sorted(hot)[1 + round(1397 / 3)], sorted(hot)[1 + round(2 * 1397 / 3)]])
     assert ranges.quantiles(df.limit(0), ["g"], "v", {"a": 0.5}).collect() == []
+
+
+def stack_boxed(t):
+    if t is None:
+        return None
+    if "\\boxed " in t:
+        return t.split("\\boxed ")[-1].split("$")[0]
+    at = t.rfind("\\boxed")
+    if at < 0 or not t[at + 6 :].startswith("{"):
+        return None
+    depth = 0
+    for i in range(at + 6, len(t)):
+        depth += {"{": 1, "}": -1}.get(t[i], 0)
+        if depth == 0:
+            return t[at + 7 : i]
+    return None
+
+
+def test_braces_of_any_depth(spark):
+    import random
+
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(["{", "}", "{", "}", "\\boxed", "\\boxed{", "\\frac", "x", "🙂", "é", "\n", "$", " "]) for _ in range(draw.randint(0, 30))) for _ in range(600)]
+    texts += ["\\boxed{" + "{" * 300 + "a" + "}" * 300 + "} end", "\\boxed{}", "\\boxed 5$ x", "\\boxed", "", None, "\\fbox{1}", "\\boxed{1}\\boxed{2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.boxed(F.col("t"))).collect()] == [stack_boxed(t) for t in texts]
+    began = time.perf_counter()
+    assert spark.range(1).select(F.length(tx.boxed(F.concat(F.lit("\\boxed{"), F.repeat(F.lit("{x}"), 200_000), F.lit("}"))))).first()[0] == 600_000
+    assert time.perf_counter() - began < 20

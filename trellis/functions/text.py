@@ -150,18 +150,28 @@ def number_answer(c: Column, *, strict: bool = True) -> Column:
     return F.regexp_replace(got, r"[,$]", "")
 
 
-def boxed(c: Column) -> Column:
-    r"""What the last \boxed{...} holds, braces matched by a fold over the characters after it."""
-    at = F.size(F.split(c, r"\\boxed\{")) - 1
-    tail = F.element_at(F.split(c, r"\\boxed\{"), -1)
-    state = "struct<depth:int,out:string>"
+def closing_brace(c: Column) -> Column:
+    """The place, from 1, of the brace that closes the first character's; null if that is no brace or none does.
+    One fold over a text of braces and dots, whose state is a depth and a place, so that any depth is
+    matched and a long text takes time in proportion."""
+    plain = F.split(F.regexp_replace(c, r"(?s)[^{}]", "."), "")
+    state = "struct<depth:int,at:int,end:int>"
 
     def step(acc, x):
-        depth = acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
-        return F.struct(F.when(acc["depth"] == 0, 0).otherwise(depth).alias("depth"), F.when((acc["depth"] > 0) & (depth > 0), F.concat(acc["out"], x)).otherwise(acc["out"]).alias("out")).cast(state)
+        depth, at = acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0), acc["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.coalesce(acc["end"], F.when(depth == 0, at)).alias("end")).cast(state)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")).cast(state)
+    return F.when(c.startswith("{"), F.aggregate(plain, start, step)["end"])
 
-    done = F.aggregate(F.split(tail, ""), F.struct(F.lit(1).alias("depth"), F.lit("").alias("out")).cast(state), step)
-    return F.when((at > 0) & (done["depth"] == 0), done["out"])
+
+def boxed(c: Column) -> Column:
+    r"""The answer of a text: what follows the last "\boxed " up to a dollar sign, where that form occurs; else what
+    the braces of the last \boxed{...} hold, at any depth. Null without one, or where its braces stay open."""
+    spaced = F.substring_index(F.substring_index(c, "\\boxed ", -1), "$", 1)
+    tail = F.substring_index(c, "\\boxed", -1)
+    end = closing_brace(tail)
+    return F.when(c.contains("\\boxed "), spaced).when(c.contains("\\boxed") & end.isNotNull(), F.substring(tail, F.lit(2), end - 2))
 
 
 def math_normalise(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compaction
+from ..operators import compaction, substrings
 from ..sources import records
 from ..sources.io import table
 from .registry import query
@@ -72,3 +72,29 @@ def unpacked_documents(spark, sf):
     number = lambda c, path: F.get_json_object(c, path).cast("long")
     reason = F.when(F.col("reason").isNull() | (F.col("reason") == "not_an_object"), F.col("reason")).otherwise("no JSON")
     return out.select("conv_id", "source_index", "env_name", "key", "gold", F.when(F.col("source_index").isNotNull(), number("record", "$.turn")).alias("turn"), number("report", "$.r").alias("report"), reason.alias("reason"))
+
+
+_ASKED = "concat('  ', upper(substr(text, 1, 30)), ' ', substr(text, 31, 10))"
+
+
+@query(rf"""
+WITH u AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS said FROM conversations WHERE role = 'user' GROUP BY conv_id),
+tasks AS (SELECT conv_id AS n, concat('t', conv_id) AS task, trim(regexp_replace(lower({_ASKED}), '\s+', ' ', 'g')) AS asked FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1 AND conv_id % 3 = 0),
+hits AS (SELECT u.conv_id, n, task, CASE WHEN n % 4 = u.conv_id % 4 THEN 3 ELSE 1 END AS p FROM u JOIN tasks ON asked <> '' AND contains(trim(regexp_replace(lower(said), '\s+', ' ', 'g')), asked)),
+best AS (SELECT conv_id, min(task) AS task FROM (SELECT *, max(p) OVER (PARTITION BY conv_id) AS top FROM hits) WHERE p = top GROUP BY conv_id HAVING count(*) = 1),
+x AS (SELECT c.conv_id, CASE WHEN c.conv_id % 13 = 0 THEN 'map' WHEN m.task IS NOT NULL AND c.conv_id % 5 = 0 THEN 'id' WHEN b.task IS NOT NULL THEN 'text' END AS tier, m.task AS own, b.task AS hit, o.task AS mapped
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN tasks m ON m.n = c.conv_id LEFT JOIN best b ON b.conv_id = c.conv_id LEFT JOIN tasks o ON o.n = c.conv_id // 2)
+SELECT conv_id, CASE tier WHEN 'map' THEN mapped WHEN 'id' THEN own ELSE hit END AS task, CASE WHEN tier = 'map' AND mapped IS NULL THEN NULL ELSE tier END AS tier FROM x""")
+def resolved_tasks(spark, sf):
+    said = table(spark, sf, "conversations")
+    user, name = said.where("role = 'user'"), lambda c: F.concat(F.lit("t"), c.cast("string"))
+    texts = user.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("users"))
+    ids = said.select("conv_id").distinct()
+    n = F.col("conv_id")
+    records = ids.join(texts, "conv_id", "left").select("conv_id", F.when(n % 13 == 0, F.array(F.lit("unknown"), F.concat(F.lit("p#"), n.cast("string")))).alias("places"), F.when(n % 5 == 0, name(n)).alias("said"), "users")
+    options = F.array(F.struct(F.lit("flight").alias("aspect"), F.array(F.concat(F.lit("F"), (n % 4).cast("string"))).alias("correct"), F.array(*[F.lit(f"F{i}") for i in range(4)]).alias("every")))
+    first = user.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).where(n % 3 == 0)
+    tasks = first.select(name(n).alias("task"), F.expr(_ASKED).alias("initial"), options.alias("options"))
+    chosen = ids.select(F.concat(F.lit("p#"), n.cast("string")).alias("place"), name(F.floor(n / 2)).alias("task"))
+    answers = ids.select("conv_id", F.lit("flight").alias("aspect"), F.concat(F.lit("f"), (n % 4).cast("string")).alias("answer"))
+    return substrings.resolved(records, "conv_id", tasks, chosen, answers)

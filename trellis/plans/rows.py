@@ -40,6 +40,15 @@ def joined_halves(spark, sf):
     return joins.same_rows(o.select("o_orderkey", "o_custkey", "o_orderstatus"), other, "o_orderkey", ["o_custkey"])
 
 
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+SELECT o_orderkey, o_orderstatus, o_custkey, o_totalprice FROM a JOIN b USING (k)""")
+def positional_join(spark, sf):
+    o = table(spark, sf, "orders")
+    other = o.select((-F.col("o_totalprice")).alias("down"), F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice")
+    return joins.by_position(o.select("o_orderkey", "o_orderstatus"), other, ["o_orderkey"], ["down", "key"], []).drop("down", "key")
+
+
 @query("""
 WITH f AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 997 AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1 AS last, l_orderkey % 50 AS g FROM lineitem),
 m AS (SELECT g, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS n FROM f WHERE last GROUP BY g)
