@@ -17,11 +17,12 @@ from .common import Workspace, mix64, trimmed, words
 
 #: Tokens of the shortest run that counts as repeated, and distinct pages that must hold it.
 RUN, PAGES = 8, 3
-#: Share of its host's pages that must hold a run before it is boilerplate even inside an article, and
-#: share of a page beyond which what is covered makes the page a copy.
-MOST_PAGES, COPY = 0.5, 0.5
-#: Pages of one host that share a task, and buckets that hosts are counted in.
-SHARD, BUCKETS = 64, 1 << 20
+#: Share of its host's pages that must hold a run before it is boilerplate even at an article's edge, blocks at
+#: either end of an article that are its edge, and share of a page beyond which what is covered makes the
+#: page a copy.
+MOST_PAGES, EDGE, COPY = 0.75, 2, 0.5
+#: Pages of one host that share a task, their bytes, and buckets that hosts are counted in.
+SHARD, SHARD_BYTES, BUCKETS = 64, 16 << 20, 1 << 20
 #: Runs by shard that may be broadcast to the shards; more are joined by shuffle.
 BROADCAST_RUNS = 200_000
 
@@ -34,23 +35,27 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements that hold no main text.
-_DROP = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video"}
-#: Classes, ids and roles that say so as a whole.
+_DROP = {"head", "nav", "footer", "aside", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video"}
+#: Classes, ids and roles that say so, each as a whole: a longer one that merely has such a word (cookie-recipe) may
+#: be an article's own.
 _NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies",
     "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "respond", "sidebar", "sponsor", "sponsored",
     "subscribe", "toolbar",
+    "ad-banner", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "banner-ad", "comment-body", "comment-content", "comment-form", "comment-list", "comment-respond", "comment-section",
+    "comment-text", "comment-thread", "commentlist", "comments-area", "comments-list", "comments-section", "comments-wrapper", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice",
+    "left-sidebar", "main-menu", "main-nav", "main-navigation", "nav-menu", "navbar-nav", "newsletter-form", "newsletter-signup", "page-footer", "page-nav", "right-sidebar", "side-bar", "sidebar-left",
+    "sidebar-right", "site-footer", "site-nav", "site-navigation", "top-nav", "user-comments",
 }
-#: Of those, what says so as the first or last part of a longer one too (left-sidebar, comment-list).
-_PARTS = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "gdpr", "navbar", "newsletter", "pagination", "sidebar", "sponsored"}
-#: Words that may say so: what they mark goes where the host repeats it.
-_MAYBE = _NAMES | {"related", "search", "share", "sharing", "social", "widget"}
+#: Words that may say so in a longer one: what they mark goes where the host repeats it.
+_MAYBE = {x for x in _NAMES if "-" not in x} | {"related", "search", "share", "sharing", "social", "widget"}
 _HEAD = {"header", "banner", "masthead"}
 _MAIN = {"article", "main"}
 #: What an opening tag closes without saying so.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: Kinds of blocks: outside of articles, inside, and inside an element that may be boilerplate.
-OUTSIDE, INSIDE, UNSURE = 0, 1, 2
+#: Kinds of blocks: in a form outside of articles, outside of articles, inside, and inside an element that may be
+#: boilerplate.
+FORM, OUTSIDE, INSIDE, UNSURE = -1, 0, 1, 2
 
 
 def _tag(html: str, at: int, ends: list[int]) -> tuple[int, str, bool, list[str], bool] | None:
@@ -90,7 +95,7 @@ def _says(marks: list[str]) -> tuple[bool, bool, bool]:
     for mark in marks:
         parts = mark.split("-")
         head |= mark in _HEAD or len(parts) > 1 and parts[-1] == "header" and parts[0] in ("site", "page", "main")
-        sure |= mark in _NAMES - _HEAD or len(parts) > 1 and (parts[0] in _PARTS or parts[-1] in _PARTS) or len(parts) == 2 and parts[0] in ("site", "page", "main") and parts[1] in _NAMES
+        sure |= mark in _NAMES - _HEAD
         maybe |= any(p in _MAYBE for p in parts)
     return sure, head, maybe
 
@@ -160,10 +165,12 @@ def blocks(html: str) -> list[tuple[str, int]]:
                 pop()
         dropped, kind = (stack[-1][1], stack[-1][2]) if stack else (False, OUTSIDE)
         page = name in ("html", "body", "main", "article")
-        reply = any(p in ("comment", "comments") for mark in marks for p in mark.split("-")[:1])
-        bad = name in _DROP or sure and not page or (name == "header" or head) and kind == OUTSIDE and not page or reply
+        reply = any(mark in ("comment", "comments") for mark in marks)
+        bad = name in _DROP or name == "form" and kind > OUTSIDE or sure and not page or (name == "header" or head) and kind <= OUTSIDE and not page or reply
         if name in _MAIN:
             kind = max(kind, INSIDE)
+        elif name == "form" and kind == OUTSIDE:  # it may hold the article, or the whole page
+            kind = FORM
         elif maybe and kind == INSIDE:
             kind = UNSURE
         stack.append((name, dropped or bad, kind))
@@ -172,17 +179,17 @@ def blocks(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def run_pages(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """In how many distinct pages the run of ``run`` tokens that starts at each token stands; 0 where the
-    page ends sooner.
+def runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of ``run`` tokens of the pages: the places where runs start, the number of the run at
+    each, and of each run its first place and how many distinct pages hold it.
 
     The suffix array of the concatenated streams, with an end of its own after each page, sorted by
     doubling until ``run`` tokens tell suffixes apart; equal neighbours are one run's places, and
     longer runs are unions of overlapping ones.
     """
-    n = len(tokens)
+    n, none = len(tokens), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.int64)
+        return none, none, none, none
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     left = np.searchsorted(page, page, "right") - np.arange(n)  # tokens up to the page's end
     depth = 1
@@ -193,16 +200,23 @@ def run_pages(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarra
         code = rank * (rank.max() + 1) + follow
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
-    out = np.zeros(n, np.int64)
     order = np.lexsort((page, rank))
     order = order[(left >= run)[order]]
     if not len(order):
-        return out
+        return none, none, none, none
     r, p = rank[order], page[order]
     new = np.append(True, r[1:] != r[:-1])
     fresh = new | np.append(True, p[1:] != p[:-1])
     group = np.cumsum(new) - 1
-    out[order] = np.bincount(group, fresh)[group]
+    return order, group, order[new], np.bincount(group, fresh).astype(np.int64)
+
+
+def run_pages(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """In how many distinct pages the run of ``run`` tokens that starts at each token stands; 0 where the
+    page ends sooner."""
+    at, group, _, pages = runs(tokens, page, run)
+    out = np.zeros(len(tokens), np.int64)
+    out[at] = pages[group]
     return out
 
 
@@ -219,13 +233,12 @@ def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def windows(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of ``run`` tokens of one page starts, and a 64-bit hash of it."""
-    at = np.flatnonzero(page[run - 1 :] == page[: max(len(page) - run + 1, 0)])
-    code = np.zeros(len(at), np.uint64)
+def names(tokens: np.ndarray, first: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit name for each run, by its tokens: runs of different tasks are the same if their names are."""
+    code = np.zeros(len(first), np.uint64)
     for k in range(run):
-        code = mix64(code + tokens[at + k])
-    return at, code.view(np.int64)
+        code = mix64(code + tokens[first + k])
+    return code.view(np.int64)
 
 
 def _streams(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,21 +255,33 @@ def _own(x: str, cut: np.ndarray) -> str:
     return " ".join(w for w, c in zip(re.findall(r"[^\x20\x09-\x0D]+", x), cut, strict=True) if not c) if cut.any() else x
 
 
+def _main(b: list[str], kinds: list[int]) -> list[int]:
+    """The blocks that may be main text: those of articles; without any, those outside of forms, or those in forms
+    where that is most of the page."""
+    if any(k > OUTSIDE for k in kinds):
+        return [i for i, k in enumerate(kinds) if k > OUTSIDE]
+    size = {k: sum(len(x) for x, y in zip(b, kinds, strict=True) if y == k) for k in (FORM, OUTSIDE)}
+    return [i for i, k in enumerate(kinds) if k == OUTSIDE or size[FORM] > size[OUTSIDE]]
+
+
 def _text(b: list[str], kinds: list[int], ends: np.ndarray | None, often: np.ndarray, most: np.ndarray) -> tuple[str, int]:
     """(main text, tokens removed as boilerplate) of a page; ``often`` and ``most`` say for each token
     whether a run over it stands on PAGES pages, or on most of its host's too. ``ends`` has where each
     block's tokens start, and the end; without it nothing is repeated.
 
-    With an article, its blocks stay but for what stands on most pages of the host, and those that the
-    markup calls in question but for what stands on PAGES pages. Without one, what stands on PAGES pages
-    goes. A page that would lose all of its text, or most of an article, is a copy and stays whole.
+    With an article, its blocks stay but for whole blocks at its edges that stand on most pages of the host,
+    and those that the markup calls in question but for what stands on PAGES pages. Without one, what
+    stands on PAGES pages goes. A page that would lose all of its text, or most of an article, is a copy
+    and stays whole.
     """
-    has = any(k != OUTSIDE for k in kinds)
-    on = [i for i, k in enumerate(kinds) if k != OUTSIDE or not has]
+    on = _main(b, kinds)
+    has = any(kinds[i] > OUTSIDE for i in on)
     if ends is None:
         return "\n".join(b[i] for i in on), 0
     unsure = {i: often[ends[i] : ends[i + 1]] for i in on if kinds[i] == UNSURE}
-    plain = {i: (most if has else often)[ends[i] : ends[i + 1]] for i in on if kinds[i] != UNSURE}
+    own = [i for i in on if kinds[i] != UNSURE]
+    edge = {*own[:EDGE], *own[-EDGE:]}
+    plain = {i: often[ends[i] : ends[i + 1]] for i in own} if not has else {i: most[ends[i] : ends[i + 1]] & (i in edge and most[ends[i] : ends[i + 1]].all()) for i in own}
     size, gone = sum(map(len, plain.values())), sum(int(c.sum()) for c in plain.values())
     if gone > COPY * size if has else gone == size:
         plain = {i: np.zeros(len(c), bool) for i, c in plain.items()}
@@ -315,12 +340,9 @@ _STACK_TYPE = pa.schema([
 
 
 def _page_counts(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs and the distinct pages that hold each."""
-    at, code = windows(tokens, page)
-    on = page[at]
-    order = np.lexsort((on, code))
-    new = np.append(True, (np.diff(code[order]) != 0) | (np.diff(on[order]) != 0))[: len(order)]
-    return np.unique(code[order][new], return_counts=True)
+    """Names of all runs of a shard's suffix array and the distinct pages that hold each."""
+    _, _, first, pages = runs(tokens, page)
+    return names(tokens, first), pages
 
 
 def _stack(table: pa.Table) -> pa.Table:
@@ -330,7 +352,7 @@ def _stack(table: pa.Table) -> pa.Table:
     first = rows[0]
     pages = [{c: r[c] for c in ("page_id", "url", "held")} for r in rows]
     found = [_found(p) for p in pages]
-    asks = any(UNSURE in kinds or kinds and max(kinds) == OUTSIDE for _, kinds in found)
+    asks = any(UNSURE in kinds or kinds and max(kinds) <= OUTSIDE for _, kinds in found)
     local = np.zeros(0, np.int64)
     if not first["_alone"]:
         w, n = _page_counts(*_streams([b for b, _ in found])[:2])
@@ -381,8 +403,9 @@ def _cut(batches):
                 yield _answer(r["pages"], [_text(b, kinds, None, often, most) for b, kinds in found])
                 continue
             tokens, page, starts = _streams([b for b, _ in found])
-            at, code = windows(tokens, page)
-            yield _answer(r["pages"], _texts(found, *[_covered(at[np.isin(code, x)], len(tokens), RUN) for x in (np.concatenate([often, most]), most)], starts))
+            at, group, first, _ = runs(tokens, page)
+            name = names(tokens, first)
+            yield _answer(r["pages"], _texts(found, *[_covered(at[np.isin(name, x)[group]], len(tokens), RUN) for x in (np.concatenate([often, most]), most)], starts))
 
 
 def _large(work: Workspace, shards: DataFrame) -> DataFrame:
@@ -429,24 +452,29 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_boilerplate (tokens that repeated runs removed) per page.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by
-    element and by whole classes, ids or roles; unclosed and crossing tags are put up with. What the
-    suffix array of the host's token streams finds repeated decides on the rest: on all text of pages
-    without an article, on parts of an article that a word in a class calls in question, and, where it
-    stands on most pages of the host, on any text. Pages of a host meet in one task, or in shards of
-    about SHARD pages, by a hash, so a large host is many tasks. What is repeated doesn't depend on the
-    shards: pages that hold a run are counted over the whole host.
+    element and by whole classes, ids or roles; unclosed and crossing tags are put up with. A form that
+    holds an article, or most of a page, is no reason. What the suffix array of the host's token streams
+    finds repeated decides on the rest: on all text of pages without an article, on parts of an article
+    that a word in a class calls in question, and on whole blocks at an article's edges that stand on
+    most pages of the host. A passage that articles share stays in all of them.
+
+    Pages of a host meet in one task, or in shards of about SHARD pages and SHARD_BYTES, by a hash, so a
+    large host is many tasks. Each builds the suffix array of its streams; where a host is several, its
+    runs are told by name and their pages added up over the host, so that what is repeated doesn't
+    depend on the shards.
 
     Null and empty pages give an empty text; rows with a null id or url stay; repeated rows are rows of
-    their own; an empty table gives no rows.
+    their own, and pages of their own for what is repeated; an empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "pages")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     bucket = F.pmod(F.xxhash64(host), F.lit(BUCKETS)).cast("int")
-    counts = rows.select(bucket.alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"))
-    many = counts.where(F.col("_n") > SHARD).select("_b", F.ceil(F.col("_n") / SHARD).cast("int").alias("_shards"))
+    counts = rows.select(bucket.alias("_b"), F.octet_length("html").alias("_size")).groupBy("_b").agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
+    shards_ = F.greatest(F.ceil(F.col("_n") / SHARD), F.ceil(F.coalesce("_size", F.lit(0)) / SHARD_BYTES)).cast("int")
+    many = counts.select("_b", shards_.alias("_shards")).where("_shards > 1")
     dealt = rows.withColumns({"_host": host, "_b": bucket}).join(F.broadcast(many), "_b", "left")
-    shard = F.when(F.col("_shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_shards")).cast("int"))
+    shard = F.when(F.col("_shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("_shards")).cast("int"))
     dealt = dealt.select("page_id", "url", "html", "_host", "_b", shard.alias("_shard"), F.col("_shards").isNull().alias("_alone"))
     parsed = dealt.mapInArrow(trimmed(_parse), "page_id long, url string, _host string, _b int, _shard int, _alone boolean, held binary")
     shards = work.keep(parsed.groupBy("_host", "_shard").applyInArrow(_stack, _STACK), "shards")
