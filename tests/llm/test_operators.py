@@ -1,8 +1,10 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows, extra columns
 with clashing names, and empty tables; and against brute force."""
 
+import bisect
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -204,6 +206,9 @@ def test_many_secrets_and_long_runs(spark):
     import time
 
     many = "password=abcdefgh1 " * 20_000
+    headers = ["x" * 40 + " eyJ" + "h" * 5000 + ".eyJ" + "p" * 3000 + ".sig_-1 rest", "eyJab eyJcd.eyJef", "eyJab.xy.zz eyJhh.eyJpppppp.sss"]
+    wide = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(headers)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert wide == [f"jwt:41:{41 + 5003 + 1 + 3003 + 1 + 6}", "", "jwt:12:31"]
     long = ["eyJ" * 60_000, "a" * 300_000, "token" * 50_000, "-----BEGIN " * 20_000, "AKIA" * 60_000]
     df = docs(spark, [(0, many, None, None)] + [(i + 1, t, None, None) for i, t in enumerate(long)])
     began = time.perf_counter()
@@ -330,6 +335,15 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.pack(queries.tokens(none)).count() == 0
 
 
+def best_fit(counts, capacity):
+    """Sequences of best-fit decreasing."""
+    rooms = []
+    for x in sorted(Counter(counts).elements(), reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - x)
+    return len(rooms)
+
+
 def test_program_is_near_the_bound():
     rng = np.random.default_rng(0)
     counts = {int(k): int(v) for k, v in enumerate(rng.integers(0, 60, 1024)) if k and v}
@@ -384,8 +398,35 @@ def test_program_on_triplets():
         x = int(rng.integers(200, 500))
         y = int(rng.integers(250, 1024 - x - 100))
         counts.update((x, y, 1024 - x - y))
-    used, bound, priced = packing.program(counts)
-    assert bound == 300 and sum(used.values()) <= 303 < sum(packing.best_fit(counts, 1024).values()) and priced > 200
+    used, bound, fraction = packing.program(counts)
+    assert bound == 300 <= fraction + 1e-6 and sum(used.values()) <= 303 < best_fit(counts, 1024)
+
+
+def test_fractions_cover_and_are_rounded():
+    """A fractional solution covers exactly; rounded down and solved again it covers in whole numbers, by patterns
+    that were priced alone, and takes hardly more sequences than the fractions do."""
+    rng = np.random.default_rng(3)
+    lengths = np.array(sorted(set(rng.integers(1, 1024, 700).tolist())))
+    need = rng.integers(1, 200, len(lengths))
+    price = lengths / 1024
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+
+    def covered(used):
+        out = np.zeros(len(lengths))
+        for p, n in used.items():
+            assert sum(x * k for x, k in p) <= 1024
+            for x, k in p:
+                out[place[x]] += n * k
+        return out
+
+    parts, bound = packing.cover(lengths, need, 1024, price, whole=False)
+    assert np.allclose(covered(parts), need, atol=1e-5) and sum(parts.values()) >= bound - 1e-6
+    whole = packing._rounded(parts, lengths, need, 1024, price)
+    assert (covered(whole) == need).all() and sum(whole.values()) <= sum(parts.values()) + 3
+    began = time.perf_counter()
+    counts = dict(zip(lengths.tolist(), need.tolist(), strict=True))
+    used, bound, fraction = packing.program(counts)
+    assert time.perf_counter() - began < 20 and bound - 1 <= fraction <= sum(used.values()) <= fraction + 3 and sum(used.values()) <= best_fit(counts, 1024)
 
 
 def test_knapsack_against_brute_force():

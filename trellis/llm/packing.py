@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -72,18 +72,18 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
 # ---------------------------------------------------------------- the linear program
 
-#: Patterns that one pass prices, passes over the weights, and how near to the bound two passes without
-#: gain end the search.
-ROUNDS, PASSES, NEAR = 256, 8, 1.001
-#: What a pass's use takes of what is left, how fast cover lowers a price, how much waste raises a weight.
-STEP, FALL, GAIN = 1.0, 0.1, 0.5
-#: Power of its length by which a length weighs more at first: what is long is hard to place.
-LONG = 0.05
+#: Passes over the weights, and how near to the bound two passes without gain end the search.
+PASSES, NEAR = 8, 1.001
+#: How much waste raises a weight, and the power of its length by which a length weighs more at first: what is long
+#: is hard to place.
+GAIN, LONG = 0.5, 0.3
+#: What is left of a length counts as nothing below this.
+TINY = 1e-9
 
 
-def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
-    """(place in ``lengths``: copies) of the highest total price that fit, ``most`` copies at most; and
-    that price. Copies go in as powers of two, so each length is a few passes over the capacities."""
+def _table(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+    """The highest total price that fits each capacity, ``most`` copies of a length at most, and the choices that
+    lead there. Copies go in as powers of two, so each length is a few passes over all capacities."""
     best, rows = np.zeros(capacity + 1), []
     for i in np.flatnonzero((price > 0) & (most > 0) & (lengths <= capacity)).tolist():
         length, copies, k = int(lengths[i]), min(int(most[i]), capacity // int(lengths[i])), 1
@@ -96,103 +96,108 @@ def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity:
                 rows.append((i, n, n * length, up))
                 best = best.copy()
                 best[n * length :][up] = new[up]
-    out: dict[int, int] = {}
-    room = capacity
+    return best, rows
+
+
+def _filled(rows: list[tuple[int, int, int, np.ndarray]], rooms: np.ndarray, kinds: int) -> np.ndarray:
+    """Copies of each length in the best filling of each room, one row a room: all are traced back together."""
+    take, room = np.zeros((len(rooms), kinds), np.int64), rooms.copy()
     for i, n, size, up in reversed(rows):
-        if room >= size and up[room - size]:
-            out[i] = out.get(i, 0) + n
-            room -= size
-    return out, float(best[capacity])
-
-
-def best_fit(rest: dict[int, int], capacity: int) -> Counter:
-    """Best-fit decreasing on a histogram; sequences of equal content are handled as one."""
-    open_: dict[int, Counter] = defaultdict(Counter)
-    for length in sorted((x for x in rest if rest[x] > 0), reverse=True):
-        n = rest[length]
-        fitting = sorted(r for r in open_ if r >= length and open_[r])
-        moved: list[tuple[int, Pattern, int]] = []
-        for room in fitting:
-            for held in sorted(open_[room]):
-                if n <= 0:
-                    break
-                fit = room // length
-                count = open_[room][held]
-                full = min(count, n // fit)
-                for bins, each in ((full, fit), (1 if full < count and n - full * fit else 0, n - full * fit)):
-                    if bins and each:
-                        open_[room][held] -= bins
-                        n -= bins * each
-                        moved.append((room - each * length, (*held, (length, each)), bins))
-                open_[room] += Counter()
-        for room, held, bins in moved:
-            open_[room][held] += bins
-        fit = capacity // length
-        if n // fit:
-            open_[capacity - fit * length][((length, fit),)] += n // fit
-        if n % fit:
-            open_[capacity - n % fit * length][((length, n % fit),)] += 1
-    out: Counter = Counter()
-    for group in open_.values():
-        out.update({k: v for k, v in group.items() if v > 0})
-    return out
-
-
-def _pass(lengths: np.ndarray, need: np.ndarray, capacity: int, weight: np.ndarray) -> tuple[Counter, float, int]:
-    """One rounded solution under ``weight``: uses of patterns, the bound that the first prices prove, and
-    the sequences whose patterns were priced. A length's price falls as it is covered; each pattern priced
-    best is used for STEP of what its scarcest length has left, rounded down to whole sequences but one at
-    least; what ROUNDS patterns leave goes by best fit."""
-    left, out, bound = need.copy(), Counter(), 0.0
-    for k in range(ROUNDS):
-        if not left.any():
-            break
-        price = lengths * weight * np.exp(FALL * (left / need - 1))
-        chosen, value = knapsack(lengths, price, left, capacity)
-        if not k:
-            bound = float((price * need).sum() / value)
-        at, copies = np.array(list(chosen)), np.array(list(chosen.values()))
-        n = max(1, int(STEP * (left[at] // copies).min()))
-        out[tuple(sorted(((int(lengths[i]), c) for i, c in chosen.items()), reverse=True))] += n
-        left[at] -= n * copies
-    priced = sum(out.values())
-    out.update(best_fit({int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}, capacity))
-    return out, bound, priced
-
-
-def program(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, int, int]:
-    """(uses of patterns that place all of ``counts`` (length: number), a lower bound on the sequences
-    that any packing needs, the sequences whose patterns the program priced).
+        hit = np.zeros(len(room), bool)
+        on = room >= size
+        hit[on] = up[room[on] - size]
+        take[hit, i] += n
+        room[hit] -= size
+    return take
+
+
+def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """(place in ``lengths``: copies) of the highest total price that fit, ``most`` copies at most; and
+    that price."""
+    best, rows = _table(lengths, price, most, capacity)
+    take = _filled(rows, np.array([capacity]), len(lengths))[0]
+    return {int(i): int(take[i]) for i in np.flatnonzero(take)}, float(best[capacity])
+
+
+def cover(lengths: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray, *, whole: bool) -> tuple[Counter, float]:
+    """(uses of patterns that cover ``need`` exactly, the bound that the prices prove): in fractions, or in whole
+    numbers.
+
+    A sweep prices patterns by one knapsack over what is left: for each length that is left the best
+    pattern that holds it. They are used in order of their price, each as often as what is left of its
+    scarcest length allows. The dearest can always be used, so every sweep gets further, until nothing is
+    left; there is no other rule that places anything.
+    """
+    left, used, bound = need.astype(float), Counter(), None
+    while (left > 0).any():
+        most = np.ceil(left - TINY).astype(np.int64)
+        best, rows = _table(lengths, price, most, capacity)
+        if bound is None:
+            bound = float((price * need).sum() / best[capacity])
+        lead = np.flatnonzero(most > 0)
+        take = _filled(rows, capacity - lengths[lead], len(lengths))
+        take[np.arange(len(lead)), lead] += 1
+        take = np.minimum(take, most)
+        for row in take[np.argsort(-(take @ price), kind="stable")]:
+            on = np.flatnonzero(row)
+            n = float((left[on] / row[on]).min())
+            n = np.floor(n + TINY) if whole else n
+            if n > TINY:
+                left[on] -= n * row[on]
+                left[left < TINY] = 0
+                used[tuple(zip(lengths[on][::-1].tolist(), row[on][::-1].tolist(), strict=True))] += n
+    return used, bound or 0.0
+
+
+def _rounded(used: Counter, lengths: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray) -> Counter:
+    """Whole uses of patterns: a fractional solution rounded down, and what that leaves solved by the same prices
+    in whole numbers."""
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+    down = Counter({p: int(n + TINY) for p, n in used.items() if n + TINY >= 1})
+    left = need.copy()
+    for pattern, n in down.items():
+        for x, k in pattern:
+            left[place[x]] -= n * k
+    some = left > 0
+    rest, _ = cover(lengths[some], left[some], capacity, price[some], whole=True)
+    down.update({p: int(n) for p, n in rest.items()})
+    return down
+
+
+def program(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, int, float]:
+    """(uses of patterns that place all of ``counts`` (length: number), a lower bound on the sequences that any
+    packing needs, the fewest sequences of a fractional solution found).
 
     Minimise the uses of configurations so that every length is covered as often as it is needed. The
-    weights of lengths are the dual prices: the best configuration under them is a knapsack, found by
-    dynamic programming, and total price over the best configuration's price bounds every packing from
-    below, as the volume does. Weights start near the lengths. After each pass the weights of
-    lengths that stand in wasteful sequences are multiplied up, so that the next pass places them
-    while what fills their gaps is still there. The best of PASSES passes counts.
+    weights of lengths are the dual prices: the best configurations under them come from a knapsack by
+    dynamic programming, and total price over the best one's price bounds every packing from below, as
+    the volume does. Weights start near the lengths. After each pass the weights of lengths that stand in
+    wasteful patterns are multiplied up, so that the next pass places them while what fills their gaps
+    is still there. Each pass's fractional solution is rounded; the best of PASSES passes counts.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
-        return Counter(), 0, 0
+        return Counter(), 0, 0.0
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths.tolist()])
     place = {x: i for i, x in enumerate(lengths.tolist())}
     weight = (lengths / capacity) ** LONG / capacity
-    best, bound, since = None, -(-int((lengths * need).sum()) // capacity), 0
+    best, fraction, since, bound = None, float("inf"), 0, -(-int((lengths * need).sum()) // capacity)
     for _ in range(PASSES):
-        used, proved, priced = _pass(lengths, need, capacity, weight)
-        bound = max(bound, int(np.ceil(proved - 1e-6)))
-        since += 1
-        if best is None or sum(used.values()) < sum(best[0].values()):
-            best, since = (used, priced), 0
-        n = sum(best[0].values())
+        price = lengths * weight
+        used, proved = cover(lengths, need, capacity, price, whole=False)
+        bound, fraction, since = max(bound, int(np.ceil(proved - 1e-6))), min(fraction, sum(used.values())), since + 1
+        got = _rounded(used, lengths, need, capacity, price)
+        if best is None or sum(got.values()) < sum(best.values()):
+            best, since = got, 0
+        n = sum(best.values())
         if n <= bound or since >= 2 and n <= NEAR * bound:
             break
         for pattern, n in used.items():
             waste = 1 - sum(x * k for x, k in pattern) / capacity
             for x, k in pattern:
                 weight[place[x]] *= 1 + GAIN * waste * n * k / counts[x]
-    return best[0], bound, best[1]
+    return best, bound, fraction
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
@@ -206,7 +211,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, chunk_rows: int = 20_000) -> DataFrame:
     """Add sequence_id and offset to ``parts`` (a table with length, and doc_id, piece to order by).
 
-    The histogram (at most ``capacity`` rows) is solved on the driver; each length's rows are then
+    The histogram (at most ``capacity`` rows) is solved on the driver, in a second or two; each length's rows are then
     numbered in bounded chunks, and number ranges, a table as small, say which copy of which pattern
     a row goes to. Full rows are sequences of their own. Rows over ``capacity`` or without length are
     an error; an empty table gives no rows.
