@@ -37,8 +37,8 @@ BASE = (
 )
 MORE = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
-    # a header of at most 1,000 characters, so that a long run isn't read to its end from every start
-    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, ("eyJ",)),
+    # a header that nothing follows is a match too, whose group is empty: it drops, and is read once, not from every start
+    Rule("jwt", 3, r"eyJ[A-Za-z0-9_-]++(\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?", 1, 10, ("eyJ",)),
     Rule("hub", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, tuple(f"gh{x}_" for x in "pousr")),
 )
 RULES = BASE + MORE
