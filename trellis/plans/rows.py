@@ -110,11 +110,11 @@ def invalid_reports(spark, sf):
 
 
 @query(r"""
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 20) END AS thought, CASE WHEN turn % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN role = 'user' THEN 0.9 ELSE 0 END AS score FROM conversations WHERE left(text, 20) <> ''""")
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN nullif(text, '') END AS thought, CASE WHEN turn % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN role = 'user' THEN 0.9 ELSE 0 END AS score FROM conversations""")
 def thoughts_and_form(spark, sf):
-    head = F.left("text", F.lit(20))
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), head, F.lit("</think> so \\boxed{1}"))).otherwise(head)
-    held = table(spark, sf, "conversations").withColumn("said", text).where(head != "")
+    whole = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), whole, F.lit("</think> so \\boxed{1}"))).otherwise(whole)
+    held = table(spark, sf, "conversations").withColumn("said", text)
     return held.select("conv_id", "turn", tx.between(F.col("said"), "think").alias("thought"), messages.geometry_score(F.col("role") == "user", F.col("said")).alias("score"))
 
 
