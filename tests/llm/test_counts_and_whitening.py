@@ -66,11 +66,11 @@ def test_frequent_ones_are_not_encoded_again_and_misses_once(spark, sf, monkeypa
     texts = [r.text for r in docs.select("text").collect()]
     for t in texts:
         sizes.count(t or "")
-    words = {w for t in texts for g in sizes.tokenizer.pre_tokens(t or "") if not isinstance(g, int) for w in g}
-    assert sizes.encoded == len(words - known.keys())
+    words = {w for t in texts for whole, g in sizes.tokenizer.pre_tokens(t or "") for w in (g if whole else tokencount._words(sizes.tokenizer, g))}
+    assert sizes.kept.missed == len(words - known.keys()) and sizes.runs.missed == len({r for t in texts for whole, g in sizes.tokenizer.pre_tokens(t or "") if not whole for r in g})
     monkeypatch.setattr(tokencount, "CACHED", 10)
     small = tokencount.Sizes(sizes.tokenizer, {})
-    assert [small.count(t or "") for t in texts[:20]] == [sizes.count(t or "") for t in texts[:20]] and len(small.kept) <= 10
+    assert [small.count(t or "") for t in texts[:20]] == [sizes.count(t or "") for t in texts[:20]] and len(small.kept) <= 10 and len(small.runs) <= 10
 
 
 def test_query_counts_whole_texts(spark, sf):
