@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .once import OnceTable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,20 +57,9 @@ def write_by_class(df: DataFrame, path: str, column: str) -> None:
 
 
 def insert_new(spark: SparkSession, df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key a parquet table lacks, one a key; their number."""
-    new = df.dropDuplicates([key])
-    try:
-        have = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        have = None
-    new = new if have is None else new.join(have, key, "left_anti")
-    new = new.cache()
-    n = new.count()
-    new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    """Add rows whose key the table at ``path`` lacks, one a key; their number. Two writers may do so at once: see
+    ``once.OnceTable``, which also reads the table."""
+    return OnceTable(spark, path).insert(df, uuid.uuid4().hex, key)
 
 
 def tree_digest(spark: SparkSession, path: str) -> str:
