@@ -119,6 +119,27 @@ def test_bootstrap_draws_like_one_at_a_time(spark):
     assert got["a"].best_mean == pytest.approx(np.mean(best)) and got["a"].best_std == pytest.approx(np.std(best))
 
 
+def test_bootstrap_draws_work_out_groups_of_one_size_together(spark):
+    import numpy as np
+
+    from trellis.operators import attempts
+
+    # Arrange
+    random = np.random.RandomState(5)
+    groups = [random.rand(n) * 100 for n in [*range(1, 18), 3000, *[4] * 1100]]
+    df = spark.createDataFrame([(g, len(x) - i, float(s)) for g, x in enumerate(groups) for i, s in enumerate(x)], "g int, i int, s double").coalesce(1)
+    # Act
+    got = {r.g: r for r in attempts.bootstrap(df, "g", "s", "i", 2).collect()}
+    n = sum(len(x) for x in attempts._draws(np.ones((1100, 4)), 1000, 2, 42))
+
+    # Assert: the same to the last bit as one group at a time
+    assert n == 1100 and len(got) == len(groups)
+    for g, x in enumerate(groups):
+        drawn = x[::-1][np.random.RandomState(42).choice(len(x), size=(1000, 2), replace=True)]
+        best, worst = drawn.max(axis=1), drawn.min(axis=1)
+        assert (got[g].best_mean, got[g].best_std, got[g].worst_mean, got[g].worst_std) == (best.mean(), best.std(), worst.mean(), worst.std())
+
+
 def test_latex_answers_and_domains(spark):
     from trellis.functions import messages as ms
     from trellis.functions import text as tx

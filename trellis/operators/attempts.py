@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,21 +84,46 @@ def nll(df: DataFrame, row: str, loss: str, weight: str) -> DataFrame:
     return rows.agg(micro.alias("nll"), F.exp(F.least(F.lit(50.0), micro)).alias("perplexity"), F.avg(F.try_divide(F.col("s"), F.col("w"))).alias("macro_nll"))
 
 
+#: Groups whose draws are held at once, times draws: 512 groups of 1,000.
+DRAWN = 512_000
+
+
+def _draws(x: np.ndarray, draws: int, k: int, seed: int) -> Iterator[np.ndarray]:
+    """(best mean, best deviation, worst mean, worst deviation) of each row of ``x``: groups of one size, which
+    have the same places drawn. What different draws of the same places give is worked out once."""
+    places = np.sort(np.random.RandomState(seed).choice(x.shape[1], size=(draws, k), replace=True), axis=1)
+    kinds, which = np.unique(places, axis=0, return_inverse=True)
+    which, step = which.reshape(-1), max(1, DRAWN // draws)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        best, worst = part[:, kinds[:, 0]], part[:, kinds[:, 0]]
+        for j in range(1, k):
+            best, worst = np.maximum(best, part[:, kinds[:, j]]), np.minimum(worst, part[:, kinds[:, j]])
+        best, worst = (np.ascontiguousarray(y[:, which]) for y in (best, worst))
+        yield np.stack([best.mean(axis=1), best.std(axis=1), worst.mean(axis=1), worst.std(axis=1)], axis=1)
+
+
 def bootstrap(df: DataFrame, group: str, score: str, order: str, k: int, *, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Seeded draws of ``k`` scores with replacement: mean and deviation of their best and worst.
 
-    A group is the responses to one prompt, in ``order``; each meets in one task. For groups without
-    such a bound there is ``expected_best``, which is exact and needs no draws.
+    A group is the responses to one prompt, in ``order`` (nulls last, then by score); each is one array.
+    The places drawn hang on a group's size alone, so groups of one size are drawn together, batch by
+    batch. For groups without such a bound there is ``expected_best``, which is exact and needs no draws.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.sort_values(order)[score].to_numpy(float)
-        got = x[np.random.RandomState(seed).choice(len(x), size=(draws, k), replace=True)]
-        best, worst = got.max(axis=1), got.min(axis=1)
-        return pd.DataFrame({group: [f[group].iloc[0]], "best_mean": [best.mean()], "best_std": [best.std()], "worst_mean": [worst.mean()], "worst_std": [worst.std()]})
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.where(F.col(score).isNotNull()).select(group, score, order).groupBy(group).applyInPandas(run, f"`{group}` {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+
+    def run(scores: pa.Array) -> pa.Array:
+        sizes, flat = scores.value_lengths().to_numpy(zero_copy_only=False), scores.flatten().to_numpy(zero_copy_only=False)
+        starts, out = np.cumsum(sizes) - sizes, np.empty((len(sizes), 4))
+        for n in np.unique(sizes):
+            rows = np.flatnonzero(sizes == n)
+            out[rows] = np.concatenate(list(_draws(flat[starts[rows][:, None] + np.arange(n)], draws, k, seed)))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], names)
+
+    place = F.struct(F.col(order).isNull(), F.col(order).alias("o"), F.col(score).cast("double").alias("s"))
+    held = df.where(F.col(score).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(place)).alias("_x"))
+    drawn = F.arrow_udf(run, ", ".join(f"{n} double" for n in names))(F.transform("_x", lambda x: x["s"]))
+    return held.select(group, drawn.alias("_d")).select(group, "_d.*")
 
 
 def usage(tasks: DataFrame, calls: DataFrame, task: str, counts: list[str]) -> DataFrame:
