@@ -140,6 +140,25 @@ def test_bootstrap_draws_work_out_groups_of_one_size_together(spark):
         assert (got[g].best_mean, got[g].best_std, got[g].worst_mean, got[g].worst_std) == (best.mean(), best.std(), worst.mean(), worst.std())
 
 
+def test_case_folds_as_python_folds_it_without_python(spark):
+    import sys
+
+    from trellis.functions import text as tx
+
+    # Arrange: every letter that changes its case, between others and at the end of a word
+    odd = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (chr(i).casefold() != chr(i) or chr(i).isspace())]
+    texts = [f"{x}a {x}{x} b{x}" for x in odd] + ["GEẞSCH  Straße\x1f\xa0x ", " \u3000", "", None]
+
+    # Act
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.normalise_folded(F.col("t")).alias("t"))
+    got = {r.i: r.t for r in df.collect()}
+
+    # Assert
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    wrong = [(t, got[i]) for i, t in enumerate(texts) if got[i] != re.sub(r"\s+", " ", (t or "").casefold()).strip()]
+    assert not wrong, wrong[:20]
+
+
 def test_latex_answers_and_domains(spark):
     from trellis.functions import messages as ms
     from trellis.functions import text as tx

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
 from .jsons import canonical_hash
 
 #: Lines that tell a reward, lines that tell a private label, blocks and fields of reasoning, and
@@ -32,14 +35,35 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-def normalise_folded(c: Column) -> Column:
-    """Case folded as Python folds it (ß is ss), runs of Unicode white space as one space, trimmed; null
-    counts as empty. No column function folds case, so this one is an Arrow function."""
+#: What white space is to Python, within Latin-1 and beyond it, and ranges of all characters that ``_folds`` names:
+#: a class of few ranges is tested for first, since every range costs time at every character.
+_WHITE, _WIDE = r"\t-\r\x1c-\x20\x85\xa0", r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RARE = r"[\xb5\u0130-\u03ff\u0530-\u058f\u13a0-\u1fff\uab70-\uabbf\ufb00-\ufb17]"
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([re.sub(r"\s+", " ", t.casefold()).strip() if isinstance(t, str) else "" for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "string")(c)
+@cache
+def _folds() -> dict[str, str]:
+    """Characters that stay as they are in lower case but not when case is folded; ß, the frequent one, apart."""
+    return {x: f for i in range(sys.maxunicode + 1) for x in chr(i).lower() if (f := x.casefold()) != x and x != "ß"}
+
+
+def folded(c: Column) -> Column:
+    """Case folded as Python folds it: ß is ss, final sigma is sigma. Lower case, then what that leaves."""
+    one = {x: f for x, f in _folds().items() if len(f) == 1}
+    many = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(f).alias("b")) for x, f in _folds().items() if len(f) > 1])
+
+    def rest(x: Column) -> Column:
+        single = F.translate(x, "".join(one), "".join(one.values()))
+        return F.when(x.rlike(_RARE), F.aggregate(many, single, lambda acc, r: F.replace(acc, r["a"], r["b"]))).otherwise(x)
+
+    return bound(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), rest)
+
+
+def normalise_folded(c: Column) -> Column:
+    """Case folded as Python folds it (ß is ss), runs of Unicode white space as one space, trimmed; null
+    counts as empty. No Python."""
+    white = lambda x: F.when(x.rlike(r"[\u1680-\u3000]"), F.regexp_replace(x, f"[{_WHITE}{_WIDE}]+", " ")).otherwise(F.regexp_replace(x, f"[{_WHITE}]+", " "))
+    return F.coalesce(F.trim(bound(folded(c), white)), F.lit(""))
 
 
 def _without(c: Column, *rules: tuple[str, str, str]) -> Column:
