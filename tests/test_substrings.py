@@ -64,3 +64,17 @@ def test_tasks_by_map_id_and_text(spark):
         "other": ("t1", "text"),
     }
     assert got.count() == len(records) and F is not None
+
+
+def test_tasks_are_found_whatever_the_case_of_a_sharp_s(spark):
+    # Arrange
+    records = spark.createDataFrame([(1, None, None, "Die Stra\u00dfe nach Gie\u00dfen bitte"), (2, None, None, "STRASSE NACH GIESSEN"), (3, None, None, "Die Strase nach Giesen")], "r long, places array<string>, said string, users string")
+    tasks = spark.createDataFrame([("t", "STRA\u1e9eE  nach\nGiessen", [])], "task string, initial string, options array<struct<aspect:string,correct:array<string>,every:array<string>>>")
+    chosen = spark.createDataFrame([], "place string, task string")
+    answers = spark.createDataFrame([], "r long, aspect string, answer string")
+
+    # Act
+    got = {x.r: (x.task, x.tier) for x in substrings.resolved(records, "r", tasks, chosen, answers).collect()}
+
+    # Assert
+    assert got == {1: ("t", "text"), 2: ("t", "text"), 3: (None, None)}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise_folded
+
 #: Classes of needles: the fewest UTF-8 bytes of a needle, bytes of a gram, grams of a window. A needle holds a
 #: whole window (gram + window - 1 bytes) of its class. Shorter ones have grams of their own length.
 CLASSES = ((64, 16, 49), (32, 16, 17), (16, 8, 9), (8, 4, 5), *((n, n, 1) for n in range(7, 0, -1)))
@@ -100,8 +102,8 @@ def contains_pairs(texts: DataFrame, key: str, text: str, needles: DataFrame, ne
 
 
 def normal(c: Column) -> Column:
-    """Lower case, runs of white space as one space, trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+    """Case folded (ß is ss in either case), runs of white space as one space, trimmed; null counts as empty."""
+    return normalise_folded(c)
 
 
 def resolved(records: DataFrame, record: str, tasks: DataFrame, chosen: DataFrame, answers: DataFrame) -> DataFrame:
