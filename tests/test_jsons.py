@@ -89,3 +89,10 @@ def test_depth_has_a_bound_and_empty_tables_none(spark):
         jsons.flattened(df, ["i"], "t", deepest=4)
     none = jsons.flattened(df.limit(0), ["i"], "t")
     assert none.collect() == [] and none.columns == ["i", "key", "value", "number"]
+
+
+def test_guards_parse_a_text_once(spark):
+    df = spark.createDataFrame([('{"a": 1, "GOLD": {"t\\u0061sk": []}, "say": "reward: 2"}',), ('{"a": 1}, "v": 2',), ("7",), (None,)], "t string")
+    got = df.select(jsons.observation_faults(F.col("t"), ["a", "b"], ["gold", "task"]).alias("x"))
+    assert [r.x for r in got.collect()] == [["missing:b", "forbidden:GOLD", "forbidden:task", "reward"], ["not_an_object"], ["not_an_object"], ["not_an_object"]]
+    assert str(jsons.observation_faults(F.col("t"), ["a", "b"], ["gold", "task"])).count("try_parse_json") == 1

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 #: A whole string of JSON and the colon after it, if it is a key. Strings are read from the left one after
 #: another, so that what looks like a key inside a text isn't one.
 _STRING = r'"(?:[^"\\]++|\\.)*+":?'
@@ -26,36 +28,49 @@ def parsed(document: Column) -> Column:
     must still be read."""
     end = F.md5(document)
     held = F.try_parse_json(F.concat(F.lit('{"v":'), document, F.lit(',"'), end, F.lit('":1}')))
-    keys = F.json_object_keys(F.to_json(held))
-    return F.when((F.size(keys) == 2) & F.array_contains(keys, end) & F.array_contains(keys, F.lit("v")), F.try_variant_get(held, "$.v", "variant"))
+
+    def value(x: Column) -> Column:
+        return F.when((F.size(x["k"]) == 2) & F.array_contains(x["k"], end) & F.array_contains(x["k"], F.lit("v")), F.try_variant_get(x["h"], "$.v", "variant"))
+
+    return bound(held, lambda h: bound(F.struct(h.alias("h"), F.map_keys(F.try_variant_get(h, "$", "map<string,variant>")).alias("k")), value))
 
 
 def keys_anywhere(document: Column) -> Column:
     """The distinct keys at any depth of a JSON text, as the text means them (escapes read); null for what is no
     JSON. No Python: the text is parsed and written anew, which leaves one form, and its strings are read."""
-    plain = F.to_json(parsed(document))
+    return _keys_of(F.to_json(parsed(document)))
+
+
+def _keys_of(plain: Column) -> Column:
+    """The keys of a JSON text that ``to_json`` wrote; only those with an escape are parsed."""
     strings = F.regexp_extract_all(plain, F.lit(_STRING), F.lit(0))
-    keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.from_json(F.concat(F.lit('{"k":'), F.substring(s, F.lit(1), F.length(s) - 1), F.lit("}")), "k string")["k"])
+    read = lambda s: F.from_json(F.concat(F.lit('{"k":'), F.substring(s, F.lit(1), F.length(s) - 1), F.lit("}")), "k string")["k"]
+    keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.when(s.contains("\\"), read(s)).otherwise(F.substring(s, F.lit(2), F.length(s) - 3)))
     return F.array_distinct(keys)
 
 
 def forbidden_keys(document: Column, names: list[str]) -> Column:
     """Keys at any depth of a JSON text that are in ``names`` but for case, sorted; null for what is no JSON."""
+    return _forbidden(keys_anywhere(document), names)
+
+
+def _forbidden(keys: Column, names: list[str]) -> Column:
     low = F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>")
-    return F.array_sort(F.filter(keys_anywhere(document), lambda k: F.array_contains(low, F.lower(k))))
+    return F.array_sort(F.filter(keys, lambda k: F.array_contains(low, F.lower(k))))
 
 
 def observation_faults(document: Column, required: list[str], forbidden: list[str]) -> Column:
     """What keeps a JSON text from being shown, in order: not_an_object, missing:<key>, forbidden:<key>, and the
     names of side channels in its compact form; empty if nothing does."""
-    plain = F.to_json(parsed(document))
-    whole = F.coalesce(plain.startswith("{"), F.lit(False))
-    top = F.coalesce(F.json_object_keys(plain), F.array().cast("array<string>"))
     need = F.array(*[F.lit(k) for k in sorted(required)]).cast("array<string>")
-    missing = F.transform(F.array_except(need, top), lambda k: F.concat(F.lit("missing:"), k))
-    bad = F.transform(F.coalesce(forbidden_keys(document, forbidden), F.array().cast("array<string>")), lambda k: F.concat(F.lit("forbidden:"), k))
-    said = F.array_compact(F.array(*[F.when(plain.rlike(p), name) for name, p in SIDE_CHANNELS.items()]))
-    return F.when(~whole, F.array(F.lit("not_an_object"))).otherwise(F.concat(missing, bad, said))
+
+    def faults(plain: Column) -> Column:
+        missing = F.transform(F.array_except(need, F.json_object_keys(plain)), lambda k: F.concat(F.lit("missing:"), k))
+        bad = F.transform(_forbidden(_keys_of(plain), forbidden), lambda k: F.concat(F.lit("forbidden:"), k))
+        said = F.array_compact(F.array(*[F.when(plain.rlike(p), name) for name, p in SIDE_CHANNELS.items()]))
+        return F.when(F.coalesce(plain.startswith("{"), F.lit(False)), F.concat(missing, bad, said)).otherwise(F.array(F.lit("not_an_object")))
+
+    return bound(F.to_json(parsed(document)), faults)
 
 
 # ---------------------------------------------------------------- one form
