@@ -96,3 +96,11 @@ def test_guards_parse_a_text_once(spark):
     got = df.select(jsons.observation_faults(F.col("t"), ["a", "b"], ["gold", "task"]).alias("x"))
     assert [r.x for r in got.collect()] == [["missing:b", "forbidden:GOLD", "forbidden:task", "reward"], ["not_an_object"], ["not_an_object"], ["not_an_object"]]
     assert str(jsons.observation_faults(F.col("t"), ["a", "b"], ["gold", "task"])).count("try_parse_json") == 1
+
+
+def test_hashes_are_made_text_by_text(spark):
+    df = spark.createDataFrame([('{"b": 1.50, "a": "\u00df\\u001f"}',), ("no",), (None,)], "t string")
+    got = [r.h for r in df.select(jsons.canonical_hash(F.col("t")).alias("h")).collect()]
+    assert got == [hashlib.sha256('{"a":"\u00df\\u001f","b":1.5}'.encode()).hexdigest(), None, None]
+    plan = df.select(jsons.canonical_hash(F.col("t")).alias("h"))._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "run(" in plan

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,16 @@ def observation_faults(document: Column, required: list[str], forbidden: list[st
 # ---------------------------------------------------------------- one form
 
 
+def by_text(one: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
+    """A column function of one text, given one after another off the Arrow batch: beside the batch and what
+    comes out, one text is held."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
+
+    return F.arrow_udf(run, "string")
+
+
 def _canonical(text: str | None) -> str | None:
     try:
         return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -88,15 +99,17 @@ def canonical_json(document: Column) -> Column:
     json writes them; null for what is no JSON. Of keys that stand twice, the last counts. Number forms
     have no column function, so this is an Arrow function."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_canonical)
-
-    return F.pandas_udf(run, "string")(document)
+    return by_text(_canonical)(document)
 
 
 def canonical_hash(document: Column) -> Column:
-    """sha256 of the canonical form."""
-    return F.sha2(canonical_json(document), 256)
+    """sha256 of the canonical form, made where the form is, so that no second batch of texts is held."""
+
+    def one(text):
+        form = _canonical(text)
+        return None if form is None else hashlib.sha256(form.encode()).hexdigest()
+
+    return by_text(one)(document)
 
 
 def record_hash(document: Column, *, schema: str) -> Column:
@@ -115,10 +128,7 @@ def record_hash(document: Column, *, schema: str) -> Column:
         public = {"schema_version": record.get("schema_version", schema), "messages": [plain(m) for m in record.get("messages", [])], "tools": record.get("tools", []), "enable_thinking": bool(record.get("enable_thinking", True))}
         return hashlib.sha256(json.dumps(public, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return F.pandas_udf(run, "string")(document)
+    return by_text(one)(document)
 
 
 # ---------------------------------------------------------------- flat keys
