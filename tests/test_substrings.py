@@ -78,3 +78,13 @@ def test_tasks_are_found_whatever_the_case_of_a_sharp_s(spark):
 
     # Assert
     assert got == {1: ("t", "text"), 2: ("t", "text"), 3: (None, None)}
+
+
+def test_grams_are_arrays_for_every_class_and_no_text(spark):
+    kinds = list(range(len(substrings.CLASSES)))
+    texts = ["", None, "abc", "\u00e4" * 40, "the quick brown fox jumps over the lazy dog " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", substrings._grams(kinds)(F.col("t")).alias("g"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString() and str(substrings._grams(kinds).evalType) == "250"
+    for r in df.collect():
+        data = substrings.np.frombuffer((texts[r.i] or "").encode(), substrings.np.uint8)
+        assert [tuple(x) for x in r.g] == [(k, h) for k in kinds for h in substrings._window_minima(data, *substrings.CLASSES[k][1:]).tolist()]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,17 +44,22 @@ def _window_minima(data: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 def _grams(kinds: list[int]):
-    """A column function: (class, hash) of a text's sampled grams in the given classes."""
+    """A column function: (class, hash) of a text's sampled grams in the given classes. Grams stay arrays of 12 bytes
+    each; no object is made of one."""
     wanted = [(k, *CLASSES[k][1:]) for k in kinds]
 
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            data = np.frombuffer(t.encode(), np.uint8) if t else np.zeros(0, np.uint8)
-            return [{"c": k, "h": h} for k, gram, window in wanted for h in _window_minima(data, gram, window).tolist()]
-
-        return texts.map(one)
-
-    return F.pandas_udf(run, "array<struct<c:int,h:bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        ends, classes, hashes = [0], [], []
+        for t in texts:
+            data = np.frombuffer(t.as_py().encode(), np.uint8) if t.is_valid else np.zeros(0, np.uint8)
+            found = [_window_minima(data, gram, window) for _, gram, window in wanted]
+            classes += [np.full(len(h), k, np.int32) for (k, *_), h in zip(wanted, found, strict=True)]
+            hashes += found
+            ends.append(ends[-1] + sum(map(len, found)))
+        flat = [np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.int32, classes), (np.int64, hashes))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["c", "h"]))
+
+    return F.arrow_udf(run, "array<struct<c:int,h:bigint>>")
 
 
 def _class(needle: Column) -> Column:
