@@ -212,3 +212,18 @@ def test_records(spark):
     assert (r["i"]["terminal_reward"], r["m"]["contract_version"], r["d"], r["t"]) == (0.0, "one", [1.25, 1.25, 4.25, 8.0], True)
     with pytest.raises(Exception, match="grades in its environment"):
         spark.range(1).select(records.refused("interaction")).collect()
+
+
+def test_plain_values_search_for_a_word_before_its_pattern(spark):
+    from trellis.functions import grading
+
+    # Arrange
+    cases = [("5 minutes", "5"), ("\\text{12,000}", "12000"), ("3 million dollars", "3 *10^6 dollars"), ("{- 7.0}", "-7"), ("1 3/4 Inches", "1+3/4 inches"), ("2 feet^2 or 3 days", "2  , 3 "), ("$90^ \\circ", "90"), ("50\\%", "50"), ("centimeters", ""), ("", ""), (None, None)]
+    value = grading.plain_value(F.col("a"))
+
+    # Act
+    got = spark.createDataFrame(cases, "a string, b string").select("a", "b", value.alias("c")).collect()
+
+    # Assert
+    assert [(r.a, r.c) for r in got] == [(a, b) for a, b in cases]
+    assert str(value).count("regexp_replace") < 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
 from .messages import tail_answer
 from .text import boxed, latex_answer
 
@@ -94,25 +95,29 @@ UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hou
 POWERS = (("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
 _WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)$"
 
+#: What a plain value loses, in order: two texts without both of which a pattern can't match, the
+#: pattern, and what comes in its place. A text is searched for by far faster than a pattern.
+_PLAIN = (
+    (r"\text{", r"\text{", r"^\\text\{(.+?)\}$", "$1"), ("%", "$", r"\\?[%$]", ""), (" or ", " and ", r" (or|and) ", " , "),
+    *((w, w, w, by.replace("$", r"\$")) for w, by in POWERS),
+    *((u, u, rf"{u}(es)?(s)? *(\^[0-9]+)?", "") for u in UNITS),
+    (r"\circ", r"\circ", r"\^ *\\circ", ""), ("{", "{", r"^\{(.*)\}$", "$1"), (r",\!", r",\!", r",\\! *", ""), ("- ", "- ", r"- *", "-"), (" ", " ", r"([0-9]) +([0-9])", "$1+$2"),
+)
+
 
 def plain_value(c: Column) -> Column:
     """A value without what doesn't change it: a text wrapper, dollar and percent signs, units, degree
     signs, outer braces, thousands commas, case; 'or' and 'and' part a list, words are powers of ten, a
     mixed number is a sum, and whole numbers lose their zeros. Nulls stay null."""
-    c = F.regexp_replace(c, r"^\\text\{(.+?)\}$", "$1")
-    c = F.regexp_replace(c, r"\\?[%$]", "")
-    c = F.regexp_replace(c, r" (or|and) ", " , ")
-    for word, power in POWERS:
-        c = F.replace(c, F.lit(word), F.lit(power))
-    for unit in UNITS:
-        c = F.regexp_replace(c, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
-    c = F.regexp_replace(c, r"\^ *\\circ", "")
-    c = F.regexp_replace(c, r"^\{(.*)\}$", "$1")
-    c = F.regexp_replace(c, r",\\! *", "")
-    c = F.regexp_replace(c, r"- *", "-")
-    c = F.lower(F.regexp_replace(c, r"([0-9]) +([0-9])", "$1+$2"))
-    bare = F.regexp_replace(F.trim(c), r"([0-9]),(?=[0-9]{3}([^0-9]|$))", "$1")
-    return F.when(bare.rlike(_WHOLE), F.round(bare.try_cast("decimal(38,9)")).cast("decimal(38,0)").cast("string")).otherwise(c)
+    rules = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("a", "b", "pattern", "by"), r, strict=True)]) for r in _PLAIN])
+    c = F.aggregate(rules, c, lambda x, r: F.when(x.contains(r["a"]) | x.contains(r["b"]), F.regexp_replace(x, r["pattern"], r["by"])).otherwise(x))
+
+    def whole(x: Column) -> Column:
+        bare = F.trim(x)
+        bare = F.when(bare.contains(","), F.regexp_replace(bare, r"([0-9]),(?=[0-9]{3}([^0-9]|$))", "$1")).otherwise(bare)
+        return bound(bare, lambda y: F.when(y.rlike(_WHOLE), F.round(y.try_cast("decimal(38,9)")).cast("decimal(38,0)").cast("string")).otherwise(x))
+
+    return bound(F.lower(c), whole)
 
 
 def marked_answer(text: Column, marks: tuple[str, ...] = ("Answer:", "answer is")) -> Column:
