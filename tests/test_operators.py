@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trellis.functions import text as tx
 from trellis.operators import advantage, attempts, batching, credit, joins, replay, sampling
 from trellis.operators import sequences as seq
+from trellis.operators.scan import scan
 
 
 def one(spark, c, **cols):
@@ -169,3 +170,19 @@ def test_latex_answers_and_domains(spark):
     assert df.where(tx.same_answer(F.col("a"), F.lit("none of them"))).count() == 0
     said = spark.range(1).select(ms.training_message(F.lit("{}"), F.lit(" "), F.lit("<think>why</think>x")).alias("a"), ms.training_message(F.lit("{}"), F.lit(None).cast("string"), F.lit("plain")).alias("b"), ms.training_message(F.lit("{}"), F.lit(None).cast("string"), F.lit("plain"), fallback="content").alias("c")).first()
     assert said.a == "<think>\nwhy\n</think>\n\n<tool_call>\n{}\n</tool_call>" and said.b == "<tool_call>\n{}\n</tool_call>" and said.c.startswith("<think>\nplain\n")
+
+
+def test_a_scan_after_a_join_on_its_key_sees_whole_groups(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 10).alias("k"), F.col("id").alias("pos"))
+        held = rows.join(rows.select("k").distinct(), "k")
+        out = scan(held, ["k"], ["pos"], ["pos"], int, lambda n, _: (n + 1, (n + 1,)), "n long")
+        got = out.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("x")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r.k: [x.n for x in r.x] for r in got} == {k: list(range(1, 401)) for k in range(10)}

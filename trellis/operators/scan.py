@@ -20,6 +20,10 @@ def scan(df: DataFrame, group: list[str], order: list[str], reads: list[str], st
     begins with ``start()``. The state and one Arrow batch are all that is held, so a long group takes
     time in proportion to its rows and no more memory than a short one. Null keys are a group. Rows of
     equal order come in any order; name enough columns. Function and state must pickle by value.
+
+    Groups are dealt by a struct of their keys: Spark drops a repartition by the keys themselves where a join
+    or window before it deals by the same keys, and adaptive execution, which sees no need of that dealing in
+    a map over batches, may then undo it (local reads, split partitions) and scatter a group over tasks.
     """
     new = StructType.fromDDL(adds)
     schema = StructType([*df.schema.fields, *new.fields])
@@ -44,4 +48,4 @@ def scan(df: DataFrame, group: list[str], order: list[str], reads: list[str], st
 
     by = [F.col(f"`{c}`").desc_nulls_last() if descending else F.col(f"`{c}`").asc_nulls_first() for c in order]
     keys = [F.col(f"`{c}`") for c in group]
-    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInArrow(run, schema)
+    return df.repartition(F.struct(*keys)).sortWithinPartitions(*keys, *by).mapInArrow(run, schema)
