@@ -104,3 +104,34 @@ def test_hashes_are_made_text_by_text(spark):
     assert got == [hashlib.sha256('{"a":"\u00df\\u001f","b":1.5}'.encode()).hexdigest(), None, None]
     plan = df.select(jsons.canonical_hash(F.col("t")).alias("h"))._jdf.queryExecution().executedPlan().toString()
     assert "sha2" not in plan and "run(" in plan
+
+
+def test_walk_parses_once_and_keeps_no_level(spark):
+    df = spark.createDataFrame([(i, json.dumps({"a": [i, {"b": [None, "x"]}], "c": {}})) for i in range(20)], "i int, t string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = jsons.flattened(df, ["i"], "t")
+    assert {(r.key, r.value) for r in out.where("i = 3").collect()} == {("a/list_len", "2"), ("a/0", "3"), ("a/1/b/list_len", "2"), ("a/1/b/0", "null"), ("a/1/b/1", '"x"')}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and plan.count("parseJson") == 1
+    assert not any(word in plan for word in ("InMemoryTableScan", "Exchange", "Union"))
+
+
+def test_walk_of_empty_parts_brackets_in_texts_and_bounds(spark):
+    texts = ['[]', '{}', '[[]]', '{"": []}', '{"": {"": 1}}', '[[[], 1], {"a": {}}]', '{"[{": "[[[[[[[[\\"{{{"}', '{"a": "' + "[" * 99 + '"}', "[" * 99, "[" * 99 + "]" * 98, '"[["', "[1] [[[[[", None, "[[[[1]]]]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos int, key_ string").toDF("pos", "a.b")
+    got = {}
+    for r in jsons.flattened(df, ["pos"], "a.b", deepest=4).collect():
+        got.setdefault(r.pos, []).append((r.key, json.loads(r.value)))
+    for i, t in enumerate(texts):
+        try:
+            want = json.loads(t or "1")
+        except ValueError:
+            want = 1
+        assert sorted(got.get(i, []), key=str) == (sorted(flat(want), key=str) if isinstance(want, dict | list) else []), t
+    assert df.select(jsons.nesting(F.col("`a.b`"))).first()[0] == 1
+
+
+def test_numbers_of_flat_keys(spark):
+    df = spark.createDataFrame([(1, '[1, -0.5, 1e3, 12345678901234567890, true, false, null, "7", "null", "Infinity"]')], "i int, t string")
+    got = {r.key: r.number for r in jsons.flattened(df, ["i"], "t").collect()}
+    assert [got[str(k)] for k in range(10)] == [1.0, -0.5, 1000.0, 12345678901234567890.0, None, None, None, None, None, None] and got["list_len"] == 10.0

@@ -15,6 +15,8 @@ from .columns import bound
 #: A whole string of JSON and the colon after it, if it is a key. Strings are read from the left one after
 #: another, so that what looks like a key inside a text isn't one.
 _STRING = r'"(?:[^"\\]++|\\.)*+":?'
+#: What stands between the brackets of objects and lists: whole strings and all else.
+_NO_BRACKET = r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++|"'
 #: What must not stand in a public text (Java patterns).
 SIDE_CHANNELS = {
     "reward": r"(?iU)\b(?:terminal[_ ]?reward|reward)\s*[:=]",
@@ -25,15 +27,11 @@ SIDE_CHANNELS = {
 
 def parsed(document: Column) -> Column:
     """A JSON text as a VARIANT; null for what isn't one JSON value and nothing else. Spark's parser stops at the
-    end of the first value, so the text is put into an object whose last key, made of the text's own hash,
-    must still be read."""
+    end of the first value, so the text is put into a list whose second item, the text's own hash, must
+    still be read."""
     end = F.md5(document)
-    held = F.try_parse_json(F.concat(F.lit('{"v":'), document, F.lit(',"'), end, F.lit('":1}')))
-
-    def value(x: Column) -> Column:
-        return F.when((F.size(x["k"]) == 2) & F.array_contains(x["k"], end) & F.array_contains(x["k"], F.lit("v")), F.try_variant_get(x["h"], "$.v", "variant"))
-
-    return bound(held, lambda h: bound(F.struct(h.alias("h"), F.map_keys(F.try_variant_get(h, "$", "map<string,variant>")).alias("k")), value))
+    held = F.try_parse_json(F.concat(F.lit("["), document, F.lit(',"'), end, F.lit('"]')))
+    return bound(held, lambda h: F.when(F.try_variant_get(h, "$[1]", "string") == end, F.try_variant_get(h, "$[0]", "variant")))
 
 
 def keys_anywhere(document: Column) -> Column:
@@ -134,37 +132,54 @@ def record_hash(document: Column, *, schema: str) -> Column:
 # ---------------------------------------------------------------- flat keys
 
 
+def nesting(document: Column) -> Column:
+    """How many objects and lists of a JSON text lie in one another at most: brackets outside of strings, counted
+    without a parse. For what is no JSON it is just the brackets' count, null for null."""
+    brackets = F.split(F.regexp_replace(document, _NO_BRACKET, ""), "")
+    count = lambda now, most: F.struct(now.alias("now"), F.greatest(most, now).alias("most"))
+    step = lambda held, c: count(F.when(c.isin("{", "["), held["now"] + 1).when(c.isin("}", "]"), held["now"] - 1).otherwise(held["now"]), held["most"])
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda held: held["most"])
+
+
 def flattened(df: DataFrame, ids: list[str], document: str, *, sep: str = "/", deepest: int = 64) -> DataFrame:
     """One row for each value of a JSON text that isn't an object or list itself: the ids, key (its path), value (as
     JSON) and number (null if it is none).
 
     Lists give their length under list_len and their items under their places from 0. Empty objects give
-    nothing; a text that is a single value or no JSON gives nothing. Documents are walked level by level
-    as VARIANT values, so a plan has one explode a level and no shuffle; levels are kept while the next
-    is made, and more than ``deepest`` of them are an error.
+    nothing; a text that is a single value or no JSON gives nothing. One job counts how deep the texts nest,
+    and more than ``deepest`` levels are an error. The rows are then made in one pass, without shuffle or
+    cache: each text is parsed once, as a VARIANT, and a level is one explode, which lets pass what is
+    no object or list. A list's length goes with its first item and gets its row at the end.
     """
-    keys = [F.col(f"`{c}`") for c in ids]
-    inner = F.coalesce(
-        F.expr("transform(map_entries(try_variant_get(_v, '$', 'map<string,variant>')), e -> named_struct('k', e.key, 'v', e.value))"),
-        F.expr("transform(try_variant_get(_v, '$', 'array<variant>'), (x, i) -> named_struct('k', cast(i as string), 'v', x))"),
+    spark, text = df.sparkSession, F.col(f"`{document}`")
+    depth = df.agg(F.max(nesting(text))).first()[0] or 0
+    if depth > deepest:
+        depth = df.agg(F.max(F.when(parsed(text).isNotNull(), nesting(text)))).first()[0] or 0
+        if depth > deepest:
+            raise ValueError(f"documents nest deeper than {deepest} levels")
+    kept = [F.col(f"`{c}`").alias(f"_id{i}") for i, c in enumerate(ids)]
+    held = [f"_id{i}" for i in range(len(ids))]
+    entries = "array<struct<key:string,value:string>>"
+    none = F.array().cast(entries)
+    one = lambda key, value: F.array(F.struct(key.alias("key"), value.alias("value")))
+    place, length = F.col("pos"), F.size(F.try_variant_get("_v", "$", "array<variant>")).cast("string")
+    # _p is a value's path with a separator after each step, _n the lengths of the lists it comes first in.
+    level = df.select(*kept, F.lit("").alias("_p"), none.alias("_n"), parsed(text).alias("_v"))
+    for i in range(max(depth, 1)):
+        level = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select(
+            *held,
+            F.when(place.isNull(), F.col("_p")).otherwise(F.concat("_p", F.coalesce("key", place.cast("string")), F.lit(sep))).alias("_p"),
+            F.when(place.isNull(), F.col("_n")).when(place > 0, none).when(F.col("key").isNotNull(), F.col("_n")).otherwise(F.concat("_n", one(F.concat("_p", F.lit("list_len")), length))).alias("_n"),
+            F.when(place.isNotNull(), F.col("value")).when(F.lit(i > 0) | (F.to_json("_v") == "[]"), F.col("_v")).alias("_v"),
+        )
+    value = F.col("_x")
+    own = (
+        F.when(value.isNull() | (value == "{}"), none).when(value == "[]", one(F.concat("_p", F.lit("list_len")), F.lit("0")))
+        .when(value.startswith("{") | value.startswith("["), F.raise_error(F.lit("documents nest deeper than they did when they were counted")).cast(entries))
+        .otherwise(one(F.substring("_p", F.lit(1), F.length("_p") - len(sep)), value))
     )
-    nested = F.expr("schema_of_variant(_v) LIKE 'OBJECT<%' OR schema_of_variant(_v) LIKE 'ARRAY<%'")
-    level = df.select(*keys, F.lit("").alias("_p"), parsed(F.col(f"`{document}`")).alias("_v")).where(F.col("_v").isNotNull() & nested)
-    found = []
-    for _ in range(deepest):
-        level = level.persist()
-        if level.isEmpty():
-            break
-        sizes = level.select(*keys, F.concat("_p", F.lit("list_len")).alias("key"), F.expr("cast(size(try_variant_get(_v, '$', 'array<variant>')) as string)").alias("value")).where(F.col("value").isNotNull() & (F.col("value") != "-1"))
-        below = level.select(*keys, F.col("_p"), F.explode(inner).alias("_e")).select(*keys, F.concat("_p", "_e.k").alias("_p"), F.col("_e.v").alias("_v"))
-        leaves = below.where(F.col("_v").isNull() | ~nested).select(*keys, F.col("_p").alias("key"), F.coalesce(F.to_json("_v"), F.lit("null")).alias("value"))
-        found += [sizes, leaves]
-        level = below.where(nested).withColumn("_p", F.concat("_p", F.lit(sep)))
-    else:
-        raise ValueError(f"documents nest deeper than {deepest} levels")
-    if not found:
-        return level.select(*keys, F.lit("").alias("key"), F.lit("").alias("value"), F.lit(0.0).alias("number")).limit(0)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("number", F.when(~F.col("value").startswith('"'), F.col("value").try_cast("double")))
+    rows = level.select(*held, "_p", "_n", F.to_json("_v").alias("_x")).select(*held, F.explode_outer(F.concat("_n", own)).alias("_e")).where(F.col("_e").isNotNull())
+    back = [F.col(h).alias(c) for h, c in zip(held, ids, strict=True)]
+    out = rows.select(*back, F.col("_e.key").alias("key"), F.col("_e.value").alias("value"))
+    # Words aren't cast, as each failed cast costs an exception.
+    return out.withColumn("number", F.when(~F.col("value").startswith('"') & ~F.col("value").isin("null", "true", "false"), F.col("value").try_cast("double")))
